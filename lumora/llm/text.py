@@ -132,6 +132,18 @@ def map_chunks(docs: DataFrame, f: Callable[[list, Chunk], dict], schema: str, k
     return docs.select(key, text).mapInArrow(run, schema)
 
 
+def filter_docs(docs: DataFrame, f: Callable[[list, Chunk], np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, for which f says true."""
+
+    def run(batches):
+        for b in batches:
+            keep = [f(keys, chunk) for keys, chunk in pieces(iter([b]), key, text)]
+            if keep and (mask := np.concatenate(keep)).any():
+                yield b.filter(pa.array(mask.astype(bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share; a local one only where the session names none, as in tests."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
