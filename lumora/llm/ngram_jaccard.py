@@ -28,6 +28,10 @@ from lumora.llm.text import Chunk, kept, map_chunks, shingles
 
 #: Buckets of the corpus's shingle counts, 4 bytes each; rows of that many buckets go from each task.
 SKETCH, SKETCH_ROW = 1 << 20, 1 << 14
+#: A shingle's list up to so long is searched for pairs at once; longer ones go on whole.
+LONG = 64
+#: Members that are verified against one lead in one group; more are dealt to several.
+MEMBERS = 1000
 #: Up to so many ids are sent to all executors; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -124,8 +128,20 @@ def _fits(percent: int, n: np.ndarray, pos: np.ndarray, m: np.ndarray, at: np.nd
     return (100 * small >= percent * large) & (1 + np.minimum(n - pos, m - at) - 1 >= need)
 
 
+def _some_partner(percent: int, sh: np.ndarray, n: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Which postings the filters let pair with another one of the same shingle. Lists of more than LONG count as paired."""
+    out, i, d = np.zeros(len(sh), bool), np.arange(len(sh)), 1
+    while len(i := i[i + d < len(sh)]) and len(i := i[sh[i + d] == sh[i]]):
+        if d >= LONG:
+            return out | np.isin(sh, sh[i])
+        ok = i[_fits(percent, n[i], pos[i], n[i + d], pos[i + d])]
+        out[ok] = out[ok + d] = True
+        d += 1
+    return out
+
+
 def shared_postings(postings: DataFrame, percent: int) -> DataFrame:
-    """Postings of shingles that two sets or more have, each with the shingle's first set (lead) and whether the filters let the pair through (try)."""
+    """Postings that may pair with another one of their shingle, each with the shingle's first set (lead) and whether the filters let that pair through (fits)."""
 
     def run(batches):
         held: list[np.ndarray] = []  # the last shingle's rows so far, if just one node
@@ -153,13 +169,13 @@ def shared_postings(postings: DataFrame, percent: int) -> DataFrame:
                 more |= run0
             elif lead is not None:
                 lead = None
-            last = which == which[-1]
+            open_run = (which == which[-1]) | ((which == 0) & (more & (size[which] == 1) | (lead is not None)))
             if size[-1] == 1 and not more[-1]:
                 held = [x[-1] for x in (sh, pos, node, n)]
                 lead = None
             else:
                 lead = (sh[-1], l_node[-1], l_n[-1], l_pos[-1])
-            del last
+            more[more] = open_run[more] | _some_partner(percent, sh[more], n[more], pos[more])
             if more.any():
                 sh, pos, node, n, l_node, l_n, l_pos = (x[more] for x in (sh, pos, node, n, l_node, l_n, l_pos))
                 ok = (node != l_node) & _fits(percent, n, pos, l_n, l_pos)
@@ -180,39 +196,54 @@ _RANGES = np.arange(64, dtype=np.uint64) << np.uint64(58)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, percent: int, words: int = 5) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are alike. names: a document (doc_id) for each node.
+    """The pairs (lead, member) of nodes whose sets are alike, as (a, b). names: a document (doc_id) for each node.
 
-    Sets are made again from the texts of the documents that are in a pair; each pair is verified once.
+    The sets are made again from the texts of documents that are in a pair. A set goes to each of its
+    leads, where it meets the lead's own: it is shuffled once for each pair, a lead's once for each
+    MEMBERS members. Each pair is verified once.
     """
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = kept(names.join(nodes, "node").select("doc_id").distinct(), "ids")
-    docs = docs.select("doc_id", "text")
-    docs = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-
-    def sets(_, chunk):
-        found = _sets(chunk, words)
-        return {"node": np.array([_fingerprint(x) for x in found], np.int64), "s": pa.array([x.tobytes() for x in found], pa.binary())}
-
-    made = kept(map_chunks(docs, sets, "node long, s binary").dropDuplicates(["node"]), "sets")
+    spread = pairs.groupBy("lead").agg((F.count("*") / MEMBERS).cast("int").alias("last"))
+    dealt = pairs.join(spread, "lead").select("lead", F.col("member").alias("node"), F.pmod(F.xxhash64("member"), F.col("last") + 1).cast("int").alias("salt"), F.lit(1).alias("role"))
+    own = spread.select("lead", F.col("lead").alias("node"), F.explode(F.sequence(F.lit(0), "last")).alias("salt"), F.lit(0).alias("role"))
+    goes = dealt.union(own).groupBy("node").agg(F.collect_list(F.struct("lead", "salt", "role")).alias("to"))
+    goes = kept(names.join(goes, "node").select(F.col("doc_id"), "node", "to"), "goes")
+    docs = docs.select("doc_id", "text").join(F.broadcast(goes) if goes.count() <= BROADCAST_IDS else goes, "doc_id")
+
+    def sets(batches):
+        for b in batches:
+            nodes, to = b.column("node").to_pylist(), b.column("to").to_pylist()
+            for i in range(0, len(nodes), 64):
+                rows = []
+                for node, leads, x in zip(nodes[i : i + 64], to[i : i + 64], _sets(Chunk(b.column("text")[i : i + 64].to_pylist()), words), strict=True):
+                    if len(x) and _fingerprint(x) == node:  # another text of a repeated doc_id is not the one meant
+                        raw = x.tobytes()
+                        rows += [(t["lead"], t["salt"], t["role"], node, raw) for t in leads]
+                if rows:
+                    c = list(zip(*rows, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.binary())], ["lead", "salt", "role", "node", "s"])
 
     def alike(batches):
+        at, x = None, None
         for b in batches:
-            out = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            a_out, b_out = [], []
+            for lead, salt, role, node, raw in zip(*(b.column(c).to_pylist() for c in ("lead", "salt", "role", "node", "s")), strict=True):
+                y = np.frombuffer(raw, np.uint64)
+                if role == 0:
+                    at, x = (lead, salt), y
+                    continue
+                if at != (lead, salt):
+                    continue
                 need = -(-percent * (len(x) + len(y)) // (100 + percent))
-                ok = _suffix_may(x, y, need)
-                if ok:
+                if _suffix_may(x, y, need):
                     both = np.sort(np.concatenate((x, y)), kind="stable")
-                    shared = int((both[1:] == both[:-1]).sum())
-                    ok = 100 * shared >= percent * (len(x) + len(y) - shared)
-                out.append(ok)
-            keep = pa.array(out, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
+                    if int((both[1:] == both[:-1]).sum()) >= need:
+                        a_out.append(lead)
+                        b_out.append(node)
+            if a_out:
+                yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
-    x = made.select(F.col("node").alias("a"), F.col("s").alias("x"))
-    y = made.select(F.col("node").alias("b"), F.col("s").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+    made = docs.select("node", "to", "text").mapInArrow(sets, "lead long, salt int, role int, node long, s binary")
+    return made.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "role", "node").mapInArrow(alike, "a long, b long")
 
 
 def jaccard_classes(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:
@@ -232,8 +263,7 @@ def jaccard_classes(docs: DataFrame, percent: int = 75, words: int = 5) -> DataF
     names = named.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     shared = kept(shared_postings(prefix_postings(docs.where("doc_id is not null"), counts, percent, words), percent), "postings")
 
-    least, most = F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")
-    first = kept(shared.where("fits").select(least, most).distinct(), "pairs")
+    first = kept(shared.where("fits").select("lead", F.col("node").alias("member")).distinct(), "pairs")
     links = kept(verified(first, docs, names, percent, words), "links")
     groups = components(links)
 
@@ -244,10 +274,11 @@ def jaccard_classes(docs: DataFrame, percent: int = 75, words: int = 5) -> DataF
     need = F.ceil(F.lit(percent) * (F.col("p.n") + F.col("q.n")) / (100.0 + percent) - 1e-9)
     second = (
         here.join(there, (F.col("p.shingle") == F.col("q.shingle")) & (F.col("p.c") != F.col("q.c")) & (100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n")) & (F.least(F.col("p.n") - F.col("p.pos"), F.col("q.n") - F.col("q.pos")) >= need))
-        .select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
+        .groupBy(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))
+        .agg(F.min("p.node").alias("lead"))
+        .select("lead", F.when(F.col("lead") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("member"))
     )
+    second = second.join(first, ["lead", "member"], "left_anti").join(first.select(F.col("lead").alias("member"), F.col("member").alias("lead")), ["lead", "member"], "left_anti")
     second = kept(second, "pairs")
     if not second.isEmpty():
         groups = components(kept(links.union(verified(second, docs, names, percent, words)), "links"))
