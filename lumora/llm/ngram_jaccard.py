@@ -287,3 +287,19 @@ def jaccard_classes(docs: DataFrame, percent: int = 75, words: int = 5) -> DataF
     smallest = known.groupBy("component").agg(F.min("least_id").alias("component_id"))
     found = known.join(smallest, "component").select("node", "component_id")
     return marks.join(found, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:
+    """The rows of docs, with all their columns, of which one stays for each class: the one with the smallest doc_id.
+
+    Rows with an empty set or without doc_id stay. Of rows with the same doc_id and text one stays.
+    """
+    classes = kept(jaccard_classes(docs, percent, words), "classes")
+    go = classes.where("n_shingles > 0 and doc_id != component_id").select("doc_id").distinct()
+    go = kept(go, "go")
+    out = docs.join(F.broadcast(go) if go.count() <= BROADCAST_IDS else go, "doc_id", "left_anti").select(*docs.columns)
+    again = kept(classes.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return out
+    some = out.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return out.join(again, "doc_id", "left_anti").select(*docs.columns).union(some)
