@@ -22,9 +22,15 @@ def register(name: str, sql: str | None = None):
     return put
 
 
+def _load() -> None:
+    from lumora.plans import catalog, clusters, mutations, search, vectors  # noqa: F401  each registers its queries
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
