@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumora.operators.grouped import each_group
+
 EARTH_KM = 6371.0088
 
 
@@ -109,17 +110,15 @@ def events(items: DataFrame, gap: float = 21_600, eps_km: float = 2.0, least: in
     rows = items if by in items.columns else items.withColumn(by, F.lit(0))
     seg = segments(rows, gap, by).select("id", by, "segment", "t", "lat", "lon")
     spots = seg.where("lat is not null and lon is not null").groupBy(by, "segment", "lat", "lon").agg(F.count("*").alias("n"), F.min(F.struct(F.coalesce("t", F.lit(float("inf"))).alias("t"), "id")).alias("first"))
-    kinds = dict(seg.dtypes)
 
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf["first"].map(lambda f: (f["t"], f["id"]) if isinstance(f, dict) else tuple(f))
-        pdf = pdf.loc[first.sort_values(kind="stable").index].reset_index(drop=True)
-        label = _dbscan(pdf["lat"].to_numpy(float), pdf["lon"].to_numpy(float), pdf["n"].to_numpy(), eps_km, least)
-        size = np.bincount(label[label >= 0], weights=pdf["n"][label >= 0], minlength=1)
+    def cluster(g):
+        label = _dbscan(g["lat"], g["lon"], g["n"], eps_km, least)
+        size = np.bincount(label[label >= 0], weights=g["n"][label >= 0], minlength=1)
         main = int(np.argmax(size))
-        return pdf[[by, "segment", "lat", "lon"]].assign(cluster=np.where(label < 0, main, label).astype("int64"), main=main)
+        return {by: g[by], "segment": g["segment"], "lat": g["lat"], "lon": g["lon"], "cluster": np.where(label < 0, main, label), "main": np.full(len(label), main)}
 
-    found = spots.groupBy(by, "segment").applyInPandas(cluster, f"{by} {kinds[by]}, segment long, lat double, lon double, cluster long, main long")
+    spots = spots.select(by, "segment", "lat", "lon", "n", F.col("first.t").alias("first_t"), F.col("first.id").alias("first_id"))
+    found = each_group(spots, [by, "segment"], ["first_t", "first_id"], cluster, f"{by} {dict(seg.dtypes)[by]}, segment long, lat double, lon double, cluster long, main long")
     mains = found.select(by, "segment", "main").distinct()
     out = seg.join(found.drop("main"), [by, "segment", "lat", "lon"], "left").join(mains, [by, "segment"], "left")
     return out.select("id", by, "segment", F.coalesce("cluster", "main", F.lit(0).cast("long")).alias("cluster"))

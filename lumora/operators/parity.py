@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumora.operators.grouped import each_group
 from lumora.operators.vectors import cosine
 
 
@@ -31,16 +32,19 @@ def store_parity(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def paired_boxes(left: DataFrame, right: DataFrame, tolerance: float = 2.0) -> DataFrame:
-    """id, n_left, n_right, n_paired: boxes (id, label, x1, y1, x2, y2) of one image paired greedily with the first free one of the same label within tolerance. A group is one image's boxes."""
-
-    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        free, n = list(b.sort_values(["label", "x1", "y1"]).itertuples(index=False)), 0
-        for r in a.sort_values(["label", "x1", "y1"]).itertuples(index=False):
-            for i, s in enumerate(free):
-                if s.label == r.label and max(abs(s.x1 - r.x1), abs(s.y1 - r.y1), abs(s.x2 - r.x2), abs(s.y2 - r.y2)) <= tolerance:
-                    free.pop(i)
-                    n += 1
-                    break
-        return pd.DataFrame({"id": [key[0]], "n_left": [len(a)], "n_right": [len(b)], "n_paired": [n]})
-
-    return left.groupBy("id").cogroup(right.groupBy("id")).applyInPandas(run, "id long, n_left long, n_right long, n_paired long")
+    """id, n_left, n_right, n_paired: boxes (id, label, x1, y1, x2, y2) of one image, each paired with the first free one of the same label within tolerance. A group is one image's boxes."""
+
+    def run(g):
+        boxes = np.stack([g[c].astype(float) for c in ("x1", "y1", "x2", "y2")], axis=1)
+        a, free = np.flatnonzero(g["side"] == 0), list(np.flatnonzero(g["side"] == 1))
+        n = 0
+        for r in a:
+            hit = next((i for i in free if g["label"][i] == g["label"][r] and np.abs(boxes[i] - boxes[r]).max() <= tolerance), None)
+            if hit is not None:
+                free.remove(hit)
+                n += 1
+        return {"id": g["id"][:1], "n_left": np.array([len(a)]), "n_right": np.array([len(g["id"]) - len(a)]), "n_paired": np.array([n])}
+
+    columns = ("id", "label", "x1", "y1", "x2", "y2")
+    both = left.select(*columns, F.lit(0).alias("side")).unionByName(right.select(*columns, F.lit(1).alias("side")))
+    return each_group(both, ["id"], ["label", "x1", "y1", "x2", "y2", "side"], run, "id long, n_left long, n_right long, n_paired long")

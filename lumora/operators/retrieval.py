@@ -56,9 +56,10 @@ def all_terms(captions: DataFrame, query: str, key: str = "image_id", text: str
 def phrase(captions: DataFrame, query: str, key: str = "image_id", text: str = "caption") -> DataFrame:
     """doc, n, score: captions with the query's terms in a row; the phrase ranks as one term."""
     terms = query_terms(query)
-    t = tokens(F.col(text))
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(t) - len(terms), F.lit(0))), lambda i: F.slice(t, i + 1, len(terms)) == F.array(*map(F.lit, terms)))
-    hits = captions.select(F.col(key).alias("doc"), F.size(starts).cast("long").alias("tf")).where("tf > 0").withColumn("term", F.lit(" ".join(terms)))
+    # tokens stand between two spaces each, so that a look-ahead counts occurrences that overlap too
+    joined = F.concat(F.lit(" "), F.array_join(tokens(F.col(text)), "  "), F.lit(" "))
+    found = F.regexp_count(joined, F.lit(f"(?= {'  '.join(map(re.escape, terms))} )")).cast("long")
+    hits = captions.select(F.col(key).alias("doc"), found.alias("tf")).where("tf > 0").withColumn("term", F.lit(" ".join(terms)))
     return hits.select("doc", F.col("tf").alias("n")).join(_ranked(hits, captions, key, text), "doc").select("doc", "n", "score")
 
 

@@ -116,7 +116,7 @@ def ridge(labelled: DataFrame, penalty: float = 1.0) -> tuple[np.ndarray, float,
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(range(total.size)), pa.array(total.ravel())], ["k", "x"])
 
-    flat = labelled.select("v", "y").mapInArrow(sums, "k int, x double").groupBy("k").agg(F.sum("x").alias("x")).orderBy("k").collect()
+    flat = labelled.select("v", "y").mapInArrow(sums, "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).orderBy("k").collect()
     d = round(np.sqrt(1 + len(flat)) - 1)  # d * (d + 2) sums
     m = np.array([r.x for r in flat]).reshape(d + 2, d)
     gram, cross, positive = m[:d], m[d], m[d + 1]
