@@ -33,7 +33,7 @@ LONG = 64
 #: Members that are verified against one lead in one group; more are dealt to several.
 MEMBERS = 1000
 #: Up to so many ids are sent to all executors; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
+BROADCAST_IDS = 200_000
 
 
 def _sets(chunk: Chunk, words: int) -> list[np.ndarray]:

@@ -27,11 +27,11 @@ _NAMES = [x.split(" ")[0] for x in SCHEMA.split(", ")]
 
 
 #: Distinct parts whose ids a worker keeps; beyond that it starts anew.
-CACHED_PARTS = 1_500_000
+CACHED_PARTS = 600_000
 
 _LETTER = np.zeros(0x251, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(0xC0, 0x250)]] = True
-_LETTER[[0xD7, 0xF7]] = False
+_LETTER[[0xD7, 0xF7, 0x130]] = False  # two signs, and the letter whose lower case ends in a combining mark
 _MARK = np.zeros(0x251, bool)
 _MARK[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
@@ -55,7 +55,7 @@ class PartIds:
         self.clear()
 
     def clear(self) -> None:
-        self.hashes, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.hashes, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
     def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
@@ -65,8 +65,8 @@ class PartIds:
             found = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
             ids.append(np.array(found.ids, np.uint32))
             sizes.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(some)))
-        size = np.concatenate(sizes)
-        at = len(self.ids) + np.cumsum(size) - size
+        size = np.concatenate(sizes).astype(np.int32)
+        at = (len(self.ids) + np.cumsum(size) - size).astype(np.int32)
         self.ids = np.concatenate((self.ids, *ids))
         all_h = np.concatenate((self.hashes, hashes))
         o = np.argsort(all_h, kind="stable")
@@ -85,7 +85,7 @@ class PartIds:
         if len(new):
             self._learn(h[new], [chunk.text[a:b] for a, b in zip(s[first[new]].tolist(), e[first[new]].tolist(), strict=True)])
         place = np.searchsorted(self.hashes, h)[which]
-        size = self.size[place]
+        size = self.size[place].astype(np.int64)
         ends = np.cumsum(size)
         ids = self.ids[np.repeat(self.at[place] - (ends - size), size) + np.arange(ends[-1])]
         to = np.concatenate(([0], ends))[np.searchsorted(doc, np.arange(chunk.docs + 1))]
@@ -185,7 +185,7 @@ def pack(docs: DataFrame, tokenizer_file: str, size: int = 4096, end_id: int = 2
     def run(batches):
         packer = Packer(size, TaskContext.get().partitionId() << 32)
         encoder = part_ids(tokenizer_file, lower)
-        for keys, chunk in pieces(batches, chars=1 << 21):
+        for keys, chunk in pieces(batches, chars=1 << 20):
             for key, ids in zip(keys, encoder.encode(chunk, lower), strict=True):
                 packer.add(key, np.append(ids, np.uint32(end_id)).astype("<u4", copy=False))
             if (out := packer.taken()) is not None:

@@ -7,12 +7,15 @@ polynomial sum, so a batch costs a handful of numpy passes and no Python loop ov
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from lumora.sources.shared import kept, shared_dir  # noqa: F401  for the operators
+
 #: Characters that a chunk aims at: the working arrays of a chunk then stay near the CPU's caches.
 CHUNK_CHARS = 1 << 19
 
@@ -107,16 +110,36 @@ def shingles(words: np.ndarray, n: int = 5) -> np.ndarray:
     return np.unique(ngram_hashes(words, n))
 
 
+#: Rows of a batch that become Python strings at a time.
+SLICE = 64
+
+
 def pieces(batches: Iterator[pa.RecordBatch], key: str = "doc_id", text: str = "text", chars: int = CHUNK_CHARS) -> Iterator[tuple[list, Chunk]]:
     """Keys and chunks of about chars characters, whole documents each."""
     for batch in batches:
-        keys, texts = batch.column(key).to_pylist(), batch.column(text).to_pylist()
-        first = size = 0
-        for i, t in enumerate(texts):
-            size += len(t) if t else 0
-            if size >= chars or i + 1 == len(texts):
-                yield keys[first : i + 1], Chunk(texts[first : i + 1])
-                first, size = i + 1, 0
+        k, t = batch.column(key), batch.column(text)
+        keys, texts, size = [], [], 0
+        for i in range(0, batch.num_rows, SLICE):
+            for one, value in zip(k.slice(i, SLICE).to_pylist(), t.slice(i, SLICE).to_pylist(), strict=True):
+                keys.append(one)
+                texts.append(value)
+                size += len(value) if value else 0
+                if size >= chars:
+                    yield keys, Chunk(texts)
+                    keys, texts, size = [], [], 0
+        if keys:
+            yield keys, Chunk(texts)
+        del batch, k, t, keys, texts
+        release()
+
+
+def release() -> None:
+    """Gives freed memory back to the system, where the C library can: workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def map_chunks(docs: DataFrame, f: Callable[[list, Chunk], dict], schema: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -144,26 +167,5 @@ def filter_docs(docs: DataFrame, f: Callable[[list, Chunk], np.ndarray], key: st
     return docs.mapInArrow(run, docs.schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a local one only where the session names none, as in tests."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if given:
-        return given
-    import tempfile
-
-    made = tempfile.mkdtemp(prefix="lumora-")
-    spark.sparkContext.setCheckpointDir(made)
-    return spark.sparkContext.getCheckpointDir()
-
-
-def kept(df: DataFrame, what: str) -> DataFrame:
-    """df written as Parquet into the shared folder and read again: later steps don't run its plan once more, and lost executors take none of it."""
-    import uuid
-
-    path = f"{shared_dir(df.sparkSession)}/lumora-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
