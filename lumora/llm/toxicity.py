@@ -124,13 +124,13 @@ def train(rows: list[tuple[str, int]], n_grades: int, steps: int = 400, penalty:
 
 
 def best_threshold(score: np.ndarray, positive: np.ndarray) -> float:
-    """The middle of the first gap between scores at which hits' share less false alarms' share is largest."""
+    """In the first gap between scores at which hits' share less false alarms' share is largest; nearer to its upper end, as unseen clean texts are many."""
     o = np.argsort(-score, kind="stable")
     s, p = score[o], positive[o]
     gain = np.cumsum(p) / max(p.sum(), 1) - np.cumsum(~p) / max((~p).sum(), 1)
     gain[:-1][s[:-1] == s[1:]] = -1
     at = int(np.argmax(gain))
-    return float((s[at] + s[at + 1]) / 2) if at + 1 < len(s) else float(s[at])
+    return float(0.75 * s[at] + 0.25 * s[at + 1]) if at + 1 < len(s) else float(s[at])
 
 
 def graded(rows: list[tuple[str, int]], levels: int = 3) -> list[tuple[str, int]]:
