@@ -17,13 +17,13 @@ _MATCH = {c: f"SELECT image_id FROM tags WHERE category = '{c}' AND value IN ({'
 def filter_and_or(spark, d):
     c = Catalog(spark, d)
     spec = filters.FilterSpec(tags=filters.parse_specs_strict([f"{k}:{v}" for k, vs in SPEC.items() for v in vs]), person="1-URGENT", processed=True)
-    return filters.candidates(c.images, c.tags, c.labels, spec).select("id", "person", "filesize")
+    return filters.candidates(c.images, c.tag_rows, c.labels, spec).select("id", "person", "filesize")
 
 
 @register("filter_list_all_and", cte("images", "tags") + "SELECT id, person FROM images WHERE id IN (SELECT image_id FROM tags WHERE category = 'returnflag' AND value = 'R') AND id IN (SELECT image_id FROM tags WHERE category = 'returnflag' AND value = 'A')")
 def filter_list_all_and(spark, d):
     c = Catalog(spark, d)
-    return filters.list_filter(c.images, c.tags, [("returnflag", "R"), ("returnflag", "A")]).select("id", "person")
+    return filters.list_filter(c.images, c.tag_rows, [("returnflag", "R"), ("returnflag", "A")]).select("id", "person")
 
 
 @register("filter_owner_scope", cte("images", "tags") + "SELECT i.person, count(*) AS n, CAST(sum(t.n) AS BIGINT) AS n_tags FROM images i JOIN (SELECT image_id, count(*) AS n FROM tags GROUP BY image_id) t ON t.image_id = i.id WHERE owner_id = 7 OR owner_id IS NULL GROUP BY i.person")
@@ -36,13 +36,13 @@ def filter_owner_scope(spark, d):
 @register("filter_substring", cte("images", "tags") + "SELECT id FROM images i WHERE EXISTS (SELECT 1 FROM tags t WHERE t.image_id = i.id AND (t.value ILIKE '%brand#1%' OR i.person ILIKE '%brand#1%'))")
 def filter_substring(spark, d):
     c = Catalog(spark, d)
-    return filters.substring(c.images, c.tags, "brand#1").select("id")
+    return filters.substring(c.images, c.tag_rows, "brand#1").select("id")
 
 
 @register("filter_exclusion_anti", cte("images", "tags", "rules") + "SELECT id, flag_action FROM images i WHERE NOT EXISTS (SELECT 1 FROM tags t JOIN rules r ON t.category = r.category AND t.value = r.value WHERE r.enabled AND t.image_id = i.id)")
 def filter_exclusion_anti(spark, d):
     c = Catalog(spark, d)
-    return filters.not_excluded(c.images, c.tags, c.rules).select("id", "flag_action")
+    return filters.not_excluded(c.images, c.tag_rows, c.rules).select("id", "flag_action")
 
 
 @register("filter_labels", cte("labelled", "captions") + "SELECT image_id AS id, model FROM captions WHERE image_id IN (SELECT asset_id FROM labelled WHERE set_name = 'Quality' AND value = 'good') AND image_id IN (SELECT asset_id FROM labelled WHERE set_name = 'Toxic' AND value = 'no')")
@@ -58,7 +58,7 @@ def filter_labels(spark, d):
 def filter_rating(spark, d):
     c = Catalog(spark, d)
     labels = c.images.where("flag_action = 'keep' and person = '5-LOW'").select(F.col("id").alias("asset_id"), F.lit("Rating").alias("set_name"), F.lit("PROMO").alias("value"))
-    tags = c.tags.withColumn("category", F.when(F.col("category") == "type", "rating").otherwise(F.col("category")))
+    tags = c.tag_rows.withColumn("category", F.when(F.col("category") == "type", "rating").otherwise(F.col("category")))
     return filters.with_rating(c.images, tags, labels, "PROMO").select("id")
 
 
@@ -103,19 +103,19 @@ def _naive_facets(active: dict[str, list[str]], rows: str, name: str, assets: st
 @register("facet_tags_filtered", cte("images", "tags", more="p AS (SELECT image_id AS id, category, value FROM tags), a AS (SELECT id FROM images WHERE processed)") + _naive_facets(SPEC, "p", "category", "a"))
 def facet_tags_filtered(spark, d):
     c = Catalog(spark, d)
-    return facets.tag_facets(c.images.where("processed"), c.tags, SPEC)
+    return facets.tag_facets(c.images.where("processed"), c.tag_rows, SPEC)
 
 
 @register("facet_tags_unfiltered", cte("images", "tags", more="p AS (SELECT image_id AS id, category, value FROM tags)") + _naive_facets({}, "p", "category", "images"))
 def facet_tags_unfiltered(spark, d):
     c = Catalog(spark, d)
-    return facets.tag_facets(c.images, c.tags, {})
+    return facets.tag_facets(c.images, c.tag_rows, {})
 
 
 @register("facet_people", cte("images", "tags") + f"SELECT person, count(DISTINCT id) AS n FROM images WHERE id IN ({_MATCH['returnflag']}) AND id IN ({_MATCH['type']}) GROUP BY person")
 def facet_people(spark, d):
     c = Catalog(spark, d)
-    return facets.people_facet(filters.candidates(c.images, c.tags, c.labels, filters.FilterSpec(tags=SPEC)))
+    return facets.people_facet(filters.candidates(c.images, c.tag_rows, c.labels, filters.FilterSpec(tags=SPEC)))
 
 
 _LABELS = {"Quality": ["good"]}
@@ -161,7 +161,7 @@ def duration_orientation(spark, d):
 @register("stats", cte("images", "tags") + "SELECT count(*) AS total, count(*) FILTER (processed) AS processed, round(count(*) FILTER (processed) * 100.0 / count(*), 1) AS processed_pct, count(flag_action) AS flagged, CAST(count(DISTINCT person) + max(CAST(person IS NULL AS INT)) AS BIGINT) AS people, (SELECT count(DISTINCT category) FROM tags) AS categories FROM images")
 def catalog_stats(spark, d):
     c = Catalog(spark, d)
-    return stats.catalog_stats(c.images, c.tags)
+    return stats.catalog_stats(c.images, c.tag_rows)
 
 
 @register("stats_directories", cte("images", "labelled") + "SELECT person, count(*) AS n, count(*) FILTER (processed) AS n_processed, count(flag_action) AS n_flagged, count(*) FILTER (value = 'good') AS n_good, count(*) FILTER (value = 'poor') AS n_poor, count(*) FILTER (value IS NULL) AS n_unrated FROM images LEFT JOIN (SELECT asset_id, value FROM labelled WHERE set_name = 'Quality') l ON l.asset_id = images.id GROUP BY person")
@@ -173,7 +173,7 @@ def stats_directories(spark, d):
 @register("coverage", cte("images", "tags", "captions") + "SELECT tier, done, total, round(done * 100.0 / total, 1) AS pct FROM (SELECT 'tags' AS tier, count(DISTINCT image_id) AS done FROM tags UNION ALL SELECT 'captions', count(DISTINCT image_id) FROM captions), (SELECT count(*) AS total FROM images)")
 def coverage(spark, d):
     c = Catalog(spark, d)
-    return stats.coverage(c.images, {"tags": c.tags, "captions": c.captions})
+    return stats.coverage(c.images, {"tags": c.tag_rows, "captions": c.captions})
 
 
 _END = "2024-01-15 00:00:00"
@@ -201,7 +201,7 @@ def rating_left_join(spark, d):
 @register("rule_mining", cte("images", "tags", "rules") + "SELECT p.category, p.value, count(*) AS n, array_to_string(list_sort(list(image_id) FILTER (r <= 4)), ',') AS samples FROM (SELECT *, row_number() OVER (PARTITION BY category, value ORDER BY image_id) AS r FROM (SELECT DISTINCT image_id, category, value FROM tags WHERE category <> 'linestatus' AND image_id IN (SELECT id FROM images WHERE flag_action = 'reject'))) p WHERE NOT EXISTS (SELECT 1 FROM rules WHERE rules.category = p.category AND rules.value = p.value) GROUP BY p.category, p.value HAVING count(*) >= 20 ORDER BY n DESC, p.category, p.value LIMIT 20")
 def rule_mining(spark, d):
     c = Catalog(spark, d)
-    return stats.mine_rules(c.images, c.tags, c.rules, least=20, top=20, skip=("linestatus",))
+    return stats.mine_rules(c.images, c.tag_rows, c.rules, least=20, top=20, skip=("linestatus",))
 
 
 @register("flag_counts", cte("images") + "SELECT flag_action, count(*) AS n FROM images WHERE flag_action IS NOT NULL GROUP BY flag_action")
@@ -228,7 +228,7 @@ def rule_matches(spark, d):
 
 @register("vocabulary", cte("tags") + "SELECT category, count(DISTINCT value) AS n_values, array_to_string(list_sort(list(DISTINCT value)), ',') AS all_values FROM tags GROUP BY category")
 def vocabulary(spark, d):
-    return stats.vocabulary(Catalog(spark, d).tags)
+    return stats.vocabulary(Catalog(spark, d).tag_rows)
 
 
 @register("dedup_prefix", "SELECT substr(h, 1, 2) AS prefix, count(*) AS n, count(DISTINCT h) AS n_hashes, CASE WHEN count(DISTINCT h) = 1 THEN 'dedup' ELSE 'full_hash' END AS action FROM (SELECT sha256(text) AS h FROM documents) GROUP BY 1 HAVING count(*) > 1")

@@ -52,4 +52,4 @@ _POOL = "SELECT id FROM images WHERE processed AND id IN (SELECT image_id FROM t
 def hybrid_search(spark, d):
     c = Catalog(spark, d)
     spec = filters.FilterSpec(tags={"returnflag": ["R"]}, processed=True)
-    return retrieval.search(c.images, c.tags, c.labels, c.captions, c.vectors, spec, "hybrid", "thing with", c.vectors.where("id = 7"))[0]
+    return retrieval.search(c.images, c.tag_rows, c.labels, c.captions, c.vectors, spec, "hybrid", "thing with", c.vectors.where("id = 7"))[0]

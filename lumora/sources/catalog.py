@@ -37,17 +37,21 @@ class Catalog:
         )
 
     @cached_property
-    def tags(self) -> DataFrame:
-        """image_id, category, value, tag_source, confidence: one row for each of the first four."""
+    def tag_rows(self) -> DataFrame:
+        """Tag rows as they come, repeated ones too: for semi-joins and distinct counts, which need no shuffle to drop them."""
         lines = self.raw("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_discount", "l_returnflag", "l_linestatus")
         parts = self.raw("part").select("p_partkey", "p_type", "p_brand")
-        rows = lines.join(parts, lines.l_partkey == parts.p_partkey).selectExpr(
+        return lines.join(parts, lines.l_partkey == parts.p_partkey).selectExpr(
             "l_orderkey AS image_id",
             "stack(4, 'returnflag', l_returnflag, 'linestatus', l_linestatus, 'type', p_type, 'brand', p_brand) AS (category, value)",
             "concat('s', l_linenumber) AS tag_source",
             "l_discount AS confidence",
         )
-        return rows.groupBy("image_id", "category", "value", "tag_source").agg(F.max("confidence").alias("confidence"))
+
+    @cached_property
+    def tags(self) -> DataFrame:
+        """image_id, category, value, tag_source, confidence: one row for each of the first four."""
+        return self.tag_rows.groupBy("image_id", "category", "value", "tag_source").agg(F.max("confidence").alias("confidence"))
 
     @cached_property
     def rules(self) -> DataFrame:
