@@ -21,15 +21,15 @@ def disjunctive(assets: DataFrame, pairs: DataFrame, active: dict[str, list[str]
     """name, value, n: distinct assets with each value, under every active filter but the one of the value's own category.
 
     pairs: id, name, value; assets: those that meet all other filters. An asset counts towards a category
-    if it misses no filter, or only that category's. The scan of pairs is shared by both sides.
+    if it misses no filter, or only that category's. Misses are maxima, so their side is aggregated before
+    its shuffle and doesn't mind repeated pairs.
     """
-    pairs = pairs.select("id", name, "value").distinct()
+    pairs = pairs.select("id", name, "value")
+    single = pairs.join(assets.select("id"), "id", "left_semi").repartition("id").distinct()  # dealt by asset once, for the distinct and the join
     if active:
         scored = _misses(pairs, active, name).where("n_missed <= 1")
-        joined = pairs.join(scored, "id").where((F.col("n_missed") == 0) | (F.col("missed") == F.col(name)))
-    else:
-        joined = pairs
-    return joined.join(assets.select("id"), "id", "left_semi").groupBy(name, "value").agg(F.countDistinct("id").alias("n"))
+        single = single.join(scored, "id").where((F.col("n_missed") == 0) | (F.col("missed") == F.col(name)))
+    return single.groupBy(name, "value").agg(F.count("*").alias("n"))
 
 
 def tag_facets(assets: DataFrame, tags: DataFrame, active: dict[str, list[str]]) -> DataFrame:
