@@ -31,15 +31,20 @@ def rotation(degrees: Column) -> Column:
     return F.pmod(F.abs(degrees), F.lit(360))
 
 
-def person_from_path(path: Column, position: int = -2) -> Column:
-    """The folder that holds the file."""
-    return F.try_element_at(F.split(path, "/"), F.lit(position))
+def parent_folder(path: Column) -> Column:
+    return F.try_element_at(F.split(path, "/"), F.lit(-2))
+
+
+def person_from_path(path: Column) -> Column:
+    """Of a relative path: the folder below library or _inbound_videos; else null."""
+    p = F.split(path, "/")
+    return F.when((F.size(p) >= 2) & p[0].isin("library", "_inbound_videos"), p[1])
 
 
 #: Ratings of the catalog and the maps that lead to them.
-RATINGS = ("sfw", "suggestive", "nsfw")
+RATINGS = ("unrated", "sfw", "suggestive", "nsfw")
 RATING_MAP = {"general": "sfw", "sensitive": "suggestive", "questionable": "suggestive", "explicit": "nsfw"}
-CLASS_MAP = {"neutral": "sfw", "drawings": "sfw", "drawing": "sfw", "sexy": "suggestive", "low": "suggestive", "porn": "nsfw", "hentai": "nsfw", "medium": "nsfw", "high": "nsfw"}
+CLASS_MAP = {"safe": "sfw", "normal": "sfw", "drawing": "sfw", "sexy": "suggestive", "porn": "nsfw", "hentai": "nsfw"}
 
 
 def mapped(value: Column, table: dict[str, str], default: str = "unrated") -> Column:
@@ -49,8 +54,10 @@ def mapped(value: Column, table: dict[str, str], default: str = "unrated") -> Co
 
 
 def rating_from_path(path: Column) -> Column:
-    part = F.filter(F.split(F.lower(path), "/"), lambda p: p.isin(*RATINGS))
-    return F.coalesce(F.try_element_at(part, F.lit(1)), F.lit("unrated"))
+    """The third part below library, the second below _unsorted, if it is a rating; else unrated."""
+    p = F.split(path, "/")
+    bucket = F.when((p[0] == "library") & (F.size(p) >= 3), F.try_element_at(p, F.lit(3))).when((p[0] == "_unsorted") & (F.size(p) >= 2), F.try_element_at(p, F.lit(2)))
+    return F.when(bucket.isin(*RATINGS), bucket).otherwise("unrated")
 
 
 def argmax_label(probabilities: Column, table: dict[str, str] = CLASS_MAP) -> Column:
@@ -60,14 +67,17 @@ def argmax_label(probabilities: Column, table: dict[str, str] = CLASS_MAP) -> Co
 
 
 def slug(text: Column) -> Column:
-    """File-system-safe: runs of anything but letters, digits, _ and - become one _."""
-    return F.regexp_replace(F.trim(text), r"(?U)[^\w\-]+", "_")
+    """File-system-safe: blanks become _, anything but letters, digits, _ and - goes; nothing left is unknown."""
+    out = F.regexp_replace(F.replace(F.trim(text), F.lit(" "), F.lit("_")), r"(?U)[^\w\-]", "")
+    return F.when(out == "", "unknown").otherwise(out)
 
 
 #: File kinds by extension.
-IMAGE_EXT = ("jpg", "jpeg", "png", "webp", "gif", "bmp", "tiff", "heic", "avif")
-VIDEO_EXT = ("mp4", "mov", "mkv", "avi", "webm", "m4v", "wmv", "flv")
-JUNK_NAMES = (".ds_store", "thumbs.db", "desktop.ini")
+IMAGE_EXT = ("jpg", "jpeg", "png", "gif", "webp", "bmp", "heic")
+VIDEO_EXT = ("mp4", "mov", "webm", "mkv", "m4v", "avi")
+JUNK_NAMES = (".ds_store", "thumbs.db", "ehthumbs.db")
+JUNK_EXT = ("txt",)
+JUNK_FOLDER = "__macosx"
 
 
 def extension(path: Column) -> Column:
@@ -77,7 +87,8 @@ def extension(path: Column) -> Column:
 def file_kind(path: Column) -> Column:
     name = F.lower(F.element_at(F.split(path, "/"), -1))
     ext = extension(path)
-    return F.when(name.isin(*JUNK_NAMES) | name.startswith("._"), "junk").when(ext.isin(*IMAGE_EXT), "image").when(ext.isin(*VIDEO_EXT), "video").otherwise("other")
+    junk = name.isin(*JUNK_NAMES) | name.startswith("._") | F.array_contains(F.split(path, "/"), JUNK_FOLDER) | ext.isin(*JUNK_EXT)
+    return F.when(junk, "junk").when(ext.isin(*IMAGE_EXT), "image").when(ext.isin(*VIDEO_EXT), "video").otherwise("other")
 
 
 def resolved(path: Column, root: str) -> Column:
@@ -101,7 +112,8 @@ def midpoint(start: Column, end: Column) -> Column:
 
 
 def sprite_count(duration: Column, interval: float) -> Column:
-    return F.greatest(F.lit(1), F.floor(duration / interval + 0.5)).cast("long")
+    """Frames sampled, rounded half up; 0 for a clip shorter than half an interval."""
+    return F.floor(duration / interval + 0.5).cast("long")
 
 
 def xywh_to_corners(box: Column) -> Column:
@@ -131,9 +143,14 @@ def corrected(value: Column, allowed: list[str], remap: dict[str, str]) -> Colum
     return F.coalesce(F.when(clean.isin(*allowed), clean), F.when(to.isin(*allowed), to), F.lit(allowed[0]))
 
 
-def crop_rectangle(box: Column, width: Column, height: Column, margin: float = 0.25) -> Column:
-    """Square around a face box [x1, y1, x2, y2] with a margin, kept inside the frame."""
-    side = F.least(F.greatest(box[2] - box[0], box[3] - box[1]) * (1 + 2 * margin), F.least(width, height).cast("double"))
-    x = F.least(F.greatest((box[0] + box[2]) / 2 - side / 2, F.lit(0.0)), width - side)
-    y = F.least(F.greatest((box[1] + box[3]) / 2 - side / 2, F.lit(0.0)), height - side)
-    return F.array(F.rint(x), F.rint(y), F.rint(x + side), F.rint(y + side))
+def crop_rectangle(box: Column, width: Column, height: Column, padding: float = 0.6, aspect: float | None = None) -> Column:
+    """Pixels [x1, y1, x2, y2] around a normalised face box [x, y, w, h]: padded on all sides, widened to aspect if given, shifted into the frame, never empty."""
+    w = F.greatest(F.lit(1.0), box[2] * width) * (1 + 2 * padding)
+    h = F.greatest(F.lit(1.0), box[3] * height) * (1 + 2 * padding)
+    if aspect:
+        w, h = F.greatest(w, h * aspect), F.greatest(h, w / aspect)
+    w, h = F.least(w, width.cast("double")), F.least(h, height.cast("double"))
+    x = F.least(F.greatest(F.lit(0.0), (box[0] + box[2] / 2) * width - w / 2), width - w)
+    y = F.least(F.greatest(F.lit(0.0), (box[1] + box[3] / 2) * height - h / 2), height - h)
+    x1, y1 = F.rint(x), F.rint(y)
+    return F.array(x1, y1, F.least(width.cast("double"), F.greatest(x1 + 1, F.rint(x + w))), F.least(height.cast("double"), F.greatest(y1 + 1, F.rint(y + h))))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lumora.functions.media import extension, file_kind, person_from_path, vtt_time
+from lumora.functions.media import extension, file_kind, parent_folder, vtt_time
 from lumora.operators.writes import first_of
 
 
@@ -18,7 +18,7 @@ def scan_folder(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
     """path, size, modified_at, extension, kind, person, file_hash of all files below path."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
     p = F.col("path")
-    return rows.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"), extension(p).alias("extension"), file_kind(p).alias("kind"), person_from_path(p).alias("person"), F.sha2("content", 256).alias("file_hash"))
+    return rows.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"), extension(p).alias("extension"), file_kind(p).alias("kind"), parent_folder(p).alias("person"), F.sha2("content", 256).alias("file_hash"))
 
 
 def new_files(scanned: DataFrame, known: DataFrame, either: tuple[str, ...] = ("file_hash",)) -> DataFrame:

@@ -205,6 +205,15 @@ def test_ratings_and_media(spark):
     assert math.isclose(one.a, 29.97002997) and one.b is None and one.t == "01:01:01.500" and one.o is None and one.i == "landscape" and one.j == '{"a": 1}'
 
 
+def test_paths_and_crops(spark):
+    rows = [("library/Jane_Doe/sfw/a.jpg", "Jane_Doe", "sfw", "image"), ("_inbound_videos/Bo/x.mp4", "Bo", "unrated", "video"), ("_unsorted/nsfw/y.png", None, "nsfw", "image"), ("__macosx/._z.png", None, "unrated", "junk"), ("library", None, "unrated", "other")]
+    p = F.col("p")
+    got = spark.createDataFrame([(r[0],) for r in rows], "p string").select(p, media.person_from_path(p).alias("who"), media.rating_from_path(p).alias("rating"), media.file_kind(p).alias("kind")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, rows))
+    one = spark.range(1).select(media.slug(F.lit(" Jané Doe! ")).alias("a"), media.slug(F.lit("!!")).alias("b"), media.crop_rectangle(F.array(*map(F.lit, (0.4, 0.4, 0.1, 0.2))), F.lit(1000), F.lit(500)).alias("c"), media.sprite_count(F.lit(4.5), 2.0).alias("n"), media.argmax_label(F.create_map(F.lit("porn"), F.lit(0.2), F.lit("sexy"), F.lit(0.7))).alias("r")).first()
+    assert (one.a, one.b, one.n, one.r) == ("Jané_Doe", "unknown", 2, "suggestive") and one.c == [340, 140, 560, 360]
+
+
 def test_cue_lands_in_one_scene(spark):
     cues = spark.createDataFrame([(1, 0, 0, 10, "a"), (1, 1, 12, 20, "b"), (1, 2, 20, 40, "c")], "video long, turn int, start int, end int, text string")
     s = spark.createDataFrame([(1, 0, 0, 15), (1, 1, 15, 30), (1, 2, 30, 45)], "video long, scene long, lo int, hi int")
