@@ -74,7 +74,7 @@ def top_values(tags: DataFrame, k: int = 5) -> DataFrame:
 
 def rule_matches(tags: DataFrame, rules: DataFrame) -> DataFrame:
     """category, value, enabled, match_count (tag rows)."""
-    n = tags.join(F.broadcast(rules.select("category", "value")), ["category", "value"], "left_semi").groupBy("category", "value").agg(F.count("*").alias("match_count"))
+    n = tags.join(rules.select("category", "value"), ["category", "value"], "left_semi").groupBy("category", "value").agg(F.count("*").alias("match_count"))
     return rules.join(n, ["category", "value"], "left").withColumn("match_count", F.coalesce("match_count", F.lit(0).cast("long")))
 
 

@@ -157,8 +157,49 @@ def least_certain(vectors: DataFrame, weights, bias: float, threshold: float, k:
     return s.orderBy(F.abs(F.col("score") - F.lit(threshold)), "id").limit(k)
 
 
+#: Probes that go to all tasks in one pass over the vectors; more take more passes.
+PROBES_AT_ONCE = 10_000
+
+
+def _best_of_tasks(vectors: DataFrame, probes: list) -> DataFrame:
+    """probe, top_id, s: for each task the best of its vectors for each probe, by one matrix product a batch."""
+    sent = vectors.sparkSession.sparkContext.broadcast((np.array([r.id for r in probes], np.int64), np.array([r.v for r in probes], float)))
+
+    def run(batches):
+        ids, q = sent.value
+        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        best, top = np.full(len(ids), -np.inf), np.full(len(ids), np.iinfo(np.int64).max)
+        for b in batches:
+            for i in range(0, b.num_rows, 1024):
+                part = b.slice(i, 1024)
+                x, mine = np.array(part.column("v").to_pylist(), float), part.column("id").to_numpy()
+                o = np.argsort(mine, kind="stable")
+                x, mine = x[o], mine[o]
+                s = np.round(q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T, 12)
+                at = s.argmax(axis=1)  # the smallest id where equal
+                value, who = s[np.arange(len(ids)), at], mine[at]
+                better = (value > best) | ((value == best) & (who < top))
+                best, top = np.where(better, value, best), np.where(better, who, top)
+        seen = best > -np.inf
+        if seen.any():
+            yield pa.RecordBatch.from_arrays([pa.array(ids[seen]), pa.array(top[seen]), pa.array(best[seen])], ["probe", "top_id", "s"])
+
+    return vectors.select("id", "v").mapInArrow(run, "probe long, top_id long, s double")
+
+
 def self_retrieval(vectors: DataFrame, probes: DataFrame, least: float = 0.99) -> DataFrame:
-    """id, top_id, similarity, ok: each probe's nearest stored vector must be itself, at a cosine above least. Probes are a stated set, joined in full."""
-    p = probes.select(F.col("id").alias("probe"), F.col("v").alias("q"))
-    best = vectors.join(F.broadcast(p)).select("probe", "id", cosine(F.col("v"), F.col("q")).alias("s")).groupBy("probe").agg(F.max_by("id", F.struct("s", -F.col("id"))).alias("top_id"), F.round(F.max("s"), 6).alias("similarity"))
+    """id, top_id, similarity, ok: each probe's nearest stored vector must be itself, at a cosine above least.
+
+    All probes are held against all vectors, in passes of about PROBES_AT_ONCE probes; a task gives one row a probe.
+    """
+    passes = max(1, -(-probes.count() // PROBES_AT_ONCE))
+    rows = None
+    for i in range(passes):
+        some = probes.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == i).select("id", "v").collect()
+        if some:
+            part = _best_of_tasks(vectors, some)
+            rows = part if rows is None else rows.unionByName(part)
+    if rows is None:
+        rows = vectors.sparkSession.createDataFrame([], "probe long, top_id long, s double")
+    best = rows.groupBy("probe").agg(F.max_by("top_id", F.struct("s", -F.col("top_id"))).alias("top_id"), F.round(F.max("s"), 6).alias("similarity"))
     return best.select(F.col("probe").alias("id"), "top_id", "similarity", ((F.col("top_id") == F.col("probe")) & (F.col("similarity") > least)).alias("ok"))

@@ -37,7 +37,7 @@ def newest(rows: DataFrame, key: list[str], at: str) -> DataFrame:
 
 def assign_labels(labels: DataFrame, sets: DataFrame, new: DataFrame) -> DataFrame:
     """labels and new: asset_id, set_name, value; sets: set_name, single_select. A single-select set keeps the new value only, the largest if there are several; others add."""
-    kind = new.join(F.broadcast(sets), "set_name")
+    kind = new.join(sets, "set_name")
     single = first_of(kind.where("single_select"), ["asset_id", "set_name"], [F.desc("value")]).select(*labels.columns)
     multi = kind.where("not single_select").select(*labels.columns).distinct()
     kept = labels.join(single.select("asset_id", "set_name"), ["asset_id", "set_name"], "left_anti").select(*labels.columns)

@@ -58,7 +58,7 @@ def next_sort_order(spark, d):
     c = Catalog(spark, d)
     nation = c.raw("nation")
     items = nation.where("n_regionkey < 3").select(F.col("n_regionkey").alias("collection_id"), F.col("n_nationkey").alias("sort_order"))
-    new = c.raw("customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("collection_id"), F.col("c_custkey").alias("image_id"))
+    new = c.raw("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("collection_id"), F.col("c_custkey").alias("image_id"))
     return writes.next_order(items, new)
 
 
