@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -73,17 +74,54 @@ def preview(scores: DataFrame, threshold: float, sample: int, strict: bool = Tru
     return over.orderBy(F.desc("score"), "id").limit(sample).crossJoin(F.broadcast(n))
 
 
+#: Targets (labels, centroids, probes) that go to all tasks in one pass over the vectors; more take more passes.
+PROBES_AT_ONCE = 10_000
+
+
+def _matches(vectors: DataFrame, targets: DataFrame, name: str, k: int, least: float = -2.0) -> DataFrame:
+    """id, name, score, rank: each vector's k best targets (name, v) by cosine above least, by name where equal.
+
+    A batch is one matrix product with the pass's targets, so k rows a vector leave the tasks, not one for each target.
+    """
+    passes = max(1, -(-targets.count() // PROBES_AT_ONCE))
+    schema = f"id long, {name} {dict(targets.dtypes)[name]}, score double"
+    kind = to_arrow_type(targets.schema[name].dataType)
+    out = None
+    for i in range(passes):
+        some = sorted(targets.where(F.pmod(F.xxhash64(name), F.lit(passes)) == i).select(name, "v").collect(), key=lambda r: r[0])
+        if not some:
+            continue
+        sent = vectors.sparkSession.sparkContext.broadcast(([r[0] for r in some], np.array([r[1] for r in some], float)))
+
+        def run(batches, sent=sent, kind=kind):
+            names, q = sent.value
+            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+            for b in batches:
+                for j in range(0, b.num_rows, 1024):
+                    part = b.slice(j, 1024)
+                    x = np.array(part.column("v").to_pylist(), float)
+                    s = np.round((x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)) @ q.T, 6)
+                    top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                    score = np.take_along_axis(s, top, axis=1)
+                    row, col = np.nonzero(score > least)
+                    yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row)), pa.array([names[t] for t in top[row, col]], kind), pa.array(score[row, col])], ["id", name, "score"])
+
+        part = vectors.select("id", "v").mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = vectors.sparkSession.createDataFrame([], schema)
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), name)).cast("long")).where(F.col("rank") <= k)
+
+
 def nearest_centroid(vectors: DataFrame, centroids: DataFrame, within: float) -> DataFrame:
-    """id, cluster, distance: the nearest centroid (cluster, v) at cosine distance <= within; others have none. Centroids are few: one for each cluster."""
-    c = centroids.select("cluster", F.col("v").alias("c"))
-    best = vectors.join(F.broadcast(c)).withColumn("distance", F.round(1 - cosine(F.col("v"), F.col("c")), 6)).groupBy("id").agg(F.min(F.struct("distance", "cluster")).alias("b"))
-    return best.select("id", F.when(F.col("b.distance") <= within, F.col("b.cluster")).alias("cluster"), F.col("b.distance").alias("distance"))
+    """id, cluster, distance: the nearest centroid (cluster, v) at cosine distance <= within; others have none."""
+    distance = F.round(1 - F.col("score"), 6)
+    return _matches(vectors, centroids, "cluster", 1).select("id", F.when(distance <= within, F.col("cluster")).alias("cluster"), distance.alias("distance"))
 
 
 def zero_shot(vectors: DataFrame, labels: DataFrame, threshold: float, k: int) -> DataFrame:
     """id, label, score, rank: up to k labels (label, v) of each vector with score above the threshold."""
-    s = vectors.join(F.broadcast(labels.select("label", F.col("v").alias("l")))).select("id", "label", F.round(cosine(F.col("v"), F.col("l")), 6).alias("score")).where(F.col("score") > threshold)
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "label")).cast("long")).where(F.col("rank") <= k)
+    return _matches(vectors, labels, "label", k, threshold)
 
 
 def linear_margin(v: Column, weights, bias: float) -> Column:
@@ -157,10 +195,6 @@ def least_certain(vectors: DataFrame, weights, bias: float, threshold: float, k:
     return s.orderBy(F.abs(F.col("score") - F.lit(threshold)), "id").limit(k)
 
 
-#: Probes that go to all tasks in one pass over the vectors; more take more passes.
-PROBES_AT_ONCE = 10_000
-
-
 def _best_of_tasks(vectors: DataFrame, probes: list) -> DataFrame:
     """probe, top_id, s: for each task the best of its vectors for each probe, by one matrix product a batch."""
     sent = vectors.sparkSession.sparkContext.broadcast((np.array([r.id for r in probes], np.int64), np.array([r.v for r in probes], float)))
