@@ -13,7 +13,9 @@ filters hold, each of them exact:
 Pairs come in two rounds. In the first, each prefix shingle pairs its documents with the one that has
 it earliest, so that a group of thousands of near copies gives thousands of pairs, not their square.
 Once those are verified, the second round pairs what the same shingle holds in different components.
-All pairs that the filters let through are then verified or lie within one component.
+All pairs that the filters let through are then verified or lie within one component. That settles the
+classes. The links themselves lie within components, so jaccard_links and link_counts compare all sets of
+a component with one another, block by block.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ SKETCH, SKETCH_ROW = 1 << 20, 1 << 14
 LONG = 64
 #: Members that are verified against one lead in one group; more are dealt to several.
 MEMBERS = 1000
+#: Different sets and shingles in a block of a component, about; two blocks' shared shingles are matrix products of so many columns.
+BLOCK_SETS, BLOCK_SHINGLES, COLUMNS = 512, 1 << 20, 4096
 #: Up to so many ids are sent to all executors; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 
@@ -246,15 +250,8 @@ def verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, percent: int,
     return made.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "role", "node").mapInArrow(alike, "a long, b long")
 
 
-def jaccard_classes(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles (size of its set), component_id (smallest doc_id reachable by links).
-
-    Two texts link when 100 * intersection >= percent * union of their sets. Words are lower-cased in A
-    to Z. Texts without words (null, empty, blank) have an empty set and link with nothing: such rows
-    have their own doc_id as component_id. Repeated rows stay repeated. A row without doc_id counts as a
-    document that can't be named: component_id is null, and it links nothing. Further columns of docs
-    are not read. An empty table gives no rows.
-    """
+def _grouped(docs: DataFrame, percent: int, words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """marks (doc_id, node, n) for each row; known (node, least_id, component) for each set of a named row; and links (a, b) that connect the components."""
     docs = docs.select("doc_id", "text")
     seen = kept(signatures(docs, words), "signatures")
     marks = seen.where("kind = 'd'").select("doc_id", "node", "n")
@@ -281,14 +278,147 @@ def jaccard_classes(docs: DataFrame, percent: int = 75, words: int = 5) -> DataF
     second = second.join(first, ["lead", "member"], "left_anti").join(first.select(F.col("lead").alias("member"), F.col("member").alias("lead")), ["lead", "member"], "left_anti")
     second = kept(second, "pairs")
     if not second.isEmpty():
-        groups = components(kept(links.union(verified(second, docs, names, percent, words)), "links"))
+        links = kept(links.union(verified(second, docs, names, percent, words)), "links")
+        groups = components(links)
 
     known = names.withColumnRenamed("doc_id", "least_id").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return marks, known, links
+
+
+def jaccard_classes(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles (size of its set), component_id (smallest doc_id reachable by links).
+
+    Two texts link when 100 * intersection >= percent * union of their sets. Words are lower-cased in A
+    to Z. Texts without words (null, empty, blank) have an empty set and link with nothing: such rows
+    have their own doc_id as component_id. Repeated rows stay repeated. A row without doc_id counts as a
+    document that can't be named: component_id is null, and it links nothing. Further columns of docs
+    are not read. An empty table gives no rows.
+    """
+    marks, known, _ = _grouped(docs, percent, words)
     smallest = known.groupBy("component").agg(F.min("least_id").alias("component_id"))
     found = known.join(smallest, "component").select("node", "component_id")
     return marks.join(found, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of left shares with each of right, by products of 0-1 matrices."""
+    x = np.concatenate([*left, *right])
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in (*left, *right)])
+    order = np.argsort(x, kind="stable")
+    x, owner = x[order], owner[order]
+    new = np.concatenate(([True], x[1:] != x[:-1]))
+    col = np.cumsum(new) - 1
+    more = np.bincount(col)[col] > 1
+    owner, col = owner[more], np.cumsum(new & more)[more] - 1
+    out = np.zeros((len(left), len(right)), np.int64)
+    for low in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+        i, j = np.searchsorted(col, (low, low + COLUMNS))
+        m = np.zeros((len(left) + len(right), int(min(COLUMNS, col[-1] + 1 - low))), np.float32)
+        m[owner[i:j], col[i:j] - low] = 1
+        out += (m[: len(left)] @ m[len(left) :].T).astype(np.int64)
+    return out
+
+
+def _within(docs: DataFrame, marks: DataFrame, known: DataFrame, percent: int, words: int, count: bool) -> DataFrame:
+    """All links between different sets of the same component: (a, b), or with count (node, n_links) in parts to be added.
+
+    A component's sets are dealt to blocks by their size, so that sets whose sizes allow a link are in the
+    same or the next size class, and within it by a hash. Each pair of blocks is compared once; a set goes
+    to the pairs that its block is in.
+    """
+    sets_of = marks.where("doc_id is not null and n > 0").groupBy("node").agg(F.first("n").alias("n"))
+    members = kept(known.join(sets_of, "node").select("node", "component", "least_id", "n"), "members")
+    whole = members.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).where("sets > 1")
+    one = (F.col("sets") <= BLOCK_SETS) & (F.col("shingles") <= BLOCK_SHINGLES)
+    # a quotient of percent : 100 is less than one step, so sets two classes apart can't link
+    step = float(np.log(100 / percent) * 1.0001) if percent < 100 else 1e-9
+    placed = members.join(whole, "component").withColumn("size", F.when(one, F.lit(0)).otherwise(F.floor(F.log("n") / step)).cast("long"))
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    blocks = placed.groupBy("component", "size").agg(parts.alias("parts")).groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("size", "parts"))).alias("parts"))
+
+    def cells(other: int):
+        n = F.coalesce(F.try_element_at("parts", F.col("size") + other), F.lit(0))
+
+        def cell(k):
+            if other:
+                return F.struct(F.concat_ws(":", F.col("size") + min(other, 0), F.col("block") if other > 0 else k, F.col("size") + max(other, 0), k if other > 0 else F.col("block")).alias("cell"), F.lit(int(other < 0)).alias("side"))
+            side = F.when(k == F.col("block"), 2).when(k > F.col("block"), 0).otherwise(1)
+            return F.struct(F.concat_ws(":", "size", F.least(k, "block"), "size", F.greatest(k, "block")).alias("cell"), side.alias("side"))
+
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), cell)).otherwise(F.array().cast("array<struct<cell:string,side:int>>"))
+
+    placed = placed.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.element_at("parts", F.col("size"))).cast("int"))
+    goes = kept(placed.select(F.col("least_id").alias("doc_id"), "node", "component", F.concat(cells(0), cells(1), cells(-1)).alias("to")), "goes")
+    docs = docs.select("doc_id", "text").join(F.broadcast(goes) if goes.count() <= BROADCAST_IDS else goes, "doc_id")
+
+    def sets(batches):
+        for b in batches:
+            nodes, groups, to = (b.column(c).to_pylist() for c in ("node", "component", "to"))
+            for i in range(0, len(nodes), 64):
+                rows = []
+                for node, group, cs, x in zip(nodes[i : i + 64], groups[i : i + 64], to[i : i + 64], _sets(Chunk(b.column("text")[i : i + 64].to_pylist()), words), strict=True):
+                    if len(x) and _fingerprint(x) == node:  # another text of a repeated doc_id is not the one meant
+                        raw = x.tobytes()
+                        rows += [(group, c["cell"], c["side"], node, raw) for c in cs]
+                if rows:
+                    c = list(zip(*rows, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1]), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.binary())], ["component", "cell", "side", "node", "s"])
+
+    def linked(nodes, held):
+        """Of one pair of blocks; nodes and held (their sets) are for sides 0, 1 and 2."""
+        (a, x), (b, y) = ((nodes[2], held[2]),) * 2 if nodes[2] else ((nodes[0], held[0]), (nodes[1], held[1]))
+        if not a or not b or (nodes[2] and len(a) < 2):
+            return
+        n, m = np.array([len(s) for s in x]), np.array([len(s) for s in y])
+        link = _shared(x, y) >= -(-percent * (n[:, None] + m[None]) // (100 + percent))
+        if nodes[2]:
+            link = np.triu(link, 1)
+        a, b = np.array(a), np.array(b)
+        if count:
+            k = np.concatenate((link.sum(axis=1), link.sum(axis=0)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((a, b))[k > 0]), pa.array(k[k > 0])], ["node", "n_links"])
+        else:
+            i, j = np.nonzero(link)
+            yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(b[j])], ["a", "b"])
+
+    def compared(batches):
+        at, nodes, held = None, ([], [], []), ([], [], [])
+        for batch in batches:
+            for group, cell, side, node, raw in zip(*(batch.column(c).to_pylist() for c in ("component", "cell", "side", "node", "s")), strict=True):
+                if at != (group, cell):
+                    yield from linked(nodes, held)
+                    at, nodes, held = (group, cell), ([], [], []), ([], [], [])
+                if not nodes[side] or nodes[side][-1] != node:  # a repeated row's set comes twice
+                    nodes[side].append(node)
+                    held[side].append(np.frombuffer(raw, np.uint64))
+        yield from linked(nodes, held)
+
+    made = docs.select("node", "component", "to", "text").mapInArrow(sets, "component long, cell string, side int, node long, s binary")
+    return made.repartition("component", "cell").sortWithinPartitions("component", "cell", "side", "node").mapInArrow(compared, "node long, n_links long" if count else "a long, b long")
+
+
+def jaccard_links(docs: DataFrame, percent: int = 75, words: int = 5) -> tuple[DataFrame, DataFrame]:
+    """All links (a, b) between different sets, each once, and the members (node, doc_id) of the sets, a row for each named row of docs.
+
+    Copies with equal sets are one node and are not expanded. The links of a group of near copies are
+    as many as its pairs; link_counts gives their numbers only.
+    """
+    docs = docs.select("doc_id", "text")
+    marks, known, _ = _grouped(docs, percent, words)
+    return _within(docs, marks, known, percent, words, False), marks.where("doc_id is not null and n > 0").select("node", "doc_id")
+
+
+def link_counts(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, n_links (how many different sets link with its own; equal sets are one and don't count).
+
+    Rows with an empty set or without doc_id link with nothing.
+    """
+    docs = docs.select("doc_id", "text")
+    marks, known, _ = _grouped(docs, percent, words)
+    n = _within(docs, marks, known, percent, words, True).groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    return marks.join(n, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"))
+
+
 def one_of_each(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:
     """The rows of docs, with all their columns, of which one stays for each class: the one with the smallest doc_id.
 

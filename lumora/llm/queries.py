@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lumora.llm import brown_lm, language_crf, quality_model, secret_scan, toxicity, url_filter
 from lumora.llm.decontaminate import contained
-from lumora.llm.ngram_jaccard import jaccard_classes
+from lumora.llm.ngram_jaccard import jaccard_classes, link_counts
 from lumora.llm.packing import pack
 from lumora.llm.quality_rules import SYMBOLS, quality_rules
 from lumora.llm.sampling import fold
@@ -17,6 +17,10 @@ def op1_ngram_jaccard(spark, sf_dir):
     return jaccard_classes(table(spark, sf_dir, "documents"), percent=75, words=5)
 
 
+def op1_ngram_links(spark, sf_dir):
+    return link_counts(table(spark, sf_dir, "documents"), percent=75, words=5)
+
+
 def op2_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents")).drop("rejected_by")
 
@@ -74,7 +78,7 @@ def op10_decontaminate(spark, sf_dir):
     return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=75, words=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_rules, op3_url_filter, op4_language_id, op5_packing, op6_quality_classifier, op7_brown_lm, op8_secret_scan, op9_toxicity, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op1_ngram_links, op2_quality_rules, op3_url_filter, op4_language_id, op5_packing, op6_quality_classifier, op7_brown_lm, op8_secret_scan, op9_toxicity, op10_decontaminate)}
 
 #: Words of a text, A to Z lower-cased: DuckDB's lower() folds other letters too.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -97,6 +101,17 @@ SELECT w.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(v.doc_
 FROM w LEFT JOIN n ON n.r = w.r JOIN reach ON reach.a = w.r JOIN w v ON v.r = reach.b GROUP BY w.r, w.doc_id
 """
 
+ORACLE_SQL["op1_ngram_links"] = rf"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_FOLD}, {_WORDS}) AS a FROM documents),
+k AS (SELECT r, doc_id, CASE WHEN len(a) = 0 OR a IS NULL THEN NULL WHEN len(a) >= 5 THEN list_sort(list_distinct(list_transform(range(1, len(a) - 3), lambda i: array_to_string(a[i:i+4], ' ')))) ELSE [array_to_string(a, ' ')] END AS g FROM w),
+d AS (SELECT row_number() OVER () AS i, g, len(g) AS n FROM (SELECT DISTINCT g FROM k WHERE g IS NOT NULL AND doc_id IS NOT NULL)),
+s AS (SELECT i, n, unnest(g) AS x FROM d),
+p AS (SELECT a.i AS a, b.i AS b FROM s a JOIN s b ON a.x = b.x AND a.i <> b.i GROUP BY a.i, a.n, b.i, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+c AS (SELECT a AS i, count(*) AS n_links FROM p GROUP BY a)
+SELECT k.doc_id, CAST(coalesce(len(k.g), 0) AS BIGINT) AS n_shingles, CAST(CASE WHEN k.doc_id IS NULL THEN 0 ELSE coalesce(c.n_links, 0) END AS BIGINT) AS n_links
+FROM k LEFT JOIN d ON d.g = k.g LEFT JOIN c USING (i)
+"""
+
 _SYMBOL_CLASS = "[" + SYMBOLS.replace("$", r"\$").replace("|", r"\|") + "]"
 
 

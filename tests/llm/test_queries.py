@@ -76,6 +76,26 @@ def test_large_group_of_near_copies(spark):
     assert {got[i] for i in range(30)} == {0} and {got[100 + i] for i in range(300)} == {100}
 
 
+@pytest.mark.parametrize("sets", [512, 7])
+def test_every_link_of_a_component(spark, monkeypatch, sets):
+    """Links within a component count too, however its sets are dealt to blocks."""
+    from lumora.llm import ngram_jaccard
+
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_SETS", sets)
+    texts = [(100 + i, " ".join([f"s{j}" if j != i * 2 % 97 else f"edit{i}" for j in range(100 - i % 30)])) for i in range(60)]
+    texts += [(7, texts[0][1]), (100, texts[0][1]), (5, "alone with nothing that is like it")]
+    made = {i: frozenset(tuple(t.split(" ")[k : k + 5]) for k in range(len(t.split(" ")) - 4)) for i, t in texts}
+    alike = lambda a, b: a != b and 100 * len(a & b) >= 75 * len(a | b)
+    want = {i: sum(alike(a, b) for b in set(made.values())) for i, a in made.items()}
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    assert sum(want.values()) > 1000 and {(r.doc_id, r.n_links) for r in ngram_jaccard.link_counts(docs).collect()} == set(want.items())
+    links, members = ngram_jaccard.jaccard_links(docs)
+    name = {r.node: r.doc_id for r in members.where("doc_id != 7").collect()}
+    got = [frozenset((name[r.a], name[r.b])) for r in links.collect()]
+    ids = sorted(set(name.values()))
+    assert len(got) == len(set(got)) and set(got) == {frozenset((a, b)) for a in ids for b in ids if a < b and alike(made[a], made[b])}
+
+
 def test_cascade_order_changes_no_verdict(spark, folder):
     c = Chunk([d["text"] for d in documents(folder)])
     counts = quality_rules.counts(c)
