@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,8 +125,56 @@ def events(items: DataFrame, gap: float = 21_600, eps_km: float = 2.0, least: in
     return out.select("id", by, "segment", F.coalesce("cluster", "main", F.lit(0).cast("long")).alias("cluster"))
 
 
-def nearest_place(items: DataFrame, gazetteer: DataFrame, cell_degrees: float = 1.0) -> DataFrame:
-    """id, name of the nearest gazetteer place within about one cell: an equi-join on the neighbouring cells, then the smallest distance."""
+#: Gazetteer places sent to the tasks at once; items compared with them as one matrix.
+PLACES_AT_ONCE, ITEMS_AT_ONCE = 20_000, 256
+
+
+def nearest_place(items: DataFrame, gazetteer: DataFrame, cell_degrees: float | None = None) -> DataFrame:
+    """id, name of the nearest gazetteer place and its distance (km, 6 decimals; the smallest name where equal), for each item (a row for each id) with coordinates, however far the place.
+
+    The gazetteer goes to the tasks in passes of bounded size; chords on the unit sphere pick each item's
+    nearest places of a pass, the smallest distance over the passes counts. With cell_degrees only places
+    in the neighbouring cells of a grid count, and items without one have no row (see _place_in_cells).
+    """
+    if cell_degrees is not None:
+        return _place_in_cells(items, gazetteer, cell_degrees)
+    places = gazetteer.select("name", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).where("lat is not null and lon is not null")
+    passes = max(1, -(-places.count() // PLACES_AT_ONCE))
+    rows = items.select("id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).where("lat is not null and lon is not null")
+    out = None
+    for i in range(passes):
+        some = sorted(places.where(F.pmod(F.xxhash64("name", "lat", "lon"), F.lit(passes)) == i).collect(), key=lambda r: (r.name is None, r.name or ""))
+        sent = items.sparkSession.sparkContext.broadcast(([r.name for r in some], np.array([r.lat for r in some], float), np.array([r.lon for r in some], float)))
+
+        def run(batches, sent=sent):
+            names, glat, glon = sent.value
+            if not names:
+                return
+            glat, glon = np.radians(glat), np.radians(glon)
+            g = np.stack([np.cos(glat) * np.cos(glon), np.cos(glat) * np.sin(glon), np.sin(glat)])
+            for b in batches:
+                for j in range(0, b.num_rows, ITEMS_AT_ONCE):
+                    part = b.slice(j, ITEMS_AT_ONCE)
+                    la, lo = (np.radians(part.column(c).to_numpy(zero_copy_only=False)) for c in ("lat", "lon"))
+                    dot = np.stack([np.cos(la) * np.cos(lo), np.cos(la) * np.sin(lo), np.sin(la)], axis=1) @ g
+                    # products are rounded: all places that may be the nearest are measured
+                    row, col = np.nonzero(dot >= dot.max(axis=1, keepdims=True) - 1e-12)
+                    a = np.sin((glat[col] - la[row]) / 2) ** 2 + np.cos(la[row]) * np.cos(glat[col]) * np.sin((glon[col] - lo[row]) / 2) ** 2
+                    km = np.round(2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1, a))), 6)
+                    order = np.lexsort((col, km, row))
+                    first = order[np.concatenate(([True], np.diff(row[order]) > 0))] if len(order) else order
+                    yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row[first])), pa.array([names[c] for c in col[first]], pa.string()), pa.array(km[first])], ["id", "name", "km"])
+
+        part = rows.mapInArrow(run, f"id {dict(items.dtypes)['id']}, name string, km double")
+        out = part if out is None else out.union(part)
+    if passes == 1:
+        return out
+    best = out.groupBy("id").agg(F.min(F.struct("km", "name")).alias("b"))
+    return best.select("id", F.col("b.name").alias("name"), F.col("b.km").alias("km"))
+
+
+def _place_in_cells(items: DataFrame, gazetteer: DataFrame, cell_degrees: float) -> DataFrame:
+    """nearest_place within about one cell: an equi-join on the neighbouring cells, then the smallest distance. Cells don't wrap at 180 degrees."""
     c = lambda lat, lon: (F.floor(F.col(lat) / cell_degrees).alias("cy"), F.floor(F.col(lon) / cell_degrees).alias("cx"))
     g = gazetteer.select("name", F.col("lat").alias("glat"), F.col("lon").alias("glon"))
     around = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))

@@ -175,3 +175,10 @@ def nearest_place(spark, d):
     c = Catalog(spark, d)
     k = F.col("n_nationkey")
     return geo.nearest_place(c.items, c.raw("nation").select(F.col("n_name").alias("name"), (F.lit(-90.0) + k * 7 + 0.5).alias("lat"), (F.lit(-180.0) + k * 14 + 0.5).alias("lon")), 10.0)
+
+
+@register("nearest_place_all", cte("items", more="g AS (SELECT n_name AS name, -90.0 + n_nationkey * 7 + 0.5 AS lat, -180.0 + n_nationkey * 14 + 0.5 AS lon FROM nation), k AS (SELECT i.id, g.name, round(" + _KM.format(a="i.lat", b="i.lon", c="g.lat", d="g.lon") + ", 6) AS km FROM items i, g WHERE i.lat IS NOT NULL AND i.lon IS NOT NULL)") + "SELECT id, name, km FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY km, name) AS r FROM k) WHERE r = 1")
+def nearest_place_all(spark, d):
+    c = Catalog(spark, d)
+    k = F.col("n_nationkey")
+    return geo.nearest_place(c.items, c.raw("nation").select(F.col("n_name").alias("name"), (F.lit(-90.0) + k * 7 + 0.5).alias("lat"), (F.lit(-180.0) + k * 14 + 0.5).alias("lon")))

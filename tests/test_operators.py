@@ -276,3 +276,12 @@ def test_facets_equal_a_recount(spark, rows, active):
         if all(any(x == i and k == a and w in active[a] for x, k, w in rows) for a in active if a != c):
             want.setdefault((c, v), set()).add(i)
     assert got == {k: len(v) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("at_once", [20_000, 1])
+def test_every_item_has_its_nearest_place(spark, monkeypatch, at_once):
+    """However far, across 180 degrees and at the poles."""
+    monkeypatch.setattr(geo, "PLACES_AT_ONCE", at_once)
+    gazetteer = spark.createDataFrame([("west", 0.0, -179.5), ("mid", 10.0, 100.0), ("north", 89.0, 10.0)], "name string, lat double, lon double")
+    items = spark.createDataFrame([(1, 0.0, 179.0), (2, -60.0, 95.0), (3, 88.5, -170.0), (4, None, 3.0)], "id long, lat double, lon double")
+    assert {r.id: r.name for r in geo.nearest_place(items, gazetteer).collect()} == {1: "west", 2: "mid", 3: "north"}
