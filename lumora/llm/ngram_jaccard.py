@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumora.llm.components import components
 from lumora.llm.text import Chunk, kept, map_chunks, shingles
@@ -419,17 +420,39 @@ def link_counts(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFrame
     return marks.join(n, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"))
 
 
+def _with_nodes(docs: DataFrame, words: int, node: str) -> DataFrame:
+    """docs with the fingerprint of each row's set in a further column node; null for an empty set."""
+
+    def run(batches):
+        from lumora.llm.text import pieces
+
+        for b in batches:
+            out = []
+            for _, chunk in pieces(iter([b])):
+                out += [_fingerprint(x) if len(x) else None for x in _sets(chunk, words)]
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*b.schema.names, node])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(node, T.LongType())]))
+
+
 def one_of_each(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:
-    """The rows of docs, with all their columns, of which one stays for each class: the one with the smallest doc_id.
+    """The rows of docs, with all their columns, of which one stays for each class: one with the smallest doc_id.
 
-    Rows with an empty set or without doc_id stay. Of rows with the same doc_id and text one stays.
+    Rows with an empty set or without doc_id stay. Where a doc_id repeats, rows are told apart by their
+    sets: of a class's rows with the smallest doc_id those with the least fingerprint are taken, and of
+    these one.
     """
-    classes = kept(jaccard_classes(docs, percent, words), "classes")
-    go = classes.where("n_shingles > 0 and doc_id != component_id").select("doc_id").distinct()
-    go = kept(go, "go")
+    marks, known, _ = _grouped(docs.select("doc_id", "text"), percent, words)
+    stay = kept(known.groupBy("component").agg(F.min(F.struct("least_id", "node")).alias("s")).select(F.col("s.least_id").alias("doc_id"), F.col("s.node").alias("node")), "stay")
+    again = kept(marks.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    go = kept(marks.where("doc_id is not null and n > 0").join(stay, ["doc_id", "node"], "left_anti").select("doc_id").distinct().union(again).distinct(), "go")
     out = docs.join(F.broadcast(go) if go.count() <= BROADCAST_IDS else go, "doc_id", "left_anti").select(*docs.columns)
-    again = kept(classes.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
     if again.isEmpty():
         return out
-    some = out.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return out.join(again, "doc_id", "left_anti").select(*docs.columns).union(some)
+    node = "node"
+    while node in docs.columns:
+        node += "_"
+    some = _with_nodes(docs.join(again, "doc_id", "left_semi").select(*docs.columns), words, node)
+    some_stay = some.join(stay.select("doc_id", F.col("node").alias(node)), ["doc_id", node], "left_semi").dropDuplicates(["doc_id", node])
+    return out.union(some.where(F.col(node).isNull()).select(*docs.columns)).union(some_stay.select(*docs.columns))
