@@ -16,10 +16,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumora.llm.sampling import drawn
 from lumora.llm.text import _INVERSE, Chunk, map_chunks, pieces, powers
 
 BITS = 17
@@ -207,14 +206,15 @@ def train(rows: list[tuple[str, str]], steps: int = 40, seed: int = 11) -> CrfMo
     return CrfModel(languages, weights, passing)
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_languages: int = 64) -> CrfModel:
-    """From docs with a lang: at most per_language documents of each language, those with the least hash of doc_id."""
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> CrfModel:
+    """From docs with a lang: all languages, at most per_language documents of each, those with the least hash of doc_id."""
     known = docs.where("lang is not null and text is not null").select("doc_id", "lang")
-    languages = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    if not languages:
+    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    some = known.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_language).drop("r")
+    # the sample grows with the languages, so its join may be a shuffle
+    rows = docs.select("doc_id", "text", "lang").join(some, ["doc_id", "lang"]).collect()
+    if not rows:
         return CrfModel([], np.zeros((1 << BITS, 1)), np.zeros((1, 1)))
-    some = drawn(known, "lang", per_language, sorted(languages))
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(some), ["doc_id", "lang"]).collect()
     rows.sort(key=lambda r: (r.lang, r.doc_id, r.text or ""))
     return train([(r.text or "", r.lang) for r in rows])
 

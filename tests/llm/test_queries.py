@@ -133,6 +133,12 @@ def test_language_of_held_out_documents(spark):
     assert (held.lang_pred == held.lang).mean() > 0.95 and held.score.between(0, 1).all()
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_crf, "train", lambda rows: sorted({lang for _, lang in rows}))
+    rows = [(i, f"text {i}", f"l{i % 70:02}") for i in range(350)]
+    assert language_crf.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 3) == [f"l{i:02}" for i in range(70)]
+
+
 def test_switched_text_is_split(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     model = language_crf.fit(docs)
