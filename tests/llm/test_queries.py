@@ -268,6 +268,29 @@ def test_network_tells_keys_from_words():
     assert ((p >= net.threshold) == y[1::2]).mean() > 0.97
 
 
+def test_network_reads_whole_runs_without_digits_too(spark):
+    """What only the middle of a long run shows is found, with a digit in it or not."""
+
+    net = secret_scan.CharCnn(np.zeros((130, 8)), np.tile(np.eye(8)[:, :1], (5, 16)), np.full(16, -3.5), np.ones(16), -2.0, threshold=0.5)
+    net.vectors[ord("Q"), 0] = 1  # four in a row pass
+    texts = [(1, "a " + "x" * 57 + "QQQQ" + "y" * 90 + " b"), (2, "a " + "x" * 37 + "QQQQ7" + "y" * 30), (3, "x" * 90)]
+    got = secret_scan.find_secrets(spark.createDataFrame(texts, "doc_id long, text string"), net).collect()
+    assert {r.doc_id: [(x.start, x.end) for x in r.spans] for r in got} == {1: [(2, 153)], 2: [(2, 74)], 3: []}
+
+
+def test_findings_come_from_all_documents(spark):
+    rows = [(i, f"words here token = {i:032x} and more" if i % 10 == 0 else f"longcandidatewords{i} and more") for i in range(400)]
+    x, y = secret_scan.labelled_candidates(spark.createDataFrame(rows, "doc_id long, text string"), sample_docs=20)
+    assert y.sum() == 40 and 0 < (y == 0).sum() < 80
+
+
+def test_threshold_keeps_the_recall_asked_for():
+    """Findings that look like other candidates are kept, however low that puts the threshold."""
+    x = np.full((1520, secret_scan.BEFORE + secret_scan.INSIDE + secret_scan.AFTER), 97, np.int16)
+    net = secret_scan.train(x, (np.arange(1520) < 20).astype(int), epochs=1)
+    assert (net.probability(x[:20]) >= net.threshold).all() and net.threshold < 0.5
+
+
 def test_toxicity_of_held_out_documents(spark):
     """On the larger tables: the small ones have some thirty toxic documents to learn from."""
     labels = pq.read_table(f"{LARGER}/labels.parquet").to_pandas()
