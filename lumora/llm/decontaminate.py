@@ -14,8 +14,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lumora.llm.text import Chunk, filter_docs, mix, ngram_hashes, pieces
+from lumora.llm.text import Chunk, filter_docs, kept, mix, ngram_hashes, pieces
 
 HASHES = 32
 #: Characters of test items in one pass over the documents; more items take more passes.
@@ -118,20 +119,27 @@ def contained(docs: DataFrame, items: DataFrame, percent: int = 75, words: int =
     Words are lower-cased in A to Z. An item of fewer than words words is one shingle, its whole
     sequence; an item or document without words (null, empty, blank) is in no row. Rows that repeat give
     repeated rows; null ids are carried. Further columns of either table are not read. Items go to all
-    executors in blocks of at most ITEM_CHARS characters (a single longer item is a block of its own), one
-    pass over the documents for each block.
+    executors in blocks of about ITEM_CHARS characters, one pass over the documents for each block; the driver
+    holds one block at a time.
     """
     out = None
-    for b in _blocks(items):
-        part = _one_pass(docs, b, percent, words)
+    for i, n in _passes(items):
+        part = _one_pass(docs, _block(items, i, n), percent, words)
+        if n > 1:  # written, so that only one pass's items are alive
+            part = kept(part, "contained")
         out = part if out is None else out.union(part)
     return out
 
 
 def without_items(docs: DataFrame, items: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:
-    """The rows of docs, with all their columns, that hold none of the items in the sense of contained()."""
-    for b in _blocks(items):
-        sent, cache = docs.sparkSession.sparkContext.broadcast(b), {}
+    """The rows of docs, with all their columns, that hold none of the items in the sense of contained().
+
+    Texts without words (null, empty, blank) hold nothing and stay; so do all rows where there are no items.
+    Rows are judged alone: repeated rows and null ids stay or go each; an empty table gives no rows;
+    further columns, whatever their names, are kept.
+    """
+    for i, n in _passes(items):
+        sent, cache = docs.sparkSession.sparkContext.broadcast(_block(items, i, n)), {}
 
         def clean(keys, chunk, sent=sent, cache=cache):
             if "index" not in cache:
@@ -141,18 +149,19 @@ def without_items(docs: DataFrame, items: DataFrame, percent: int = 75, words: i
             return keep
 
         docs = filter_docs(docs, clean)
+        if n > 1:
+            docs = kept(docs, "clean")
     return docs
 
 
-def _blocks(items: DataFrame) -> list[list]:
-    blocks, block, size = [], [], 0
-    for r in items.select("item_id", "text").toLocalIterator():
-        if block and size + len(r.text or "") > ITEM_CHARS:
-            blocks.append(block)
-            block, size = [], 0
-        block.append((r.item_id, r.text))
-        size += len(r.text or "")
-    return [*blocks, block]
+def _passes(items: DataFrame) -> list[tuple[int, int]]:
+    """(number, how many) of each pass: items are dealt to passes by a hash, about ITEM_CHARS characters each."""
+    n = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // ITEM_CHARS))
+    return [(i, n) for i in range(n)]
+
+
+def _block(items: DataFrame, i: int, n: int) -> list[tuple]:
+    return [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i).select("item_id", "text").collect()]
 
 
 def _one_pass(docs: DataFrame, block: list, percent: int, n: int) -> DataFrame:

@@ -16,9 +16,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from lumora.llm.sampling import drawn, labelled_texts
 from lumora.llm.text import _INVERSE, Chunk, map_chunks, pieces, powers
 
 BITS = 17
@@ -208,22 +208,16 @@ def train(rows: list[tuple[str, str]], steps: int = 40, seed: int = 11) -> CrfMo
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> CrfModel:
     """From docs with a lang: all languages, at most per_language documents of each, those with the least hash of doc_id."""
-    known = docs.where("lang is not null and text is not null").select("doc_id", "lang")
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    some = known.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_language).drop("r")
-    # the sample grows with the languages, so its join may be a shuffle
-    rows = docs.select("doc_id", "text", "lang").join(some, ["doc_id", "lang"]).collect()
-    if not rows:
-        return CrfModel([], np.zeros((1 << BITS, 1)), np.zeros((1, 1)))
-    rows.sort(key=lambda r: (r.lang, r.doc_id, r.text or ""))
-    return train([(r.text or "", r.lang) for r in rows])
+    known = docs.where("lang is not null and text is not null")
+    rows = labelled_texts(known, drawn(known, "lang", per_language), "lang", per_language, ["doc_id", "lang"])
+    return train(rows) if rows else CrfModel([], np.zeros((1 << BITS, 1)), np.zeros((1, 1)))
 
 
 def languages(docs: DataFrame, model: CrfModel) -> DataFrame:
     """Per row: doc_id, lang_pred, score (the language's share of the words' probability), n_switches (changes of the likeliest language).
 
-    A null text, one without a letter, or a model without languages gives und and score 0. Texts are
-    read whole. Rows are labelled alone: repeated rows and null ids come back as they are; an empty table
+    A null text, one without a letter, or a model without languages gives und and score 0. Of languages
+    with equal shares the first by name counts. Texts are read whole. Rows are labelled alone: repeated rows and null ids come back as they are; an empty table
     gives no rows; further columns are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -236,7 +230,7 @@ def languages(docs: DataFrame, model: CrfModel) -> DataFrame:
             return {"doc_id": pa.array(keys, pa.int64()), "lang_pred": ["und"] * d, "score": np.zeros(d), "n_switches": np.zeros(d, np.int64)}
         _, _, doc = chunk.words()
         p = marginals(m.scores(chunk), m.passing, chunk.word_at)
-        share = np.stack([np.bincount(doc, weights=p[:, j], minlength=d) for j in range(p.shape[1])], axis=1)
+        share = np.stack([np.bincount(doc, weights=p[:, j], minlength=d) for j in range(p.shape[1])], axis=1).astype(float)
         share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-300)
         best = np.argmax(share, axis=1)
         likely = np.argmax(p, axis=1)
@@ -252,7 +246,12 @@ def languages(docs: DataFrame, model: CrfModel) -> DataFrame:
 
 
 def language_spans(docs: DataFrame, model: CrfModel) -> DataFrame:
-    """doc_id, start, end (code points), lang: the runs of words of one likeliest language, for code-switched text."""
+    """doc_id, start, end (code points), lang: the runs of words of one likeliest language, for code-switched text.
+
+    A word without letters goes with the language that its neighbours make likeliest; of equally likely ones
+    the first by name. Null, empty and wordless texts, and a model without languages, give no rows. Repeated
+    rows give their spans each, null ids are carried, an empty table gives no rows, further columns are not read.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -3,17 +3,20 @@
 Texts with equal sets are one class from the start (a fingerprint of the set). For the rest the usual
 filters hold, each of them exact:
 
-* rare first: a set's shingles are ordered by how often their bucket occurs in the corpus (a sketch of
-  fixed size, summed over all documents), then by hash. Sets of n shingles that are alike share one of
-  the first n - ceil(t n) + 1.
+* rare first: a set's shingles are ordered by how often their bucket occurs in the corpus (a sketch that
+  grows with the corpus up to a bound, summed over all documents), then by hash. Sets of n shingles that
+  are alike share one of the first n - ceil(t n) + 1.
 * length: t <= sizes' quotient.
 * position: after the first shared shingle, enough shingles must remain in both.
-* suffix: the counts of both sets in ranges of the hash bound their difference from below.
+* suffix: the counts of both sets in ranges of the hash bound their difference from below. The counts take
+  about a thirtieth of a set's bytes and meet before any set is sent.
 
 Pairs come in two rounds. In the first, each prefix shingle pairs its documents with the one that has
 it earliest, so that a group of thousands of near copies gives thousands of pairs, not their square.
-Once those are verified, the second round pairs what the same shingle holds in different components.
-All pairs that the filters let through are then verified or lie within one component. That settles the
+Once those are verified, the second round pairs what the same shingle holds in different components; long
+lists are split by the sets' sizes and, beyond that, over several tasks. A pair that several shingles
+propose, in whichever order, is verified once. All pairs that the filters let through are then verified or
+lie within one component. That settles the
 classes. The links themselves lie within components, so jaccard_links and link_counts compare all sets of
 a component with one another, block by block.
 """
@@ -27,14 +30,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumora.llm.components import components
-from lumora.llm.text import Chunk, kept, map_chunks, shingles
+from lumora.llm.text import Chunk, drop, kept, shingles
 
-#: Buckets of the corpus's shingle counts, 4 bytes each; rows of that many buckets go from each task.
-SKETCH, SKETCH_ROW = 1 << 20, 1 << 14
+#: Bits of the number of buckets for the corpus's shingle counts, at least and at most, documents for each 16 buckets; buckets in a row of counts.
+LEAST_BITS, MOST_BITS, SKETCH_ROW = 20, 23, 1 << 14
+#: Sets whose fingerprints a task remembers so as not to post them twice.
+SEEN = 1 << 20
 #: A shingle's list up to so long is searched for pairs at once; longer ones go on whole.
 LONG = 64
-#: Members that are verified against one lead in one group; more are dealt to several.
-MEMBERS = 1000
+#: Members that are verified against one lead in one group, postings of a shingle and size that meet in one group, and leads that a set is sent to at once; more are dealt to several.
+MEMBERS, MEETING, LEADS = 1000, 1000, 64
 #: Different sets and shingles in a block of a component, about; two blocks' shared shingles are matrix products of so many columns.
 BLOCK_SETS, BLOCK_SHINGLES, COLUMNS = 512, 1 << 20, 4096
 #: Up to so many ids are sent to all executors; more are joined by a shuffle.
@@ -42,8 +47,7 @@ BROADCAST_IDS = 200_000
 
 
 def _sets(chunk: Chunk, words: int) -> list[np.ndarray]:
-    s, e, _ = chunk.words()
-    h = chunk.span(chunk.sums(folded=True), s, e)
+    h = chunk.word_hashes(folded=True)
     at = chunk.word_at
     return [shingles(h[at[i] : at[i + 1]], words) for i in range(chunk.docs)]
 
@@ -59,44 +63,66 @@ def _fingerprint(x: np.ndarray) -> int:
     return h - 2**64 if h >= 2**63 else h
 
 
-def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, node (a set's fingerprint), n (its size) for each document, and the corpus's shingle counts (doc_id null, n a row of the sketch)."""
+def _ranges(x: np.ndarray) -> bytes:
+    """Counts of a set's shingles in ranges of the hash, a byte each (255: or more); about a range for four shingles."""
+    bits = max(3, int(len(x) / 4 - 1e-9).bit_length())
+    return np.minimum(np.bincount((x >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def _may_link(percent: int, n: int, a: bytes, m: int, b: bytes) -> bool:
+    """Suffix filter: what differs in the ranges is in one set only. A count of 255 may be more, so that ranges with one prove nothing."""
+    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
+    if (x == 255).any() or (y == 255).any():
+        return True
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    apart = int(np.abs(x - y.reshape(len(x), -1).sum(axis=1)).sum())
+    return n + m - apart >= 2 * -(-percent * (n + m) // (100 + percent))
+
+
+def sketch_bits(docs: DataFrame) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, (docs.count() * 16).bit_length()))
+
+
+def signatures(docs: DataFrame, words: int = 5, bits: int = LEAST_BITS) -> DataFrame:
+    """doc_id, node (a set's fingerprint), n (its size), ranges for each document, and the corpus's shingle counts (doc_id null, n a row of the sketch)."""
 
     def run(batches):
         from lumora.llm.text import pieces
 
-        total = np.zeros(SKETCH, np.int64)
+        total = np.zeros(1 << bits, np.uint32)
         for keys, chunk in pieces(batches):
             sets = _sets(chunk, words)
-            total += np.bincount(np.concatenate([x >> np.uint64(44) for x in sets]).astype(np.int64), minlength=SKETCH)
-            yield pa.RecordBatch.from_arrays([pa.array(["d"] * len(sets)), pa.array(keys, pa.int64()), pa.array([_fingerprint(x) for x in sets]), pa.array([len(x) for x in sets], pa.int64()), pa.nulls(len(sets), pa.binary())], ["kind", "doc_id", "node", "n", "counts"])
+            u, c = np.unique(np.concatenate(sets) >> np.uint64(64 - bits), return_counts=True)
+            total[u.astype(np.int64)] += c.astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array(["d"] * len(sets)), pa.array(keys, pa.int64()), pa.array([_fingerprint(x) for x in sets]), pa.array([len(x) for x in sets], pa.int64()), pa.array([_ranges(x) if len(x) else None for x in sets], pa.binary())], ["kind", "doc_id", "node", "n", "counts"])
         if total.any():
-            rows = range(SKETCH // SKETCH_ROW)
-            yield pa.RecordBatch.from_arrays([pa.array(["s"] * len(rows)), pa.nulls(len(rows), pa.int64()), pa.array(np.random.default_rng(int(total.sum())).integers(0, 32, len(rows))), pa.array(list(rows), pa.int64()), pa.array([total[i * SKETCH_ROW : (i + 1) * SKETCH_ROW].astype(np.uint32).tobytes() for i in rows], pa.binary())], ["kind", "doc_id", "node", "n", "counts"])
+            total, salt = np.minimum(total, 65535).astype(np.uint16), int(total.sum()) & 31
+            for i in range(len(total) // SKETCH_ROW):
+                yield pa.RecordBatch.from_arrays([pa.array(["s"]), pa.nulls(1, pa.int64()), pa.array([salt]), pa.array([i], pa.int64()), pa.array([total[i * SKETCH_ROW : (i + 1) * SKETCH_ROW].tobytes()], pa.binary())], ["kind", "doc_id", "node", "n", "counts"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "kind string, doc_id long, node long, n long, counts binary")
 
 
-def _summed(rows: DataFrame, *by: str) -> DataFrame:
-    """Sketch rows added up, a running sum for each n of a partition: memory doesn't grow with the rows."""
+def _summed(rows: DataFrame, width: type, *by: str) -> DataFrame:
+    """Sketch rows (numbers of that width) added up, a running sum for each n of a partition: memory doesn't grow with the rows."""
 
     def run(batches):
         sums: dict[tuple, np.ndarray] = {}
         for b in batches:
             for node, n, c in zip(b.column("node").to_pylist(), b.column("n").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                x = np.frombuffer(c, np.uint32)
+                x = np.frombuffer(c, width)
                 k = (node, n) if len(by) > 1 else (0, n)
                 sums[k] = np.minimum(sums[k] + x.astype(np.uint64), 2**32 - 1) if k in sums else x.astype(np.uint64)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.int64()), pa.array([k[1] for k in sums], pa.int64()), pa.array([x.astype(np.uint32).tobytes() for x in sums.values()], pa.binary())], ["node", "n", "counts"])
+        for (node, n), x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.array([n], pa.int64()), pa.array([x.astype(np.uint32).tobytes()], pa.binary())], ["node", "n", "counts"])
 
     return rows.select("node", "n", "counts").repartition(*by).mapInArrow(run, "node long, n long, counts binary")
 
 
-def corpus_counts(sketch: DataFrame) -> np.ndarray:
-    """The SKETCH bucket counts (4 MB whatever the corpus), added in two steps."""
-    out = np.zeros(SKETCH, np.uint32)
-    for r in _summed(_summed(sketch, "n", "node"), "n").toLocalIterator():
+def corpus_counts(sketch: DataFrame, bits: int) -> np.ndarray:
+    """The bucket counts, added in two steps (2^MOST_BITS times 4 bytes at most, whatever the corpus)."""
+    out = np.zeros(1 << bits, np.uint32)
+    for r in _summed(_summed(sketch, np.uint16, "n", "node"), np.uint32, "n").toLocalIterator():
         out[r.n * SKETCH_ROW : (r.n + 1) * SKETCH_ROW] = np.frombuffer(r.counts, np.uint32)
     return out
 
@@ -109,7 +135,10 @@ def prefix_postings(docs: DataFrame, counts: np.ndarray, percent: int, words: in
         from lumora.llm.text import pieces
 
         common, seen = sent.value, set()
+        shift = np.uint64(65 - len(common).bit_length())
         for _, chunk in pieces(batches):
+            if len(seen) > SEEN:
+                seen.clear()  # a set that comes again is dropped where its postings meet
             cols: tuple[list, list, list, list] = ([], [], [], [])
             for x in _sets(chunk, words):
                 if not len(x) or (node := _fingerprint(x)) in seen:
@@ -117,7 +146,7 @@ def prefix_postings(docs: DataFrame, counts: np.ndarray, percent: int, words: in
                 seen.add(node)
                 n = len(x)
                 p = n - -(-percent * n // 100) + 1
-                first = x[np.argsort(common[(x >> np.uint64(44)).astype(np.int64)], kind="stable")[:p]]
+                first = x[np.argsort(common[(x >> shift).astype(np.int64)], kind="stable")[:p]]
                 for c, v in zip(cols, (first.view(np.int64), np.arange(p, dtype=np.int32), np.full(p, node, np.int64), np.full(p, n, np.int32)), strict=True):
                     c.append(v)
             if cols[0]:
@@ -189,15 +218,21 @@ def shared_postings(postings: DataFrame, percent: int) -> DataFrame:
     return postings.repartition("shingle").sortWithinPartitions("shingle", "pos", "node").mapInArrow(run, "shingle long, pos int, node long, n int, lead long, fits boolean")
 
 
-def _suffix_may(x: np.ndarray, y: np.ndarray, need: int) -> bool:
-    """Suffix filter: the sets' counts in 64 ranges of the hash; what differs there is in one set only."""
-    a = np.searchsorted(x, _RANGES)
-    b = np.searchsorted(y, _RANGES)
-    apart = int(np.abs(np.diff(a, append=len(x)) - np.diff(b, append=len(y))).sum())
-    return len(x) + len(y) - apart >= 2 * need
+def proposed(pairs: DataFrame, names: DataFrame, percent: int) -> DataFrame:
+    """lead, member: each pair of nodes (lead, member) once, whichever is which, of those that the suffix filter lets through. names: node, n, ranges."""
+    low, high = F.least("lead", "member"), F.greatest("lead", "member")
+    once = pairs.where("lead != member").groupBy(low.alias("a"), high.alias("b")).agg(F.min("lead").alias("lead"))
+    once = once.select("lead", F.when(F.col("lead") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("member"))
+    for side in ("lead", "member"):
+        once = once.join(names.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("ranges").alias(f"{side}_r")), side)
 
+    def run(batches):
+        for b in batches:
+            keep = [_may_link(percent, *row) for row in zip(*(b.column(c).to_pylist() for c in ("lead_n", "lead_r", "member_n", "member_r")), strict=True)]
+            if any(keep):
+                yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(keep)) for c in ("lead", "member")], ["lead", "member"])
 
-_RANGES = np.arange(64, dtype=np.uint64) << np.uint64(58)
+    return once.mapInArrow(run, "lead long, member long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, percent: int, words: int = 5) -> DataFrame:
@@ -210,8 +245,10 @@ def verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, percent: int,
     spread = pairs.groupBy("lead").agg((F.count("*") / MEMBERS).cast("int").alias("last"))
     dealt = pairs.join(spread, "lead").select("lead", F.col("member").alias("node"), F.pmod(F.xxhash64("member"), F.col("last") + 1).cast("int").alias("salt"), F.lit(1).alias("role"))
     own = spread.select("lead", F.col("lead").alias("node"), F.explode(F.sequence(F.lit(0), "last")).alias("salt"), F.lit(0).alias("role"))
-    goes = dealt.union(own).groupBy("node").agg(F.collect_list(F.struct("lead", "salt", "role")).alias("to"))
-    goes = kept(names.join(goes, "node").select(F.col("doc_id"), "node", "to"), "goes")
+    rows = dealt.union(own)
+    parts = rows.groupBy("node").agg(F.ceil(F.count("*") / LEADS).alias("parts"))
+    rows = rows.join(parts, "node").groupBy("node", F.pmod(F.xxhash64("lead", "salt"), "parts").alias("part")).agg(F.collect_list(F.struct("lead", "salt", "role")).alias("to"))
+    goes = kept(names.select("node", "doc_id").join(rows, "node").select("doc_id", "node", "to"), "goes")
     docs = docs.select("doc_id", "text").join(F.broadcast(goes) if goes.count() <= BROADCAST_IDS else goes, "doc_id")
 
     def sets(batches):
@@ -238,51 +275,74 @@ def verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, percent: int,
                     continue
                 if at != (lead, salt):
                     continue
-                need = -(-percent * (len(x) + len(y)) // (100 + percent))
-                if _suffix_may(x, y, need):
-                    both = np.sort(np.concatenate((x, y)), kind="stable")
-                    if int((both[1:] == both[:-1]).sum()) >= need:
-                        a_out.append(lead)
-                        b_out.append(node)
+                both = np.sort(np.concatenate((x, y)), kind="stable")
+                if int((both[1:] == both[:-1]).sum()) >= -(-percent * (len(x) + len(y)) // (100 + percent)):
+                    a_out.append(lead)
+                    b_out.append(node)
             if a_out:
                 yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
     made = docs.select("node", "to", "text").mapInArrow(sets, "lead long, salt int, role int, node long, s binary")
-    return made.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "role", "node").mapInArrow(alike, "a long, b long")
+    links = kept(made.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "role", "node").mapInArrow(alike, "a long, b long"), "links")
+    drop(goes)
+    return links
+
+
+def _second_round(shared: DataFrame, groups: DataFrame, percent: int) -> DataFrame | None:
+    """lead, member: sets in different components that a shingle holds and the length and positional filters let through; None if no shingle is in two.
+
+    The shingle's largest component need not be paired with itself, so its rows meet the others' only. Rows
+    of a shingle meet by the classes of their sets' sizes, and more than MEETING of one class in several groups.
+    """
+    step = float(np.log(100 / percent) * 1.0001) if percent < 100 else 1e-9
+    placed = shared.select("shingle", "pos", "node", "n").join(groups, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    main = placed.groupBy("shingle", "c").agg(F.count("*").alias("size")).groupBy("shingle").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
+    main = kept(main.select("shingle", "main"), "main")
+    n = main.count()
+    if not n:
+        return None
+    if n <= BROADCAST_IDS:
+        placed = placed.join(F.broadcast(main), "shingle")
+    else:  # a frequent shingle's rows are dealt to 16 groups
+        placed = placed.withColumn("deal", F.pmod(F.xxhash64("node"), F.lit(16))).join(main.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long")))), ["shingle", "deal"]).drop("deal")
+    placed = kept(placed.withColumn("size", F.floor(F.log("n") / step)), "placed")
+    drop(main)
+    long = kept(placed.groupBy("shingle", "size").agg(F.ceil(F.count("*") / MEETING).alias("parts")).where("parts > 1"), "long")
+    parts = F.broadcast(long) if long.count() <= BROADCAST_IDS else long
+    there = placed.join(parts, ["shingle", "size"], "left").withColumn("salt", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), "parts"))).alias("q")
+    here = placed.where("c != main").withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))).join(parts, ["shingle", "size"], "left")
+    here = here.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).alias("p")
+    need = F.ceil(F.lit(percent) * (F.col("p.n") + F.col("q.n")) / (100.0 + percent) - 1e-9)
+    fits = (F.col("p.c") != F.col("q.c")) & (100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n")) & (F.least(F.col("p.n") - F.col("p.pos"), F.col("q.n") - F.col("q.pos")) >= need)
+    met = here.join(there, (F.col("p.shingle") == F.col("q.shingle")) & (F.col("p.size") == F.col("q.size")) & (F.col("p.salt") == F.col("q.salt")) & fits)
+    return met.select(F.least("p.node", "q.node").alias("lead"), F.greatest("p.node", "q.node").alias("member"))
 
 
 def _grouped(docs: DataFrame, percent: int, words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """marks (doc_id, node, n) for each row; known (node, least_id, component) for each set of a named row; and links (a, b) that connect the components."""
     docs = docs.select("doc_id", "text")
-    seen = kept(signatures(docs, words), "signatures")
+    bits = sketch_bits(docs)
+    seen = kept(signatures(docs, words, bits), "signatures")
     marks = seen.where("kind = 'd'").select("doc_id", "node", "n")
-    counts = corpus_counts(seen.where("kind = 's'"))
-    named = marks.where("doc_id is not null and n > 0")
-    names = named.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    counts = corpus_counts(seen.where("kind = 's'"), bits)
+    named = seen.where("kind = 'd' and doc_id is not null and n > 0")
+    names = named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("counts").alias("ranges"))
     shared = kept(shared_postings(prefix_postings(docs.where("doc_id is not null"), counts, percent, words), percent), "postings")
 
-    first = kept(shared.where("fits").select("lead", F.col("node").alias("member")).distinct(), "pairs")
-    links = kept(verified(first, docs, names, percent, words), "links")
+    first = kept(proposed(shared.where("fits").select("lead", F.col("node").alias("member")), names, percent), "pairs")
+    links = verified(first, docs, names, percent, words)
     groups = components(links)
-
-    placed = shared.select("shingle", "pos", "node", "n").join(groups, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    sizes = placed.groupBy("shingle", "c").agg(F.count("*").alias("size")).groupBy("shingle").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
-    placed = placed.join(sizes.select("shingle", "main"), "shingle")
-    here, there = placed.where("c != main").alias("p"), placed.alias("q")
-    need = F.ceil(F.lit(percent) * (F.col("p.n") + F.col("q.n")) / (100.0 + percent) - 1e-9)
-    second = (
-        here.join(there, (F.col("p.shingle") == F.col("q.shingle")) & (F.col("p.c") != F.col("q.c")) & (100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n")) & (F.least(F.col("p.n") - F.col("p.pos"), F.col("q.n") - F.col("q.pos")) >= need))
-        .groupBy(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))
-        .agg(F.min("p.node").alias("lead"))
-        .select("lead", F.when(F.col("lead") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("member"))
-    )
-    second = second.join(first, ["lead", "member"], "left_anti").join(first.select(F.col("lead").alias("member"), F.col("member").alias("lead")), ["lead", "member"], "left_anti")
-    second = kept(second, "pairs")
-    if not second.isEmpty():
-        links = kept(links.union(verified(second, docs, names, percent, words)), "links")
-        groups = components(links)
-
-    known = names.withColumnRenamed("doc_id", "least_id").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    second = _second_round(shared, groups, percent)
+    if second is not None:
+        done = first.select(F.least("lead", "member").alias("lead"), F.greatest("lead", "member").alias("member"))
+        second = kept(proposed(second.distinct().join(done, ["lead", "member"], "left_anti"), names, percent), "pairs")
+        if not second.isEmpty():
+            links = links.union(verified(second, docs, names, percent, words))
+            groups = components(links)
+        drop(second)
+    drop(shared, first)
+
+    known = names.select("node", F.col("doc_id").alias("least_id")).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     return marks, known, links
 
 

@@ -8,11 +8,13 @@ lengths are powers of two, which need no padding.
 
 The ids are those that the tokenizer gives for the whole text. Where its vocabulary drops white space, no
 token crosses a space, nor the border between a Latin letter and ASCII punctuation other than an
-apostrophe: such parts are encoded once each by the tokenizer, and a worker keeps their ids.
+apostrophe: such parts are encoded once each by the tokenizer, and a worker keeps their ids. The
+vocabulary's own added tokens, where they stand in a text, are parts of their own.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -36,12 +38,18 @@ _MARK = np.zeros(0x251, bool)
 _MARK[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
-def parts(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and document of the parts of each word that the tokenizer treats alone."""
+def parts(chunk: Chunk, added: re.Pattern | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document of the parts of each word that the tokenizer treats alone; what added finds is a part."""
     s, e, _ = chunk.words()
     cp = np.minimum(chunk.cp, 0x250)
     letter, mark = _LETTER[cp], _MARK[cp]
     cut = np.flatnonzero((letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])) + 1
+    found = np.array([m.span() for m in added.finditer(chunk.text)], np.int64) if added else np.zeros((0, 2), np.int64)
+    if len(found):
+        before = np.searchsorted(found[:, 0], cut) - 1
+        cut = cut[(before < 0) | (cut >= found[before, 1])]
+        edges = np.concatenate((np.setdiff1d(found[:, 0], s), np.setdiff1d(found[:, 1], e)))
+        cut = np.unique(np.concatenate((cut, edges)))
     if len(cut):
         s, e = np.sort(np.concatenate((s, cut))), np.sort(np.concatenate((e, cut)))
     return s, e, np.searchsorted(chunk.starts, s, side="right") - 1
@@ -52,6 +60,8 @@ class PartIds:
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
+        added = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.clear()
 
     def clear(self) -> None:
@@ -74,7 +84,7 @@ class PartIds:
 
     def encode(self, chunk: Chunk, lower: bool) -> list[np.ndarray]:
         """The ids of each document."""
-        s, e, doc = parts(chunk)
+        s, e, doc = parts(chunk, self.added)
         if not len(s):
             return [np.zeros(0, np.uint32)] * chunk.docs
         if len(self.hashes) > CACHED_PARTS:
@@ -100,26 +110,27 @@ def part_ids(tokenizer_file: str, lower: bool) -> PartIds:
     if (tokenizer_file, lower) not in _cached:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_file)
-        tokenizer.encode_special_tokens = True
-        _cached[tokenizer_file, lower] = PartIds(tokenizer)
+        _cached[tokenizer_file, lower] = PartIds(Tokenizer.from_file(tokenizer_file))
     return _cached[tokenizer_file, lower]
 
 
 class Packer:
     """Sum-of-squares packing of pieces (doc_id, start, ids, tokens of the document)."""
 
-    def __init__(self, size: int, first_id: int = 0):
-        self.size, self.next = size, first_id
+    def __init__(self, size: int, first_id: int = 0, ids: bool = False):
+        self.size, self.next, self.with_ids = size, first_id, ids
         self.count = np.zeros(size + 1, np.int64)
         self.open: list[list[list]] = [[] for _ in range(size + 1)]
         self.rows: list[tuple] = []
+        self.ids: list[np.ndarray] = []
 
     def close(self, parts: list) -> None:
         offset, total = 0, sum(len(p[2]) for p in parts)
         for doc, start, ids, tokens in parts:
             self.rows.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), tokens, self.next, offset, total))
             offset += len(ids)
+            if self.with_ids:
+                self.ids.append(ids)
         self.next += 1
 
     def add(self, doc, ids: np.ndarray) -> None:
@@ -167,12 +178,19 @@ class Packer:
         self.open = [[] for _ in range(self.size + 1)]
 
     def taken(self) -> pa.RecordBatch | None:
-        rows, self.rows = self.rows, []
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], _NAMES) if rows else None
+        rows, ids, self.rows, self.ids = self.rows, self.ids, [], []
+        if not rows:
+            return None
+        columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+        if not self.with_ids:
+            return pa.RecordBatch.from_arrays(columns, _NAMES)
+        at = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+        columns.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(ids).astype(np.int32))))
+        return pa.RecordBatch.from_arrays(columns, [*_NAMES, "ids"])
 
 
-def pack(docs: DataFrame, tokenizer_file: str, size: int = 4096, end_id: int = 2, lower: bool = False) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length.
+def pack(docs: DataFrame, tokenizer_file: str, size: int = 4096, end_id: int = 2, lower: bool = False, ids: bool = False) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length; with ids, the piece's ids too.
 
     tokenizer_file: a vocabulary that drops white space and splits letters from punctuation; lower: it
     also lower-cases. A null or empty text has just the end id. Rows that repeat are packed each; null ids
@@ -183,15 +201,15 @@ def pack(docs: DataFrame, tokenizer_file: str, size: int = 4096, end_id: int = 2
     """
 
     def run(batches):
-        packer = Packer(size, TaskContext.get().partitionId() << 32)
+        packer = Packer(size, TaskContext.get().partitionId() << 32, ids)
         encoder = part_ids(tokenizer_file, lower)
         for keys, chunk in pieces(batches, chars=1 << 20):
-            for key, ids in zip(keys, encoder.encode(chunk, lower), strict=True):
-                packer.add(key, np.append(ids, np.uint32(end_id)).astype("<u4", copy=False))
+            for key, found in zip(keys, encoder.encode(chunk, lower), strict=True):
+                packer.add(key, np.append(found, np.uint32(end_id)).astype("<u4", copy=False))
             if (out := packer.taken()) is not None:
                 yield out
         packer.finish()
         if (out := packer.taken()) is not None:
             yield out
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + (", ids array<int>" if ids else ""))

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lumora.llm.sampling import labelled_texts
+from lumora.llm.sampling import drawn, labelled_texts
 from lumora.llm.text import _INVERSE, Chunk, filter_docs, map_chunks, powers
 
 BITS, WIDTH, NGRAMS = 18, 16, (2, 3, 4)
@@ -95,9 +95,10 @@ def train(rows: list[tuple[str, int]], shares: tuple[float, float] = (0.5, 0.5),
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> QualityModel:
     """Trains on at most per_class documents of each label (0, 1), those with the least hash of doc_id; without labels every text scores the prior."""
-    have = {r[0]: r[1] for r in labels.where(f"{label} in (0, 1)").groupBy(label).count().collect()}
+    labels = labels.where(f"{label} in (0, 1)").select("doc_id", label)
+    have = {r[0]: r[1] for r in labels.groupBy(label).count().collect()}
     total = max(sum(have.values()), 1)
-    return train(labelled_texts(docs, labels, label, per_class, [0, 1]), (have.get(0, 0) / total, have.get(1, 0) / total) if have else (0.5, 0.5))
+    return train(labelled_texts(docs, drawn(labels, label, per_class), label, per_class, ["doc_id"]), (have.get(0, 0) / total, have.get(1, 0) / total) if have else (0.5, 0.5))
 
 
 def logits(chunk: Chunk, table: np.ndarray, bias: float) -> np.ndarray:
@@ -127,6 +128,10 @@ def quality_scores(docs: DataFrame, model: QualityModel, threshold: float = 0.3)
 
 
 def good_enough(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, with all their columns, whose score is at least threshold."""
+    """The rows of docs, with all their columns, whose score is at least threshold.
+
+    Null and empty texts score the prior, and stay or go with it. Rows are judged alone: repeated rows and
+    null ids stay or go each; an empty table gives no rows; further columns, whatever their names, are kept.
+    """
     sent, limit = docs.sparkSession.sparkContext.broadcast(model.folded()), float(np.log(threshold / (1 - threshold)))
     return filter_docs(docs, lambda keys, chunk: logits(chunk, *sent.value) >= limit)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lumora.sources.shared import kept, shared_dir  # noqa: F401  for the operators
+from lumora.sources.shared import delete, drop, kept, shared_dir  # noqa: F401  for the operators
 
 #: Characters that a chunk aims at: the working arrays of a chunk then stay near the CPU's caches.
 CHUNK_CHARS = 1 << 19
@@ -68,6 +68,10 @@ class Chunk:
             self.word_at = at
         return self._words
 
+    def word_hashes(self, folded: bool) -> np.ndarray:
+        s, e, _ = self.words()
+        return self.span(self.sums(folded), s, e)
+
     def sums(self, folded: bool) -> np.ndarray:
         """Running sums; span() makes hashes of them. folded: A to Z count as a to z."""
         cp = self.cp

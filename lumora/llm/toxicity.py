@@ -14,14 +14,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lumora.llm.sampling import labelled_texts
+from lumora.llm.sampling import drawn, labelled_texts
 from lumora.llm.text import _INVERSE, Chunk, map_chunks, powers
 
 BITS, PREFIXES = 20, (4, 5)
 #: Weight of grade 0 in the fit; the other grades share the rest.
 CLEAN_SHARE = 0.7
-#: Features that go into the fit, those most correlated with the grade.
-FEATURES = 4096
+#: Features that the fit starts with, those most correlated with the grade; all others that the penalty lets in follow.
+FIRST_FEATURES = 4096
 #: Labelled documents of each class in the training sample, at most.
 PER_CLASS = 1500
 
@@ -69,58 +69,73 @@ class ToxicityModel:
         return np.maximum(np.diff(edge, axis=1), 0)
 
 
-def train(rows: list[tuple[str, int]], n_grades: int, steps: int = 400, penalty: float = 2e-2) -> ToxicityModel:
-    """Accelerated proximal gradient on the mean negative log-likelihood, grades weighted by CLEAN_SHARE."""
+def train(rows: list[tuple[str, int]], n_grades: int, steps: int = 400, penalty: float = 2e-2, least_docs: int = 3) -> ToxicityModel:
+    """Accelerated proximal gradient on the mean negative log-likelihood, grades weighted by CLEAN_SHARE.
+
+    Features of fewer than least_docs texts are left out. Of the others the fit takes in all whose slope at
+    the solution exceeds the penalty, in as many turns as that needs: the L1 penalty alone selects.
+    """
     y = np.array([g for _, g in rows], np.int64)
     doc, bucket, x = values(Chunk([t for t, _ in rows]))
     used, col = np.unique(bucket, return_inverse=True)
-    seen = np.bincount(col) >= 3  # of documents; rarer features teach nothing that repeats
+    seen = np.bincount(col) >= least_docs
     keep = seen[col]
     doc, col, x = doc[keep], (np.cumsum(seen) - 1)[col[keep]], x[keep]
     used = used[seen]
     share = np.where(np.arange(n_grades) == 0, CLEAN_SHARE, (1 - CLEAN_SHARE) / (n_grades - 1))
     weigh = (share / np.maximum(np.bincount(y, minlength=n_grades), 1))[y]
     weigh /= weigh.sum()
-    # the features that go best with the grade, scaled to unit spread
+    # scaled to unit spread
     mean, square, cross = (np.bincount(col, weights=weigh[doc] * v, minlength=len(used)) for v in (x, x * x, x * y[doc]))
     spread = np.sqrt(np.maximum(square - mean**2, 1e-12))
-    best = np.argsort(-np.abs(cross - mean * (weigh @ y)) / spread, kind="stable")[:FEATURES]
-    place = np.full(len(used), -1)
-    place[best] = np.arange(len(best))
-    keep = place[col] >= 0
-    doc, col, x = doc[keep], place[col[keep]], x[keep]
-    used, spread = used[best], spread[best]
     x = x / spread[col]
-    v = np.ones(len(used) + 1)  # the largest curvature, by power iteration; thresholds count as a column of ones
+    active = np.zeros(len(used), bool)
+    active[np.argsort(-np.abs(cross - mean * (weigh @ y)) / spread, kind="stable")[:FIRST_FEATURES]] = True
+    w, cuts = np.zeros(len(used)), np.linspace(0, n_grades - 2, n_grades - 1)
+    while True:
+        on = active[col]
+        w[active], cuts = _fit((np.cumsum(active) - 1)[col[on]], doc[on], x[on], y, weigh, w[active], cuts, steps, penalty)
+        d_hi, d_lo = _slopes(np.bincount(doc, weights=w[col] * x, minlength=len(y)), cuts, y, weigh)
+        more = ~active & (-np.bincount(col, weights=(d_hi - d_lo)[doc] * x, minlength=len(used)) > penalty * 1.001)
+        if not more.any():
+            break
+        active |= more
+    full = np.zeros(1 << BITS)
+    full[used] = w / spread
+    model = ToxicityModel(full, cuts)
+    d, b, v = values(Chunk([t for t, _ in rows]), full != 0)
+    model.threshold = best_threshold(1 - model.grades(np.bincount(d, weights=full[b] * v, minlength=len(y)))[:, 0], y > 0)
+    return model
+
+
+def _slopes(eta: np.ndarray, cuts: np.ndarray, y: np.ndarray, weigh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How each text's likelihood changes with the threshold above and the one below its grade."""
+    edge = np.concatenate(([-np.inf], cuts, [np.inf]))
+    hi, lo = (1 / (1 + np.exp(-np.clip(edge[y + i] - eta, -500, 500))) for i in (1, 0))
+    p = np.maximum(hi - lo, 1e-9)
+    return hi * (1 - hi) / p * weigh, lo * (1 - lo) / p * weigh
+
+
+def _fit(col: np.ndarray, doc: np.ndarray, x: np.ndarray, y: np.ndarray, weigh: np.ndarray, w: np.ndarray, cuts: np.ndarray, steps: int, penalty: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the columns and thresholds, from w and cuts on."""
+    v = np.ones(len(w) + 1)  # the largest curvature, by power iteration; thresholds count as a column of ones
     for _ in range(30):
         v /= max(np.linalg.norm(v), 1e-12)
         r = weigh * (np.bincount(doc, weights=v[col] * x, minlength=len(y)) + v[-1])
-        v = np.concatenate((np.bincount(col, weights=r[doc] * x, minlength=len(used)), [r.sum()]))
+        v = np.concatenate((np.bincount(col, weights=r[doc] * x, minlength=len(w)), [r.sum()]))
     step = 1 / max(0.5 * np.linalg.norm(v), 1e-12)
-    w = look = np.zeros(len(used))
-    cuts = cuts_look = np.linspace(0, n_grades - 2, n_grades - 1)
-    momentum = 1.0
+    look, cuts_look, momentum = w, cuts, 1.0
     for _ in range(steps):
-        eta = np.bincount(doc, weights=look[col] * x, minlength=len(y))
-        edge = np.concatenate(([-np.inf], cuts_look, [np.inf]))
-        hi, lo = (1 / (1 + np.exp(-np.clip(edge[y + i] - eta, -500, 500))) for i in (1, 0))
-        p = np.maximum(hi - lo, 1e-9)
-        d_hi, d_lo = hi * (1 - hi) / p * weigh, lo * (1 - lo) / p * weigh
-        g = np.bincount(col, weights=(d_hi - d_lo)[doc] * x, minlength=len(used))
-        g_cuts = np.array([d_lo[y == k + 1].sum() - d_hi[y == k].sum() for k in range(n_grades - 1)])
-        new = look - step * g
-        new = np.maximum(new - step * penalty, 0)  # no word makes a text less toxic
+        d_hi, d_lo = _slopes(np.bincount(doc, weights=look[col] * x, minlength=len(y)), cuts_look, y, weigh)
+        g = np.bincount(col, weights=(d_hi - d_lo)[doc] * x, minlength=len(w))
+        g_cuts = np.array([d_lo[y == k + 1].sum() - d_hi[y == k].sum() for k in range(len(cuts))])
+        new = np.maximum(look - step * (g + penalty), 0)  # no word makes a text less toxic
         new_cuts = np.maximum.accumulate(cuts_look - step * g_cuts)
         after = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         push = (momentum - 1) / after
-        look, cuts_look = new + push * (new - w), np.maximum.accumulate(new_cuts + push * (new_cuts - cuts) + 1e-6 * np.arange(n_grades - 1))
+        look, cuts_look = new + push * (new - w), np.maximum.accumulate(new_cuts + push * (new_cuts - cuts) + 1e-6 * np.arange(len(cuts)))
         w, cuts, momentum = new, new_cuts, after
-    full = np.zeros(1 << BITS)
-    full[used] = w / spread
-    model = ToxicityModel(full, cuts)
-    d, b, v = values(Chunk([t for t, _ in rows]), full != 0)
-    model.threshold = best_threshold(1 - model.grades(np.bincount(d, weights=full[b] * v, minlength=len(y)))[:, 0], y > 0)
-    return model
+    return w, cuts
 
 
 def best_threshold(score: np.ndarray, positive: np.ndarray) -> float:
@@ -154,14 +169,15 @@ def graded(rows: list[tuple[str, int]], levels: int = 3) -> list[tuple[str, int]
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, levels: int = 3) -> ToxicityModel:
     """From labels 0 and 1, on at most per_class documents of each, those with the least hash of doc_id. Without any toxic label every text has grade 0."""
-    rows = labelled_texts(docs, labels, label, per_class, [0, 1])
+    labels = labels.where(f"{label} in (0, 1)").select("doc_id", label)
+    rows = labelled_texts(docs, drawn(labels, label, per_class), label, per_class, ["doc_id"])
     if not any(y for _, y in rows):
         return ToxicityModel(np.zeros(1 << BITS), np.linspace(10, 12, levels))
     return train(graded(rows, levels), levels + 1)
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """Per row: doc_id, score (probability of any grade above 0), severity (expected grade), grade (likeliest), toxic (1 if score >= the model's threshold).
+    """Per row: doc_id, score (probability of any grade above 0), severity (expected grade), grade (likeliest, the lower of equally likely ones), toxic (1 if score >= the model's threshold).
 
     Null and empty texts have no features and score what the thresholds alone give. Texts are scored
     whole. Rows are scored alone: repeated rows and null ids come back as they are; an empty table gives

@@ -8,15 +8,45 @@ from __future__ import annotations
 
 import string
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: The default vocabulary.
-STRICT = ("porn", "porno", "xxx", "hentai", "viagra", "casino", "spam", "warez", "camgirls", "malware")
-SOFT = {"adult": 2, "bet": 1, "bets": 1, "betting": 1, "cheap": 1, "escort": 2, "farm": 1, "free": 1, "jackpot": 1, "loan": 1, "loans": 1, "pills": 1, "poker": 1, "sex": 2, "win": 1, "x": 1}
+#: The default vocabulary, by language. One strict term blocks.
+STRICT_TERMS = """
+porn porno pornos xxx hentai milf camgirls camgirl nudes escorts viagra cialis levitra casino casinos spam warez malware keygen phishing ransomware
+pornografico pornografica putas casinos-online
+pornographie pornographique putes
+pornografie huren kasino
+pornografia puttane bordello
+putaria cassino
+porevo kazino
+"""
+#: Soft terms with their weights; two different ones block when their weights reach the limit.
+SOFT_TERMS = """
+adult 2 bet 1 bets 1 betting 1 cheap 1 escort 2 farm 1 free 1 jackpot 1 loan 1 loans 1 pills 1 poker 1 sex 2 win 1 x 1 sexy 2 nude 2 naked 2 erotic 2 dating 1 webcam 1 slots 1 roulette 1 blackjack 1 gambling 2 lottery 1 bonus 1 payday 1 crack 1 torrent 1 replica 1 pharmacy 1 hookup 2 fetish 2 topless 2
+adultos 2 apuestas 1 gratis 1 prestamos 1 sexo 2 desnudas 2 loteria 1 farmacia 1
+adulte 2 paris-sportifs 1 gratuit 1 pret 1 sexe 2 nue 2 loterie 1 pharmacie 1
+erotik 2 wetten 1 kostenlos 1 kredit 1 nackt 2 lotto 1 apotheke 1
+scommesse 1 prestiti 1 sesso 2 nuda 2 lotteria 1
+apostas 1 emprestimos 1 nuas 2 sorteio 1
+stavki 1 besplatno 1 seks 2 kredity 1
+"""
 SOFT_LIMIT = 2
 
+
+def vocabulary(text: str) -> dict[str, int]:
+    """Terms of a vocabulary text, each followed by its weight (0 where none follows)."""
+    out: dict[str, int] = {}
+    for word in text.split():
+        if word.isdigit():
+            out[next(reversed(out))] = int(word)
+        else:
+            out[word] = 0
+    return out
+
+
+STRICT, SOFT = tuple(vocabulary(STRICT_TERMS)), vocabulary(SOFT_TERMS)
+
 _FOLD = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 _TOUCHES = frozenset(string.ascii_lowercase + string.digits)
 
@@ -33,7 +63,9 @@ def split_url(url: str | None) -> tuple[str, str, str]:
     return rest[:end].translate(_FOLD), after[:stop], rest
 
 
-def automaton(strict=STRICT, soft=SOFT) -> ahocorasick.Automaton:
+def automaton(strict=STRICT, soft=SOFT):
+    import ahocorasick  # where it runs: on executors
+
     a = ahocorasick.Automaton()
     for t in strict:
         a.add_word(t, (t, 0))
@@ -43,7 +75,7 @@ def automaton(strict=STRICT, soft=SOFT) -> ahocorasick.Automaton:
     return a
 
 
-def vocabulary_blocks(a: ahocorasick.Automaton, text: str, limit: int = SOFT_LIMIT) -> bool:
+def vocabulary_blocks(a, text: str, limit: int = SOFT_LIMIT) -> bool:
     low, soft = text.translate(_FOLD), {}
     for end, (term, weight) in a.iter(low):
         before = end - len(term)

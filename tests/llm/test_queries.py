@@ -160,7 +160,6 @@ def test_packing_is_a_round_trip(spark, folder):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.vocabulary_path())
-    t.encode_special_tokens = True
     got = queries.op5_packing(spark, folder).toPandas()
     for d in documents(folder):
         ids = t.encode(d["text"] or "", add_special_tokens=False).ids + [2]
