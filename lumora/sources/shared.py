@@ -9,16 +9,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder only where the session names none, as in tests."""
+    """spark.checkpoint.dir; a local folder only where the session names none and runs on one machine, as in tests."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if given:
         return given
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lumora-"))
     return spark.sparkContext.getCheckpointDir()
 
 
 def kept(df: DataFrame, what: str) -> DataFrame:
-    """df written as Parquet and read again."""
+    """df written as Parquet and read again; drop() deletes the files once nothing reads them any more."""
     path = f"{shared_dir(df.sparkSession)}/lumora-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_path = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Deletes what kept() wrote for these frames."""
+    for df in frames:
+        delete(df.sparkSession, df.kept_path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """A folder of the shared file system, whichever that is."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
