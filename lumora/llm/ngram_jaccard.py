@@ -23,6 +23,8 @@ a component with one another, block by block.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +41,7 @@ SEEN = 1 << 20
 #: A shingle's list up to so long is searched for pairs at once; longer ones go on whole.
 LONG = 64
 #: Members that are verified against one lead in one group, postings of a shingle and size that meet in one group, and leads that a set is sent to at once; more are dealt to several.
-MEMBERS, MEETING, LEADS = 1000, 1000, 64
+MEMBERS, MEETING, LEADS = 128, 1000, 64
 #: Different sets and shingles in a block of a component, about; two blocks' shared shingles are matrix products of so many columns.
 BLOCK_SETS, BLOCK_SHINGLES, COLUMNS = 512, 1 << 20, 4096
 #: Up to so many ids are sent to all executors; more are joined by a shuffle.
@@ -96,25 +98,25 @@ def signatures(docs: DataFrame, words: int = 5, bits: int = LEAST_BITS) -> DataF
             total[u.astype(np.int64)] += c.astype(np.uint32)
             yield pa.RecordBatch.from_arrays([pa.array(["d"] * len(sets)), pa.array(keys, pa.int64()), pa.array([_fingerprint(x) for x in sets]), pa.array([len(x) for x in sets], pa.int64()), pa.array([_ranges(x) if len(x) else None for x in sets], pa.binary())], ["kind", "doc_id", "node", "n", "counts"])
         if total.any():
-            total, salt = np.minimum(total, 65535).astype(np.uint16), int(total.sum()) & 31
+            salt = int(total.sum()) & 7
             for i in range(len(total) // SKETCH_ROW):
-                yield pa.RecordBatch.from_arrays([pa.array(["s"]), pa.nulls(1, pa.int64()), pa.array([salt]), pa.array([i], pa.int64()), pa.array([total[i * SKETCH_ROW : (i + 1) * SKETCH_ROW].tobytes()], pa.binary())], ["kind", "doc_id", "node", "n", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(["s"]), pa.nulls(1, pa.int64()), pa.array([salt]), pa.array([i], pa.int64()), pa.array([zlib.compress(total[i * SKETCH_ROW : (i + 1) * SKETCH_ROW].tobytes(), 1)], pa.binary())], ["kind", "doc_id", "node", "n", "counts"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "kind string, doc_id long, node long, n long, counts binary")
 
 
-def _summed(rows: DataFrame, width: type, *by: str) -> DataFrame:
-    """Sketch rows (numbers of that width) added up, a running sum for each n of a partition: memory doesn't grow with the rows."""
+def _summed(rows: DataFrame, *by: str) -> DataFrame:
+    """Sketch rows added up, a running sum for each n of a partition: memory doesn't grow with the rows."""
 
     def run(batches):
         sums: dict[tuple, np.ndarray] = {}
         for b in batches:
             for node, n, c in zip(b.column("node").to_pylist(), b.column("n").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                x = np.frombuffer(c, width)
+                x = np.frombuffer(zlib.decompress(c), np.uint32)
                 k = (node, n) if len(by) > 1 else (0, n)
                 sums[k] = np.minimum(sums[k] + x.astype(np.uint64), 2**32 - 1) if k in sums else x.astype(np.uint64)
         for (node, n), x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.array([n], pa.int64()), pa.array([x.astype(np.uint32).tobytes()], pa.binary())], ["node", "n", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.array([n], pa.int64()), pa.array([zlib.compress(x.astype(np.uint32).tobytes(), 1)], pa.binary())], ["node", "n", "counts"])
 
     return rows.select("node", "n", "counts").repartition(*by).mapInArrow(run, "node long, n long, counts binary")
 
@@ -122,8 +124,8 @@ def _summed(rows: DataFrame, width: type, *by: str) -> DataFrame:
 def corpus_counts(sketch: DataFrame, bits: int) -> np.ndarray:
     """The bucket counts, added in two steps (2^MOST_BITS times 4 bytes at most, whatever the corpus)."""
     out = np.zeros(1 << bits, np.uint32)
-    for r in _summed(_summed(sketch, np.uint16, "n", "node"), np.uint32, "n").toLocalIterator():
-        out[r.n * SKETCH_ROW : (r.n + 1) * SKETCH_ROW] = np.frombuffer(r.counts, np.uint32)
+    for r in _summed(_summed(sketch, "n", "node"), "n").toLocalIterator():
+        out[r.n * SKETCH_ROW : (r.n + 1) * SKETCH_ROW] = np.frombuffer(zlib.decompress(r.counts), np.uint32)
     return out
 
 

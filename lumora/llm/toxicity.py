@@ -69,7 +69,7 @@ class ToxicityModel:
         return np.maximum(np.diff(edge, axis=1), 0)
 
 
-def train(rows: list[tuple[str, int]], n_grades: int, steps: int = 400, penalty: float = 2e-2, least_docs: int = 3) -> ToxicityModel:
+def train(rows: list[tuple[str, int]], n_grades: int, steps: int = 400, penalty: float = 3e-2, least_docs: int = 3) -> ToxicityModel:
     """Accelerated proximal gradient on the mean negative log-likelihood, grades weighted by CLEAN_SHARE.
 
     Features of fewer than least_docs texts are left out. Of the others the fit takes in all whose slope at
@@ -87,7 +87,10 @@ def train(rows: list[tuple[str, int]], n_grades: int, steps: int = 400, penalty:
     weigh /= weigh.sum()
     # scaled to unit spread
     mean, square, cross = (np.bincount(col, weights=weigh[doc] * v, minlength=len(used)) for v in (x, x * x, x * y[doc]))
-    spread = np.sqrt(np.maximum(square - mean**2, 1e-12))
+    spread = np.sqrt(np.maximum(square - mean**2, 0))
+    varies = spread > 1e-6  # what all texts have alike says nothing
+    keep, used, cross, mean = varies[col], used[varies], cross[varies], mean[varies]
+    doc, col, x, spread = doc[keep], (np.cumsum(varies) - 1)[col[keep]], x[keep], spread[varies]
     x = x / spread[col]
     active = np.zeros(len(used), bool)
     active[np.argsort(-np.abs(cross - mean * (weigh @ y)) / spread, kind="stable")[:FIRST_FEATURES]] = True
