@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from lumora.llm.components import components
 from lumora.llm.text import Chunk, drop, kept, shingles
 
-#: Bits of the number of buckets for the corpus's shingle counts, at least and at most, documents for each 16 buckets; buckets in a row of counts.
+#: Bits of the number of buckets for the corpus's shingle counts (some eight a document), at least and at most; buckets in a row of counts.
 LEAST_BITS, MOST_BITS, SKETCH_ROW = 20, 23, 1 << 14
 #: Sets whose fingerprints a task remembers so as not to post them twice.
 SEEN = 1 << 20
@@ -81,8 +81,17 @@ def _may_link(percent: int, n: int, a: bytes, m: int, b: bytes) -> bool:
     return n + m - apart >= 2 * -(-percent * (n + m) // (100 + percent))
 
 
+def _pressed(x: np.ndarray) -> bytes:
+    """Counts compressed by planes of bytes: most are small, so that all but the lowest are zeros."""
+    return zlib.compress(np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unpressed(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
 def sketch_bits(docs: DataFrame) -> int:
-    return min(MOST_BITS, max(LEAST_BITS, (docs.count() * 16).bit_length()))
+    return min(MOST_BITS, max(LEAST_BITS, (docs.count() * 8).bit_length()))
 
 
 def signatures(docs: DataFrame, words: int = 5, bits: int = LEAST_BITS) -> DataFrame:
@@ -100,7 +109,7 @@ def signatures(docs: DataFrame, words: int = 5, bits: int = LEAST_BITS) -> DataF
         if total.any():
             salt = int(total.sum()) & 7
             for i in range(len(total) // SKETCH_ROW):
-                yield pa.RecordBatch.from_arrays([pa.array(["s"]), pa.nulls(1, pa.int64()), pa.array([salt]), pa.array([i], pa.int64()), pa.array([zlib.compress(total[i * SKETCH_ROW : (i + 1) * SKETCH_ROW].tobytes(), 1)], pa.binary())], ["kind", "doc_id", "node", "n", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(["s"]), pa.nulls(1, pa.int64()), pa.array([salt]), pa.array([i], pa.int64()), pa.array([_pressed(total[i * SKETCH_ROW : (i + 1) * SKETCH_ROW])], pa.binary())], ["kind", "doc_id", "node", "n", "counts"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "kind string, doc_id long, node long, n long, counts binary")
 
@@ -112,11 +121,11 @@ def _summed(rows: DataFrame, *by: str) -> DataFrame:
         sums: dict[tuple, np.ndarray] = {}
         for b in batches:
             for node, n, c in zip(b.column("node").to_pylist(), b.column("n").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                x = np.frombuffer(zlib.decompress(c), np.uint32)
+                x = _unpressed(c)
                 k = (node, n) if len(by) > 1 else (0, n)
                 sums[k] = np.minimum(sums[k] + x.astype(np.uint64), 2**32 - 1) if k in sums else x.astype(np.uint64)
         for (node, n), x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.array([n], pa.int64()), pa.array([zlib.compress(x.astype(np.uint32).tobytes(), 1)], pa.binary())], ["node", "n", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.array([n], pa.int64()), pa.array([_pressed(x)], pa.binary())], ["node", "n", "counts"])
 
     return rows.select("node", "n", "counts").repartition(*by).mapInArrow(run, "node long, n long, counts binary")
 
@@ -125,7 +134,7 @@ def corpus_counts(sketch: DataFrame, bits: int) -> np.ndarray:
     """The bucket counts, added in two steps (2^MOST_BITS times 4 bytes at most, whatever the corpus)."""
     out = np.zeros(1 << bits, np.uint32)
     for r in _summed(_summed(sketch, "n", "node"), "n").toLocalIterator():
-        out[r.n * SKETCH_ROW : (r.n + 1) * SKETCH_ROW] = np.frombuffer(zlib.decompress(r.counts), np.uint32)
+        out[r.n * SKETCH_ROW : (r.n + 1) * SKETCH_ROW] = _unpressed(r.counts)
     return out
 
 
@@ -220,11 +229,15 @@ def shared_postings(postings: DataFrame, percent: int) -> DataFrame:
     return postings.repartition("shingle").sortWithinPartitions("shingle", "pos", "node").mapInArrow(run, "shingle long, pos int, node long, n int, lead long, fits boolean")
 
 
-def proposed(pairs: DataFrame, names: DataFrame, percent: int) -> DataFrame:
-    """lead, member: each pair of nodes (lead, member) once, whichever is which, of those that the suffix filter lets through. names: node, n, ranges."""
+def proposed(pairs: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """lead, member: each pair of nodes (lead, member) once, whichever is which, of those that the suffix filter lets through. named: node, n, ranges, a row or more for each node."""
     low, high = F.least("lead", "member"), F.greatest("lead", "member")
     once = pairs.where("lead != member").groupBy(low.alias("a"), high.alias("b")).agg(F.min("lead").alias("lead"))
     once = once.select("lead", F.when(F.col("lead") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("member"))
+    once = kept(once, "once")
+    nodes = kept(once.select(F.col("lead").alias("node")).union(once.select("member")).distinct(), "nodes")
+    names = named.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("ranges").alias("ranges"))
+    names = kept(names, "ranges")
     for side in ("lead", "member"):
         once = once.join(names.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("ranges").alias(f"{side}_r")), side)
 
@@ -234,7 +247,9 @@ def proposed(pairs: DataFrame, names: DataFrame, percent: int) -> DataFrame:
             if any(keep):
                 yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(keep)) for c in ("lead", "member")], ["lead", "member"])
 
-    return once.mapInArrow(run, "lead long, member long")
+    out = kept(once.mapInArrow(run, "lead long, member long"), "pairs")
+    drop(nodes, names)
+    return out
 
 
 def verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, percent: int, words: int = 5) -> DataFrame:
@@ -327,17 +342,17 @@ def _grouped(docs: DataFrame, percent: int, words: int) -> tuple[DataFrame, Data
     seen = kept(signatures(docs, words, bits), "signatures")
     marks = seen.where("kind = 'd'").select("doc_id", "node", "n")
     counts = corpus_counts(seen.where("kind = 's'"), bits)
-    named = seen.where("kind = 'd' and doc_id is not null and n > 0")
-    names = named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("counts").alias("ranges"))
+    named = seen.where("kind = 'd' and doc_id is not null and n > 0").select("doc_id", "node", "n", F.col("counts").alias("ranges"))
+    names = named.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     shared = kept(shared_postings(prefix_postings(docs.where("doc_id is not null"), counts, percent, words), percent), "postings")
 
-    first = kept(proposed(shared.where("fits").select("lead", F.col("node").alias("member")), names, percent), "pairs")
+    first = proposed(shared.where("fits").select("lead", F.col("node").alias("member")), named, percent)
     links = verified(first, docs, names, percent, words)
     groups = components(links)
     second = _second_round(shared, groups, percent)
     if second is not None:
         done = first.select(F.least("lead", "member").alias("lead"), F.greatest("lead", "member").alias("member"))
-        second = kept(proposed(second.distinct().join(done, ["lead", "member"], "left_anti"), names, percent), "pairs")
+        second = proposed(second.join(done, ["lead", "member"], "left_anti"), named, percent)
         if not second.isEmpty():
             links = links.union(verified(second, docs, names, percent, words))
             groups = components(links)
