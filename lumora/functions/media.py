@@ -61,8 +61,8 @@ def rating_from_path(path: Column) -> Column:
 
 
 def argmax_label(probabilities: Column, table: dict[str, str] = CLASS_MAP) -> Column:
-    """Label of a map's largest value, mapped to a rating; among equals the last name."""
-    best = F.array_max(F.transform(F.map_entries(probabilities), lambda e: F.struct(e["value"].alias("p"), e["key"].alias("k"))))
+    """Label of a map's largest value, mapped to a rating; among equals the first key."""
+    best = F.array_max(F.transform(F.map_entries(probabilities), lambda e, i: F.struct(e["value"].alias("p"), (-i).alias("i"), e["key"].alias("k"))))
     return mapped(best["k"], table)
 
 
@@ -120,12 +120,65 @@ def xywh_to_corners(box: Column) -> Column:
     return F.array(box[0], box[1], box[0] + box[2], box[1] + box[3])
 
 
+def regions(detections: Column) -> Column:
+    """label, score (4 decimals), box as corners of each detection (class, score, box as x, y, width, height)."""
+    return F.transform(detections, lambda d: F.struct(d["class"].alias("label"), F.round(d["score"], 4).alias("score"), xywh_to_corners(d["box"]).alias("box")))
+
+
+def face_regions(found: Column, label: str = "face") -> Column:
+    """Regions whose label holds label in any case and whose box has an area."""
+    return F.filter(found, lambda r: F.lower(r["label"]).contains(label) & (r["box"][2] > r["box"][0]) & (r["box"][3] > r["box"][1]))
+
+
+def relative_path(slug: Column, filename: Column, media: Column) -> Column:
+    """Where a new file goes: library/<person>/videos or _unsorted; files of nobody below _unsorted."""
+    return F.concat_ws("/", F.when(slug == "_unsorted", "_unsorted").otherwise("library"), slug, F.when(media == "video", "videos").otherwise("_unsorted"), filename)
+
+
+def sample_times(duration: Column, scenes: Column, n: int = 12) -> Column:
+    """Times at which a thumbnail is looked for: the scenes' midpoints (of four or more without the first and the last), else n points from 8 to 92 percent; 0 for an empty clip."""
+    mids = F.transform(scenes, lambda s: (s["start"] + s["end"]) / 2.0)
+    inner = F.when(F.size(mids) >= 4, F.slice(mids, F.lit(2), F.greatest(F.size(mids) - 2, F.lit(0)))).otherwise(mids)
+    even = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: duration * 0.08 + (duration * 0.92 - duration * 0.08) * i / (n - 1))
+    return F.when(F.size(scenes) > 0, inner).when(duration <= 0, F.array(F.lit(0.0))).otherwise(even)
+
+
+def sprite_cues(url: Column, count: Column, interval: float, cols: int, width: int, height: int) -> Column:
+    """WebVTT text of a sprite sheet: cue i shows tile i, row by row, for one interval."""
+    def cue(i):
+        at = F.concat(vtt_time(i * F.lit(float(interval))), F.lit(" --> "), vtt_time((i + 1) * F.lit(float(interval))))
+        box = F.concat_ws(",", (i % cols * width).cast("string"), (F.floor(i / cols) * height).cast("string"), F.lit(str(width)), F.lit(str(height)))
+        return F.concat(at, F.lit("\n"), url, F.lit("#xywh="), box, F.lit("\n"))
+
+    cues = F.when(count > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(count.cast("long") - 1, F.lit(0))), cue)).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(F.array(F.lit("WEBVTT"), F.lit("")), cues), "\n")
+
+
+#: The parts of a probe's JSON that a video row needs.
+PROBE = "format struct<duration:string,bit_rate:string>, streams array<struct<codec_type:string,codec_name:string,duration:string,width:string,height:string,r_frame_rate:string,avg_frame_rate:string,tags:struct<rotate:string>,side_data_list:array<struct<rotation:string>>>>"
+
+
+def probed(text: Column) -> Column:
+    """duration, width, height (as shown), fps, codec, bitrate, has_audio of a probe's JSON; null where it doesn't parse (such videos are quarantined)."""
+    p = F.from_json(text, PROBE)
+    v = F.try_element_at(F.filter(p["streams"], lambda s: s["codec_type"] == "video"), F.lit(1))
+    whole = lambda x: x.try_cast("int")
+    w, h = whole(v["width"]), whole(v["height"])
+    both = w.isNotNull() & h.isNotNull()
+    turn = F.coalesce(F.try_element_at(F.filter(F.transform(v["side_data_list"], lambda d: d["rotation"].try_cast("double")), lambda r: r.isNotNull()), F.lit(-1)), v["tags"]["rotate"].try_cast("double"), F.lit(0.0)).cast("int")
+    swap = rotation(turn).isin(90, 270)
+    return F.when(p["streams"].isNotNull() | p["format"].isNotNull(), F.struct(
+        F.coalesce(p["format"]["duration"].try_cast("double"), v["duration"].try_cast("double")).alias("duration"),
+        F.when(both, F.when(swap, h).otherwise(w)).alias("width"), F.when(both, F.when(swap, w).otherwise(h)).alias("height"),
+        F.coalesce(frame_rate(v["r_frame_rate"]), frame_rate(v["avg_frame_rate"])).alias("fps"), v["codec_name"].alias("codec"),
+        p["format"]["bit_rate"].try_cast("int").alias("bitrate"),
+        F.coalesce(F.exists(p["streams"], lambda s: s["codec_type"] == "audio"), F.lit(False)).cast("int").alias("has_audio")))
+
+
 def run_key(explicit: Column, parts: list[Column], config: Column) -> Column:
-    """The given key, else the joined parts, else a hash of the configuration's JSON."""
-    whole = None
-    for p in parts:
-        whole = p.isNotNull() if whole is None else whole & p.isNotNull()
-    return F.coalesce(explicit, F.when(whole, F.concat_ws("|", *parts)), F.concat(F.lit("auto:"), F.substr(F.sha2(F.to_json(config), 256), F.lit(1), F.lit(16))))
+    """The given key if it isn't empty, else those parts that are there, joined, else a hash of the configuration (a map) as JSON with its keys in order."""
+    ordered = F.map_from_entries(F.array_sort(F.map_entries(config)))
+    return F.coalesce(F.nullif(explicit, F.lit("")), F.nullif(F.concat_ws("|", *parts), F.lit("")), F.concat(F.lit("auto:"), F.substr(F.sha2(F.to_json(ordered), 256), F.lit(1), F.lit(16))))
 
 
 def json_object_in(text: Column) -> Column:
@@ -135,6 +188,20 @@ def json_object_in(text: Column) -> Column:
     return F.when((first > 0) & (F.instr(text, "}") > 0) & (last > first), F.substr(text, first, last - first + 1))
 
 
+def validated(category: Column, value: Column, enums: dict[str, list[str]], remaps: dict[str, dict[str, str]]) -> Column:
+    """struct<value, note>: a category without an enum passes as it is; else exact, remapped (note REMAP) or the first allowed (note CLAMP)."""
+    out, note = value, F.lit(None).cast("string")
+    for name, allowed in enums.items():
+        clean = F.lower(F.trim(value))
+        table = remaps.get(name) or {"": ""}
+        to = F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), clean)
+        to = F.nullif(to, F.lit(""))
+        said = F.when(clean.isin(*allowed), None).when(to.isNotNull(), F.format_string(f"REMAP {name}: '%s' → '%s'", value, to)).otherwise(F.format_string(f"CLAMP {name}: '%s' → '{allowed[0]}' (default)", value))
+        fixed = F.when(clean.isin(*allowed), clean).otherwise(F.coalesce(to, F.lit(allowed[0])))
+        out, note = F.when(category == name, fixed).otherwise(out), F.when(category == name, said).otherwise(note)
+    return F.struct(out.alias("value"), note.alias("note"))
+
+
 def corrected(value: Column, allowed: list[str], remap: dict[str, str]) -> Column:
     """Exact, else remapped, else the first allowed."""
     clean = F.lower(F.trim(value))

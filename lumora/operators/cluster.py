@@ -29,10 +29,17 @@ def _blocks(vectors: DataFrame, by: str) -> DataFrame:
     return rows.groupBy(by, "block").applyInArrow(packed, f"{by} {dict(vectors.dtypes)[by]}, block int, ids array<long>, m binary")
 
 
-def _pairs_of_blocks(blocks: DataFrame, by: str) -> DataFrame:
-    a = blocks.select(by, F.col("block").alias("p"), F.col("ids").alias("a_ids"), F.col("m").alias("a_m"))
-    b = blocks.select(by, F.col("block").alias("q"), F.col("ids").alias("b_ids"), F.col("m").alias("b_m"))
-    return a.join(b, by).where("p <= q")
+def _pairs_of_blocks(blocks: DataFrame, by: str, others: DataFrame | None = None) -> DataFrame:
+    """Each pair of blocks of one by (p <= q), or each block with each of others, on a key of its own: pairs are dealt to all tasks."""
+    b = blocks if others is None else others
+    last_p, last_q = (x.agg(F.max("block")).first()[0] or 0 for x in (blocks, b))
+    p, q = F.col("block").alias("p"), F.col("block").alias("q")
+    to_q = F.explode(F.sequence(F.col("block") if others is None else F.lit(0), F.lit(last_q))).alias("q")
+    to_p = F.explode(F.sequence(F.lit(0), F.col("block") if others is None else F.lit(last_p))).alias("p")
+    left = blocks.select(by, p, F.col("ids").alias("a_ids"), F.col("m").alias("a_m"), to_q)
+    extra = [c for c in b.columns if c not in (by, "block", "ids", "m")]
+    right = b.select(by, q, F.col("ids").alias("b_ids"), F.col("m").alias("b_m"), *extra, to_p)
+    return left.join(right.hint("shuffle_hash"), [by, "p", "q"])
 
 
 def _near(row: dict, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -99,7 +106,7 @@ def dbscan(vectors: DataFrame, eps: float, least: int, by: str = "embedder") ->
     core_blocks = kept(_blocks(core, by), "blocks")
     groups = components(core.select("id"), spanning_edges(core_blocks, by, eps))
     rest = vectors.select("id", by, "v").join(core.select("id"), "id", "left_anti")
-    rest_blocks = _blocks(rest, by)
+    rest_blocks = kept(_blocks(rest, by), "blocks")
     named = kept(groups, "groups")
 
     def touch(batches):
@@ -114,9 +121,8 @@ def dbscan(vectors: DataFrame, eps: float, least: int, by: str = "embedder") ->
                     yield pa.RecordBatch.from_arrays([pa.array(a[on]), pa.array(best[on])], ["id", "cluster"])
 
     with_names = core_blocks.select(by, F.col("block").alias("q"), F.posexplode("ids").alias("pos", "id")).join(named, "id").groupBy(by, "q").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "component"))), lambda s: s["component"]).alias("clusters"))
-    b = core_blocks.select(by, F.col("block").alias("q"), F.col("ids").alias("b_ids"), F.col("m").alias("b_m")).join(with_names, [by, "q"])
-    a = rest_blocks.select(by, F.col("ids").alias("a_ids"), F.col("m").alias("a_m"))
-    border = a.join(b, by).mapInArrow(touch, "id long, cluster long").groupBy("id").agg(F.min("cluster").alias("cluster"))
+    b = core_blocks.join(with_names.withColumnRenamed("q", "block"), [by, "block"])
+    border = _pairs_of_blocks(rest_blocks, by, b).mapInArrow(touch, "id long, cluster long").groupBy("id").agg(F.min("cluster").alias("cluster"))
     found = named.select("id", F.col("component").alias("cluster")).union(border)
     return vectors.select("id", by).join(found, "id", "left").select("id", by, F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"))
 

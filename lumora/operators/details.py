@@ -81,3 +81,58 @@ def blended(scores: DataFrame, by: str, weight: float) -> DataFrame:
 def best_of_each(scores: DataFrame, by: str) -> DataFrame:
     """The highest score of each by, the smallest id where equal."""
     return scores.groupBy(by).agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("b")).select(by, F.col("b.id").alias("id"), (-F.col("b.s")).alias("score"))
+
+
+def results(assets: DataFrame, tags: DataFrame, labels: DataFrame, rating_set: str, rating_tag: str) -> DataFrame:
+    """assets with tags (structs of category, value, confidence, in order) and rating: the label's, else the machine tag's first, else null."""
+    t = tags.groupBy(F.col("image_id").alias("id")).agg(F.array_sort(F.collect_set(F.struct("category", "value", "confidence"))).alias("tags"))
+    r = labels.where(F.col("set_name") == rating_set).groupBy(F.col("asset_id").alias("id")).agg(F.min("value").alias("label"))
+    out = assets.join(t, "id", "left").join(r, "id", "left")
+    machine = F.try_element_at(F.filter("tags", lambda x: x["category"] == rating_tag), F.lit(1))["value"]
+    return out.withColumn("rating", F.coalesce("label", machine)).drop("label")
+
+
+def full(assets: DataFrame, children: dict[str, DataFrame]) -> DataFrame:
+    """assets (id) with each child table's rows (id and any columns) as an ordered array of structs, empty where there are none; each child is gathered before its join."""
+    for name, rows in children.items():
+        columns = [c for c in rows.columns if c != "id"]
+        g = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+        assets = assets.join(g, "id", "left").withColumn(name, F.coalesce(name, F.filter(F.array(F.struct(*(F.lit(None).cast(t).alias(c) for c, t in rows.dtypes if c != "id"))), lambda x: F.lit(False))))
+    return assets
+
+
+def in_rank_order(ranked: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows (id) of the ranked ids (id, rank), by rank; ids without a row are skipped."""
+    return ranked.select("id", "rank").join(rows, "id").orderBy("rank")
+
+
+def ordered_scenes(videos: DataFrame, scenes: DataFrame) -> DataFrame:
+    """videos (id) with their scenes (video, scene, lo, hi) in order."""
+    return full(videos, {"scenes": scenes.withColumnRenamed("video", "id").select("id", "scene", "lo", "hi")})
+
+
+def unprocessed(assets: DataFrame, person: str | None, most: int) -> DataFrame:
+    """The first most assets by id that are not processed, of a person if one is given."""
+    rows = assets.where("not processed")
+    return (rows if person is None else rows.where(F.col("person") == person)).orderBy("id").limit(most)
+
+
+def grid_record(ids: DataFrame, name: str) -> DataFrame:
+    """name, n, image_ids: a grid's ids (id, rank) as a JSON list in order."""
+    g = ids.agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("x"))
+    return g.select(F.lit(name).alias("name"), "n", F.to_json(F.transform("x", lambda s: s["id"])).alias("image_ids"))
+
+
+def examples(vectors: DataFrame, positive: DataFrame, negative: DataFrame) -> DataFrame:
+    """id, v, side: pos, neg or unlabelled for each stored vector; an id in both lists is pos."""
+    p, n = positive.select("id", F.lit(True).alias("_p")), negative.select("id", F.lit(True).alias("_n"))
+    j = vectors.join(p.distinct(), "id", "left").join(n.distinct(), "id", "left")
+    return j.select("id", "v", F.when(F.col("_p"), "pos").when(F.col("_n"), "neg").otherwise("unlabelled").alias("side"))
+
+
+def outcomes(videos: DataFrame, done: DataFrame) -> DataFrame:
+    """quarantined, skipped, processed, failed: what a backfill over videos (id, processed) did, given done (id, ok) for those it tried."""
+    d = done.groupBy("id").agg(F.bool_or("ok").alias("ok"))
+    j = videos.join(d, "id", "left")
+    open_ = F.col("processed") == 0
+    return j.agg(F.count_if(F.col("processed") == -1).alias("quarantined"), F.count_if(F.col("processed") == 1).alias("skipped"), F.count_if(open_ & F.col("ok")).alias("processed"), F.count_if(open_ & ~F.coalesce("ok", F.lit(False))).alias("failed"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumora.functions.media import duration_bucket, orientation
@@ -61,3 +61,9 @@ def video_facets(videos: DataFrame) -> DataFrame:
     )
     long = rows.selectExpr("stack(5, 'bucket', bucket, 'orientation', orientation, 'audio', audio, 'person', person, 'rating', rating) AS (facet, value)")
     return long.where("value is not null").groupBy("facet", "value").agg(F.count("*").alias("n"))
+
+
+def ordered(counts: DataFrame) -> DataFrame:
+    """category, value, n, place: facet counts with their place in the category, largest first, then by value."""
+    w = Window.partitionBy("category").orderBy(F.desc("n"), "value")
+    return counts.select("category", "value", "n", F.row_number().over(w).cast("long").alias("place"))

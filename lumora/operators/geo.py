@@ -23,9 +23,9 @@ def place_key(lat: Column, lon: Column) -> Column:
 
 
 def dms_to_decimal(d: Column, m: Column, s: Column, ref: Column) -> Column:
-    """Degrees, minutes, seconds; negative for S and W; null out of range."""
-    v = d.try_cast("double") + F.coalesce(m.try_cast("double"), F.lit(0.0)) / 60 + F.coalesce(s.try_cast("double"), F.lit(0.0)) / 3600
-    v = F.when(F.upper(F.trim(ref)).isin("S", "W"), -F.abs(v)).otherwise(v)
+    """Degrees, minutes, seconds; the sign changes for S and W; null where one isn't a number or the result is out of range."""
+    v = d.try_cast("double") + m.try_cast("double") / 60 + s.try_cast("double") / 3600
+    v = F.when(F.upper(F.substr(F.trim(ref), F.lit(1), F.lit(1))).isin("S", "W"), -v).otherwise(v)
     return F.when(F.abs(v) <= 180, v)
 
 
@@ -36,18 +36,26 @@ def iso6709(text: Column) -> Column:
     return F.when((F.abs(lat) <= 90) & (F.abs(lon) <= 180), F.struct(lat.alias("lat"), lon.alias("lon")))
 
 
+#: Names of the tags, in order of preference.
+LAT_TAGS = ("Composite:GPSLatitude", "EXIF:GPSLatitude", "GPSLatitude")
+LON_TAGS = ("Composite:GPSLongitude", "EXIF:GPSLongitude", "GPSLongitude")
+LAT_REF_TAGS = ("EXIF:GPSLatitudeRef", "GPSLatitudeRef")
+LON_REF_TAGS = ("EXIF:GPSLongitudeRef", "GPSLongitudeRef")
+VIDEO_TAGS = ("Composite:GPSCoordinates", "QuickTime:GPSCoordinates", "GPSCoordinates")
+
+
 def gps_of(meta: Column) -> Column:
-    """From a map of tags: signed decimals by reference, else ISO 6709."""
+    """From a map of tags: decimals, negative where the reference is S or W, else the ISO 6709 text of a video."""
 
     def get(*keys):
         return F.coalesce(*(F.nullif(F.try_element_at(meta, F.lit(k)), F.lit("")) for k in keys))
 
     def signed(v, ref):
         x = v.try_cast("double")
-        return F.when(F.upper(F.trim(ref)).isin("S", "W"), -F.abs(x)).otherwise(x)
+        return F.when(F.upper(F.substr(F.trim(ref), F.lit(1), F.lit(1))).isin("S", "W"), -F.abs(x)).otherwise(x)
 
-    lat, lon = signed(get("GPSLatitude", "latitude"), get("GPSLatitudeRef")), signed(get("GPSLongitude", "longitude"), get("GPSLongitudeRef"))
-    return F.coalesce(F.when((F.abs(lat) <= 90) & (F.abs(lon) <= 180), F.struct(lat.alias("lat"), lon.alias("lon"))), iso6709(get("location", "com.apple.quicktime.location.ISO6709")))
+    lat, lon = signed(get(*LAT_TAGS), get(*LAT_REF_TAGS)), signed(get(*LON_TAGS), get(*LON_REF_TAGS))
+    return F.coalesce(F.when((F.abs(lat) <= 90) & (F.abs(lon) <= 180), F.struct(lat.alias("lat"), lon.alias("lon"))), iso6709(get(*VIDEO_TAGS)))
 
 
 def segments(items: DataFrame, gap: float, by: str | None = "person") -> DataFrame:
@@ -129,15 +137,12 @@ def events(items: DataFrame, gap: float = 21_600, eps_km: float = 2.0, least: in
 PLACES_AT_ONCE, ITEMS_AT_ONCE = 20_000, 256
 
 
-def nearest_place(items: DataFrame, gazetteer: DataFrame, cell_degrees: float | None = None) -> DataFrame:
+def nearest_place(items: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """id, name of the nearest gazetteer place and its distance (km, 6 decimals; the smallest name where equal), for each item (a row for each id) with coordinates, however far the place.
 
     The gazetteer goes to the tasks in passes of bounded size; chords on the unit sphere pick each item's
-    nearest places of a pass, the smallest distance over the passes counts. With cell_degrees only places
-    in the neighbouring cells of a grid count, and items without one have no row (see _place_in_cells).
+    nearest places of a pass, the smallest distance over the passes counts.
     """
-    if cell_degrees is not None:
-        return _place_in_cells(items, gazetteer, cell_degrees)
     places = gazetteer.select("name", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).where("lat is not null and lon is not null")
     passes = max(1, -(-places.count() // PLACES_AT_ONCE))
     rows = items.select("id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).where("lat is not null and lon is not null")
@@ -173,12 +178,38 @@ def nearest_place(items: DataFrame, gazetteer: DataFrame, cell_degrees: float |
     return best.select("id", F.col("b.name").alias("name"), F.col("b.km").alias("km"))
 
 
-def _place_in_cells(items: DataFrame, gazetteer: DataFrame, cell_degrees: float) -> DataFrame:
-    """nearest_place within about one cell: an equi-join on the neighbouring cells, then the smallest distance. Cells don't wrap at 180 degrees."""
-    c = lambda lat, lon: (F.floor(F.col(lat) / cell_degrees).alias("cy"), F.floor(F.col(lon) / cell_degrees).alias("cx"))
-    g = gazetteer.select("name", F.col("lat").alias("glat"), F.col("lon").alias("glon"))
-    around = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
-    g = g.select("*", F.explode(around).alias("d")).select("name", "glat", "glon", (F.floor(F.col("glat") / cell_degrees) + F.col("d.dy")).alias("cy"), (F.floor(F.col("glon") / cell_degrees) + F.col("d.dx")).alias("cx"))
-    km = haversine_km(F.col("lat"), F.col("lon"), F.col("glat"), F.col("glon"))
-    best = items.select("id", "lat", "lon", *c("lat", "lon")).join(g, ["cy", "cx"]).groupBy("id").agg(F.min(F.struct(F.round(km, 6).alias("km"), "name")).alias("b"))
-    return best.select("id", F.col("b.name").alias("name"), F.col("b.km").alias("km"))
+def place_row(row: dict[str, Column]) -> list[Column]:
+    """name, admin1, admin2, cc of a gazetteer row: what is missing is empty."""
+    return [F.coalesce(row.get(c, F.lit(None).cast("string")), F.lit("")).alias(c) for c in ("name", "admin1", "admin2", "cc")]
+
+
+def epoch_of(text: Column) -> Column:
+    """A number, or an ISO time, as seconds since 1970; null where it is neither."""
+    return F.coalesce(text.try_cast("double"), F.unix_micros(F.try_to_timestamp(text)) / 1e6)
+
+
+def iso_of(seconds: Column) -> Column:
+    """Seconds since 1970 as ISO time in UTC (whole seconds, or six decimals where there are any); null stays null."""
+    us = F.round(seconds * 1_000_000).cast("long")
+    at = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.timestamp_micros(us).cast("timestamp_ntz"))
+    return F.when(us.isNotNull(), F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.pmod(us, F.lit(1_000_000)) == 0, "").otherwise(F.date_format(at, ".SSSSSS")), F.lit("+00:00")))
+
+
+def filled_coordinates(items: DataFrame, found: DataFrame) -> DataFrame:
+    """items (id, lat, lon, ...) with coordinates of found (id, lat, lon) where they have none; both or neither are filled."""
+    f = found.select("id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).where("_lat is not null and _lon is not null")
+    none = F.col("lat").isNull() | F.col("lon").isNull()
+    use = none & F.col("_lat").isNotNull()
+    return items.join(f, "id", "left").withColumn("_use", use).withColumns({"lat": F.when(F.col("_use"), F.col("_lat")).otherwise(F.col("lat")), "lon": F.when(F.col("_use"), F.col("_lon")).otherwise(F.col("lon"))}).select(*items.columns)
+
+
+def linked_places(items: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(places, links): known places (place_key, lat, lon, n) with the items' new cells and counts put in, and each item's (id, place_key).
+
+    A place that is known keeps its coordinates and takes the new count.
+    """
+    now = places(items)
+    both = known.select("place_key", F.col("lat").alias("_a"), F.col("lon").alias("_b"), F.col("n").alias("_n")).join(now, "place_key", "full")
+    table = both.select("place_key", F.coalesce("_a", "lat").alias("lat"), F.coalesce("_b", "lon").alias("lon"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    links = items.where("lat is not null and lon is not null").select("id", place_key(F.col("lat"), F.col("lon")).alias("place_key"))
+    return table, links

@@ -32,19 +32,29 @@ def store_parity(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def paired_boxes(left: DataFrame, right: DataFrame, tolerance: float = 2.0) -> DataFrame:
-    """id, n_left, n_right, n_paired: boxes (id, label, x1, y1, x2, y2) of one image, each paired with the first free one of the same label within tolerance. A group is one image's boxes."""
+    """id, n_left, n_right, n_paired, n_far, n_alone, max_px: boxes (id, label, x1, y1, x2, y2) of two runs over one image.
+
+    Each left box, by label and corners, takes the closest free right box of its label, however far (the
+    largest difference of a corner counts): within tolerance they are paired, beyond it far. n_alone are
+    the boxes of either side that find none. max_px is the largest difference of those taken, null without
+    any. A group is one image's boxes.
+    """
 
     def run(g):
         boxes = np.stack([g[c].astype(float) for c in ("x1", "y1", "x2", "y2")], axis=1)
-        a, free = np.flatnonzero(g["side"] == 0), list(np.flatnonzero(g["side"] == 1))
-        n = 0
+        a, free = np.flatnonzero(g["side"] == 0), g["side"] == 1
+        taken = []
         for r in a:
-            hit = next((i for i in free if g["label"][i] == g["label"][r] and np.abs(boxes[i] - boxes[r]).max() <= tolerance), None)
-            if hit is not None:
-                free.remove(hit)
-                n += 1
-        return {"id": g["id"][:1], "n_left": np.array([len(a)]), "n_right": np.array([len(g["id"]) - len(a)]), "n_paired": np.array([n])}
+            of = np.flatnonzero(free & (g["label"] == g["label"][r]))
+            if len(of):
+                px = np.abs(boxes[of] - boxes[r]).max(axis=1)
+                free[of[np.argmin(px)]] = False
+                taken.append(px.min())
+        near = int(np.sum(np.array(taken) <= tolerance))
+        n = [len(a), len(g["id"]) - len(a), near, len(taken) - near, len(g["id"]) - 2 * len(taken)]
+        return {"id": g["id"][:1]} | {k: np.array([v]) for k, v in zip(("n_left", "n_right", "n_paired", "n_far", "n_alone"), n, strict=True)} | {"max_px": np.array([max(taken, default=np.nan)])}
 
     columns = ("id", "label", "x1", "y1", "x2", "y2")
     both = left.select(*columns, F.lit(0).alias("side")).unionByName(right.select(*columns, F.lit(1).alias("side")))
-    return each_group(both, ["id"], ["label", "x1", "y1", "x2", "y2", "side"], run, "id long, n_left long, n_right long, n_paired long")
+    out = each_group(both, ["id"], ["label", "x1", "y1", "x2", "y2", "side"], run, "id long, n_left long, n_right long, n_paired long, n_far long, n_alone long, max_px double")
+    return out.withColumn("max_px", F.nanvl("max_px", F.lit(None).cast("double")))

@@ -1,18 +1,22 @@
-"""Caption search on an inverted index of terms and positions, BM25 ranking, rank fusion, and the search that joins them."""
+"""Caption search on a stored inverted index of terms and positions, BM25 ranking, rank fusion, and the search that joins them."""
 
 from __future__ import annotations
 
+import hashlib
 import re
+import unicodedata
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumora.operators import filters, vectors
+from lumora.sources.shared import shared_dir
 
 K1, B, RRF_K = 1.2, 0.75, 60
-#: Latin letters with diacritics and what they fold to.
-FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-FOLD_TO = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Latin letters with diacritics, by the rule that their first decomposed character is an ASCII letter, and that letter.
+_FOLDED = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, [*range(0xE0, 0x250), *range(0x1E00, 0x1F00)]) if c == c.lower() and "a" <= unicodedata.normalize("NFD", c)[0] <= "z"}
+FOLD_FROM, FOLD_TO = "".join(_FOLDED), "".join(_FOLDED.values())
 
 
 def tokens(text: Column) -> Column:
@@ -36,31 +40,62 @@ def _idf(n: Column, total: Column) -> Column:
     return F.greatest(F.log((total - n + 0.5) / (n + 0.5)), F.lit(1e-6))
 
 
-def _ranked(hits: DataFrame, captions: DataFrame, key: str, text: str) -> DataFrame:
-    """hits: doc, term, tf; BM25 summed over terms. Lengths and their mean are of all captions that have a token."""
-    lengths = captions.select(F.col(key).alias("doc"), F.size(tokens(F.col(text))).alias("length")).where("length > 0")
-    whole = lengths.agg(F.count("*").alias("total"), F.avg("length").alias("mean"))
+@dataclass(frozen=True)
+class Index:
+    """An inverted index: terms (doc, term, tf, positions, length), and whole: one row total, mean of the captions that have a token."""
+
+    terms: DataFrame
+    whole: DataFrame
+
+
+def stored(captions: DataFrame, key: str = "image_id", text: str = "caption") -> Index:
+    """The captions' index in the shared folder, sorted by term so that a query reads its terms' row groups only; built where it isn't there yet.
+
+    Its name depends on the captions' files, their sizes and times: other captions have another index.
+    """
+    spark = captions.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    status = [(f, s.getLen(), s.getModificationTime()) for f in sorted(captions.inputFiles()) for s in [path(f).getFileSystem(conf).getFileStatus(path(f))]]
+    base = f"{shared_dir(spark)}/lumora-index-{hashlib.sha256(repr((key, text, status)).encode()).hexdigest()[:20]}"
+    for name, make in (("terms", lambda: index(captions, key, text).repartitionByRange("term", "doc").sortWithinPartitions("term", "doc")), ("whole", lambda: spark.read.parquet(f"{base}/terms").groupBy("doc").agg(F.first("length").alias("length")).agg(F.count("*").alias("total"), F.avg("length").alias("mean")))):
+        if not path(base).getFileSystem(conf).exists(path(f"{base}/{name}/_SUCCESS")):
+            make().write.mode("overwrite").parquet(f"{base}/{name}")
+    return Index(spark.read.parquet(f"{base}/terms"), spark.read.parquet(f"{base}/whole"))
+
+
+def made(captions: DataFrame, key: str = "image_id", text: str = "caption") -> Index:
+    """The index of captions that aren't files."""
+    terms = index(captions, key, text)
+    return Index(terms, terms.groupBy("doc").agg(F.first("length").alias("length")).agg(F.count("*").alias("total"), F.avg("length").alias("mean")))
+
+
+def _ranked(hits: DataFrame, whole: DataFrame) -> DataFrame:
+    """hits: doc, term, tf, length; BM25 summed over terms."""
     n = hits.groupBy("term").agg(F.count("*").alias("n"))
-    rows = hits.join(F.broadcast(n), "term").join(lengths, "doc").crossJoin(F.broadcast(whole))
+    rows = hits.join(F.broadcast(n), "term").crossJoin(F.broadcast(whole))
     part = _idf(F.col("n"), F.col("total")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     return rows.groupBy("doc").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("terms"))
 
 
-def all_terms(captions: DataFrame, query: str, key: str = "image_id", text: str = "caption") -> DataFrame:
-    """doc, score: captions that hold every term of the query, by BM25. Only the query's terms are counted."""
+def all_terms(found: Index, query: str) -> DataFrame:
+    """doc, score: captions that hold every term of the query, by BM25."""
     terms = sorted(set(query_terms(query)))
-    hits = captions.select(F.col(key).alias("doc"), F.explode(tokens(F.col(text))).alias("term")).where(F.col("term").isin(terms)).groupBy("doc", "term").agg(F.count("*").alias("tf"))
-    return _ranked(hits, captions, key, text).where(F.col("terms") == len(terms)).select("doc", "score")
+    hits = found.terms.where(F.col("term").isin(terms)).select("doc", "term", "tf", "length")
+    return _ranked(hits, found.whole).where(F.col("terms") == len(terms)).select("doc", "score")
 
 
-def phrase(captions: DataFrame, query: str, key: str = "image_id", text: str = "caption") -> DataFrame:
-    """doc, n, score: captions with the query's terms in a row; the phrase ranks as one term."""
+def phrase(found: Index, query: str) -> DataFrame:
+    """doc, n, score: captions with the query's terms in a row; the phrase ranks as one term. Each term's positions are joined with the ones that the term before leaves."""
     terms = query_terms(query)
-    # tokens stand between two spaces each, so that a look-ahead counts occurrences that overlap too
-    joined = F.concat(F.lit(" "), F.array_join(tokens(F.col(text)), "  "), F.lit(" "))
-    found = F.regexp_count(joined, F.lit(f"(?= {'  '.join(map(re.escape, terms))} )")).cast("long")
-    hits = captions.select(F.col(key).alias("doc"), found.alias("tf")).where("tf > 0").withColumn("term", F.lit(" ".join(terms)))
-    return hits.select("doc", F.col("tf").alias("n")).join(_ranked(hits, captions, key, text), "doc").select("doc", "n", "score")
+    hits = None
+    for i, t in enumerate(terms):
+        mine = found.terms.where(F.col("term") == t).select("doc", "length", F.transform("positions", lambda p: p - F.lit(i)).alias("at"))
+        hits = mine if hits is None else hits.join(mine.select("doc", F.col("at").alias("more")), "doc").select("doc", "length", F.array_intersect("at", "more").alias("at")).where(F.size("at") > 0)
+    if hits is None:
+        hits = found.terms.limit(0).select("doc", "length", F.col("positions").alias("at"))
+    hits = hits.select("doc", "length", F.size("at").cast("long").alias("tf"), F.lit(" ".join(terms)).alias("term"))
+    return hits.select("doc", F.col("tf").alias("n")).join(_ranked(hits, found.whole), "doc").select("doc", "n", "score")
 
 
 def best_caption(hits: DataFrame) -> DataFrame:
@@ -89,7 +124,7 @@ def mode(asked: str, text: str | None, has_vectors: bool, has_query_vector: bool
     return asked, None
 
 
-def search(assets: DataFrame, tags: DataFrame, labels: DataFrame, captions: DataFrame, store: DataFrame, spec: filters.FilterSpec, asked: str = "tags", text: str | None = None, query: DataFrame | None = None, k: int = 100, has_vectors: bool = True) -> tuple[DataFrame, str, str | None]:
+def search(assets: DataFrame, tags: DataFrame, labels: DataFrame, captions: Index, store: DataFrame, spec: filters.FilterSpec, asked: str = "tags", text: str | None = None, query: DataFrame | None = None, k: int = 100, has_vectors: bool = True) -> tuple[DataFrame, str, str | None]:
     """(id, score in order; mode; degraded from): filters, then tags, caption, vector or fused ranking, as one plan."""
     now, was = mode(asked, text, has_vectors, query is not None)
     pool = filters.candidates(assets, tags, labels, spec).select("id")

@@ -52,13 +52,14 @@ def throughput(rows: DataFrame, at: str, until: str, minutes: int) -> DataFrame:
 def mine_rules(assets: DataFrame, tags: DataFrame, rules: DataFrame, least: int, top: int, samples: int = 4, skip: tuple[str, ...] = ("rating",)) -> DataFrame:
     """category, value, n (rejected assets), samples: tags of at least that many rejected assets that no rule names yet.
 
-    Rules count even when disabled. The samples are the smallest ids, kept by a bounded aggregate.
+    Rules count even when disabled. The samples are the smallest ids; a partition sends no more than those of a tag.
     """
     rejected = assets.where("flag_action = 'reject'").select(F.col("id").alias("image_id"))
     pairs = tags.where(F.col("category").isNotNull() & ~F.col("category").isin(*skip)).select("image_id", "category", "value").join(rejected, "image_id", "left_semi").distinct()
-    ranked = pairs.withColumn("r", F.row_number().over(Window.partitionBy("category", "value").orderBy("image_id")))
-    found = ranked.groupBy("category", "value").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("r") <= samples, F.col("image_id")))), ",").alias("samples"))
-    return found.where(F.col("n") >= least).join(rules.select("category", "value"), ["category", "value"], "left_anti").orderBy(F.desc("n"), "category", "value").limit(top)
+    found = pairs.groupBy("category", "value").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    first = pairs.withColumn("r", F.row_number().over(Window.partitionBy("category", "value").orderBy("image_id"))).where(F.col("r") <= samples)
+    first = first.groupBy("category", "value").agg(F.array_join(F.array_sort(F.collect_list("image_id")), ",").alias("samples"))
+    return found.join(first, ["category", "value"]).join(rules.select("category", "value"), ["category", "value"], "left_anti").orderBy(F.desc("n"), "category", "value").limit(top)
 
 
 def flag_counts(assets: DataFrame) -> DataFrame:
@@ -112,3 +113,29 @@ def readiness(flags: DataFrame, vectors: DataFrame, assets: DataFrame, least: in
     v = vectors.agg(F.countDistinct("id").alias("n_vectors"))
     n = assets.agg(F.count("*").alias("total"))
     return f.crossJoin(v).crossJoin(n).select("keep", "reject", "maybe", "n_vectors", (F.col("n_vectors") >= F.floor(F.col("total") * share)).alias("coverage_ok"), ((F.col("keep") + F.col("reject") >= least) & (F.col("keep") > 0) & (F.col("reject") > 0) & (F.col("n_vectors") > 0)).alias("ready"))
+
+
+def reasons(labels: DataFrame, category: str = "reject_reason", top: int = 12) -> DataFrame:
+    """value, n: the most frequent labels of a category, by value where equal."""
+    return labels.where(F.col("category") == category).groupBy("value").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(top)
+
+
+def accuracy(scores: DataFrame, threshold: float) -> DataFrame:
+    """n, accuracy of margins (score, y): y 1 should be above the threshold."""
+    return scores.agg(F.count("*").alias("n"), F.round(F.avg(((F.col("score") > threshold) == (F.col("y") == 1)).cast("double")), 6).alias("accuracy"))
+
+
+def run_summary(seconds: DataFrame, backlog: DataFrame) -> DataFrame:
+    """done, mean_seconds, left, hours_left: how long the rows of backlog take at the mean of seconds (column seconds)."""
+    s = seconds.agg(F.count("*").alias("done"), F.round(F.avg("seconds"), 4).alias("mean_seconds"))
+    return s.crossJoin(backlog.agg(F.count("*").alias("left"))).withColumn("hours_left", F.round(F.col("left") * F.col("mean_seconds") / 3600, 2))
+
+
+def gate(results: DataFrame) -> DataFrame:
+    """n, passed: whether there are results (ok) and all are good."""
+    return results.agg(F.count("*").alias("n"), (F.coalesce(F.bool_and("ok"), F.lit(False))).alias("passed"))
+
+
+def readiness_of(vectors: Column, corpus: Column, present: Column, probes: Column, share: float = 0.9) -> Column:
+    """ready where all probes have vectors and enough of the corpus has; else insufficient, as for an empty corpus or no probes."""
+    return F.when((corpus > 0) & (probes > 0) & (present >= probes) & (vectors >= F.floor(corpus * share)), "ready").otherwise("insufficient")

@@ -38,7 +38,7 @@ def nearest(vectors: DataFrame, query: DataFrame, k: int, allowed: DataFrame | N
     """
     rows = vectors if allowed is None else vectors.join(allowed.select("id"), "id", "left_semi")
     q = query.select(F.col("v").alias("q")).limit(1)
-    return rows.crossJoin(F.broadcast(q)).select("id", F.round(cosine(F.col("v"), F.col("q")), 6).alias("similarity")).orderBy(F.desc("similarity"), "id").limit(k)
+    return rows.crossJoin(F.broadcast(q)).select("id", cosine(F.col("v"), F.col("q")).alias("s")).orderBy(F.desc("s"), "id").limit(k).select("id", F.round("s", 6).alias("similarity"))
 
 
 def similar_to(vectors: DataFrame, seed: int, k: int) -> DataFrame:
@@ -165,34 +165,34 @@ def ridge(labelled: DataFrame, penalty: float = 1.0) -> tuple[np.ndarray, float,
     return w[:-1], float(w[-1]), float((up + down) / 2)
 
 
-def logistic(labelled: DataFrame, penalty: float = 1e-3, rate: float = 0.5, steps: int = 400, most: int = 20_000) -> tuple[np.ndarray, float]:
-    """(weights, bias) by full-batch gradient steps on labelled unit vectors (id, v, y).
+def logistic(labelled: DataFrame, penalty: float = 1e-2, rate: float = 0.5, steps: int = 400, most: int = 20_000) -> tuple[np.ndarray, float]:
+    """(weights, bias) by full-batch gradient steps on labelled vectors (id, v, y), taken as stored; an error unless both classes are there.
 
     The labelled set is bounded: at most most rows, those with the least hash of id.
     """
     rows = labelled.orderBy(F.xxhash64("id"), "id").limit(most).select("v", "y").collect()
-    x = np.array([r.v for r in rows], float)
-    n = np.linalg.norm(x, axis=1, keepdims=True)
-    x = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
-    y = np.array([r.y for r in rows], float)
+    x, y = np.array([r.v for r in rows], float), np.array([r.y for r in rows], float)
+    if not (y > 0).any() or not (y <= 0).any():
+        raise ValueError("a probe needs vectors of both classes")
     w, b = np.zeros(x.shape[1]), 0.0
     for _ in range(steps):
         z = x @ w + b
         p = np.where(z >= 0, 1 / (1 + np.exp(-np.abs(z))), np.exp(-np.abs(z)) / (1 + np.exp(-np.abs(z))))
         g = (p - y) / len(y)
         w, b = w - rate * (x.T @ g + penalty * w), b - rate * g.sum()
-    return w, float(b)
+    return w.astype(np.float32).astype(float), float(b)
 
 
 def ranked(vectors: DataFrame, weights, bias: float, k: int) -> DataFrame:
     """The k largest margins: id, score."""
-    return vectors.select("id", F.round(linear_margin(normalised(F.col("v")), weights, bias), 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    top = vectors.select("id", linear_margin(normalised(F.col("v")), weights, bias).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    return top.select("id", F.round("score", 6).alias("score"))
 
 
-def least_certain(vectors: DataFrame, weights, bias: float, threshold: float, k: int) -> DataFrame:
-    """The k margins nearest to the threshold: id, score."""
-    s = vectors.select("id", F.round(linear_margin(normalised(F.col("v")), weights, bias), 6).alias("score"))
-    return s.orderBy(F.abs(F.col("score") - F.lit(threshold)), "id").limit(k)
+def least_certain(vectors: DataFrame, weights, bias: float, threshold: float, k: int, unit: bool = True) -> DataFrame:
+    """The k margins nearest to the threshold: id, score; of unit vectors, or of the vectors as stored."""
+    s = vectors.select("id", linear_margin(normalised(F.col("v")) if unit else F.col("v"), weights, bias).alias("score"))
+    return s.orderBy(F.abs(F.col("score") - F.lit(threshold)), "id").limit(k).select("id", F.round("score", 6).alias("score"))
 
 
 def _best_of_tasks(vectors: DataFrame, probes: list) -> DataFrame:
@@ -237,3 +237,26 @@ def self_retrieval(vectors: DataFrame, probes: DataFrame, least: float = 0.99) -
         rows = vectors.sparkSession.createDataFrame([], "probe long, top_id long, s double")
     best = rows.groupBy("probe").agg(F.max_by("top_id", F.struct("s", -F.col("top_id"))).alias("top_id"), F.round(F.max("s"), 6).alias("similarity"))
     return best.select(F.col("probe").alias("id"), "top_id", "similarity", ((F.col("top_id") == F.col("probe")) & (F.col("similarity") > least)).alias("ok"))
+
+
+def packed(vectors: DataFrame) -> DataFrame:
+    """id, raw: each vector (id, v) as little-endian 32-bit floats."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([np.array(v, "<f4").tobytes() for v in b.column("v").to_pylist()], pa.binary())], ["id", "raw"])
+
+    return vectors.select("id", "v").mapInArrow(run, "id long, raw binary")
+
+
+def unpacked(rows: DataFrame, dimension: int) -> DataFrame:
+    """id, v of packed rows; one of another dimension fails the job."""
+
+    def run(batches):
+        for b in batches:
+            x = [np.frombuffer(r, "<f4") for r in b.column("raw").to_pylist()]
+            if any(len(v) != dimension for v in x):
+                raise ValueError(f"a vector has not {dimension} numbers")
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(x, pa.list_(pa.float32()))], ["id", "v"])
+
+    return rows.select("id", "raw").mapInArrow(run, "id long, v array<float>")

@@ -79,3 +79,46 @@ def add_missing_columns(rows: DataFrame, schema) -> DataFrame:
     """Schema evolution: columns that schema has and rows lacks come as nulls; columns it lacks go; runs twice to the same end."""
     have = set(rows.columns)
     return rows.select(*((F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))
+
+
+def labels_adopted(labels: DataFrame, sets: DataFrame, new: DataFrame) -> DataFrame:
+    """assign_labels where a row without a set (asset_id, category in its place, value) is taken into the set of that name when the same value is assigned.
+
+    labels: asset_id, set_name, category, value.
+    """
+    legacy = labels.where("set_name is null").join(new.select("asset_id", F.col("set_name").alias("category"), "value"), ["asset_id", "category", "value"], "left_semi")
+    rest = labels.where("set_name is not null").select("asset_id", "set_name", "value")
+    now = assign_labels(rest, sets, new).withColumn("category", F.col("set_name"))
+    free = labels.where("set_name is null").join(legacy, ["asset_id", "category", "value"], "left_anti")
+    return now.select("asset_id", "set_name", "category", "value").unionByName(free.select("asset_id", "set_name", "category", "value"))
+
+
+def labels_cleared(labels: DataFrame, assets: DataFrame, set_name: str) -> DataFrame:
+    """labels without those of a set on assets (asset_id)."""
+    gone = assets.select("asset_id", F.lit(set_name).alias("set_name"))
+    return labels.join(gone, ["asset_id", "set_name"], "left_anti").select(*labels.columns)
+
+
+def set_deleted(sets: DataFrame, labels: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(sets, labels) without a set; its labels go with it."""
+    return sets.where(F.col("set_name") != name), labels.where(~F.coalesce(F.col("set_name") == name, F.lit(False)))
+
+
+def patched(rows: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
+    """rows with the fields of changes that are not null; changes of unknown keys are dropped."""
+    return upsert_non_null(rows, changes.join(rows.select(*key), key, "left_semi"), key)
+
+
+def swapped(spark, rows: DataFrame, path: str, good) -> bool:
+    """Writes rows beside path and puts them in its place if good(rows as written) holds; else path stays as it was."""
+    from lumora.sources.shared import delete
+
+    rows.write.mode("overwrite").parquet(f"{path}.new")
+    if not good(spark.read.parquet(f"{path}.new")):
+        delete(spark, f"{path}.new")
+        return False
+    jvm = spark.sparkContext._jvm
+    new, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.new", path))
+    fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    return fs.rename(new, old)

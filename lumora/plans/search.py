@@ -20,28 +20,28 @@ def _and_sql(terms: list[str]) -> str:
 
 @register("caption_and", cte("captions", more=f"{_T}, {_and_sql(['thing', 'with'])}") + "SELECT doc, score FROM ranked")
 def caption_and(spark, d):
-    return retrieval.all_terms(Catalog(spark, d).captions, "thing WITH")
+    return retrieval.all_terms(retrieval.stored(Catalog(spark, d).captions), "thing WITH")
 
 
 @register("caption_phrase", cte("captions", more=f"{_T}, h AS (SELECT doc, len(list_filter(range(1, len(a)), lambda i: a[i] = 'of' AND a[i + 1] = 'the')) AS tf FROM t WHERE len(a) > 1), hits AS (SELECT * FROM h WHERE tf > 0), ns AS (SELECT count(*) AS n FROM hits)") + f"SELECT doc, CAST(tf AS BIGINT) AS n, {_SCORE.replace('sum(', '(')} AS score FROM hits JOIN lens USING (doc), ns, whole")
 def caption_phrase(spark, d):
-    return retrieval.phrase(Catalog(spark, d).captions, "of the")
+    return retrieval.phrase(retrieval.stored(Catalog(spark, d).captions), "of the")
 
 
 @register("term_index", cte("captions", more=_T) + "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(a) AS term FROM t) GROUP BY doc, term) GROUP BY term")
 def term_index(spark, d):
-    return retrieval.index(Catalog(spark, d).captions).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return retrieval.stored(Catalog(spark, d).captions).terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 _COS = "list_inner_product(a.v, q.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(q.v, q.v)))"
-_FUSE = f"{_T}, {_and_sql(['thing', 'with'])}, near AS (SELECT a.id, round({_COS}, 6) AS score FROM vectors a, (SELECT v FROM vectors WHERE id = 7) q <W> ORDER BY score DESC, id LIMIT 100), r1 AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM near), words AS (SELECT doc AS id, score FROM ranked <V> ORDER BY score DESC, id LIMIT 100), r2 AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM words), fused AS (SELECT id, round(sum(1.0::DOUBLE / (60 + r)), 8) AS score FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2) GROUP BY id)"
+_FUSE = f"{_T}, {_and_sql(['thing', 'with'])}, near AS (SELECT a.id, round({_COS}, 6) AS score FROM vectors a, (SELECT v FROM vectors WHERE id = 7) q <W> ORDER BY {_COS} DESC, id LIMIT 100), r1 AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM near), words AS (SELECT doc AS id, score FROM ranked <V> ORDER BY score DESC, id LIMIT 100), r2 AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM words), fused AS (SELECT id, round(sum(1.0::DOUBLE / (60 + r)), 8) AS score FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2) GROUP BY id)"
 
 
 @register("rrf_fusion", cte("captions", "vectors", more=_FUSE.replace("<W>", "").replace("<V>", "")) + "SELECT id, score FROM fused")
 def rrf_fusion(spark, d):
     c = Catalog(spark, d)
     near = vectors.nearest(c.vectors, c.vectors.where("id = 7"), 100).withColumnRenamed("similarity", "score")
-    words = retrieval.all_terms(c.captions, "thing with").withColumnRenamed("doc", "id")
+    words = retrieval.all_terms(retrieval.stored(c.captions), "thing with").withColumnRenamed("doc", "id")
     return retrieval.fused(retrieval.with_rank(near, "score", 100), retrieval.with_rank(words, "score", 100))
 
 
@@ -52,4 +52,4 @@ _POOL = "SELECT id FROM images WHERE processed AND id IN (SELECT image_id FROM t
 def hybrid_search(spark, d):
     c = Catalog(spark, d)
     spec = filters.FilterSpec(tags={"returnflag": ["R"]}, processed=True)
-    return retrieval.search(c.images, c.tag_rows, c.labels, c.captions, c.vectors, spec, "hybrid", "thing with", c.vectors.where("id = 7"))[0]
+    return retrieval.search(c.images, c.tag_rows, c.labels, retrieval.stored(c.captions), c.vectors, spec, "hybrid", "thing with", c.vectors.where("id = 7"))[0]

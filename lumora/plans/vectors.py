@@ -13,7 +13,7 @@ _COS = "list_inner_product({a}, {b}) / (sqrt(list_inner_product({a}, {a})) * sqr
 
 
 def _near(where: str, seed: int) -> str:
-    return cte("vectors") + f"SELECT a.id, round({_COS.format(a='a.v', b='q.v')}, 6) AS similarity FROM vectors a, (SELECT v FROM vectors WHERE id = {seed}) q WHERE {where} ORDER BY similarity DESC, id LIMIT 20"
+    return cte("vectors") + f"SELECT a.id, round({_COS.format(a='a.v', b='q.v')}, 6) AS similarity FROM vectors a, (SELECT v FROM vectors WHERE id = {seed}) q WHERE {where} ORDER BY {_COS.format(a='a.v', b='q.v')} DESC, id LIMIT 20"
 
 
 @register("knn", _near("true", 7))
@@ -117,7 +117,7 @@ def ridge_edge_cases(spark, d):
 def logistic_preview(spark, d):
     v = Catalog(spark, d).vectors
     w, b = vectors.logistic(_labelled(v))
-    s = v.where("label > 1").select("id", F.round(vectors.sigmoid(vectors.linear_margin(vectors.normalised(F.col("v")), w, b)), 6).alias("score"))
+    s = v.where("label > 1").select("id", F.round(vectors.sigmoid(vectors.linear_margin(F.col("v"), w, b)), 6).alias("score"))
     return vectors.preview(s, 0.5, 25)
 
 
@@ -125,7 +125,7 @@ def logistic_preview(spark, d):
 def active_learning(spark, d):
     v = Catalog(spark, d).vectors
     w, b = vectors.logistic(_labelled(v))
-    return vectors.least_certain(v.where("label > 1"), w, b, 0.0, 25)
+    return vectors.least_certain(v.where("label > 1"), w, b, 0.0, 25, unit=False)
 
 
 _SEG = "cuts AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY person ORDER BY t NULLS LAST, id) > 21600 THEN 1 ELSE 0 END AS cut FROM items), seg AS (SELECT *, CAST(sum(cut) OVER (PARTITION BY person ORDER BY t NULLS LAST, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM cuts)"
@@ -170,11 +170,17 @@ def haversine_steps(spark, d):
     return s.where("plat is not null and plon is not null and lat is not null").select("id", F.round(geo.haversine_km(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon")), 3).alias("km"))
 
 
-@register("nearest_place", cte("items", more="g AS (SELECT n_name AS name, -90.0 + n_nationkey * 7 + 0.5 AS lat, -180.0 + n_nationkey * 14 + 0.5 AS lon FROM nation), k AS (SELECT i.id, g.name, round(" + _KM.format(a="i.lat", b="i.lon", c="g.lat", d="g.lon") + ", 6) AS km FROM items i JOIN g ON abs(floor(i.lat / 10) - floor(g.lat / 10)) <= 1 AND abs(floor(i.lon / 10) - floor(g.lon / 10)) <= 1)") + "SELECT id, name, km FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY km, name) AS r FROM k) WHERE r = 1")
+_PLACES = "g AS (SELECT n_name AS name, -90.0 + n_nationkey * 7 + 0.5 AS lat, -180.0 + n_nationkey * 14 + 0.5 AS lon, CASE WHEN n_regionkey > 0 THEN 'r' || n_regionkey ELSE '' END AS admin1 FROM nation), k AS (SELECT i.id, g.name, g.admin1, round(" + _KM.format(a="i.lat", b="i.lon", c="g.lat", d="g.lon") + ", 6) AS km FROM items i, g WHERE i.lat IS NOT NULL AND i.lon IS NOT NULL)"
+
+
+@register("nearest_place", cte("items", more=_PLACES) + "SELECT id, name, admin1, '' AS admin2, '' AS cc, km FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY km, name) AS r FROM k) WHERE r = 1")
 def nearest_place(spark, d):
+    """Each located item's place as a full row of the gazetteer."""
     c = Catalog(spark, d)
     k = F.col("n_nationkey")
-    return geo.nearest_place(c.items, c.raw("nation").select(F.col("n_name").alias("name"), (F.lit(-90.0) + k * 7 + 0.5).alias("lat"), (F.lit(-180.0) + k * 14 + 0.5).alias("lon")), 10.0)
+    g = c.raw("nation").select(F.col("n_name").alias("name"), (F.lit(-90.0) + k * 7 + 0.5).alias("lat"), (F.lit(-180.0) + k * 14 + 0.5).alias("lon"), F.when(F.col("n_regionkey") > 0, F.concat(F.lit("r"), F.col("n_regionkey").cast("string"))).alias("admin1"))
+    found = geo.nearest_place(c.items, g).join(g.select("name", "admin1"), "name")
+    return found.select("id", *geo.place_row({"name": F.col("name"), "admin1": F.col("admin1")}), "km")
 
 
 @register("nearest_place_all", cte("items", more="g AS (SELECT n_name AS name, -90.0 + n_nationkey * 7 + 0.5 AS lat, -180.0 + n_nationkey * 14 + 0.5 AS lon FROM nation), k AS (SELECT i.id, g.name, round(" + _KM.format(a="i.lat", b="i.lon", c="g.lat", d="g.lon") + ", 6) AS km FROM items i, g WHERE i.lat IS NOT NULL AND i.lon IS NOT NULL)") + "SELECT id, name, km FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY km, name) AS r FROM k) WHERE r = 1")

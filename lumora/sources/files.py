@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lumora.functions.media import extension, file_kind, parent_folder, vtt_time
+from lumora.functions.media import extension, file_kind, parent_folder, probed, sprite_count, sprite_cues, vtt_time
 from lumora.operators.writes import first_of
 
 
@@ -91,3 +91,29 @@ def append_json(rows: DataFrame, path: str, key: str) -> None:
         if "PATH_NOT_FOUND" not in str(e):
             raise
     rows.write.mode("append").json(path)
+
+
+def scan_counts(scanned: DataFrame, known: DataFrame) -> DataFrame:
+    """person, n, n_new: files of each child folder, and those whose content the catalog lacks."""
+    k = known.select("file_hash").distinct().withColumn("_k", F.lit(True))
+    return scanned.join(k, "file_hash", "left").groupBy("person").agg(F.count("*").alias("n"), F.count_if(F.col("_k").isNull()).alias("n_new"))
+
+
+def report(rows: DataFrame, path: str) -> None:
+    """One JSON file of a report's rows (a few)."""
+    rows.coalesce(1).write.mode("overwrite").json(path)
+
+
+def sprite_webvtt(videos: DataFrame, interval: float, cols: int, width: int, height: int) -> DataFrame:
+    """id, n, vtt: the cue text of each video's sprite sheet (id, duration, url)."""
+    n = sprite_count(F.col("duration"), interval)
+    return videos.select("id", n.alias("n"), sprite_cues(F.col("url"), n, interval, cols, width, height).alias("vtt"))
+
+
+def new_videos(probes: DataFrame, known: DataFrame) -> DataFrame:
+    """probes (path, file_hash, probe: JSON) that known lacks by hash and by path, with their media columns and processed: 0, or -1 (quarantined) where the JSON doesn't parse."""
+    rows = probes
+    for c in ("file_hash", "path"):
+        rows = rows.join(known.select(c).where(F.col(c).isNotNull()), c, "left_anti")
+    m = rows.withColumn("m", probed(F.col("probe")))
+    return m.select("path", "file_hash", "m.*", F.when(F.col("m").isNull(), -1).otherwise(0).alias("processed"))

@@ -75,12 +75,15 @@ def test_owner_scope(spark):
 def test_captions(spark):
     c = spark.createDataFrame([(1, "a woman with long hair"), (2, "a man on a beach"), (3, "a woman by a window"), (4, "  "), (5, None)], "image_id long, caption string")
     doc = lambda df: {r.doc for r in df.collect()}
+    c = retrieval.made(c)
     assert doc(retrieval.phrase(c, "Woman")) == {1, 3}
     assert doc(retrieval.all_terms(c, "beach man!")) == {2}
     assert doc(retrieval.phrase(c, "a man on")) == {2}
+    assert doc(retrieval.phrase(c, "man a on")) == set() == doc(retrieval.phrase(c, " ?! "))
     assert retrieval.mode("caption", " ", True, False) == ("tags", "caption")
     again = spark.createDataFrame([(1, "x x x")], "image_id long, caption string")
-    assert retrieval.phrase(again, "x x").first().n == 2
+    assert retrieval.phrase(retrieval.made(again), "x x").first().n == 2
+    assert retrieval.query_terms("Ṡő Č") == ["so", "c"]
 
 
 def items(spark, rows):
@@ -233,7 +236,11 @@ def test_boxes_pair_once(spark):
     s = "id long, label string, x1 double, y1 double, x2 double, y2 double"
     a = spark.createDataFrame([(1, "f", 0.0, 0.0, 5.0, 5.0), (1, "f", 1.0, 1.0, 6.0, 6.0)], s)
     b = spark.createDataFrame([(1, "f", 1.0, 0.0, 5.0, 5.0), (2, "f", 0.0, 0.0, 1.0, 1.0)], s)
-    assert sorted(tuple(r) for r in parity.paired_boxes(a, b).collect()) == [(1, 2, 1, 1), (2, 0, 1, 0)]
+    assert sorted(tuple(r) for r in parity.paired_boxes(a, b).collect()) == [(1, 2, 1, 1, 0, 1, 1.0), (2, 0, 1, 0, 0, 1, None)]
+    near = spark.createDataFrame([(1, "f", 1.5, 0.0, 5.0, 5.0), (1, "f", 0.2, 0.0, 5.0, 5.0), (1, "g", 0.0, 0.0, 5.0, 5.0)], s)
+    far = spark.createDataFrame([(1, "f", 50.0, 0.0, 5.0, 5.0)], s)
+    assert tuple(parity.paired_boxes(a.limit(1), near).first()) == (1, 1, 3, 1, 0, 2, 0.2)
+    assert tuple(parity.paired_boxes(a.limit(1), far).first()) == (1, 1, 1, 0, 1, 0, 50.0)
 
 
 def test_back_ends(spark):
