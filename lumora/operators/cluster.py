@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -9,10 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumora.operators.graph import components
-from lumora.sources.shared import kept
+from lumora.sources.shared import drop, kept
 
 #: Vectors in a block: two blocks' distances are one matrix product.
 BLOCK = 1024
+#: Vectors of a connected part that one task links alone; its distances take 8 bytes a pair.
+PART = 2048
 
 
 def _blocks(vectors: DataFrame, by: str) -> DataFrame:
@@ -162,25 +166,139 @@ def _complete(x: np.ndarray, cut: float) -> np.ndarray:
     return out
 
 
-def complete_linkage(vectors: DataFrame, cut: float, least: int, by: str = "embedder") -> DataFrame:
+def _linkage_blocks(rows: DataFrame) -> DataFrame:
+    """component, block, blocks (of the component), clusters, starts, sizes, spread, m: vectors side by side by cluster.
+
+    A cluster lies whole in one block by the hash of its name, unless it has more vectors than a block: then it is spread.
+    """
+    sizes = rows.groupBy("component", "cluster").agg(F.count("*").alias("size"))
+    parts = sizes.groupBy("component").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
+    pieces = F.ceil(F.col("size") / BLOCK)
+    key = F.xxhash64("cluster", F.when(pieces > 1, F.pmod(F.xxhash64("id"), pieces)))
+    dealt = rows.join(sizes, ["component", "cluster"]).join(parts, "component").select("component", "cluster", "size", "v", "blocks", F.pmod(key, F.col("blocks")).cast("int").alias("block"))
+
+    def packed(t: pa.Table) -> pa.Table:
+        t = t.sort_by("cluster")
+        names, starts = np.unique(t.column("cluster").to_numpy(), return_index=True)
+        size = t.column("size").to_numpy()[starts]
+        x = np.array(t.column("v").to_pylist(), float)
+        return pa.table({
+            "component": t.column("component")[:1], "block": t.column("block")[:1], "blocks": t.column("blocks")[:1],
+            "clusters": pa.array([names.tolist()], pa.list_(pa.int64())), "starts": pa.array([starts.tolist()], pa.list_(pa.int64())),
+            "sizes": pa.array([size.tolist()], pa.list_(pa.int64())), "n": pa.array([len(x)], pa.int64()), "m": pa.array([x.tobytes()], pa.binary()),
+        })
+
+    return dealt.groupBy("component", "block").applyInArrow(packed, "component long, block int, blocks int, clusters array<long>, starts array<long>, sizes array<long>, n long, m binary")
+
+
+def _order_of_ties(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each pair of names, the same both ways round: among equal distances the least goes first."""
+    lo, hi = np.minimum(a, b).astype(np.uint64), np.maximum(a, b).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        h = (lo * np.uint64(0x9E3779B97F4A7C15) ^ hi) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ (h >> np.uint64(31))).view(np.int64)
+
+
+def _linkage_candidates(blocks: DataFrame, cut: float) -> DataFrame:
+    """a, b (names, a < b), d (largest distance), tie, n, want: for each pair of blocks each cluster's nearest one within cut.
+
+    Of spread clusters a pair of blocks holds some vectors only, so all their pairs within cut are
+    given; one is complete once n, the pairs of vectors seen, is want.
+    """
+    p, q = F.col("block").alias("p"), F.col("block").alias("q")
+    half = {s: [F.col(c).alias(f"{s}_{c}") for c in ("clusters", "starts", "sizes", "n", "m")] for s in "ab"}
+    left = blocks.select("component", p, *half["a"], F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("q"))
+    right = blocks.select("component", q, *half["b"], F.explode(F.sequence(F.lit(0), F.col("block"))).alias("p"))
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                (a, i0, na, x), (b, j0, nb, y) = (
+                    (np.array(row[s + "_clusters"]), row[s + "_starts"], np.array(row[s + "_sizes"]), np.frombuffer(row[s + "_m"]).reshape(row[s + "_n"], -1)) for s in "ab"
+                )
+                far = np.maximum.reduceat(np.maximum.reduceat(1 - x @ y.T, i0, axis=0), j0, axis=1)
+                same = row["p"] == row["q"]
+                if same:
+                    far = np.maximum(far, far.T)
+                far = np.where((far > cut + 1e-12) | (a[:, None] == b[None, :]), np.inf, far)
+                spread = (na > BLOCK)[:, None] | (nb > BLOCK)[None, :]
+                seen = np.diff(i0, append=len(x))[:, None] * np.diff(j0, append=len(y))[None, :]
+                tie = _order_of_ties(a[:, None], b[None, :])
+                i, j = np.nonzero(np.isfinite(far) & spread & (~np.tri(len(a), dtype=bool) if same else True))
+                whole = np.where(spread, np.inf, far)
+                rows, cols = [i], [j]
+                for axis in (1,) if same else (1, 0):
+                    least = whole.min(axis=axis, keepdims=True)
+                    at = np.where(whole == least, tie, np.iinfo(np.int64).max).argmin(axis=axis)
+                    on = np.flatnonzero(np.isfinite(least.ravel()))
+                    rows.append(on if axis else at[on])
+                    cols.append(at[on] if axis else on)
+                i, j = np.concatenate(rows), np.concatenate(cols)
+                if len(i):
+                    out = [np.minimum(a[i], b[j]), np.maximum(a[i], b[j]), far[i, j], tie[i, j], np.where(spread[i, j], seen[i, j], na[i] * nb[j]), na[i] * nb[j]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["a", "b", "d", "tie", "n", "want"])
+
+    return left.join(right.hint("shuffle_hash"), ["component", "p", "q"]).drop("component").mapInArrow(run, "a long, b long, d double, tie long, n long, want long")
+
+
+def _linkage_in_rounds(rows: DataFrame, cut: float) -> DataFrame:
+    """id, cluster: complete linkage of large parts. rows: id, component, v (unit vectors, no two equal).
+
+    Every round merges each pair of clusters that are one another's nearest within cut, which gives the clusters
+    of one merge at a time, as a merge brings no cluster nearer to a third. A cluster with none within cut is finished.
+    """
+    now, done = kept(rows.select("id", "component", "v", F.col("id").alias("cluster")), "linkage"), []
+    while True:
+        pairs = _linkage_candidates(_linkage_blocks(now), cut).groupBy("a", "b", "want").agg(F.max("d").alias("d"), F.first("tie").alias("tie"), F.sum("n").alias("n"))
+        pair = F.struct("d", "tie", "a", "b").alias("pair")
+        found = pairs.where("n >= want").select(F.explode(F.array("a", "b")).alias("cluster"), pair)
+        nearest = kept(found.groupBy("cluster").agg(F.min("pair").alias("pair")), "nearest")
+        merge = nearest.groupBy("pair").agg(F.count("*").alias("n")).where("n = 2").select(F.col("pair.b").alias("cluster"), F.col("pair.a").alias("into"))
+        done.append(kept(now.join(nearest, "cluster", "left_anti").select("id", "cluster"), "linked"))
+        if nearest.isEmpty():
+            drop(now, nearest)
+            break
+        old = now
+        now = kept(now.join(nearest, "cluster", "left_semi").join(merge, "cluster", "left").select("id", "component", "v", F.coalesce("into", "cluster").alias("cluster")), "linkage")
+        drop(old, nearest)
+    return reduce(DataFrame.union, done)
+
+
+def complete_linkage(vectors: DataFrame, cut: float, least: int, by: str = "embedder", part: int = PART) -> DataFrame:
     """id, by, cluster: complete-linkage clusters whose distances are all <= cut, named by their smallest id; smaller ones are -1.
 
-    Such a cluster lies within a connected part of the graph of pairs within cut, so each part is
-    clustered alone; its distance matrix must fit in a task.
+    Such a cluster lies within a connected part of the graph of pairs within cut, so each part is clustered
+    alone: parts of up to `part` vectors in one task each, larger ones in rounds over pairs of blocks. Equal vectors of
+    a larger part count once. Among merges at the same distance either may go first, so only ties can differ.
     """
     blocks = kept(_blocks(vectors, by), "blocks")
-    parts = components(vectors.select("id"), spanning_edges(blocks, by, cut))
+    parts = kept(components(vectors.select("id"), spanning_edges(blocks, by, cut)), "parts")
+    large = kept(parts.groupBy("component").count().where(F.col("count") > part).select("component"), "large")
+    rows = vectors.select("id", by, "v").join(parts, "id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id").reset_index(drop=True)
         x = np.array(pdf["v"].tolist(), float)
         n = np.linalg.norm(x, axis=1, keepdims=True)
         root = _complete(np.divide(x, n, out=np.zeros_like(x), where=n > 0), cut)
-        g = pdf.assign(root=root).groupby("root")["id"]
-        return pdf[["id", by]].assign(cluster=np.where(g.transform("size") >= least, g.transform("min"), -1))
-
-    rows = vectors.select("id", by, "v").join(parts, "id")
-    return rows.groupBy(by, "component").applyInPandas(run, f"id long, {by} {dict(vectors.dtypes)[by]}, cluster long")
+        return pdf[["id", by]].assign(cluster=pdf["id"].groupby(root).transform("min"))
+
+    kind = f"{by} {dict(vectors.dtypes)[by]}"
+    named = rows.join(large, "component", "left_anti").groupBy(by, "component").applyInPandas(run, f"id long, {kind}, cluster long")
+    if not large.isEmpty():
+        size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e))
+        unit = F.when(size > 0, F.transform("v", lambda e: e / size)).otherwise(F.transform("v", lambda e: e.cast("double")))
+        # a vector without direction is far from all, its copies too
+        own = F.when(size == 0, F.col("id"))
+        big = kept(rows.join(large, "component", "left_semi").select("id", by, "component", unit.alias("v"), own.alias("own")), "big")
+        single = kept(big.groupBy("component", "v", "own").agg(F.min("id").alias("first")), "single")
+        linked = _linkage_in_rounds(single.select(F.col("first").alias("id"), "component", "v"), cut)
+        same = (big.component == single.component) & (big.v == single.v) & big.own.eqNullSafe(single.own)
+        members = big.join(single, same).select(big.id, big[by], "first").join(linked.withColumnRenamed("id", "first"), "first")
+        named = named.union(members.select("id", by, "cluster"))
+    named = kept(named, "named")
+    sizes = named.groupBy("cluster").agg(F.count("*").alias("n"), F.min("id").alias("name"))
+    return named.join(sizes, "cluster").select("id", by, F.when(F.col("n") >= least, F.col("name")).otherwise(F.lit(-1)).alias("cluster"))
 
 
 def people(faces: DataFrame) -> DataFrame:

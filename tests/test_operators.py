@@ -154,21 +154,39 @@ def test_dbscan_against_plain_loops(spark):
     assert [got[i] for i in range(30)] == want
 
 
-def test_complete_linkage_keeps_within_the_cut(spark):
-    rng = np.random.default_rng(5)
-    x = rng.normal(size=(40, 4))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    v = spark.createDataFrame([(i, 0, [float(a) for a in r]) for i, r in enumerate(x)], "id long, embedder int, v array<double>")
-    got = {r.id: r.cluster for r in cluster.complete_linkage(v, 0.3, 1).collect()}
-    # merge the two clusters with the smallest largest distance, as long as that is within the cut
-    parts = [{i} for i in range(40)]
+def linked_one_by_one(x, cut):
+    """Merges the two clusters with the smallest largest distance, as long as that is within the cut."""
+    parts = [{i} for i in range(len(x))]
     d = 1 - x @ x.T
     while True:
         best = min(((max(d[i, j] for i in a for j in b), n, m) for n, a in enumerate(parts) for m, b in enumerate(parts) if n < m), default=(9, 0, 0))
-        if best[0] > 0.3:
-            break
+        if best[0] > cut:
+            return {frozenset(p) for p in parts}
         parts[best[1]] |= parts.pop(best[2])
-    assert {frozenset(p) for p in parts} == {frozenset(i for i in got if got[i] == c) for c in set(got.values())}
+
+
+def as_vectors(spark, x):
+    return spark.createDataFrame([(i, 0, [float(a) for a in r]) for i, r in enumerate(x)], "id long, embedder int, v array<double>")
+
+
+def test_complete_linkage_keeps_within_the_cut(spark):
+    x = np.random.default_rng(5).normal(size=(40, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {r.id: r.cluster for r in cluster.complete_linkage(as_vectors(spark, x), 0.3, 1).collect()}
+    assert {frozenset(i for i in got if got[i] == c) for c in set(got.values())} == linked_one_by_one(x, 0.3)
+
+
+def test_complete_linkage_of_large_parts_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "BLOCK", 4)  # clusters outgrow a block and are spread
+    x = np.random.default_rng(6).normal(size=(36, 3))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.concatenate([x, np.repeat(x[:1], 9, axis=0), np.zeros((2, 3))])
+    rows = cluster.complete_linkage(as_vectors(spark, x), 0.9, 2, part=5).collect()
+    assert sorted(r.id for r in rows) == list(range(len(x)))
+    got = {r.id: r.cluster for r in rows}
+    want = linked_one_by_one(x, 0.9)
+    assert max(map(len, want)) > 8
+    assert got == {i: min(p) if len(p) > 1 else -1 for p in want for i in p}
 
 
 def test_probes_separate(spark):
