@@ -13,6 +13,8 @@ from lumora.llm.text import kept
 LONGEST, CLASS_CHARS = 1 << 20, 1 << 25
 #: Drawn rows up to so many are sent to all executors.
 BROADCAST_IDS = 200_000
+#: Parts of a class among which its rows are chosen before they meet.
+SALTS = 32
 
 
 def fold(folds: int, key: str = "doc_id") -> Column:
@@ -23,7 +25,8 @@ def fold(folds: int, key: str = "doc_id") -> Column:
 def least_of_each(rows: DataFrame, by: str, rank: str, most: int) -> DataFrame:
     """rows of which at most most stay for each by: those with the least rank (a long).
 
-    A task keeps the best of each by that it meets, so that only these are shuffled.
+    A task keeps the best of each by that it meets, so that only these are shuffled: first to SALTS tasks for each
+    by, which again keep the best, so that the last one gets no more rows from many tasks than from few.
     """
 
     def run(batches):
@@ -50,8 +53,11 @@ def least_of_each(rows: DataFrame, by: str, rank: str, most: int) -> DataFrame:
             yield from t.to_batches()
 
     some = rows.where(F.col(by).isNotNull()).mapInArrow(run, rows.schema)
-    w = Window.partitionBy(by).orderBy(rank, *sorted(c for c in rows.columns if c != rank))
-    return some.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
+    some = some.withColumn("_s", F.pmod(rank, F.lit(SALTS)))
+    for keys in ([by, "_s"], [by]):
+        w = Window.partitionBy(*keys).orderBy(rank, *sorted(c for c in rows.columns if c != rank))
+        some = some.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
+    return some.drop("_s")
 
 
 def drawn(labels: DataFrame, label: str, per_class: int) -> DataFrame:
