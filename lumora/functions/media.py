@@ -221,3 +221,37 @@ def crop_rectangle(box: Column, width: Column, height: Column, padding: float =
     y = F.least(F.greatest(F.lit(0.0), (box[1] + box[3] / 2) * height - h / 2), height - h)
     x1, y1 = F.rint(x), F.rint(y)
     return F.array(x1, y1, F.least(width.cast("double"), F.greatest(x1 + 1, F.rint(x + w))), F.least(height.cast("double"), F.greatest(y1 + 1, F.rint(y + h))))
+
+
+def sprite_rows(count: Column, cols: int) -> Column:
+    return F.ceil(count / cols).cast("long")
+
+
+def first_rating(tags: Column, category: str = "rating") -> Column:
+    """Value of the first tag (category, value) of a category; null without one."""
+    return F.try_element_at(F.filter(tags, lambda t: t["category"] == category), F.lit(1))["value"]
+
+
+def answered_tags(text: Column) -> Column:
+    """Map of category to values in a model's free text: its JSON object; null where there is none or it doesn't parse."""
+    return F.from_json(json_object_in(text), "map<string,array<string>>")
+
+
+def place(name: Column, admin1: Column, admin2: Column, cc: Column, lat: Column, lon: Column) -> Column:
+    """struct of a place: texts that are missing become empty, coordinates that aren't numbers null."""
+    texts = {"name": name, "admin1": admin1, "admin2": admin2, "cc": cc}
+    return F.struct(*(F.coalesce(v, F.lit("")).alias(k) for k, v in texts.items()), lat.try_cast("double").alias("lat"), lon.try_cast("double").alias("lon"))
+
+
+#: Weights of a frame's cues, and where two of them are full.
+CUE_WEIGHTS = {"sharpness": 0.35, "colour": 0.20, "prominence": 0.25, "exposure": 0.20}
+FULL_SHARPNESS, FULL_COLOUR = 1000.0, 80.0
+
+
+def proxy_score(sharpness: Column, colour: Column, prominence: Column, brightness: Column) -> Column:
+    """Looks of a frame in 0 to 1 from its cues: each capped, exposure best at a middle brightness of 128."""
+    cues = {"sharpness": F.least(sharpness / FULL_SHARPNESS, F.lit(1.0)), "colour": F.least(colour / FULL_COLOUR, F.lit(1.0)), "prominence": prominence, "exposure": 1 - F.abs(brightness - 128) / 128}
+    out = F.lit(0.0)
+    for k, v in cues.items():
+        out = out + CUE_WEIGHTS[k] * v
+    return out

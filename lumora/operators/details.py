@@ -136,3 +136,37 @@ def outcomes(videos: DataFrame, done: DataFrame) -> DataFrame:
     j = videos.join(d, "id", "left")
     open_ = F.col("processed") == 0
     return j.agg(F.count_if(F.col("processed") == -1).alias("quarantined"), F.count_if(F.col("processed") == 1).alias("skipped"), F.count_if(open_ & F.col("ok")).alias("processed"), F.count_if(open_ & ~F.coalesce("ok", F.lit(False))).alias("failed"))
+
+
+def free_labels(labels: DataFrame) -> DataFrame:
+    """Labels (id, asset_id, set_name, category, value) that belong to no set, newest first."""
+    return labels.where("set_name is null").select("id", "asset_id", "category", "value").orderBy(F.desc("id"))
+
+
+def label_map(labels: DataFrame) -> DataFrame:
+    """asset_id, sets: each asset's labels (id, set_name, value) as a map of set to a map of value to id; the least id where a value repeats."""
+    one = labels.where("set_name is not null").groupBy("asset_id", "set_name", "value").agg(F.min("id").alias("id"))
+    s = one.groupBy("asset_id", "set_name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "id")))).alias("m"))
+    return s.groupBy("asset_id").agg(F.map_from_entries(F.collect_list(F.struct("set_name", "m"))).alias("sets"))
+
+
+def selection(assets: DataFrame, labels: DataFrame, rating_set: str, person: str | None = None, rating: str | None = None, most: int | None = None) -> DataFrame:
+    """id, person, rating of the assets to send out, by id: the rating is the label's or null, and may be asked for."""
+    r = labels.where(F.col("set_name") == rating_set).select(F.col("asset_id").alias("id"), F.col("value").alias("rating"))
+    rows = assets if person is None else assets.where(F.col("person") == person)
+    rows = rows.join(r, "id", "left").select("id", "person", "rating")
+    rows = (rows if rating is None else rows.where(F.col("rating") == rating)).orderBy("id")
+    return rows if most is None else rows.limit(most)
+
+
+def pending_posters(videos: DataFrame, most: int | None = None) -> DataFrame:
+    """Processed videos with a path whose poster is not locked, by id."""
+    rows = videos.where("not poster_locked and path is not null and processed = 1").select("id", "path", "duration").orderBy("id")
+    return rows if most is None else rows.limit(most)
+
+
+def labels_over(rows: DataFrame, names: list[str], least: float = 0.40) -> DataFrame:
+    """id, value, score: labels of an array of logits (in the order of names) whose sigmoid reaches least."""
+    p = rows.select("id", F.posexplode("logits").alias("i", "z")).select("id", "i", (1 / (1 + F.exp(-F.col("z").cast("double")))).alias("score"))
+    value = F.element_at(F.array(*map(F.lit, names)), F.col("i") + 1)
+    return p.where(F.col("score") >= least).select("id", value.alias("value"), "score")

@@ -213,3 +213,8 @@ def linked_places(items: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFr
     table = both.select("place_key", F.coalesce("_a", "lat").alias("lat"), F.coalesce("_b", "lon").alias("lon"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
     links = items.where("lat is not null and lon is not null").select("id", place_key(F.col("lat"), F.col("lon")).alias("place_key"))
     return table, links
+
+
+def events_listed(events: DataFrame, key: str = "event") -> DataFrame:
+    """Events with the latest start first, then by key."""
+    return events.orderBy(F.desc("start_time"), key)

@@ -139,3 +139,17 @@ def gate(results: DataFrame) -> DataFrame:
 def readiness_of(vectors: Column, corpus: Column, present: Column, probes: Column, share: float = 0.9) -> Column:
     """ready where all probes have vectors and enough of the corpus has; else insufficient, as for an empty corpus or no probes."""
     return F.when((corpus > 0) & (probes > 0) & (present >= probes) & (vectors >= F.floor(corpus * share)), "ready").otherwise("insufficient")
+
+
+def duplicate_files(rows: DataFrame, length: int = 12) -> DataFrame:
+    """id, action, kept: the files (id, hash) that share a hash prefix with others; of a group with one content the least id is kept, of a collision every file is, under its full hash."""
+    plan = hash_prefix_plan(rows, length).select("prefix", "action")
+    first = rows.groupBy("hash").agg(F.min("id").alias("first"))
+    j = rows.withColumn("prefix", F.substr("hash", F.lit(1), F.lit(length))).join(plan, "prefix").join(first, "hash")
+    return j.select("id", "action", ((F.col("action") == "full_hash") | (F.col("id") == F.col("first"))).alias("kept"))
+
+
+def present(probes: DataFrame, vectors: DataFrame) -> DataFrame:
+    """n_probes, n_present: how many of the probe ids have a vector."""
+    n = probes.agg(F.count("*").alias("n_probes"))
+    return n.crossJoin(probes.join(vectors.select("id"), "id", "left_semi").agg(F.count("*").alias("n_present")))

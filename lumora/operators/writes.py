@@ -122,3 +122,19 @@ def swapped(spark, rows: DataFrame, path: str, good) -> bool:
     fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.delete(old, True)
     return fs.rename(new, old)
+
+
+def notes_written(notes: DataFrame, new: DataFrame) -> DataFrame:
+    """notes (id, asset_id, content) where the first note of an asset takes the content of new (asset_id, content); an asset without one gets a row, whose id the store gives (null here)."""
+    first = notes.groupBy("asset_id").agg(F.min("id").alias("id"))
+    hit = first.join(new.select("asset_id", F.col("content").alias("_c"), F.lit(True).alias("_w")), "asset_id")
+    changed = notes.join(hit.select("id", "_c", "_w"), "id", "left").select("id", "asset_id", F.when(F.col("_w"), F.col("_c")).otherwise(F.col("content")).alias("content"))
+    return changed.unionByName(new.join(first, "asset_id", "left_anti").select(F.lit(None).cast("long").alias("id"), "asset_id", "content"))
+
+
+def scene_faces_replaced(old: DataFrame, found: DataFrame) -> DataFrame:
+    """old (video, scene, face_index, box, score, embedded) with the faces of found (video, scene, faces: structs of box and score) in their scenes' place, in order and not yet embedded; a scene found without faces is left with none."""
+    rest = old.join(found.select("video", "scene"), ["video", "scene"], "left_anti").select(*old.columns)
+    new = found.select("video", "scene", F.posexplode("faces").alias("i", "f"))
+    new = new.select("video", "scene", F.col("i").cast("long").alias("face_index"), F.col("f.box").alias("box"), F.coalesce("f.score", F.lit(0.0)).alias("score"), F.lit(0).alias("embedded"))
+    return rest.unionByName(new.select(*old.columns))

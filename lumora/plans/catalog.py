@@ -259,7 +259,7 @@ def scene_counts(spark, d):
     return stats.scene_counts(c.scenes.select("video", "scene"), {"n_cues": placed, "n_long": placed.where(F.length("text") > 100)})
 
 
-@register("path_parts", cte("paths") + r"SELECT id, split_part(path, '/', 3) AS host, split_part(path, '/', -2) AS person, regexp_extract(path, '\.([A-Za-z0-9]+)$', 1) AS extension, CASE WHEN path LIKE '%.html' THEN 'other' ELSE 'other' END AS kind, regexp_replace(path, '[^a-zA-Z0-9_\-]', '', 'g') AS slug FROM paths")
+@register("path_parts", cte("paths") + r"SELECT id, split_part(path, '/', 3) AS host, split_part(path, '/', -2) AS person, regexp_extract(path, '\.([A-Za-z0-9]+)$', 1) AS extension, 'other' AS kind, regexp_replace(path, '[^a-zA-Z0-9_\-]', '', 'g') AS slug FROM paths")
 def path_parts(spark, d):
     p = F.col("path")
     return Catalog(spark, d).paths.select("id", F.split(p, "/")[2].alias("host"), media.parent_folder(p).alias("person"), media.extension(p).alias("extension"), media.file_kind(p).alias("kind"), media.slug(p).alias("slug"))

@@ -36,10 +36,11 @@ def jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame
 
 
 def jsonl_last(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
-    """JSON lines by key where a later line replaces an earlier one. The files' order is their names', then their lines'."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"), F.from_json("value", schema).alias("r"))
-    rows = lines.where(F.col(f"r.{key}").isNotNull()).select("file", "n", "r.*")
-    return first_of(rows, [key], [F.desc("file"), F.desc("n")]).drop("file", "n")
+    """JSON lines by key where a later line replaces an earlier one. The files' order is their names', then their lines', however a file is split."""
+    at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    lines = spark.read.text(path).select(at.alias("_at"), F.from_json("value", schema).alias("r"))
+    rows = lines.where(F.col(f"r.{key}").isNotNull()).select("_at", "r.*")
+    return first_of(rows, [key], [F.desc("_at")]).drop("_at")
 
 
 def json_manifest(spark: SparkSession, path: str, value: str) -> DataFrame:
@@ -117,3 +118,9 @@ def new_videos(probes: DataFrame, known: DataFrame) -> DataFrame:
         rows = rows.join(known.select(c).where(F.col(c).isNotNull()), c, "left_anti")
     m = rows.withColumn("m", probed(F.col("probe")))
     return m.select("path", "file_hash", "m.*", F.when(F.col("m").isNull(), -1).otherwise(0).alias("processed"))
+
+
+def integer_stems(scanned: DataFrame) -> DataFrame:
+    """id, path of files whose name without extension is a whole number, by id."""
+    stem = F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1)
+    return scanned.select(F.when(stem.rlike(r"^\d+$"), stem.try_cast("long")).alias("id"), "path").where("id is not null").orderBy("id")

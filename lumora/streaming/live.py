@@ -9,15 +9,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+def _watermarked(items: DataFrame, late: str) -> DataFrame:
+    """Streams get a watermark, which takes times with a zone only: others are read in the session's."""
+    return items.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if items.isStreaming else items
+
+
 def sessions(items: DataFrame, gap: str = "6 hours", late: str = "1 hour", by: str = "person") -> DataFrame:
     """by, start, end, n: sessions with no gap above gap; rows later than the watermark are dropped. Works on streams and on tables."""
-    s = items.withWatermark("ts", late) if items.isStreaming else items
+    s = _watermarked(items, late)
     return s.groupBy(by, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def throughput(items: DataFrame, width: str = "10 minutes", late: str = "1 hour") -> DataFrame:
     """start, n, latest for each tumbling window."""
-    s = items.withWatermark("ts", late) if items.isStreaming else items
+    s = _watermarked(items, late)
     return s.groupBy(F.window("ts", width).alias("w")).agg(F.count("*").alias("n"), F.max("ts").alias("latest")).select(F.col("w.start").alias("start"), "n", "latest")
 
 

@@ -41,3 +41,20 @@ def test_npy(spark, tmp_path):
     assert files.npy_vectors(spark, str(tmp_path), 4).count() == 5
     with pytest.raises(Exception, match="not"):
         files.npy_vectors(spark, str(tmp_path), 3).count()
+
+
+def test_later_lines_win_in_split_files_whatever_the_columns_are_called(spark, tmp_path):
+    for name, first in (("a.json", 0), ("b.json", 500)):
+        (tmp_path / name).write_text("".join(json.dumps({"file": i % 7, "n": first + i}) + "\n" for i in range(500)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = {r.file: r.n for r in files.jsonl_last(spark, str(tmp_path), "file long, n long", "file").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {i % 7: 500 + i for i in range(500)}
+
+
+def test_whole_numbers_as_names(spark):
+    rows = spark.createDataFrame([("x/12.jpg",), ("x/7.tar.gz",), ("x/007.png",), ("x/a1.jpg",), ("3",)], "path string")
+    assert [(r.id, r.path) for r in files.integer_stems(rows).collect()] == [(3, "3"), (7, "x/007.png"), (12, "x/12.jpg")]
