@@ -143,12 +143,9 @@ class Packer:
     def place(self, piece: tuple) -> None:
         s, n = len(piece[2]), self.count
         levels = self.size - s + 1  # 0 (a new sequence) to the level that the piece fills up
-        change = n[s:] - n[:levels]
-        change[0] = n[s]
-        change[1:] += 1  # halves of the change in the sum of squares
-        change[0] += 0 if s < self.size else 1
-        if s < self.size:
-            change[-1] = -n[levels - 1]
+        change = 2 * (n[s:] - n[:levels]) + 2  # in the sum of squares; one place of two is none at either end
+        change[0] -= 1
+        change[-1] -= 1
         change[1:][n[1:levels] == 0] = np.iinfo(np.int64).max
         h = levels - 1 - int(np.argmin(change[::-1]))
         parts = self.open[h].pop() if h else []

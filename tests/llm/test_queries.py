@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from lumora.llm import brown_lm, language_crf, packing, queries, quality_rules, secret_scan
@@ -183,27 +183,37 @@ def test_parts_encode_like_whole_texts(texts):
     assert [x.tolist() for x in ids.encode(Chunk(texts), True)] == [w.ids for w in whole]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 40), max_size=60))
-def test_sum_of_squares_choice(sizes):
-    p = packing.Packer(16)
+def chosen_well(size, sizes):
+    """Each choice leaves the least sum of squares that any open level, a new sequence or a full one would leave."""
+    p = packing.Packer(size)
     for i, n in enumerate(sizes):
         before = p.count.copy()
         p.add(i, np.zeros(n, "<u4"))
-        rest = n % 16
+        rest = n % size
         if rest:
+            was = int((before[1:size] ** 2).sum())
+
             def cost(h):
-                c = before.copy()
-                c[h] -= h > 0
-                if h + rest < 16:
-                    c[h + rest] += 1
-                return (c[1:16] ** 2).sum()
+                gone = 1 - 2 * before[h] if h else 0
+                return was + gone + (2 * before[h + rest] + 1 if h + rest < size else 0)
 
-            assert (p.count[1:16] ** 2).sum() == min(cost(h) for h in range(0, 17 - rest) if h == 0 or before[h])
+            assert (p.count[1:size] ** 2).sum() == min(cost(h) for h in range(0, size + 1 - rest) if h == 0 or before[h])
     p.finish()
     assert sum(r[2] for r in p.rows) == sum(sizes)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=60))
+@example([1, 1, 11, 4, 4, 6, 1, 13, 1])  # filling a sequence isn't as good here as it looks
+def test_sum_of_squares_choice(sizes):
+    chosen_well(16, sizes)
+
+
+@pytest.mark.parametrize("size", [16, 64, 4096])
+def test_sum_of_squares_choice_at_other_sizes(size):
+    chosen_well(size, np.random.default_rng(size).integers(1, 3 * size, 2000).tolist())
+
+
 def test_quality_of_held_out_documents(spark):
     labels = pq.read_table(f"{SMALL}/labels.parquet").to_pandas()
     got = queries.op6_quality_classifier(spark, SMALL).toPandas().merge(labels)
