@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumora.llm import brown_lm, language_crf, quality_model, secret_scan, toxicity, url_filter
+from lumora.llm import brown_lm, index_queries, language_crf, quality_model, secret_scan, toxicity, url_filter
 from lumora.llm.decontaminate import contained
 from lumora.llm.ngram_jaccard import jaccard_classes, link_counts
 from lumora.llm.packing import pack
@@ -78,14 +78,14 @@ def op10_decontaminate(spark, sf_dir):
     return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=75, words=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op1_ngram_links, op2_quality_rules, op3_url_filter, op4_language_id, op5_packing, op6_quality_classifier, op7_brown_lm, op8_secret_scan, op9_toxicity, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op1_ngram_links, op2_quality_rules, op3_url_filter, op4_language_id, op5_packing, op6_quality_classifier, op7_brown_lm, op8_secret_scan, op9_toxicity, op10_decontaminate)} | index_queries.QUERIES
 
 #: Words of a text, A to Z lower-cased: DuckDB's lower() folds other letters too.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FOLD = f"translate(text, '{_UPPER}', '{_LOWER}')"
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(index_queries.ORACLE_SQL)
 
 ORACLE_SQL["op1_ngram_jaccard"] = rf"""
 WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_FOLD}, {_WORDS}) AS a FROM documents WHERE doc_id IS NOT NULL),
