@@ -49,9 +49,9 @@ sp AS (SELECT g, subroot, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS pos
 t0 AS (SELECT 0 AS g, list(subroot ORDER BY pos) AS a FROM sp),
 top AS ({_levels("t0").replace("FROM up", "FROM top")}),
 root AS (SELECT a[1] AS root FROM top WHERE len(a) = 1),
-st AS (SELECT r, up.k AS k, a, pos // CAST(pow(3, up.k) AS BIGINT) AS at FROM p JOIN up ON up.g IS NOT DISTINCT FROM p.source WHERE len(a) > 1
+st AS (SELECT r, up.k AS k, a, pos // CAST(pow(3, up.k) AS BIGINT) AS nth FROM p JOIN up ON up.g IS NOT DISTINCT FROM p.source WHERE len(a) > 1
   UNION ALL SELECT r, 1000 + top.k, a, sp.pos // CAST(pow(3, top.k) AS BIGINT) FROM p JOIN sp ON sp.g IS NOT DISTINCT FROM p.source, top WHERE len(a) > 1),
-w AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY k) AS step, array_to_string(list_slice(a, at - at % 3 + 1, at), '') AS lft, array_to_string(list_slice(a, at + 2, at - at % 3 + 3), '') AS rgt FROM st),
+w AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY k) AS step, array_to_string(list_slice(a, nth - nth % 3 + 1, nth), '') AS lft, array_to_string(list_slice(a, nth + 2, nth - nth % 3 + 3), '') AS rgt FROM st),
 proof AS (SELECT r, max(step) AS steps, string_agg(lft || rgt, '' ORDER BY step) AS sib FROM w GROUP BY r),
 f AS (SELECT r, 0 AS step, claimed AS x FROM d UNION ALL SELECT f.r, w.step, sha256(lft || x || rgt) FROM f JOIN w ON w.r = f.r AND w.step = f.step + 1)
 SELECT p.doc_id, p.leaf, sub.subroot, root.root, sha256(coalesce(proof.sib, '')) AS proof_sha256, f.x AS folded_root, f.x = root.root AS verified
