@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lumora.llm.conversation_trie import prefix_trie, spliced
 from lumora.llm.merkle import leaf, manifest
 from lumora.llm.text import table
 
 
+def op12_conversation_trie(spark, sf_dir):
+    return prefix_trie(spliced(table(spark, sf_dir, "conversations"), group=5, heads=9))
+
+
 def op13_merkle_manifest(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
@@ -15,7 +20,7 @@ def op13_merkle_manifest(spark, sf_dir):
     return manifest(docs, leaf([*columns, F.col("text")]), F.col("source"), "doc_id", claimed=leaf([*columns, tampered]))
 
 
-QUERIES = {f.__name__: f for f in (op13_merkle_manifest,)}
+QUERIES = {f.__name__: f for f in (op12_conversation_trie, op13_merkle_manifest)}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -57,3 +62,20 @@ f AS (SELECT r, 0 AS step, claimed AS x FROM d UNION ALL SELECT f.r, w.step, sha
 SELECT p.doc_id, p.leaf, sub.subroot, root.root, sha256(coalesce(proof.sib, '')) AS proof_sha256, f.x AS folded_root, f.x = root.root AS verified
 FROM p JOIN sub ON sub.g IS NOT DISTINCT FROM p.source LEFT JOIN proof USING (r) JOIN f ON f.r = p.r AND f.step = coalesce(proof.steps, 0), root
 """
+
+ORACLE_SQL["op12_conversation_trie"] = f"""
+WITH t AS (SELECT conv_id AS c, turn, strlen(coalesce(text, '')) AS nb, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS td FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, td) - 1 AS i FROM t),
+ids AS (SELECT DISTINCT c, c - c % 5 AS base, {_crc32("CAST(c AS VARCHAR)")} % 9 AS h FROM o),
+b AS (SELECT ids.c, 0 AS own, i, td, nb FROM ids JOIN o ON o.c = ids.base AND o.i < ids.h UNION ALL SELECT ids.c, 1, i, td, nb FROM ids JOIN o ON o.c = ids.c AND o.i >= ids.h),
+x AS (SELECT c, row_number() OVER w AS depth, string_agg(td, '') OVER w AS p, nb FROM b WINDOW w AS (PARTITION BY c ORDER BY own, i)),
+m AS (SELECT c, depth, p, left(p, 64 * (depth - 1)) AS parent, nb FROM x UNION ALL SELECT c, 0, '', NULL, 0 FROM ids),
+e AS (SELECT c, max(depth) AS depth FROM m GROUP BY c),
+n AS (SELECT p, any_value(parent) AS parent, any_value(depth) AS depth, min(c) AS c, count(*) AS k, any_value(nb) AS nb FROM m GROUP BY p),
+kids AS (SELECT parent AS p, count(*) AS kids FROM n WHERE parent IS NOT NULL GROUP BY parent),
+v AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN kids USING (p)),
+sub AS (SELECT a.p, count(*) FILTER (WHERE z.kids = 0) AS leaves, sum((z.k - 1) * z.nb) AS saved FROM v a JOIN v z ON starts_with(z.p, a.p) GROUP BY a.p),
+fin AS (SELECT m.p, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ends FROM m JOIN e USING (c, depth) GROUP BY m.p)
+SELECT v.c AS conv_id, CAST(v.depth AS BIGINT) AS depth, up.c AS parent_conv_id, v.k AS n_convs, v.kids AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM v JOIN sub USING (p) LEFT JOIN fin USING (p) LEFT JOIN n up ON up.p = v.parent
+"""
