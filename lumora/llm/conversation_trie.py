@@ -55,30 +55,30 @@ def spliced(conversations: DataFrame, group: int = 5, heads: int = 9) -> DataFra
     """
 
     def run(batches):
-        base, head, conv, at, gone = None, [], None, 0, False
+        base, head, conv, at, given = None, [], None, 0, False
         out: list[tuple] = []
         for b in batches:
             cols = (b.column(c).to_pylist() for c in ("base", "conv_id", "h", "digest", "n_bytes"))
             for g, c, h, d, n in zip(*cols, strict=True):
                 if c != conv:
-                    if conv is not None and not gone:
+                    if conv is not None and not given:
                         out.append((conv, None, 0))
                     if g != base:
                         base, head = g, []
-                    conv, at, gone = c, 0, False
+                    conv, at, given = c, 0, False
                     if c != g and h:
                         out += [(c, *t) for t in head[:h]]
-                        gone = bool(head)
+                        given = bool(head)
                 if c == g and len(head) < heads - 1:
                     head.append((d, n))
                 if c == g or at >= h:
                     out.append((c, d, n))
-                    gone = True
+                    given = True
                 at += 1
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.int64()), strict=True)], ["conv_id", "digest", "n_bytes"])
                 out = []
-        if conv is not None and not gone:
+        if conv is not None and not given:
             yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([None], pa.binary()), pa.array([0], pa.int64())], ["conv_id", "digest", "n_bytes"])
 
     rows = _turns(conversations).select("*", F.expr(f"conv_id - conv_id % {group}").alias("base"), (F.crc32(F.col("conv_id").cast("string")) % heads).alias("h"))

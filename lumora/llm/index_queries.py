@@ -6,9 +6,15 @@ from pyspark.sql import functions as F
 
 from lumora.llm.conversation_trie import prefix_trie, spliced
 from lumora.llm.merkle import leaf, manifest
+from lumora.llm.metric_tree import top_products, whole
 from lumora.llm.text import table
 
 
+def op11_metric_topk(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", whole(F.col("embedding"), 64).alias("v"))
+    return top_products(vectors, F.col("vec_id") % 20 == 0, k=20).drop("n_products")
+
+
 def op12_conversation_trie(spark, sf_dir):
     return prefix_trie(spliced(table(spark, sf_dir, "conversations"), group=5, heads=9))
 
@@ -20,7 +26,7 @@ def op13_merkle_manifest(spark, sf_dir):
     return manifest(docs, leaf([*columns, F.col("text")]), F.col("source"), "doc_id", claimed=leaf([*columns, tampered]))
 
 
-QUERIES = {f.__name__: f for f in (op12_conversation_trie, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op11_metric_topk, op12_conversation_trie, op13_merkle_manifest)}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -63,6 +69,16 @@ SELECT p.doc_id, p.leaf, sub.subroot, root.root, sha256(coalesce(proof.sib, ''))
 FROM p JOIN sub ON sub.g IS NOT DISTINCT FROM p.source LEFT JOIN proof USING (r) JOIN f ON f.r = p.r AND f.step = coalesce(proof.steps, 0), root
 """
 
+ORACLE_SQL["op11_metric_topk"] = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+w AS (SELECT max(len(v)) AS w FROM v),
+p AS (SELECT r, vec_id, list_resize(v, w, 0) AS v FROM v, w),
+s AS (SELECT q.r, q.vec_id AS query_id, p.vec_id, CAST(CASE WHEN len(q.v) = 0 THEN 0 ELSE list_inner_product(q.v, p.v) END AS BIGINT) AS score FROM p q JOIN p ON p.r <> q.r WHERE q.vec_id % 20 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM k WHERE rank <= 20
+"""
+
 ORACLE_SQL["op12_conversation_trie"] = f"""
 WITH t AS (SELECT conv_id AS c, turn, strlen(coalesce(text, '')) AS nb, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS td FROM conversations WHERE conv_id IS NOT NULL),
 o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, td) - 1 AS i FROM t),
