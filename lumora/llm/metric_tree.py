@@ -32,6 +32,8 @@ from lumora.llm.text import drop, kept
 REGION, PAGE, FANOUT, QUERIES = 16_384, 128, 64, 1024
 #: Levels of regions: deeper ones (very uneven data) are dealt by hash instead, with the same routing object.
 DEEPEST = 9
+#: Below every score.
+LOWEST = -(2**63 - 1)
 #: Slack for angles in double precision.
 SLACK = 1e-7
 
@@ -209,7 +211,7 @@ class Best:
 
     def __init__(self, queries: int, k: int, floor: np.ndarray):
         self.k, self.floor = k, floor
-        self.score = np.full((queries, k), np.iinfo(np.int64).min)
+        self.score = np.full((queries, k), LOWEST)
         self.least = np.full((queries, k), np.iinfo(np.int64).max)
         self.at = np.full((queries, k), -1)
 
@@ -360,11 +362,11 @@ def top_products(vectors: DataFrame, asked: Column, k: int = 20, region: int = R
     objects = rows.groupBy("key").agg(F.min("vec_id").alias("least"), F.first("v").alias("v"))
     tree = kept(_pages(_regions(objects, sphere, region), sphere, page), "pages")
     regions = tree.where("page = -1").select(F.col("region").alias("name"), F.lit(0).alias("page"), "pivot", "radius")
-    queries = kept(rows.where("asked").groupBy("key").agg(F.first("v").alias("v")).withColumn("floor", F.lit(-(2**63)).cast("long")), "queries")
+    queries = kept(rows.where("asked").groupBy("key").agg(F.first("v").alias("v")).withColumn("floor", F.lit(LOWEST).cast("long")), "queries")
     near = kept(_routed(queries, regions, sphere, first=True), "near")
     found = kept(_searched(tree, near, sphere, k + 1), "found")
     # the last of k + 1 objects of the first region is the score to beat elsewhere; a query with fewer has none
-    beat = found.groupBy(F.col("query").alias("key")).agg(F.when(F.count("object") > k, F.min("score")).otherwise(-(2**63)).cast("long").alias("floor"))
+    beat = found.groupBy(F.col("query").alias("key")).agg(F.when(F.count("object") > k, F.min("score")).otherwise(LOWEST).cast("long").alias("floor"))
     again = near.select("key", "v", F.col("region").alias("seen")).join(beat, "key")
     more = _searched(tree, _routed(again, regions, sphere, first=False), sphere, k + 1)
     both = kept(found.unionByName(more), "candidates")
