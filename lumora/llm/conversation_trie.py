@@ -25,7 +25,7 @@ from lumora.llm.text import drop, kept
 #: Counters of one of the sketch's two rows, as powers of two: eight for each prefix, within these.
 LEAST_BITS, MOST_BITS = 17, 22
 ROOT = sha256(b"").digest()
-#: Characters of joined ids that are sent as one piece.
+#: Characters of joined ids from which on they are sent as a piece.
 PIECE = 1 << 16
 
 _TURNS = "conv_id long, digest binary, n_bytes long"
@@ -170,7 +170,7 @@ def _screened(prefixes: DataFrame, counts: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "conv_id long, depth long, digest binary, parent binary, n_bytes long, last boolean, kind string, n_next long")
 
 
-def _ends(rows: DataFrame) -> DataFrame:
+def _ends(rows: DataFrame, piece: int) -> DataFrame:
     """digest, ends_sha256 of (digest, conv_id): the hash of each digest's ids in order. Ids are joined to pieces where a range sort has put them; one task hashes a digest's pieces."""
 
     def pieces(batches):
@@ -178,7 +178,7 @@ def _ends(rows: DataFrame) -> DataFrame:
         done: list[tuple] = []
         for b in batches:
             for d, c in zip(b.column("digest").to_pylist(), b.column("conv_id").to_pylist(), strict=True):
-                if d != digest or size > PIECE:
+                if d != digest or size > piece:
                     if text:
                         done.append((digest, first, ",".join(text)))
                     digest, first, text, size = d, c, [], 0
@@ -236,7 +236,7 @@ def _subtree_sums(paths: DataFrame, shares: DataFrame) -> DataFrame:
     return summed.groupBy("digest").agg(F.sum("n_leaves").alias("n_leaves"), F.sum("saved").alias("saved"))
 
 
-def prefix_trie(turns: DataFrame) -> DataFrame:
+def prefix_trie(turns: DataFrame, piece: int = PIECE) -> DataFrame:
     """One row per distinct prefix: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256.
 
     turns: from ordered() or spliced(). A node is named by the smallest of its conversations and its depth; saved_tokens is
@@ -257,7 +257,7 @@ def prefix_trie(turns: DataFrame) -> DataFrame:
     drop(nodes)
     own = counted.select("conv_id", "depth", F.when(F.col("n_children") == 0, 1).otherwise(0).cast("long").alias("n_leaves"), ((F.col("n_convs") - 1) * F.col("n_bytes")).alias("saved"))
     own = own.where("n_leaves > 0 or saved > 0").unionByName(tails.where("kind = 'u'").select("conv_id", (F.col("depth") - 1).alias("depth"), F.lit(1).cast("long").alias("n_leaves"), F.lit(0).cast("long").alias("saved")))
-    sums, ends = _subtree_sums(shared, own), _ends(shared.where("last").select("digest", "conv_id"))
+    sums, ends = _subtree_sums(shared, own), _ends(shared.where("last").select("digest", "conv_id"), piece)
     above = counted.select(F.col("digest").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
     nothing = sha256(b"").hexdigest()
     grouped = counted.join(sums, "digest", "left").join(ends, "digest", "left").join(above, "parent", "left")

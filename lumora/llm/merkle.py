@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from lumora.llm.text import drop, kept
 
 ARITY, BLOCK_LEVELS = 3, 7
-BLOCK = ARITY**BLOCK_LEVELS
 
 _STEPS = "array<struct<l:binary,r:binary>>"
 
@@ -85,10 +84,10 @@ def folded(digest: bytes, steps: list[tuple[bytes, bytes]]) -> bytes:
     return digest
 
 
-def height(n: int) -> int:
-    """Levels of a block of a group of n nodes."""
+def height(n: int, levels: int) -> int:
+    """Levels of a block of a group of n nodes; levels is what a full one has."""
     h, wide = 0, 1
-    while wide < n and h < BLOCK_LEVELS:
+    while wide < n and h < levels:
         h, wide = h + 1, wide * ARITY
     return h
 
@@ -136,30 +135,30 @@ def _dealt(nodes: DataFrame, *order: str) -> DataFrame:
     return nodes.repartition("g", "block").sortWithinPartitions("g", "block", *order)
 
 
-def block_roots(nodes: DataFrame) -> DataFrame:
+def block_roots(nodes: DataFrame, levels: int) -> DataFrame:
     """g, pos, n, digest of the next round: a node for each block of these."""
 
     def run(batches):
         for rows in _blocks(batches, ("g", "block")):
             n = rows[0]["n"]
-            tree = OpenTree(height(n), witnesses=False)
+            tree = OpenTree(height(n, levels), witnesses=False)
             for r in rows:
                 tree.append(r["digest"])
-            yield pa.RecordBatch.from_arrays([pa.array([rows[0]["g"]]), pa.array([rows[0]["block"]], pa.int64()), pa.array([-(-n // BLOCK)], pa.int64()), pa.array([tree.finish()], pa.binary())], ["g", "pos", "n", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array([rows[0]["g"]]), pa.array([rows[0]["block"]], pa.int64()), pa.array([-(-n // ARITY**levels)], pa.int64()), pa.array([tree.finish()], pa.binary())], ["g", "pos", "n", "digest"])
 
-    rows = nodes.select("g", F.expr(f"pos div {BLOCK}").alias("block"), "pos", "n", "digest")
+    rows = nodes.select("g", F.expr(f"pos div {ARITY**levels}").alias("block"), "pos", "n", "digest")
     return _dealt(rows, "pos").mapInArrow(run, "g string, pos long, n long, digest binary")
 
 
-def rounds(nodes: DataFrame) -> list[DataFrame]:
+def rounds(nodes: DataFrame, levels: int) -> list[DataFrame]:
     """Block roots, round by round, until every group has one node."""
-    out = [kept(block_roots(nodes), "blocks")]
+    out = [kept(block_roots(nodes, levels), "blocks")]
     while (out[-1].agg(F.max("n")).first()[0] or 0) > 1:
-        out.append(kept(block_roots(out[-1]), "blocks"))
+        out.append(kept(block_roots(out[-1], levels), "blocks"))
     return out
 
 
-def with_witnesses(nodes: DataFrame, upper: DataFrame, emit, schema: str, *columns: str) -> DataFrame:
+def with_witnesses(nodes: DataFrame, upper: DataFrame, levels: int, emit, schema: str, *columns: str) -> DataFrame:
     """emit(row, steps, upper's row) for each node, where upper has, for each block (g, pos), its steps up to the root.
 
     steps are those of the whole way; columns of nodes and of upper that emit reads are in columns.
@@ -169,7 +168,7 @@ def with_witnesses(nodes: DataFrame, upper: DataFrame, emit, schema: str, *colum
     def run(batches):
         for rows in _blocks(batches, ("g", "block")):
             top, own = rows[0], rows[1:]
-            tree = OpenTree(height(own[0]["n"]), witnesses=True)
+            tree = OpenTree(height(own[0]["n"], levels), witnesses=True)
             found = [tree.append(r["digest"]) for r in own]
             tree.finish()
             above = [(s["l"], s["r"]) for s in top["steps"]]
@@ -179,42 +178,42 @@ def with_witnesses(nodes: DataFrame, upper: DataFrame, emit, schema: str, *colum
             yield pa.RecordBatch.from_pydict({n: [o[i] for o in out] for i, n in enumerate(names)}, types)
 
     first = upper.select("g", F.col("pos").alias("block"), F.lit(0).alias("own"), "steps", *(c for c in columns if c in upper.columns))
-    rest = nodes.select("g", F.expr(f"pos div {BLOCK}").alias("block"), F.lit(1).alias("own"), "pos", "n", "digest", *(c for c in columns if c in nodes.columns))
+    rest = nodes.select("g", F.expr(f"pos div {ARITY**levels}").alias("block"), F.lit(1).alias("own"), "pos", "n", "digest", *(c for c in columns if c in nodes.columns))
     return _dealt(first.unionByName(rest, allowMissingColumns=True), "own", "pos").mapInArrow(run, schema)
 
 
 _ARROW = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), _STEPS: pa.list_(pa.struct([("l", pa.binary()), ("r", pa.binary())]))}
 
 
-def _passed_down(levels: list[DataFrame], top: DataFrame) -> DataFrame:
+def _passed_down(done: list[DataFrame], top: DataFrame, levels: int) -> DataFrame:
     """g, pos, steps, subroot, root of the first round's nodes, from those of the last round's."""
-    for nodes in reversed(levels[:-1]):
+    for nodes in reversed(done[:-1]):
         emit = lambda r, w, above, up, _: (r["g"], r["pos"], [{"l": a, "r": b} for a, b in w + above], up["subroot"], up["root"])
-        top = with_witnesses(nodes, top, emit, f"g string, pos long, steps {_STEPS}, subroot binary, root binary", "subroot", "root")
+        top = with_witnesses(nodes, top, levels, emit, f"g string, pos long, steps {_STEPS}, subroot binary, root binary", "subroot", "root")
     return top
 
 
-def manifest(rows: DataFrame, digest: Column, group: Column, order: str, claimed: Column | None = None, steps: bool = False) -> DataFrame:
+def manifest(rows: DataFrame, digest: Column, group: Column, order: str, claimed: Column | None = None, steps: bool = False, levels: int = BLOCK_LEVELS) -> DataFrame:
     """One row per row: order, leaf, subroot, root, proof_sha256 (of the witness' siblings), folded_root, verified; with steps, the witness itself.
 
     digest: a row's leaf, as leaf() makes it; claimed: the leaf to verify with the witness, if it's another one. A group's
     rows ascend by order (null first, equal ones by leaf), groups by their text (null first, bytewise). Repeated rows are
     leaves each; an empty table gives no rows; further columns are only read if digest or claimed say so. Of very long
-    texts, only the digest leaves the task that reads it.
+    texts, only the digest leaves the task that reads it. A block has ARITY ** levels rows, which a task holds.
     """
     g = F.coalesce(F.concat(F.lit("="), group.cast("string")), F.lit(""))
     made = rows.select(g.alias("g"), F.col(order).alias("key"), digest.alias("digest"), (digest if claimed is None else claimed).alias("claimed"), F.monotonically_increasing_id().alias("row"))
     made = kept(made, "leaves")
     leaves = ranked(made, ["key", "digest", "row"])
-    levels = rounds(leaves)
+    blocks = rounds(leaves, levels)
     drop(made)
-    subroots = ranked(levels[-1].select(F.lit("").alias("g"), F.col("g").alias("name"), "digest"), ["name"])
-    tops = rounds(subroots)
+    subroots = ranked(blocks[-1].select(F.lit("").alias("g"), F.col("g").alias("name"), "digest"), ["name"])
+    tops = rounds(subroots, levels)
     root = tops[-1].select("g", F.lit(0).cast("long").alias("pos"), F.expr(f"cast(array() as {_STEPS})").alias("steps"), F.lit(None).cast("binary").alias("subroot"), F.col("digest").alias("root"))
-    below = _passed_down(tops, root)
+    below = _passed_down(tops, root, levels)
     emit = lambda r, w, above, up, _: (r["name"], 0, [{"l": a, "r": b} for a, b in w + above], r["digest"], up["root"])
-    sources = with_witnesses(subroots, below, emit, f"g string, pos long, steps {_STEPS}, subroot binary, root binary", "name", "root")
-    upper = kept(_passed_down(levels, sources), "upper")
+    sources = with_witnesses(subroots, below, levels, emit, f"g string, pos long, steps {_STEPS}, subroot binary, root binary", "name", "root")
+    upper = kept(_passed_down(blocks, sources, levels), "upper")
 
     def last(r, w, above, up, seen):
         mine = folded(r["claimed"], w)
@@ -228,6 +227,6 @@ def manifest(rows: DataFrame, digest: Column, group: Column, order: str, claimed
 
     kind = "long" if dict(made.dtypes)["key"] == "bigint" else "string"
     schema = f"{order} {kind}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean" + (f", steps {_STEPS}" if steps else "")
-    out = with_witnesses(leaves, upper, last, schema, "key", "claimed", "subroot", "root")
-    drop(*levels, *tops, subroots)
+    out = with_witnesses(leaves, upper, levels, last, schema, "key", "claimed", "subroot", "root")
+    drop(*blocks, *tops, subroots)
     return out

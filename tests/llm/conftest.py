@@ -36,12 +36,37 @@ def folder(spark, tmp_path_factory):
     urls = ["http://A.example.com/en/1", "https://www.example.com/en/x?y#z", "http://example.com:80/en", "ftp://sub.host.net/es/", "http://host.net/espresso", "http://free-bets.example.org/x", "http://freebets.org/", "http://casino.org", "http://x.org/casinoroyale", "nonsense", None, "http://", "://h/p", "http://net/fr/a", "http://cheap.org/pills?free", "http://COM/", "http://a.com", "http://a.org/" + "w" * 5000 + "/xxx"]
     spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)] + [(0, urls[0], None), (None, urls[1], "h")], "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
     spark.createDataFrame([(i, int(i % 4 != 0), int(i % 5 == 0)) for i in range(60)] + [(None, None, None), (5000, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    vectors, talks = made_vectors(), made_conversations()
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int, v string, key string").repartition(3).write.parquet(f"{path}/embeddings.parquet")
+    spark.createDataFrame(talks, "conv_id long, turn long, role string, text string, digest string, depth string").repartition(3).write.parquet(f"{path}/conversations.parquet")
     return path
 
 
+def made_vectors():
+    """Clusters, many equal vectors, zeros, short and empty ones, ties, nulls, not finite ones, repeated rows."""
+    rng = random.Random(3)
+    centres = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(5)]
+    rows = [(i, [c + rng.gauss(0, 0.3) for c in centres[i % 5]], i % 5) for i in range(150)]
+    rows += [(200 + i, [0.5] * 6, 0) for i in range(60)] + [(300 + i, [0.0] * 6, 0) for i in range(25)]
+    rows += [(400, [1.0], 0), (420, [], 0), (440, None, 0), (460, [None] * 6, 0), (480, [float("nan")] * 6, 0), (500, [float("inf"), 1.0], 0), (None, [1.0] * 6, 0), (520, [-1e6] * 6, 0), rows[20], rows[20], (20, [0.5] * 6, 1)]
+    return [(*r, "x", "y") for r in rows]
+
+
+def made_conversations():
+    """Shared openings, copies, ties, nulls, a turnless conversation, a long one, absent bases."""
+    rng = random.Random(4)
+    say = ["hello", "how are you", "", None, "grüß\nGott", "x" * 3000]
+    rows = []
+    for c in [*range(60), *range(81, 85), 1002]:
+        rows += [(c, t if rng.random() > 0.05 else None, ["user", "assistant", None][t % 2 if t else rng.choice([0, 0, 0, 2])], rng.choice(say[: 2 + c % 5])) for t in range(rng.choice([1, 2, 4, 7]))]
+    rows += [(100 + i, t, "user", "same") for i in range(40) for t in range(3)] + [(2000, t, "user", f"turn {t}") for t in range(700)]
+    rows += [rows[0], rows[0], (None, 0, "user", "nobody"), (3, 0, None, None)]
+    return [(*r, "x", "y") for r in rows]
+
+
 @pytest.fixture(scope="session")
 def empty(spark, folder, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("empty"))
-    for t in ("documents", "benchmark", "pages", "labels"):
+    for t in ("documents", "benchmark", "pages", "labels", "embeddings", "conversations"):
         spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{path}/{t}.parquet")
     return path

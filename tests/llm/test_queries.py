@@ -29,7 +29,7 @@ def documents(folder):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_fixture_against_sql(spark, folder, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "labels"):
+    for t in ("documents", "benchmark", "pages", "labels", "embeddings", "conversations"):
         # a repeated doc_id makes op1's SQL ambiguous only in its row count; it is compared as rows
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
     same(queries.QUERIES[name](spark, folder).toPandas(), c.execute(queries.ORACLE_SQL[name]).df())
@@ -40,7 +40,7 @@ def test_small_tables_against_sql(spark, name):
     same(queries.QUERIES[name](spark, SMALL).toPandas(), connect(SMALL).execute(queries.ORACLE_SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(n for n in queries.QUERIES if not n.startswith(("op11", "op12"))))
 def test_odd_rows_come_back_once_each(spark, folder, name):
     got = queries.QUERIES[name](spark, folder).toPandas()
     table, key = ("pages", "page_id") if name.startswith("op3") else ("documents", "doc_id")
