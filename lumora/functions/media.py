@@ -112,8 +112,15 @@ def midpoint(start: Column, end: Column) -> Column:
 
 
 def sprite_count(duration: Column, interval: float) -> Column:
-    """Frames sampled, rounded half up; 0 for a clip shorter than half an interval."""
-    return F.floor(duration / interval + 0.5).cast("long")
+    """Frames sampled, rounded half up; 0 for a clip shorter than half an interval, 1 where the duration isn't known."""
+    return F.when(duration > 0, F.floor(duration / interval + 0.5)).otherwise(1).cast("long")
+
+
+def tile_height(width: int, source_width: Column, source_height: Column) -> Column:
+    """A tile's even height at this width: the source's shape, 16 to 9 where that isn't known; halves round to even, odd heights go up."""
+    known = (source_width > 0) & (source_height > 0)
+    h = F.when(known, F.bround(width * source_height / source_width)).otherwise(F.bround(F.lit(width * 9 / 16))).cast("long")
+    return h + h % 2
 
 
 def xywh_to_corners(box: Column) -> Column:
@@ -125,9 +132,13 @@ def regions(detections: Column) -> Column:
     return F.transform(detections, lambda d: F.struct(d["class"].alias("label"), F.round(d["score"], 4).alias("score"), xywh_to_corners(d["box"]).alias("box")))
 
 
-def face_regions(found: Column, label: str = "face") -> Column:
-    """Regions whose label holds label in any case and whose box has an area."""
-    return F.filter(found, lambda r: F.lower(r["label"]).contains(label) & (r["box"][2] > r["box"][0]) & (r["box"][3] > r["box"][1]))
+#: Labels of faces.
+FACE_LABELS = ("face", "face_f", "face_m")
+
+
+def face_regions(found: Column, labels: tuple[str, ...] = FACE_LABELS) -> Column:
+    """Regions whose label is one of these in any case and whose box has an area."""
+    return F.filter(found, lambda r: F.lower(r["label"]).isin(*(x.lower() for x in labels)) & (r["box"][2] > r["box"][0]) & (r["box"][3] > r["box"][1]))
 
 
 def relative_path(slug: Column, filename: Column, media: Column) -> Column:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumora.operators.grouped import each_group
+from lumora.operators.grid import gps_dbscan
+from lumora.operators.kdtree import KdTree, on_sphere
+from lumora.sources.shared import kept
 
 EARTH_KM = 6371.0088
 
@@ -77,105 +81,85 @@ def places(items: DataFrame) -> DataFrame:
     return k.groupBy("place_key").agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"), F.count("*").alias("n"))
 
 
-def _dbscan(lat: np.ndarray, lon: np.ndarray, n: np.ndarray, eps_km: float, least: int) -> np.ndarray:
-    """Cluster of each place, -1 for noise; places come in order of their first item, n items each, and clusters are numbered in that order."""
-    la, lo = np.radians(lat), np.radians(lon)
-    label = np.full(len(lat), -1)
-
-    def near(i):
-        a = np.sin((la - la[i]) / 2) ** 2 + np.cos(la[i]) * np.cos(la) * np.sin((lo - lo[i]) / 2) ** 2
-        return np.flatnonzero(2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1, a))) <= eps_km)
-
-    seen = np.zeros(len(lat), bool)
-    found = 0
-    for i in range(len(lat)):
-        if seen[i]:
-            continue
-        seen[i] = True
-        queue = near(i)
-        if n[queue].sum() < least:
-            continue
-        label[i] = found
-        queue = list(queue)
-        while queue:
-            j = queue.pop(0)
-            if label[j] < 0:
-                label[j] = found
-            if not seen[j]:
-                seen[j] = True
-                more = near(j)
-                if n[more].sum() >= least:
-                    queue.extend(k for k in more if not seen[k] or label[k] < 0)
-        found += 1
-    return label
-
-
 def events(items: DataFrame, gap: float = 21_600, eps_km: float = 2.0, least: int = 2, by: str | None = "person") -> DataFrame:
     """id, by, segment, cluster: time-gap segments, cut by DBSCAN on coordinates; noise and items without coordinates join the segment's largest cluster.
 
-    What meets in one task is a segment's distinct coordinates with their counts, not its items.
+    Clusters are numbered by their first core item (by time, then id); of equally large ones the one with the first member counts, and
+    a border item goes to the first cluster that has a core item near it. A segment without clusters is one event, 0.
+    Cells of the grid meet in a task, never a segment (see grid.gps_dbscan).
     """
     by = by or "all"
     rows = items if by in items.columns else items.withColumn(by, F.lit(0))
     seg = segments(rows, gap, by).select("id", by, "segment", "t", "lat", "lon")
-    spots = seg.where("lat is not null and lon is not null").groupBy(by, "segment", "lat", "lon").agg(F.count("*").alias("n"), F.min(F.struct(F.coalesce("t", F.lit(float("inf"))).alias("t"), "id")).alias("first"))
-
-    def cluster(g):
-        label = _dbscan(g["lat"], g["lon"], g["n"], eps_km, least)
-        size = np.bincount(label[label >= 0], weights=g["n"][label >= 0], minlength=1)
-        main = int(np.argmax(size))
-        return {by: g[by], "segment": g["segment"], "lat": g["lat"], "lon": g["lon"], "cluster": np.where(label < 0, main, label), "main": np.full(len(label), main)}
-
-    spots = spots.select(by, "segment", "lat", "lon", "n", F.col("first.t").alias("first_t"), F.col("first.id").alias("first_id"))
-    found = each_group(spots, [by, "segment"], ["first_t", "first_id"], cluster, f"{by} {dict(seg.dtypes)[by]}, segment long, lat double, lon double, cluster long, main long")
-    mains = found.select(by, "segment", "main").distinct()
-    out = seg.join(found.drop("main"), [by, "segment", "lat", "lon"], "left").join(mains, [by, "segment"], "left")
+    order = F.struct(F.coalesce("t", F.lit(float("inf"))).alias("t"), F.col("id").cast("long").alias("id"))
+    spots = seg.where("lat is not null and lon is not null").groupBy(by, "segment", "lat", "lon").agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    found = kept(gps_dbscan(spots, [by, "segment"], eps_km, least), "spots")
+    # numbers of clusters: by their first core spot; the main one has most members, the first member decides between equals
+    clusters = found.where("start is not null").groupBy(by, "segment", "start").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    w = Window.partitionBy(by, "segment")
+    clusters = clusters.withColumn("cluster", (F.row_number().over(w.orderBy("start")) - 1).cast("long")).withColumn("r", F.row_number().over(w.orderBy(F.desc("n"), "first")))
+    mains = clusters.where("r = 1").select(by, "segment", F.col("cluster").alias("main"))
+    named = found.join(clusters.select(by, "segment", "start", "cluster"), [by, "segment", "start"]).select(by, "segment", "lat", "lon", "cluster")
+    out = seg.join(named, [by, "segment", "lat", "lon"], "left").join(mains, [by, "segment"], "left")
     return out.select("id", by, "segment", F.coalesce("cluster", "main", F.lit(0).cast("long")).alias("cluster"))
 
 
-#: Gazetteer places sent to the tasks at once; items compared with them as one matrix.
-PLACES_AT_ONCE, ITEMS_AT_ONCE = 20_000, 256
+#: Gazetteer places sent to the tasks at once (names, coordinates and numbers: some 20 MB), items searched together.
+PLACES_AT_ONCE, ITEMS_AT_ONCE = 200_000, 8192
+_trees: dict[str, tuple] = {}
+
+
+def _tree(token: str, sent) -> tuple:
+    """A worker's k-d tree of the places sent under this name, kept for its next tasks."""
+    if token not in _trees:
+        _trees.clear()
+        _trees[token] = KdTree(on_sphere(sent[2], sent[3])), *sent
+    return _trees[token]
 
 
 def nearest_place(items: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """id, name of the nearest gazetteer place and its distance (km, 6 decimals; the smallest name where equal), for each item (a row for each id) with coordinates, however far the place.
+    """The nearest gazetteer place of each item (a row for each id) with coordinates, however far: id, km (6 decimals), and the place's whole row.
+
+    gazetteer: name, lat, lon and whatever more; its lat and lon come as place_lat and place_lon, an id of its own as place_id. Of equally near places
+    the smallest name counts, of those with equal names any one; two places of one name are two. Items without coordinates have no row,
+    places without are never found; with no places there are no rows.
 
-    The gazetteer goes to the tasks in passes of bounded size; chords on the unit sphere pick each item's
-    nearest places of a pass, the smallest distance over the passes counts.
+    The gazetteer goes to the tasks in passes of bounded size, each as a k-d tree built once a worker; the smallest distance
+    over the passes counts. The tree stops where no unseen place can be nearer.
     """
-    places = gazetteer.select("name", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).where("lat is not null and lon is not null")
-    passes = max(1, -(-places.count() // PLACES_AT_ONCE))
+    names = {"lat": "place_lat", "lon": "place_lon", "id": "place_id"}
+    table = gazetteer.select(*(F.col(c).alias(names.get(c, c)) for c in gazetteer.columns)).where("place_lat is not null and place_lon is not null")
+    table = kept(table.withColumn("_place", F.monotonically_increasing_id()), "places")
+    passes = max(1, -(-table.count() // PLACES_AT_ONCE))
     rows = items.select("id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).where("lat is not null and lon is not null")
     out = None
     for i in range(passes):
-        some = sorted(places.where(F.pmod(F.xxhash64("name", "lat", "lon"), F.lit(passes)) == i).collect(), key=lambda r: (r.name is None, r.name or ""))
-        sent = items.sparkSession.sparkContext.broadcast(([r.name for r in some], np.array([r.lat for r in some], float), np.array([r.lon for r in some], float)))
+        some = table.where(F.pmod(F.xxhash64("_place"), F.lit(passes)) == i).select("_place", "name", F.col("place_lat").cast("double"), F.col("place_lon").cast("double")).collect()
+        some.sort(key=lambda r: (r[1] is None, r[1] or "", r[0]))
+        sent = items.sparkSession.sparkContext.broadcast((np.array([r[0] for r in some], np.int64), [r[1] for r in some], np.array([r[2] for r in some], float), np.array([r[3] for r in some], float)))
 
-        def run(batches, sent=sent):
-            names, glat, glon = sent.value
+        def run(batches, sent=sent, token=uuid.uuid4().hex):
+            tree, numbers, names, glat, glon = _tree(token, sent.value)
             if not names:
                 return
-            glat, glon = np.radians(glat), np.radians(glon)
-            g = np.stack([np.cos(glat) * np.cos(glon), np.cos(glat) * np.sin(glon), np.sin(glat)])
             for b in batches:
                 for j in range(0, b.num_rows, ITEMS_AT_ONCE):
                     part = b.slice(j, ITEMS_AT_ONCE)
-                    la, lo = (np.radians(part.column(c).to_numpy(zero_copy_only=False)) for c in ("lat", "lon"))
-                    dot = np.stack([np.cos(la) * np.cos(lo), np.cos(la) * np.sin(lo), np.sin(la)], axis=1) @ g
-                    # products are rounded: all places that may be the nearest are measured
-                    row, col = np.nonzero(dot >= dot.max(axis=1, keepdims=True) - 1e-12)
-                    a = np.sin((glat[col] - la[row]) / 2) ** 2 + np.cos(la[row]) * np.cos(glat[col]) * np.sin((glon[col] - lo[row]) / 2) ** 2
+                    lat, lon = (part.column(c).to_numpy(zero_copy_only=False) for c in ("lat", "lon"))
+                    row, col = tree.nearest(on_sphere(lat, lon))
+                    la, lo, ga, go = np.radians(lat[row]), np.radians(lon[row]), np.radians(glat[col]), np.radians(glon[col])
+                    a = np.sin((ga - la) / 2) ** 2 + np.cos(la) * np.cos(ga) * np.sin((go - lo) / 2) ** 2
                     km = np.round(2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1, a))), 6)
                     order = np.lexsort((col, km, row))
                     first = order[np.concatenate(([True], np.diff(row[order]) > 0))] if len(order) else order
-                    yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row[first])), pa.array([names[c] for c in col[first]], pa.string()), pa.array(km[first])], ["id", "name", "km"])
+                    yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row[first])), pa.array([names[c] for c in col[first]], pa.string()), pa.array(km[first]), pa.array(numbers[col[first]])], ["id", "_name", "km", "_place"])
 
-        part = rows.mapInArrow(run, f"id {dict(items.dtypes)['id']}, name string, km double")
+        part = rows.mapInArrow(run, f"id {dict(items.dtypes)['id']}, _name string, km double, _place long")
         out = part if out is None else out.union(part)
-    if passes == 1:
-        return out
-    best = out.groupBy("id").agg(F.min(F.struct("km", "name")).alias("b"))
-    return best.select("id", F.col("b.name").alias("name"), F.col("b.km").alias("km"))
+    if passes > 1:
+        best = out.groupBy("id").agg(F.min(F.struct("km", F.col("_name").isNull().alias("no"), "_name", "_place")).alias("b"))
+        out = best.select("id", F.col("b.km").alias("km"), F.col("b._place").alias("_place"))
+    return out.drop("_name").join(table, "_place").drop("_place")
 
 
 def place_row(row: dict[str, Column]) -> list[Column]:
@@ -203,8 +187,22 @@ def filled_coordinates(items: DataFrame, found: DataFrame) -> DataFrame:
     return items.join(f, "id", "left").withColumn("_use", use).withColumns({"lat": F.when(F.col("_use"), F.col("_lat")).otherwise(F.col("lat")), "lon": F.when(F.col("_use"), F.col("_lon")).otherwise(F.col("lon"))}).select(*items.columns)
 
 
-def linked_places(items: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(places, links): known places (place_key, lat, lon, n) with the items' new cells and counts put in, and each item's (id, place_key).
+def linked_places(items: DataFrame, known: DataFrame, gazetteer: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(places, links): known places (place_key, name, admin1, admin2, cc, lat, lon) with the cells of items that have coordinates but no place (place_key null), and the (id, place_key) of those items.
+
+    A known place stays as it is; a new one is the gazetteer's place nearest to the cell's first item (by id), with that place's names and coordinates.
+    """
+    todo = items.where("lat is not null and lon is not null and place_key is null").select("id", "lat", "lon", place_key(F.col("lat"), F.col("lon")).alias("place_key"))
+    first = todo.groupBy("place_key").agg(F.min(F.struct("id", "lat", "lon")).alias("f")).join(known.select("place_key"), "place_key", "left_anti")
+    cells = first.select(F.col("place_key").alias("id"), F.col("f.lat").alias("lat"), F.col("f.lon").alias("lon"))
+    found = nearest_place(cells, gazetteer)
+    texts = place_row({c: F.col(c) for c in ("name", "admin1", "admin2", "cc") if c in found.columns})
+    new = found.select(F.col("id").alias("place_key"), *texts, F.col("place_lat").alias("lat"), F.col("place_lon").alias("lon"))
+    return known.select(*new.columns).unionByName(new), todo.select("id", "place_key")
+
+
+def counted_places(items: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(places, links) by cell alone: known places (place_key, lat, lon, n) with the items' new cells and counts put in, and each item's (id, place_key).
 
     A place that is known keeps its coordinates and takes the new count.
     """
@@ -215,6 +213,12 @@ def linked_places(items: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFr
     return table, links
 
 
+def places_listed(places: DataFrame, items: DataFrame) -> DataFrame:
+    """Places (place_key, name) with the number of items (place_key) linked to them, most first, then by name and key."""
+    n = items.where("place_key is not null").groupBy("place_key").agg(F.count("*").alias("n"))
+    return places.join(n, "place_key", "left").select("place_key", "name", F.coalesce("n", F.lit(0)).cast("long").alias("n")).orderBy(F.desc("n"), "name", "place_key")
+
+
 def events_listed(events: DataFrame, key: str = "event") -> DataFrame:
     """Events with the latest start first, then by key."""
     return events.orderBy(F.desc("start_time"), key)

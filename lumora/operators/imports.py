@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumora.functions.media import RATING_MAP, first_rating, mapped
 from lumora.operators.writes import exploded_tags, insert_or_ignore
 
 
@@ -20,6 +21,30 @@ def tags(old: DataFrame, rows: DataFrame, manifest: DataFrame, source: str) -> D
     return insert_or_ignore(old, new.select(*old.columns), ["image_id", "category", "value", "tag_source"], [F.col("confidence")])
 
 
+def scored_tags(old: DataFrame, rows: DataFrame, manifest: DataFrame, run_id: Column | None = None) -> DataFrame:
+    """old with the scored tags of rows (image_id, rows: an array of category, value, confidence, tag_source) of known ids.
+
+    Each new tag keeps its own confidence and source; a key (image, category, value, source) that is there stays
+    as it is, and of equal new ones the first in its array comes in. run_id, if old has that column, is provenance only.
+    """
+    new = known_only(rows, manifest)[0].select("image_id", F.posexplode("rows").alias("at", "r")).select("image_id", "at", "r.*")
+    if "run_id" in old.columns:
+        new = new.withColumn("run_id", F.lit(None).cast(dict(old.dtypes)["run_id"]) if run_id is None else run_id)
+    return insert_or_ignore(old, new.withColumn("value", F.col("value").cast("string")), ["image_id", "category", "value", "tag_source"], [F.col("at")])
+
+
+def finalised(images: DataFrame, labels: DataFrame, rows: DataFrame, rating_set: str = "Rating") -> tuple[DataFrame, DataFrame]:
+    """(images, labels) after an import of rows (as for scored_tags, of known ids): images with tags are processed and take the rating that their first rating tag stands for.
+
+    labels: asset_id, set_name, value. An unrated image loses its label of the set, one without a rating tag keeps it.
+    """
+    some = rows.where(F.size("rows") > 0).select(F.col("image_id").alias("id"), first_rating(F.col("rows")).alias("_rating"), F.lit(True).alias("_new"))
+    out = images.join(some.select("id", "_new"), "id", "left").withColumn("processed", F.coalesce("_new", "processed")).select(*images.columns)
+    rated = some.where("_rating is not null").select(F.col("id").alias("asset_id"), F.lit(rating_set).alias("set_name"), mapped(F.col("_rating"), RATING_MAP).alias("value"))
+    kept = labels.join(rated.select("asset_id", "set_name"), ["asset_id", "set_name"], "left_anti").select(*labels.columns)
+    return out, kept.unionByName(rated.where("value != 'unrated'").select(*labels.columns))
+
+
 def captions(old: DataFrame, rows: DataFrame, manifest: DataFrame) -> DataFrame:
     """old (image_id, model, caption) with captions of known ids that aren't blank; one for an image and model, the first by text where several come."""
     new = known_only(rows, manifest)[0].where("trim(caption) != ''").select(*old.columns)
@@ -41,10 +66,10 @@ def finished(status: DataFrame, tiers: tuple[str, ...]) -> DataFrame:
     return status.where(F.col("tier").isin(*tiers)).groupBy("id", "tier").agg(F.bool_and("ok").alias("ok")).where("ok").groupBy("id").count().where(F.col("count") == len(tiers)).select("id")
 
 
-def applied(old: DataFrame, scores: DataFrame, category: str, value: str, source: str, threshold: float, strict: bool = True) -> DataFrame:
-    """The tag rows that scores (id, score) above the threshold (or at it too) would add to old: a dry run. Union them to apply."""
+def applied(old: DataFrame, scores: DataFrame, category: str, value: str, source: str, threshold: float, strict: bool = True, confidence: Column | None = None) -> DataFrame:
+    """The tag rows that scores (id, score) above the threshold (or at it too) would add to old: a dry run. Union them to apply. Their confidence is the given one, null by default."""
     over = F.col("score") > threshold if strict else F.col("score") >= threshold
-    new = scores.where(over).select(F.col("id").alias("image_id"), F.lit(category).alias("category"), F.lit(value).alias("value"), F.lit(source).alias("tag_source"), F.col("score").alias("confidence"))
+    new = scores.where(over).select(F.col("id").alias("image_id"), F.lit(category).alias("category"), F.lit(value).alias("value"), F.lit(source).alias("tag_source"), (F.lit(None) if confidence is None else confidence).cast("double").alias("confidence"))
     return new.join(old.select("image_id", "category", "value", "tag_source"), ["image_id", "category", "value", "tag_source"], "left_anti").select(*old.columns)
 
 

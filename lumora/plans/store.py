@@ -78,6 +78,32 @@ def import_tags(spark, d):
     return imports.tags(c.tags.where("category = 'returnflag'"), rows, c.images.where("processed"), "s1")
 
 
+_SCORED = "old AS (SELECT * FROM tags WHERE category = 'returnflag'), fresh AS (SELECT o_orderkey AS image_id, unnest([0, 1, 2]) AS nth, unnest(['returnflag', 'rating', 'returnflag']) AS category, unnest(['R', CASE WHEN o_custkey % 4 = 0 THEN 'general' ELSE 'explicit' END, 'R']) AS value, unnest([o_custkey % 7 / 10.0::DOUBLE, 0.9::DOUBLE, 0.1::DOUBLE]) AS confidence, unnest(['s1', 'wd', 's1']) AS tag_source FROM orders WHERE o_orderkey % 3 = 0)"
+
+
+@register("import_scored_tags", cte("tags", "images", more=_SCORED) + "SELECT image_id, category, value, tag_source, confidence FROM old UNION ALL SELECT image_id, category, value, tag_source, confidence FROM fresh f WHERE nth < 2 AND image_id IN (SELECT id FROM images WHERE processed) AND NOT EXISTS (SELECT 1 FROM old o WHERE o.image_id = f.image_id AND o.category = f.category AND o.value = f.value AND o.tag_source = f.tag_source)")
+def import_scored_tags(spark, d):
+    """Tags that come with their own confidences and sources; a repeated key keeps its first."""
+    c = Catalog(spark, d)
+    return imports.scored_tags(c.tags.where("category = 'returnflag'"), _scored_rows(c), c.images.where("processed"))
+
+
+def _scored_rows(c):
+    tag = lambda k, v, p, s: F.struct(F.lit(k).alias("category"), v.alias("value"), p.alias("confidence"), F.lit(s).alias("tag_source"))
+    rating = F.when(F.col("o_custkey") % 4 == 0, "general").otherwise("explicit")
+    rows = F.array(tag("returnflag", F.lit("R"), F.col("o_custkey") % 7 / 10.0, "s1"), tag("rating", rating, F.lit(0.9), "wd"), tag("returnflag", F.lit("R"), F.lit(0.1), "s1"))
+    return c.raw("orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("image_id"), rows.alias("rows"))
+
+
+@register("import_finalised", "SELECT o_orderkey AS id, o_orderstatus <> 'P' OR o_orderkey % 3 = 0 AS processed, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_custkey % 4 = 0 THEN 'sfw' ELSE 'nsfw' END WHEN o_orderkey % 2 = 0 THEN 'suggestive' END AS rating FROM orders")
+def import_finalised(spark, d):
+    """What an import leaves of its images: processed, with the rating of their tags in place of an older one."""
+    c = Catalog(spark, d)
+    labels = c.images.where("id % 2 = 0").select(F.col("id").alias("asset_id"), F.lit("Rating").alias("set_name"), F.lit("suggestive").alias("value"))
+    images, labels = imports.finalised(c.images.select("id", "processed"), labels, _scored_rows(c))
+    return images.join(labels.select(F.col("asset_id").alias("id"), F.col("value").alias("rating")), "id", "left")
+
+
 @register("import_unknown", "SELECT count(*) AS n_unknown FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def import_unknown(spark, d):
     c = Catalog(spark, d)
@@ -113,7 +139,7 @@ def _scores(c):
     return vectors.scored(c.vectors, vectors.centroid(c.vectors.where("label = 0")))
 
 
-@register("centroid_apply", cte("vectors", "tags", more=_POS) + "SELECT id AS image_id, 'brand' AS category, 'Brand#1' AS value, 's1' AS tag_source, score AS confidence FROM s WHERE score > 0.05 AND id NOT IN (SELECT image_id FROM tags WHERE category = 'brand' AND value = 'Brand#1' AND tag_source = 's1')")
+@register("centroid_apply", cte("vectors", "tags", more=_POS) + "SELECT id AS image_id, 'brand' AS category, 'Brand#1' AS value, 's1' AS tag_source, NULL::DOUBLE AS confidence FROM s WHERE score > 0.05 AND id NOT IN (SELECT image_id FROM tags WHERE category = 'brand' AND value = 'Brand#1' AND tag_source = 's1')")
 def centroid_apply(spark, d):
     c = Catalog(spark, d)
     return imports.applied(c.tags, _scores(c), "brand", "Brand#1", "s1", 0.05)
@@ -232,13 +258,13 @@ def facets_ordered(spark, d):
     return facets.ordered(facets.tag_facets(c.images.where("processed"), c.tag_rows, SPEC))
 
 
-@register("video_probes", "SELECT 'v' || p_partkey AS path, p_size * 1.5::DOUBLE AS duration, CASE WHEN p_partkey % 2 = 0 THEN p_size + 1 ELSE p_size END AS width, CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE p_size + 1 END AS height, 25.0::DOUBLE AS fps, p_brand AS codec, CAST(p_partkey AS INT) AS bitrate, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS has_audio, 0 AS processed FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 10 <> 0 UNION ALL SELECT 'v' || p_partkey, NULL, NULL, NULL, NULL, NULL, NULL, NULL, -1 FROM part WHERE p_partkey % 7 = 0 AND p_partkey % 10 <> 0")
+@register("video_probes", "SELECT 'v' || p_partkey AS path, p_size * 1.5::DOUBLE AS duration, CASE WHEN p_partkey % 2 = 0 THEN p_size + 1 ELSE p_size END AS width, CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE p_size + 1 END AS height, 25.0::DOUBLE AS fps, p_brand AS codec, CAST(p_partkey AS INT) AS bitrate, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS has_audio, 0 AS processed FROM (SELECT * FROM part QUALIFY row_number() OVER (PARTITION BY p_partkey % 10 = 0, CASE WHEN p_partkey % 11 = 0 THEN 'same' ELSE p_name || p_partkey END ORDER BY 'v' || p_partkey) = 1) WHERE p_partkey % 7 <> 0 AND p_partkey % 10 <> 0 UNION ALL SELECT 'v' || p_partkey, NULL, NULL, NULL, NULL, NULL, NULL, NULL, -1 FROM (SELECT * FROM part QUALIFY row_number() OVER (PARTITION BY p_partkey % 10 = 0, CASE WHEN p_partkey % 11 = 0 THEN 'same' ELSE p_name || p_partkey END ORDER BY 'v' || p_partkey) = 1) WHERE p_partkey % 7 = 0 AND p_partkey % 10 <> 0")
 def video_probes(spark, d):
-    """Probes of the parts as videos: even ones turned by 90 degrees, every seventh unreadable; every tenth is known by its path or its hash."""
+    """Probes of the parts as videos: even ones turned by 90 degrees, every seventh unreadable; every tenth is known by its path or its hash, every eleventh other one has the same content."""
     t = Catalog(spark, d).raw("part")
     json = F.format_string('{"format": {"bit_rate": "%d"}, "streams": [{"codec_type": "audio%s"}, {"codec_type": "video", "codec_name": "%s", "duration": "%s", "width": %d, "height": %d, "r_frame_rate": "0/0", "avg_frame_rate": "50/2", "side_data_list": [{"rotation": %d}]}]}', "p_partkey", F.when(F.col("p_partkey") % 3 == 0, "").otherwise("?"), "p_brand", F.col("p_size") * 1.5, "p_size", F.col("p_size") + 1, F.when(F.col("p_partkey") % 2 == 0, -90).otherwise(180))
     rows = t.select(F.concat(F.lit("v"), F.col("p_partkey").cast("string")).alias("path"), F.sha2("p_name", 256).alias("h"), F.when(F.col("p_partkey") % 7 == 0, "no json").otherwise(json).alias("probe"), "p_partkey")
-    rows = rows.withColumn("file_hash", F.concat("h", F.col("p_partkey").cast("string")))
+    rows = rows.withColumn("file_hash", F.when((F.col("p_partkey") % 11 == 0) & (F.col("p_partkey") % 10 != 0), "same").otherwise(F.concat("h", F.col("p_partkey").cast("string"))))
     known = rows.where("p_partkey % 10 = 0").selectExpr("if(p_partkey % 20 = 0, path, null) AS path", "if(p_partkey % 20 = 0, null, file_hash) AS file_hash")
     return files.new_videos(rows, known).drop("file_hash")
 
@@ -284,7 +310,7 @@ _KEY = "printf('%.3f', lat) || ',' || printf('%.3f', lon)"
 @register("place_links", cte("items", more=f"k AS (SELECT *, {_KEY} AS place_key FROM items WHERE lat IS NOT NULL AND lon IS NOT NULL)") + "SELECT place_key, count(*) AS n, min(id) AS first_id FROM k GROUP BY place_key")
 def place_links(spark, d):
     t = Catalog(spark, d).items
-    table, links = geo.linked_places(t, geo.places(t.where("id % 4 = 0")))
+    table, links = geo.counted_places(t, geo.places(t.where("id % 4 = 0")))
     return links.groupBy("place_key").agg(F.min("id").alias("first_id")).join(table.select("place_key", "n"), "place_key")
 
 
@@ -316,13 +342,13 @@ def validated_tags(spark, d):
     return Catalog(spark, d).tags.select("image_id", "category", v.alias("v")).select("image_id", "category", "v.*")
 
 
-@register("region_boxes", "SELECT l_orderkey AS id, l_linenumber AS line, l_returnflag AS label, round(l_discount / 3, 4) AS score, l_quantity + 10.0 AS x2, CASE WHEN l_returnflag = 'R' AND l_linenumber > 1 THEN 1 ELSE 0 END AS faces FROM lineitem")
+@register("region_boxes", "SELECT l_orderkey AS id, l_linenumber AS line, ['surface', 'FACE', 'face_F', 'face_x', 'Face_m'][l_partkey % 5 + 1] AS label, round(l_discount / 3, 4) AS score, l_quantity + 10.0 AS x2, CASE WHEN l_partkey % 5 IN (1, 2, 4) AND l_linenumber > 1 THEN 1 ELSE 0 END AS faces FROM lineitem")
 def region_boxes(spark, d):
     t = Catalog(spark, d).raw("lineitem")
     box = F.array(F.col("l_quantity"), F.lit(0.0), F.lit(10.0), F.col("l_linenumber") - F.lit(1.0))
-    r = media.regions(F.array(F.struct(F.col("l_returnflag").alias("class"), (F.col("l_discount") / 3).alias("score"), box.alias("box"))))
+    r = media.regions(F.array(F.struct(F.element_at(F.array(*map(F.lit, ("surface", "FACE", "face_F", "face_x", "Face_m"))), (F.col("l_partkey") % 5 + 1).cast("int")).alias("class"), (F.col("l_discount") / 3).alias("score"), box.alias("box"))))
     rows = t.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), r.alias("r"))
-    return rows.select("id", "line", F.col("r")[0]["label"].alias("label"), F.col("r")[0]["score"].alias("score"), F.col("r")[0]["box"][2].alias("x2"), F.size(media.face_regions(F.col("r"), "r")).alias("faces"))
+    return rows.select("id", "line", F.col("r")[0]["label"].alias("label"), F.col("r")[0]["score"].alias("score"), F.col("r")[0]["box"][2].alias("x2"), F.size(media.face_regions(F.col("r"))).alias("faces"))
 
 
 @register("reject_reasons", cte("tags") + "SELECT value, count(*) AS n FROM tags WHERE category = 'type' GROUP BY value ORDER BY n DESC, value LIMIT 12")

@@ -148,7 +148,21 @@ def event_summary(spark, d):
     return geo.summary(geo.segments(Catalog(spark, d).items, 21_600), ["person", "segment"])
 
 
-@register("event_clusters_gps")
+_KM = "2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2))))"
+_CLUSTERS = (
+    "pt AS (SELECT person, segment, lat, lon, row_number() OVER (PARTITION BY person, segment ORDER BY t NULLS LAST, id) AS o, id FROM seg WHERE lat IS NOT NULL AND lon IS NOT NULL),"
+    " nb AS (SELECT person, segment, x.o AS a, y.o AS b FROM pt x JOIN pt y USING (person, segment) WHERE " + _KM.format(a="x.lat", b="x.lon", c="y.lat", d="y.lon") + " <= 500),"
+    " core AS (SELECT person, segment, a FROM nb GROUP BY person, segment, a HAVING count(*) >= 2),"
+    " links AS (SELECT person, segment, a, b FROM nb JOIN core USING (person, segment, a) WHERE (person, segment, b) IN (SELECT (person, segment, a) FROM core)),"
+    " reach AS (SELECT person, segment, a, a AS b FROM core UNION SELECT r.person, r.segment, r.a, l.b FROM reach r JOIN links l ON l.person = r.person AND l.segment = r.segment AND l.a = r.b),"
+    " lab AS (SELECT person, segment, a, min(b) AS first_core FROM reach GROUP BY person, segment, a),"
+    " member AS (SELECT * FROM lab UNION ALL SELECT nb.person, nb.segment, nb.a, min(first_core) FROM nb JOIN lab ON lab.person = nb.person AND lab.segment = nb.segment AND lab.a = nb.b WHERE (nb.person, nb.segment, nb.a) NOT IN (SELECT (person, segment, a) FROM core) GROUP BY nb.person, nb.segment, nb.a),"
+    " cl AS (SELECT person, segment, first_core, row_number() OVER (PARTITION BY person, segment ORDER BY first_core) - 1 AS cluster, row_number() OVER (PARTITION BY person, segment ORDER BY count(*) DESC, min(a)) AS place FROM member GROUP BY person, segment, first_core),"
+    " own AS (SELECT pt.id, cl.cluster FROM member m JOIN cl USING (person, segment, first_core) JOIN pt ON pt.person = m.person AND pt.segment = m.segment AND pt.o = m.a) "
+)
+
+
+@register("event_clusters_gps", cte("items", more=_SEG + ", " + _CLUSTERS, recursive=True) + "SELECT seg.id, seg.person, seg.segment, coalesce(own.cluster, main.cluster, 0) AS cluster FROM seg LEFT JOIN own ON own.id = seg.id LEFT JOIN (SELECT * FROM cl WHERE place = 1) main ON main.person = seg.person AND main.segment = seg.segment")
 def event_clusters_gps(spark, d):
     return geo.events(Catalog(spark, d).items, gap=21_600, eps_km=500.0, least=2)
 
@@ -158,9 +172,6 @@ def place_grid(spark, d):
     return geo.places(Catalog(spark, d).items)
 
 
-_KM = "2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2))))"
-
-
 @register("haversine_steps", cte("items", more="step AS (SELECT id, person, lat, lon, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM items WINDOW w AS (PARTITION BY person ORDER BY t, id))") + f"SELECT id, round({_KM.format(a='plat', b='plon', c='lat', d='lon')}, 3) AS km FROM step WHERE plat IS NOT NULL AND plon IS NOT NULL AND lat IS NOT NULL")
 def haversine_steps(spark, d):
     from pyspark.sql import Window
@@ -179,7 +190,7 @@ def nearest_place(spark, d):
     c = Catalog(spark, d)
     k = F.col("n_nationkey")
     g = c.raw("nation").select(F.col("n_name").alias("name"), (F.lit(-90.0) + k * 7 + 0.5).alias("lat"), (F.lit(-180.0) + k * 14 + 0.5).alias("lon"), F.when(F.col("n_regionkey") > 0, F.concat(F.lit("r"), F.col("n_regionkey").cast("string"))).alias("admin1"))
-    found = geo.nearest_place(c.items, g).join(g.select("name", "admin1"), "name")
+    found = geo.nearest_place(c.items, g)
     return found.select("id", *geo.place_row({"name": F.col("name"), "admin1": F.col("admin1")}), "km")
 
 
@@ -187,4 +198,4 @@ def nearest_place(spark, d):
 def nearest_place_all(spark, d):
     c = Catalog(spark, d)
     k = F.col("n_nationkey")
-    return geo.nearest_place(c.items, c.raw("nation").select(F.col("n_name").alias("name"), (F.lit(-90.0) + k * 7 + 0.5).alias("lat"), (F.lit(-180.0) + k * 14 + 0.5).alias("lon")))
+    return geo.nearest_place(c.items, c.raw("nation").select(F.col("n_name").alias("name"), (F.lit(-90.0) + k * 7 + 0.5).alias("lat"), (F.lit(-180.0) + k * 14 + 0.5).alias("lon"))).select("id", "name", "km")

@@ -112,10 +112,15 @@ def sprite_webvtt(videos: DataFrame, interval: float, cols: int, width: int, hei
 
 
 def new_videos(probes: DataFrame, known: DataFrame) -> DataFrame:
-    """probes (path, file_hash, probe: JSON) that known lacks by hash and by path, with their media columns and processed: 0, or -1 (quarantined) where the JSON doesn't parse."""
+    """probes (path, file_hash, probe: JSON) that known lacks by hash and by path, with their media columns and processed: 0, or -1 (quarantined) where the JSON doesn't parse.
+
+    Of new files with one content the first by path comes in, as do files without a hash; a path comes once.
+    """
     rows = probes
     for c in ("file_hash", "path"):
         rows = rows.join(known.select(c).where(F.col(c).isNotNull()), c, "left_anti")
+    rows = first_of(rows, ["path"], [F.col("file_hash"), F.col("probe")])
+    rows = first_of(rows.where("file_hash is not null"), ["file_hash"], [F.col("path")]).unionByName(rows.where("file_hash is null"))
     m = rows.withColumn("m", probed(F.col("probe")))
     return m.select("path", "file_hash", "m.*", F.when(F.col("m").isNull(), -1).otherwise(0).alias("processed"))
 
