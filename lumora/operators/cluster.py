@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumora.operators.graph import components
@@ -17,33 +18,121 @@ from lumora.sources.shared import drop, kept
 BLOCK = 1024
 #: Vectors of a connected part that one task links alone; its distances take 8 bytes a pair.
 PART = 2048
+#: Pivots for each by, the vectors that they are chosen from, and those of all by: beyond that blocks have no pivots, and all of one by are compared.
+PIVOTS, DRAWN, ALL_DRAWN = 32, 512, 16_384
+#: Bins of the angle to a pivot, by which its vectors are dealt to blocks.
+BINS = 256
+#: Slack of angles in double precision.
+SLACK = 1e-7
+
+
+class Pivots:
+    """Some vectors of each by, far from one another: vectors lie in blocks around their nearest one, so that far blocks need not meet."""
+
+    def __init__(self, vectors: DataFrame, by: str):
+        w = Window.partitionBy(by).orderBy(F.xxhash64("id"), "id")
+        some = vectors.select(by, "v", F.row_number().over(w).alias("r")).where(f"r <= {DRAWN}").limit(ALL_DRAWN + 1).collect()
+        self.by, self.kind, self.of = by, dict(vectors.dtypes)[by], {}
+        if len(some) <= ALL_DRAWN:
+            for value in {r[0] for r in some}:
+                x = _unit(np.array([r[1] for r in sorted(some, key=lambda r: r.r) if r[0] == value], float))
+                self.of[value] = _far_apart(x[(x != 0).any(axis=1)])
+        rows = []
+        for value, x in self.of.items():
+            angle = np.arccos(np.clip(x @ x.T, -1, 1)) if len(x) else np.zeros((0, 0))
+            rows += [(value, i, j, float(angle[i, j])) for i in range(len(x)) for j in range(len(x))]
+            rows += [(value, i, -1, 0.0) for i in range(len(x))] + [(value, -1, i, 0.0) for i in range(len(x))]
+            rows.append((value, -1, -1, 0.0))
+        self.pairs = vectors.sparkSession.createDataFrame(rows, f"{by} {self.kind}, pivot int, pivot_b int, apart double")
+
+    def placed(self, vectors: DataFrame) -> DataFrame:
+        """id, by, v (unit), pivot (-1: none, as for vectors without direction), angle."""
+        by, of = self.by, self.of
+
+        def run(batches):
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x = _unit(np.array(b.column("v").to_pylist(), float))
+                pivot, angle = np.full(len(x), -1, np.int32), np.zeros(len(x))
+                values = b.column(by).to_pylist()
+                for value in set(values):
+                    on = np.array([u == value for u in values]) & (x != 0).any(axis=1)
+                    if len(of.get(value, ())) and on.any():
+                        near = x[on] @ of[value].T
+                        pivot[on], angle[on] = near.argmax(axis=1), np.arccos(np.clip(near.max(axis=1), -1, 1))
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column(by), pa.array(list(x), pa.list_(pa.float64())), pa.array(pivot), pa.array(angle)], ["id", by, "v", "pivot", "angle"])
+
+        return vectors.select("id", by, "v").mapInArrow(run, f"id long, {by} {self.kind}, v array<double>, pivot int, angle double")
+
+
+def _far_apart(x: np.ndarray) -> np.ndarray:
+    """Up to PIVOTS rows of x, each the farthest from those before it."""
+    chosen, near = [], np.full(len(x), -1.0)
+    while len(chosen) < min(PIVOTS, len(x)):
+        chosen.append(int(near.argmin()) if chosen else 0)
+        near = np.maximum(near, x @ x[chosen[-1]])
+    return x[chosen]
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+
+def _blocks(vectors: DataFrame, by: str, pivots: Pivots | None = None, block: int = BLOCK) -> DataFrame:
+    """by, block, ids, m: the unit vectors of each block as one matrix; pivot and the least and largest angle to it (lo, hi).
+
+    A pivot's vectors are dealt to blocks by their angle to it, by the counts of BINS bins; a bin of more than a block is dealt by hash.
+    """
+    placed = kept((pivots or Pivots(vectors, by)).placed(vectors), "placed")
+    rows = placed.withColumn("bin", F.floor(F.col("angle") / math.pi * BINS).cast("int"))
+    bins = rows.groupBy(by, "pivot", "bin").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(by, "pivot").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = bins.select(by, "pivot", "bin", F.floor(before / block).alias("shell"), F.ceil(F.col("n") / block).alias("salts"))
+    rows = rows.join(bins, [by, "pivot", "bin"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")))
+    kind = f"{by} {dict(vectors.dtypes)[by]}"
 
+    def packed(t: pa.Table) -> pa.Table:
+        x, angle = np.array(t.column("v").to_pylist(), float), t.column("angle").to_numpy()
+        pivot = t.column("pivot")[0].as_py()
+        lo, hi = (angle.min(), angle.max()) if pivot >= 0 else (0.0, math.pi)
+        return pa.table({by: t.column(by)[:1], "pivot": t.column("pivot")[:1], "lo": [lo], "hi": [hi], "ids": pa.array([t.column("id").to_pylist()], pa.list_(pa.int64())), "m": pa.array([x.tobytes()], pa.binary())})
 
-def _blocks(vectors: DataFrame, by: str) -> DataFrame:
-    """by, block, ids, m: the unit vectors of each block as one matrix."""
-    n = max(1, -(-vectors.count() // BLOCK))
+    made = rows.groupBy(by, "pivot", "shell", "salt").applyInArrow(packed, f"{kind}, pivot int, lo double, hi double, ids array<long>, m binary")
+    return made.withColumn("block", F.monotonically_increasing_id())
 
-    def packed(t: pa.Table) -> pa.Table:
-        x = np.array(t.column("v").to_pylist(), float)
-        size = np.linalg.norm(x, axis=1, keepdims=True)
-        x = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
-        return pa.table({by: t.column(by)[:1], "block": t.column("block")[:1], "ids": pa.array([t.column("id").to_pylist()], pa.list_(pa.int64())), "m": pa.array([x.tobytes()], pa.binary())})
 
-    rows = vectors.select("id", by, "v", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"))
-    return rows.groupBy(by, "block").applyInArrow(packed, f"{by} {dict(vectors.dtypes)[by]}, block int, ids array<long>, m binary")
+def _meeting(blocks: DataFrame, by: str, pivots: Pivots, eps: float, others: DataFrame | None = None) -> DataFrame:
+    """by, p, q: the pairs of blocks (p <= q, or each block with others) that may hold vectors within eps.
+
+    With both pivots' angle and the blocks' angles to them, the triangle inequality bounds any two vectors' angle from below.
+    """
+    a = blocks.select(by, "pivot", F.col("block").alias("p"), "lo", "hi")
+    b = (blocks if others is None else others).select(by, F.col("pivot").alias("pivot_b"), F.col("block").alias("q"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
+    apart = F.col("apart")
+    least = F.greatest(apart - F.col("hi") - F.col("hi_b"), F.col("lo") - apart - F.col("hi_b"), F.col("lo_b") - apart - F.col("hi"))
+    pairs = a.join(pivots.pairs, [by, "pivot"]).join(b, [by, "pivot_b"]).where(least <= math.acos(max(-1.0, 1 - eps)) + SLACK)
+    return (pairs.where("p <= q") if others is None else pairs).select(by, "p", "q")
 
 
-def _pairs_of_blocks(blocks: DataFrame, by: str, others: DataFrame | None = None) -> DataFrame:
-    """Each pair of blocks of one by (p <= q), or each block with each of others, on a key of its own: pairs are dealt to all tasks."""
+def _pairs_of_blocks(blocks: DataFrame, by: str, pivots: Pivots, eps: float, others: DataFrame | None = None) -> DataFrame:
+    """Pairs of blocks that may hold vectors within eps, each with both matrices: dealt to all tasks."""
     b = blocks if others is None else others
-    last_p, last_q = (x.agg(F.max("block")).first()[0] or 0 for x in (blocks, b))
-    p, q = F.col("block").alias("p"), F.col("block").alias("q")
-    to_q = F.explode(F.sequence(F.col("block") if others is None else F.lit(0), F.lit(last_q))).alias("q")
-    to_p = F.explode(F.sequence(F.lit(0), F.col("block") if others is None else F.lit(last_p))).alias("p")
-    left = blocks.select(by, p, F.col("ids").alias("a_ids"), F.col("m").alias("a_m"), to_q)
-    extra = [c for c in b.columns if c not in (by, "block", "ids", "m")]
-    right = b.select(by, q, F.col("ids").alias("b_ids"), F.col("m").alias("b_m"), *extra, to_p)
-    return left.join(right.hint("shuffle_hash"), [by, "p", "q"])
+    left = blocks.select(by, F.col("block").alias("p"), F.col("ids").alias("a_ids"), F.col("m").alias("a_m"))
+    extra = [c for c in b.columns if c not in (by, "block", "ids", "m", "pivot", "lo", "hi")]
+    right = b.select(by, F.col("block").alias("q"), F.col("ids").alias("b_ids"), F.col("m").alias("b_m"), *extra)
+    return _meeting(blocks, by, pivots, eps, others).join(left, [by, "p"]).join(right, [by, "q"])
+
+
+def compared_share(vectors: DataFrame, by: str, eps: float, block: int = BLOCK) -> float:
+    """The share of the pairs of blocks of one by that are compared at eps."""
+    pivots = Pivots(vectors, by)
+    blocks = kept(_blocks(vectors, by, pivots, block), "blocks")
+    n = blocks.groupBy(by).count().agg(F.sum(F.col("count") * (F.col("count") + 1) / 2)).first()[0] or 1
+    share = _meeting(blocks, by, pivots, eps).count() / n
+    drop(blocks)
+    return share
 
 
 def _near(row: dict, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -53,7 +142,7 @@ def _near(row: dict, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return a, b, i, j
 
 
-def neighbour_counts(blocks: DataFrame, by: str, eps: float) -> DataFrame:
+def neighbour_counts(blocks: DataFrame, by: str, pivots: Pivots, eps: float) -> DataFrame:
     """id, n: vectors within eps, itself too. Each pair of blocks gives one count for each of its ids."""
 
     def run(batches):
@@ -66,10 +155,10 @@ def neighbour_counts(blocks: DataFrame, by: str, eps: float) -> DataFrame:
                     n.append(np.bincount(j, minlength=len(b)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(n))], ["id", "n"])
 
-    return _pairs_of_blocks(blocks, by).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return _pairs_of_blocks(blocks, by, pivots, eps).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def spanning_edges(blocks: DataFrame, by: str, eps: float) -> DataFrame:
+def spanning_edges(blocks: DataFrame, by: str, pivots: Pivots, eps: float) -> DataFrame:
     """a, b: edges within eps that connect what is connected, at most as many for a pair of blocks as it has ids."""
 
     def run(batches):
@@ -95,22 +184,23 @@ def spanning_edges(blocks: DataFrame, by: str, eps: float) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
-    return _pairs_of_blocks(blocks, by).mapInArrow(run, "a long, b long")
+    return _pairs_of_blocks(blocks, by, pivots, eps).mapInArrow(run, "a long, b long")
 
 
 def dbscan(vectors: DataFrame, eps: float, least: int, by: str = "embedder") -> DataFrame:
     """id, by, cluster: cosine DBSCAN within each by; noise is -1, clusters are named by their smallest core id.
 
-    A border vector goes to the smallest-named cluster among its core neighbours. Every pair of vectors is
-    compared, as blocks in matrix products spread over the tasks; what leaves a task is linear in its blocks.
+    A border vector goes to the smallest-named cluster among its core neighbours. Blocks of vectors around pivots are
+    compared as matrix products spread over the tasks, those whose angles allow it; what leaves a task is linear in its blocks.
     """
-    blocks = kept(_blocks(vectors, by), "blocks")
-    counts = neighbour_counts(blocks, by, eps)
+    pivots = Pivots(vectors, by)
+    blocks = kept(_blocks(vectors, by, pivots), "blocks")
+    counts = neighbour_counts(blocks, by, pivots, eps)
     core = kept(vectors.join(counts.where(F.col("n") >= least).select("id"), "id", "left_semi").select("id", by, "v"), "core")
-    core_blocks = kept(_blocks(core, by), "blocks")
-    groups = components(core.select("id"), spanning_edges(core_blocks, by, eps))
+    core_blocks = kept(_blocks(core, by, pivots), "blocks")
+    groups = components(core.select("id"), spanning_edges(core_blocks, by, pivots, eps))
     rest = vectors.select("id", by, "v").join(core.select("id"), "id", "left_anti")
-    rest_blocks = kept(_blocks(rest, by), "blocks")
+    rest_blocks = kept(_blocks(rest, by, pivots), "blocks")
     named = kept(groups, "groups")
 
     def touch(batches):
@@ -126,7 +216,7 @@ def dbscan(vectors: DataFrame, eps: float, least: int, by: str = "embedder") ->
 
     with_names = core_blocks.select(by, F.col("block").alias("q"), F.posexplode("ids").alias("pos", "id")).join(named, "id").groupBy(by, "q").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "component"))), lambda s: s["component"]).alias("clusters"))
     b = core_blocks.join(with_names.withColumnRenamed("q", "block"), [by, "block"])
-    border = _pairs_of_blocks(rest_blocks, by, b).mapInArrow(touch, "id long, cluster long").groupBy("id").agg(F.min("cluster").alias("cluster"))
+    border = _pairs_of_blocks(rest_blocks, by, pivots, eps, b).mapInArrow(touch, "id long, cluster long").groupBy("id").agg(F.min("cluster").alias("cluster"))
     found = named.select("id", F.col("component").alias("cluster")).union(border)
     return vectors.select("id", by).join(found, "id", "left").select("id", by, F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"))
 
@@ -167,28 +257,32 @@ def _complete(x: np.ndarray, cut: float) -> np.ndarray:
 
 
 def _linkage_blocks(rows: DataFrame) -> DataFrame:
-    """component, block, blocks (of the component), clusters, starts, sizes, spread, m: vectors side by side by cluster.
+    """component, block, blocks (of the component), clusters, starts, sizes, m: vectors side by side by cluster; centre and hi, the largest angle to it.
 
-    A cluster lies whole in one block by the hash of its name, unless it has more vectors than a block: then it is spread.
+    A cluster lies whole in one block, unless it has more vectors than a block: then it is spread. A component's clusters are dealt to blocks
+    by the pivot of their first vector, so that blocks are narrow and few pairs of them have to meet.
     """
-    sizes = rows.groupBy("component", "cluster").agg(F.count("*").alias("size"))
-    parts = sizes.groupBy("component").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
+    sizes = rows.groupBy("component", "cluster").agg(F.count("*").alias("size"), F.min_by("pivot", "id").alias("pivot"))
     pieces = F.ceil(F.col("size") / BLOCK)
+    parts = sizes.groupBy("component", "pivot").agg(F.ceil(F.sum("size") / BLOCK).alias("k"))
+    parts = parts.select("component", "pivot", "k", F.coalesce(F.sum("k").over(Window.partitionBy("component").orderBy("pivot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
     key = F.xxhash64("cluster", F.when(pieces > 1, F.pmod(F.xxhash64("id"), pieces)))
-    dealt = rows.join(sizes, ["component", "cluster"]).join(parts, "component").select("component", "cluster", "size", "v", "blocks", F.pmod(key, F.col("blocks")).cast("int").alias("block"))
+    dealt = rows.drop("pivot").join(sizes, ["component", "cluster"]).join(parts, ["component", "pivot"]).select("component", "cluster", "size", "v", (F.col("first") + F.pmod(key, F.col("k"))).cast("int").alias("block"))
 
     def packed(t: pa.Table) -> pa.Table:
         t = t.sort_by("cluster")
         names, starts = np.unique(t.column("cluster").to_numpy(), return_index=True)
         size = t.column("size").to_numpy()[starts]
         x = np.array(t.column("v").to_pylist(), float)
+        centre = _unit(x.sum(axis=0, keepdims=True))[0]
+        hi = float(np.arccos(np.clip(x @ centre, -1, 1)).max()) if (x != 0).any(axis=1).all() and centre.any() else math.pi
         return pa.table({
-            "component": t.column("component")[:1], "block": t.column("block")[:1], "blocks": t.column("blocks")[:1],
+            "component": t.column("component")[:1], "block": t.column("block")[:1], "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "hi": [hi],
             "clusters": pa.array([names.tolist()], pa.list_(pa.int64())), "starts": pa.array([starts.tolist()], pa.list_(pa.int64())),
             "sizes": pa.array([size.tolist()], pa.list_(pa.int64())), "n": pa.array([len(x)], pa.int64()), "m": pa.array([x.tobytes()], pa.binary()),
         })
 
-    return dealt.groupBy("component", "block").applyInArrow(packed, "component long, block int, blocks int, clusters array<long>, starts array<long>, sizes array<long>, n long, m binary")
+    return dealt.groupBy("component", "block").applyInArrow(packed, "component long, block int, centre array<double>, hi double, clusters array<long>, starts array<long>, sizes array<long>, n long, m binary")
 
 
 def _order_of_ties(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -205,10 +299,14 @@ def _linkage_candidates(blocks: DataFrame, cut: float) -> DataFrame:
     Of spread clusters a pair of blocks holds some vectors only, so all their pairs within cut are
     given; one is complete once n, the pairs of vectors seen, is want.
     """
+    blocks = kept(blocks, "linkage_blocks")
     p, q = F.col("block").alias("p"), F.col("block").alias("q")
+    dot = F.aggregate(F.zip_with("centre", "centre_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    near = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))) - F.col("hi") - F.col("hi_b") <= math.acos(max(-1.0, 1 - cut)) + SLACK
+    other = blocks.select("component", q, F.col("centre").alias("centre_b"), F.col("hi").alias("hi_b"))
+    pairs = blocks.select("component", p, "centre", "hi").join(other, "component").where("p <= q").where(near).select("component", "p", "q")
     half = {s: [F.col(c).alias(f"{s}_{c}") for c in ("clusters", "starts", "sizes", "n", "m")] for s in "ab"}
-    left = blocks.select("component", p, *half["a"], F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("q"))
-    right = blocks.select("component", q, *half["b"], F.explode(F.sequence(F.lit(0), F.col("block"))).alias("p"))
+    left, right = blocks.select("component", p, *half["a"]), blocks.select("component", q, *half["b"])
 
     def run(batches):
         for batch in batches:
@@ -238,16 +336,16 @@ def _linkage_candidates(blocks: DataFrame, cut: float) -> DataFrame:
                     out = [np.minimum(a[i], b[j]), np.maximum(a[i], b[j]), far[i, j], tie[i, j], np.where(spread[i, j], seen[i, j], na[i] * nb[j]), na[i] * nb[j]]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["a", "b", "d", "tie", "n", "want"])
 
-    return left.join(right.hint("shuffle_hash"), ["component", "p", "q"]).drop("component").mapInArrow(run, "a long, b long, d double, tie long, n long, want long")
+    return pairs.join(left, ["component", "p"]).join(right, ["component", "q"]).drop("component").mapInArrow(run, "a long, b long, d double, tie long, n long, want long")
 
 
 def _linkage_in_rounds(rows: DataFrame, cut: float) -> DataFrame:
-    """id, cluster: complete linkage of large parts. rows: id, component, v (unit vectors, no two equal).
+    """id, cluster: complete linkage of large parts. rows: id, component, pivot, v (unit vectors, no two equal).
 
     Every round merges each pair of clusters that are one another's nearest within cut, which gives the clusters
     of one merge at a time, as a merge brings no cluster nearer to a third. A cluster with none within cut is finished.
     """
-    now, done = kept(rows.select("id", "component", "v", F.col("id").alias("cluster")), "linkage"), []
+    now, done = kept(rows.select("id", "component", "pivot", "v", F.col("id").alias("cluster")), "linkage"), []
     while True:
         pairs = _linkage_candidates(_linkage_blocks(now), cut).groupBy("a", "b", "want").agg(F.max("d").alias("d"), F.first("tie").alias("tie"), F.sum("n").alias("n"))
         pair = F.struct("d", "tie", "a", "b").alias("pair")
@@ -259,7 +357,7 @@ def _linkage_in_rounds(rows: DataFrame, cut: float) -> DataFrame:
             drop(now, nearest)
             break
         old = now
-        now = kept(now.join(nearest, "cluster", "left_semi").join(merge, "cluster", "left").select("id", "component", "v", F.coalesce("into", "cluster").alias("cluster")), "linkage")
+        now = kept(now.join(nearest, "cluster", "left_semi").join(merge, "cluster", "left").select("id", "component", "pivot", "v", F.coalesce("into", "cluster").alias("cluster")), "linkage")
         drop(old, nearest)
     return reduce(DataFrame.union, done)
 
@@ -271,8 +369,9 @@ def complete_linkage(vectors: DataFrame, cut: float, least: int, by: str = "embe
     alone: parts of up to `part` vectors in one task each, larger ones in rounds over pairs of blocks. Equal vectors of
     a larger part count once. Among merges at the same distance either may go first, so only ties can differ.
     """
-    blocks = kept(_blocks(vectors, by), "blocks")
-    parts = kept(components(vectors.select("id"), spanning_edges(blocks, by, cut)), "parts")
+    pivots = Pivots(vectors, by)
+    blocks = kept(_blocks(vectors, by, pivots), "blocks")
+    parts = kept(components(vectors.select("id"), spanning_edges(blocks, by, pivots, cut)), "parts")
     large = kept(parts.groupBy("component").count().where(F.col("count") > part).select("component"), "large")
     rows = vectors.select("id", by, "v").join(parts, "id")
 
@@ -292,7 +391,8 @@ def complete_linkage(vectors: DataFrame, cut: float, least: int, by: str = "embe
         own = F.when(size == 0, F.col("id"))
         big = kept(rows.join(large, "component", "left_semi").select("id", by, "component", unit.alias("v"), own.alias("own")), "big")
         single = kept(big.groupBy("component", "v", "own").agg(F.min("id").alias("first")), "single")
-        linked = _linkage_in_rounds(single.select(F.col("first").alias("id"), "component", "v"), cut)
+        pivot = pivots.placed(single.join(vectors.select(F.col("id").alias("first"), by), "first").select(F.col("first").alias("id"), by, "v")).select("id", "pivot")
+        linked = _linkage_in_rounds(single.select(F.col("first").alias("id"), "component", "v").join(pivot, "id"), cut)
         same = (big.component == single.component) & (big.v == single.v) & big.own.eqNullSafe(single.own)
         members = big.join(single, same).select(big.id, big[by], "first").join(linked.withColumnRenamed("id", "first"), "first")
         named = named.union(members.select("id", by, "cluster"))
@@ -304,15 +404,3 @@ def complete_linkage(vectors: DataFrame, cut: float, least: int, by: str = "embe
 def people(faces: DataFrame) -> DataFrame:
     """person, n, cover (smallest id) of assigned faces."""
     return faces.where("cluster >= 0").groupBy(F.col("cluster").alias("person")).agg(F.count("*").alias("n"), F.min("id").alias("cover"))
-
-
-def merged(faces: DataFrame, keep: int, gone: int) -> DataFrame:
-    return faces.withColumn("cluster", F.when(F.col("cluster") == gone, keep).otherwise(F.col("cluster")))
-
-
-def split_off(faces: DataFrame, ids: list[int], new: int) -> DataFrame:
-    return faces.withColumn("cluster", F.when(F.col("id").isin(ids), new).otherwise(F.col("cluster")))
-
-
-def erased(faces: DataFrame, person: int) -> DataFrame:
-    return faces.where(F.col("cluster") != person)

@@ -117,3 +117,60 @@ def test_keys_ties_and_references(spark):
         geo.dms_to_decimal(F.lit("10"), F.lit(None).cast("string"), F.lit("0"), F.lit("N")).alias("none"),
     ).first()
     assert r.x == r.y and r.x.startswith("auto:") and r.joined == "t|s" and r.tie == "nsfw" and tuple(r.p) == (-3.5, -7.0) and tuple(r.v) == (1.5, -2.5) and r.none is None
+
+
+def plain_complete(x, cut):
+    """Complete linkage by merging the two nearest clusters again and again; clusters as sets of rows."""
+    far = 1 - x @ x.T
+    np.fill_diagonal(far, np.inf)
+    members = {i: {i} for i in range(len(x))}
+    while len(members) > 1:
+        i, j = np.unravel_index(far.argmin(), far.shape)
+        if far[i, j] > cut:
+            break
+        members[i] |= members.pop(j)
+        far[i] = far[:, i] = np.maximum(far[i], far[j])
+        far[j] = far[:, j] = np.inf
+        far[i, i] = np.inf
+    return members.values()
+
+
+def test_complete_linkage_of_faces_by_plain_merges(spark):
+    t = pq.read_table(f"{FOLDER}/embeddings.parquet").to_pydict()
+    ids, label, v = np.array(t["vec_id"]), np.array(t["label"]) % 2, np.array(t["embedding"], float)
+    got = {r.id: r.cluster for r in rows(spark, "face_clusters_complete")}
+    want = {}
+    for e in (0, 1):
+        x, own = v[label == e] / np.linalg.norm(v[label == e], axis=1, keepdims=True), ids[label == e]
+        for c in plain_complete(x, 0.7):
+            want |= {int(own[i]): int(min(own[i] for i in c)) if len(c) >= 2 else -1 for i in c}
+    assert got == want
+    people = rows(spark, "people_summary")
+    named = {c for c in want.values() if c >= 0}
+    assert {(r.person, r.n, r.cover) for r in people} == {(c, sum(x == c for x in want.values()), c) for c in named}
+
+
+def test_blocks_that_are_far_apart_are_not_compared(spark):
+    """Of clusters in many directions most pairs of blocks are ruled out, and DBSCAN and linkage in rounds still find what all pairs give."""
+    from lumora.operators import cluster as ops
+
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(25, 16))
+    x = centres[rng.integers(0, 25, 900)] + rng.normal(size=(900, 16)) * 0.25
+    vectors = spark.createDataFrame([(i, a.tolist(), 0) for i, a in enumerate(x)] + [(5000, [0.0] * 16, 0)], "id long, v array<double>, embedder long")
+    assert ops.compared_share(vectors, "embedder", 0.1, block=32) < 0.35
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = 1 - u @ u.T <= 0.1
+    core = near.sum(axis=1) >= 4
+    got = {r.id: r.cluster for r in ops.dbscan(vectors, 0.1, 4).collect()}
+    name = np.where(core, np.arange(900), 10**9)
+    while True:
+        new = np.where(core, np.where(near & core[None], name[None], 10**9).min(axis=1), 10**9)
+        if (new == name).all():
+            break
+        name = new
+    border = np.where(near & core[None], name[None], 10**9).min(axis=1)
+    assert got == {i: int(name[i]) if core[i] else int(border[i]) if border[i] < 10**9 else -1 for i in range(900)} | {5000: -1}
+    parts = {r.id: r.cluster for r in ops.complete_linkage(vectors, 0.2, 2, part=5).collect()}
+    want = {i: min(c) if len(c) > 1 else -1 for c in plain_complete(u, 0.2) for i in c} | {5000: -1}
+    assert parts == want
