@@ -1,8 +1,8 @@
 """2. Quality rules: counts of a text, hard limits, then a cascade of rules ordered by rejection per cost.
 
-A rule looks at one document. On a sample each rule runs over every document; its cost is the time that
-took, its selectivity the share it rejects. The cascade tries rules with the most rejection per cost
-first, and a document that one rule rejects is not shown to the next. The order changes the work only,
+A rule looks at one document. On a sample of those that pass the hard limits each rule runs over every document; its cost is the
+time that took. The rule with the most rejection per cost comes first; each next one is chosen by what it rejects of
+the documents that those before it leave. In the cascade, a document that one rule rejects is not shown to the next. The order changes the work only,
 never a verdict: a text is kept when no rule rejects it.
 """
 
@@ -74,30 +74,54 @@ RULES: dict[str, Callable[[np.ndarray, dict], bool]] = {
 }
 
 
-def estimates(docs: DataFrame, rules=RULES, sample: int = SAMPLE) -> dict[str, tuple[float, float]]:
-    """Seconds a document and share rejected of each rule, on about sample documents drawn by a hash of doc_id."""
+def hard_limits(c: dict[str, np.ndarray], min_words: int, max_repeat_percent: int) -> np.ndarray:
+    """Which documents fail them."""
+    return (c["n_words"] < min_words) | (100 * c["n_repeat_words"] > max_repeat_percent * c["n_words"])
+
+
+def estimates(docs: DataFrame, rules=RULES, sample: int = SAMPLE, min_words: int = 50, max_repeat_percent: int = 50) -> tuple[dict[str, float], dict[int, int]]:
+    """Seconds a document of each rule, and how many documents each set of rules (bit i: the i-th) rejects: of about sample documents, drawn by a hash of doc_id, those within the hard limits."""
     every = max(1, docs.count() // sample)
+    columns = ["rule", "seconds", "rejects", "n"]
 
     def run(batches):
-        seconds, hits, n = dict.fromkeys(rules, 0.0), dict.fromkeys(rules, 0), 0
+        seconds, sets, n = np.zeros(len(rules)), {}, 0
         for _, chunk in pieces(batches):
-            c, n = counts(chunk), n + chunk.docs
-            for name, f in rules.items():
+            c = counts(chunk)
+            alive = np.flatnonzero(~hard_limits(c, min_words, max_repeat_percent))
+            rejects = np.zeros(len(alive), np.int64)
+            n += len(alive)
+            for k, f in enumerate(rules.values()):
                 t = time.perf_counter()
-                hits[name] += sum(bool(f(*_one(chunk, c, i))) for i in range(chunk.docs))
-                seconds[name] += time.perf_counter() - t
-        yield pa.RecordBatch.from_arrays([pa.array(list(rules)), pa.array(list(seconds.values())), pa.array(list(hits.values()), pa.int64()), pa.array([n] * len(rules), pa.int64())], ["rule", "seconds", "hits", "n"])
+                hits = [bool(f(*_one(chunk, c, i))) for i in alive]
+                seconds[k] += time.perf_counter() - t
+                rejects |= np.array(hits, np.int64).reshape(-1) << k
+            for r, m in zip(*np.unique(rejects, return_counts=True), strict=True):
+                sets[int(r)] = sets.get(int(r), 0) + int(m)
+        yield pa.RecordBatch.from_arrays([pa.array(list(rules)), pa.array(seconds), pa.nulls(len(rules), pa.int64()), pa.array([n] * len(rules), pa.int64())], columns)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(sets), pa.string()), pa.nulls(len(sets), pa.float64()), pa.array(list(sets), pa.int64()), pa.array(list(sets.values()), pa.int64())], columns)
 
     drawn = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
-    rows = drawn.mapInArrow(run, "rule string, seconds double, hits long, n long").groupBy("rule").agg(F.sum("seconds"), F.sum("hits"), F.sum("n")).collect()
-    return {r[0]: (r[1] / max(r[3], 1), r[2] / max(r[3], 1)) for r in rows}
+    rows = drawn.mapInArrow(run, "rule string, seconds double, rejects long, n long").groupBy("rule", "rejects").agg(F.sum("seconds").alias("s"), F.sum("n").alias("n")).collect()
+    return {r.rule: r.s / max(r.n, 1) for r in rows if r.rule is not None}, {r.rejects: r.n for r in rows if r.rule is None}
 
 
 def order(found: dict[str, tuple[float, float]], rules=RULES) -> list[str]:
-    """Most rejection per cost first; by name where equal."""
+    """Rules by rejection per cost, of (cost, share rejected); by name where equal."""
     return sorted(rules, key=lambda r: (-found.get(r, (1.0, 0.0))[1] / max(found.get(r, (1.0, 0.0))[0], 1e-9), r))
 
 
+def cascade_order(seconds: dict[str, float], sets: dict[int, int], rules=RULES) -> list[str]:
+    """Rule by rule, the one with the most rejection per cost among the documents that are left."""
+    place, left, out = {r: k for k, r in enumerate(rules)}, dict(sets), []
+    while len(out) < len(place):
+        n = max(1, sum(left.values()))
+        found = {r: (seconds.get(r, 1.0), sum(m for s, m in left.items() if s >> place[r] & 1) / n) for r in place if r not in out}
+        out.append(order(found, list(found))[0])
+        left = {s: m for s, m in left.items() if not s >> place[out[-1]] & 1}
+    return out
+
+
 def _one(chunk: Chunk, c: dict[str, np.ndarray], i: int) -> tuple[np.ndarray, dict]:
     return chunk.cp[chunk.starts[i] : chunk.starts[i + 1] - 1], {k: int(v[i]) for k, v in c.items()}
 
@@ -110,11 +134,11 @@ def quality_rules(docs: DataFrame, rules=RULES, min_words: int = 50, max_repeat_
     Null and empty texts have no words, so they fail. Rows are judged alone: repeated rows and null ids
     come back as they are; an empty table gives no rows; further columns are not read.
     """
-    names = order(estimates(docs, rules), rules)
+    names = cascade_order(*estimates(docs, rules, SAMPLE, min_words, max_repeat_percent), rules)
 
     def judge(keys, chunk):
         c = counts(chunk)
-        failed = (c["n_words"] < min_words) | (100 * c["n_repeat_words"] > max_repeat_percent * c["n_words"])
+        failed = hard_limits(c, min_words, max_repeat_percent)
         by: list[str | None] = [None] * chunk.docs
         alive = [(i, *_one(chunk, c, i)) for i in np.flatnonzero(~failed)]
         for name in names:

@@ -21,17 +21,17 @@ pornografia puttane bordello
 putaria cassino
 porevo kazino
 """
-#: Soft terms with their weights; two different ones block when their weights reach the limit.
+#: Soft terms with their weights, 1 (common in clean urls) to 3; two or more different ones block when their weights reach the limit.
 SOFT_TERMS = """
-adult 2 bet 1 bets 1 betting 1 cheap 1 escort 2 farm 1 free 1 jackpot 1 loan 1 loans 1 pills 1 poker 1 sex 2 win 1 x 1 sexy 2 nude 2 naked 2 erotic 2 dating 1 webcam 1 slots 1 roulette 1 blackjack 1 gambling 2 lottery 1 bonus 1 payday 1 crack 1 torrent 1 replica 1 pharmacy 1 hookup 2 fetish 2 topless 2
-adultos 2 apuestas 1 gratis 1 prestamos 1 sexo 2 desnudas 2 loteria 1 farmacia 1
-adulte 2 paris-sportifs 1 gratuit 1 pret 1 sexe 2 nue 2 loterie 1 pharmacie 1
-erotik 2 wetten 1 kostenlos 1 kredit 1 nackt 2 lotto 1 apotheke 1
-scommesse 1 prestiti 1 sesso 2 nuda 2 lotteria 1
-apostas 1 emprestimos 1 nuas 2 sorteio 1
-stavki 1 besplatno 1 seks 2 kredity 1
+adult 2 bet 2 bets 2 betting 3 cheap 1 escort 3 farm 1 free 1 jackpot 3 loan 2 loans 2 pills 2 poker 3 sex 3 win 1 sexy 3 nude 3 naked 3 erotic 3 dating 2 webcam 2 slots 2 roulette 3 blackjack 3 gambling 3 lottery 2 bonus 1 payday 2 crack 2 torrent 2 replica 2 pharmacy 2 hookup 3 fetish 3 topless 3
+adultos 2 apuestas 3 gratis 1 prestamos 2 sexo 3 desnudas 3 loteria 2 farmacia 2
+adulte 2 paris-sportifs 3 gratuit 1 pret 1 sexe 3 nue 3 loterie 2 pharmacie 2
+erotik 3 wetten 2 kostenlos 1 kredit 2 nackt 3 lotto 2 apotheke 2
+scommesse 3 prestiti 2 sesso 3 nuda 3 lotteria 2
+apostas 3 emprestimos 2 nuas 3 sorteio 1
+stavki 2 besplatno 1 seks 3 kredity 2
 """
-SOFT_LIMIT = 2
+SOFT_LIMIT = 4
 
 
 def vocabulary(text: str) -> dict[str, int]:

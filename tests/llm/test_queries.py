@@ -108,6 +108,29 @@ def test_cascade_order_changes_no_verdict(spark, folder):
     assert quality_rules.order({"symbols": (1.0, 0.5), "digits": (0.1, 0.2)}, ["symbols", "digits"]) == ["digits", "symbols"]
 
 
+def test_cascade_is_ordered_by_what_is_left(spark):
+    """A rule that rejects much of what fails the hard limits anyway, or of what an earlier rule rejects, comes late."""
+    assert quality_rules.cascade_order({"a": 1.0, "b": 1.0, "c": 1.0}, {0b011: 50, 0b001: 5, 0b100: 10, 0: 100}, {"a": None, "b": None, "c": None}) == ["a", "c", "b"]
+    assert quality_rules.cascade_order({"a": 9.0, "b": 1.0}, {0b01: 50, 0b10: 30}, {"a": None, "b": None}) == ["b", "a"]
+    words = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80))
+    rows = [(i, "AB CD!") for i in range(50)] + [(100 + i, words + " 1234567890" * 40) for i in range(10)] + [(200 + i, words) for i in range(20)]
+    seconds, sets = quality_rules.estimates(spark.createDataFrame(rows, "doc_id long, text string"), sample=80)
+    assert sum(sets.values()) == 30 and set(seconds) == set(quality_rules.RULES)  # the 50 short texts aren't in the sample
+    bit = list(quality_rules.RULES).index("capitals")
+    assert not any(s >> bit & 1 for s in sets)
+
+
+def test_weights_of_soft_terms_decide():
+    from lumora.llm import url_filter as u
+
+    a = u.automaton()
+    blocks = lambda text: u.vocabulary_blocks(a, text)
+    assert blocks("example.org/poker/bonus") and not blocks("example.org/win/bonus")  # two terms each
+    assert blocks("a.org/cheap-free/win/bonus") and not blocks("a.org/cheap-free/win") and not blocks("a.org/poker/poker")
+    assert not blocks("x.com/x/free") and not blocks("a.org/pokerface/bonus") and blocks("a.org/casino")
+    assert max(u.SOFT.values()) < u.SOFT_LIMIT and u.SOFT_LIMIT > 2 * min(u.SOFT.values()) and min(map(len, u.SOFT)) > 1
+
+
 def test_marginals_are_exact():
     import itertools
 
