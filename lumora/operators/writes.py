@@ -109,21 +109,6 @@ def patched(rows: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
     return upsert_non_null(rows, changes.join(rows.select(*key), key, "left_semi"), key)
 
 
-def swapped(spark, rows: DataFrame, path: str, good) -> bool:
-    """Writes rows beside path and puts them in its place if good(rows as written) holds; else path stays as it was."""
-    from lumora.sources.shared import delete
-
-    rows.write.mode("overwrite").parquet(f"{path}.new")
-    if not good(spark.read.parquet(f"{path}.new")):
-        delete(spark, f"{path}.new")
-        return False
-    jvm = spark.sparkContext._jvm
-    new, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.new", path))
-    fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    return fs.rename(new, old)
-
-
 def notes_written(notes: DataFrame, new: DataFrame) -> DataFrame:
     """notes (id, asset_id, content) where the first note of an asset takes the content of new (asset_id, content); an asset without one gets a row, whose id the store gives (null here)."""
     first = notes.groupBy("asset_id").agg(F.min("id").alias("id"))

@@ -91,15 +91,6 @@ def test_probe_needs_both_classes(spark):
         ops.logistic(spark.createDataFrame([(1, [1.0, 0.0], 1)], "id long, v array<double>, y int"))
 
 
-def test_store_is_swapped_only_behind_the_gate(spark, tmp_path):
-    from lumora.operators import writes
-
-    path = str(tmp_path / "store")
-    spark.range(3).write.parquet(path)
-    assert not writes.swapped(spark, spark.range(5), path, lambda df: False) and spark.read.parquet(path).count() == 3
-    assert writes.swapped(spark, spark.range(5), path, lambda df: df.count() == 5) and spark.read.parquet(path).count() == 5
-
-
 def test_keys_ties_and_references(spark):
     from pyspark.sql import functions as F
 
