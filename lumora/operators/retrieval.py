@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import re
 import unicodedata
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumora.operators import filters, vectors
+from lumora.operators.caption_index import CaptionIndex, Index, buckets_of, postings
+from lumora.sources.commits import CommitTaken
 from lumora.sources.shared import shared_dir
 
 K1, B, RRF_K = 1.2, 0.75, 60
@@ -30,58 +32,56 @@ def query_terms(text: str) -> list[str]:
     return [t for t in re.split(r"[\W_]+", low) if t]
 
 
-def index(captions: DataFrame, key: str = "image_id", text: str = "caption") -> DataFrame:
-    """doc, term, tf, positions, length; blank captions are left out."""
-    docs = captions.select(F.col(key).alias("doc"), tokens(F.col(text)).alias("t")).where(F.size("t") > 0)
-    return docs.select("doc", F.size("t").alias("length"), F.posexplode("t").alias("pos", "term")).groupBy("doc", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"), F.first("length").cast("long").alias("length"))
-
-
 def _idf(n: Column, total: Column) -> Column:
     return F.greatest(F.log((total - n + 0.5) / (n + 0.5)), F.lit(1e-6))
 
 
-@dataclass(frozen=True)
-class Index:
-    """An inverted index: terms (doc, term, tf, positions, length), and whole: one row total, mean of the captions that have a token."""
-
-    terms: DataFrame
-    whole: DataFrame
+def caption_index(spark: SparkSession, path: str, key: str = "image_id", text: str = "caption") -> CaptionIndex:
+    return CaptionIndex(spark, path, tokens, key, text)
 
 
 def stored(captions: DataFrame, key: str = "image_id", text: str = "caption") -> Index:
-    """The captions' index in the shared folder, sorted by term so that a query reads its terms' row groups only; built where it isn't there yet.
+    """The captions' index in the shared folder; built where it isn't there yet.
 
-    Its name depends on the captions' files, their sizes and times: other captions have another index.
+    Its name depends on the captions' files, their sizes and times: other captions have another index. A catalog that grows keeps one
+    caption_index() and updates it.
     """
     spark = captions.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
     status = [(f, s.getLen(), s.getModificationTime()) for f in sorted(captions.inputFiles()) for s in [path(f).getFileSystem(conf).getFileStatus(path(f))]]
-    base = f"{shared_dir(spark)}/lumora-index-{hashlib.sha256(repr((key, text, status)).encode()).hexdigest()[:20]}"
-    for name, make in (("terms", lambda: index(captions, key, text).repartitionByRange("term", "doc").sortWithinPartitions("term", "doc")), ("whole", lambda: spark.read.parquet(f"{base}/terms").groupBy("doc").agg(F.first("length").alias("length")).agg(F.count("*").alias("total"), F.avg("length").alias("mean")))):
-        if not path(base).getFileSystem(conf).exists(path(f"{base}/{name}/_SUCCESS")):
-            make().write.mode("overwrite").parquet(f"{base}/{name}")
-    return Index(spark.read.parquet(f"{base}/terms"), spark.read.parquet(f"{base}/whole"))
+    name = hashlib.sha256(repr((key, text, status)).encode()).hexdigest()[:20]
+    found = caption_index(spark, f"{shared_dir(spark)}/lumora-index-{name}", key, text)
+    if not found.commits.numbers():
+        with contextlib.suppress(CommitTaken):  # another session has built it meanwhile
+            found.add(captions)
+    return found.index()
 
 
 def made(captions: DataFrame, key: str = "image_id", text: str = "caption") -> Index:
     """The index of captions that aren't files."""
-    terms = index(captions, key, text)
-    return Index(terms, terms.groupBy("doc").agg(F.first("length").alias("length")).agg(F.count("*").alias("total"), F.avg("length").alias("mean")))
+    rows = postings(captions, tokens(F.col(text)), key, text).dropDuplicates(["doc", "part", "term"])
+    return Index(rows.where("term is not null"), rows.where("term is null").agg(F.count("*").alias("total"), F.avg("length").alias("mean")))
 
 
 def _ranked(hits: DataFrame, whole: DataFrame) -> DataFrame:
-    """hits: doc, term, tf, length; BM25 summed over terms."""
+    """hits: doc, part, term, tf, length; doc, part, score: BM25 summed over terms."""
     n = hits.groupBy("term").agg(F.count("*").alias("n"))
     rows = hits.join(F.broadcast(n), "term").crossJoin(F.broadcast(whole))
     part = _idf(F.col("n"), F.col("total")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return rows.groupBy("doc").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("terms"))
+    return rows.groupBy("doc", "part").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("terms"))
+
+
+def of_terms(found: Index, terms: list[str]) -> DataFrame:
+    """The postings of some terms; of a stored index only their buckets are read."""
+    rows = found.terms.where(F.col("term").isin(terms))
+    return rows.where(F.col("bucket").isin(buckets_of(found.terms.sparkSession, terms))) if "bucket" in rows.columns else rows
 
 
 def all_terms(found: Index, query: str) -> DataFrame:
     """doc, score: captions that hold every term of the query, by BM25."""
     terms = sorted(set(query_terms(query)))
-    hits = found.terms.where(F.col("term").isin(terms)).select("doc", "term", "tf", "length")
+    hits = of_terms(found, terms).select("doc", "part", "term", "tf", "length")
     return _ranked(hits, found.whole).where(F.col("terms") == len(terms)).select("doc", "score")
 
 
@@ -90,12 +90,12 @@ def phrase(found: Index, query: str) -> DataFrame:
     terms = query_terms(query)
     hits = None
     for i, t in enumerate(terms):
-        mine = found.terms.where(F.col("term") == t).select("doc", "length", F.transform("positions", lambda p: p - F.lit(i)).alias("at"))
-        hits = mine if hits is None else hits.join(mine.select("doc", F.col("at").alias("more")), "doc").select("doc", "length", F.array_intersect("at", "more").alias("at")).where(F.size("at") > 0)
+        mine = of_terms(found, [t]).select("doc", "part", "length", F.transform("positions", lambda p: p - F.lit(i)).alias("at"))
+        hits = mine if hits is None else hits.join(mine.select("doc", "part", F.col("at").alias("more")), ["doc", "part"]).select("doc", "part", "length", F.array_intersect("at", "more").alias("at")).where(F.size("at") > 0)
     if hits is None:
-        hits = found.terms.limit(0).select("doc", "length", F.col("positions").alias("at"))
-    hits = hits.select("doc", "length", F.size("at").cast("long").alias("tf"), F.lit(" ".join(terms)).alias("term"))
-    return hits.select("doc", F.col("tf").alias("n")).join(_ranked(hits, found.whole), "doc").select("doc", "n", "score")
+        hits = found.terms.limit(0).select("doc", "part", "length", F.col("positions").alias("at"))
+    hits = hits.select("doc", "part", "length", F.size("at").cast("long").alias("tf"), F.lit(" ".join(terms)).alias("term"))
+    return hits.select("doc", "part", F.col("tf").alias("n")).join(_ranked(hits, found.whole), ["doc", "part"]).select("doc", "n", "score")
 
 
 def best_caption(hits: DataFrame) -> DataFrame:

@@ -324,3 +324,39 @@ def stream_throughput(spark, d):
     q = live.throughput(_event_stream(spark, d)).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(out).select(F.col("start").cast("timestamp_ntz").alias("start"), "n", F.col("latest").cast("timestamp_ntz").alias("latest"))
+
+
+def _two_files(spark, d, name, late_hours, run):
+    """Rows of even events, then, with the query stopped in between, of odd ones, of which many are late: run(stream) on the same checkpoint each time."""
+    t = Catalog(spark, d).raw("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    source, out, mark = (_fresh(spark, f"{name}-{x}") for x in ("in", "out", "mark"))
+    for part in (0, 1):
+        t.where(F.col("event_id") % 2 == part).coalesce(1).write.mode("append").parquet(source)
+        for _ in range(2):  # the second start finds nothing new
+            live.to_folder(run(spark.readStream.schema(t.schema).parquet(source), f"{late_hours} hours"), out, mark)
+    return spark.read.parquet(out)
+
+
+_ACCEPTED = "e AS (SELECT *, epoch_us(ts) // 1000 AS ms, event_id % 2 AS part FROM events), mark AS (SELECT (SELECT max(ms) FROM e WHERE part = 0) - 72 * 3600000 AS w1, (SELECT max(ms) FROM e) - 72 * 3600000 AS w2), ok AS (SELECT * FROM e, mark WHERE part = 0 OR ms > w1)"
+
+
+@register("stream_sessions", f"WITH {_ACCEPTED}, c AS (SELECT user_id, ms, w2, CASE WHEN ms - lag(ms) OVER o > 21600000 THEN 1 ELSE 0 END AS cut FROM ok WINDOW o AS (PARTITION BY user_id ORDER BY ms)), s AS (SELECT user_id, ms, w2, sum(cut) OVER (PARTITION BY user_id ORDER BY ms ROWS UNBOUNDED PRECEDING) AS k FROM c) SELECT user_id AS person, make_timestamp(min(ms) * 1000) AS start, make_timestamp(max(ms) * 1000) AS \"end\", count(*) AS n FROM s GROUP BY user_id, k, w2 HAVING max(ms) + 21600000 < w2")
+def stream_sessions(spark, d):
+    """Sessions that the watermark, three days behind, has closed; late rows of the second file are dropped, others extend what the first one left open."""
+    got = _two_files(spark, d, "sessions", 72, lambda s, late: live.kept_sessions(s.select(F.col("user_id").alias("person"), "ts"), 21_600, late))
+    return got.select("person", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+_OUTCOME = "SELECT id, CASE WHEN n < 3 THEN 'incomplete' WHEN fine THEN 'done' ELSE 'failed' END AS outcome, array_to_string(list_filter(['click', 'view', 'purchase'], lambda t: NOT list_contains(got, t)), ',') AS missing FROM"
+_TIERS = "r AS (SELECT event_id // 6 AS id, event_type AS tier, value > 20 AS fine, ms, part, w1, w2 FROM ok WHERE event_type IN ('click', 'view', 'purchase')), {one} AS (SELECT id, min(ms) AS since, count(DISTINCT tier) AS n, bool_and(fine) AS fine, list(DISTINCT tier) AS got, any_value(w1) AS w1, any_value(w2) AS w2 FROM r WHERE {which} GROUP BY id)"
+
+
+_THREE = _ACCEPTED.replace("FROM events)", "FROM events WHERE event_type IN ('click', 'view', 'purchase'))", 1)  # the watermark sees these only
+
+
+@register("stream_tiers", f"WITH {_THREE}, {_TIERS.format(one='a', which='part = 0')}, {_TIERS.split('{one}')[1].join(['b', '']).format(which='part = 1 OR id IN (SELECT id FROM a WHERE n < 3 AND since + 86400000 >= w1)')} {_OUTCOME} a WHERE n = 3 OR since + 86400000 < w1 UNION ALL {_OUTCOME} b WHERE n = 3 OR since + 86400000 < w2")
+def stream_tiers(spark, d):
+    """Assets whose three tiers have all reported, or that have waited for a day; what the first file leaves open, the second one completes."""
+    kinds = ("click", "view", "purchase")
+    of = lambda s, late: live.finalised_assets(s.select(F.expr("event_id div 6").alias("id"), F.col("event_type").alias("tier"), (F.col("value") > 20).alias("ok"), "ts"), kinds, 86_400, late)
+    return _two_files(spark, d, "tiers", 72, of)

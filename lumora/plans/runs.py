@@ -5,9 +5,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from lumora.operators import backends, vectors
+from lumora.operators import backends, retrieval, vectors
+from lumora.operators.vector_store import VectorStore
 from lumora.plans.registry import register
 from lumora.plans.rows import _fresh
+from lumora.plans.search import _T
 from lumora.sources.catalog import Catalog, cte
 from lumora.sources.commits import CommitLog, VersionedStore, resumed
 
@@ -86,3 +88,39 @@ def batches_halved(spark, d):
     registry = backends.Registry()
     registry.add(backends.Backend("small", {"tag": backends.halving(step)}))
     return registry.dispatch("small", "tag", Catalog(spark, d).videos.select("id", "filename"))
+
+
+@register("term_index_updated", cte("captions", more=_T.replace("FROM captions)", "FROM captions WHERE image_id % 5 <> 0)")) + "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(a) AS term FROM t) GROUP BY doc, term) GROUP BY term")
+def term_index_updated(spark, d):
+    """An index of every second caption, brought to those that the catalog has now: what is new in a segment, what is gone marked."""
+    captions = Catalog(spark, d).captions
+    index = retrieval.caption_index(spark, _fresh(spark, "captions"))
+    index.add(captions.where("image_id % 2 = 0"))
+    index.sync(captions.where("image_id % 5 != 0"))
+    return index.index().terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def _store(spark, v):
+    """Trained on all vectors, filled in two appends."""
+    store = VectorStore(spark, _fresh(spark, "vectors"))
+    store.train(v)
+    store.add(v.where("id % 3 != 0"))
+    store.add(v)
+    return store
+
+
+@register("vector_store_search")
+def vector_store_search(spark, d):
+    """The 10 nearest vectors of every fiftieth one, from two thirds of the store's lists: the given vectors hardly cluster, and half of them would miss one in nine."""
+    v = Catalog(spark, d).vectors.select("id", "v")
+    store = _store(spark, v)
+    return store.search(v.where("id % 50 = 0"), 10, probes=max(1, len(store._model()[0]) * 2 // 3))
+
+
+@register("vector_store_contains", cte("vectors") + "SELECT id, id IN (SELECT id FROM vectors WHERE id % 3 <> 0) AS there FROM vectors")
+def vector_store_contains(spark, d):
+    v = Catalog(spark, d).vectors.select("id", "v")
+    store = VectorStore(spark, _fresh(spark, "vectors"))
+    store.train(v)
+    store.add(v.where("id % 3 != 0"))
+    return store.contains(v)

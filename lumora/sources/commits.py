@@ -129,16 +129,19 @@ class CommitLog:
     def parts(self) -> list[dict]:
         return [self.commits.read(n) for n in self.commits.numbers()]
 
-    def append(self, rows: DataFrame, **notes) -> int:
-        """Writes rows as one part and commits it with its notes."""
+    def append(self, rows: DataFrame, by: str | None = None, **notes) -> int:
+        """Writes rows as one part (in a folder for each value of by) and commits it with its notes."""
         number, folder = self.commits.last()[0], f"p-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.commits.path}/{folder}")
+        (rows.write if by is None else rows.write.partitionBy(by)).parquet(f"{self.commits.path}/{folder}")
         return self.commits.add({"folder": folder, **notes}, number)
 
     def read(self, schema) -> DataFrame:
         """The committed rows."""
-        paths = [f"{self.commits.path}/{p['folder']}" for p in self.parts()]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        out = None
+        for part in self.parts():  # each has folders of its own
+            rows = self.spark.read.schema(schema).parquet(f"{self.commits.path}/{part['folder']}")
+            out = rows if out is None else out.unionByName(rows)
+        return self.spark.createDataFrame([], schema) if out is None else out
 
 
 def resumed(todo: DataFrame, step: Callable[[DataFrame], DataFrame], log: CommitLog, key: str = "id", batch_rows: int = 100_000, after_batch: Callable[[int], None] | None = None) -> int:

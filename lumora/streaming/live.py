@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 def _watermarked(items: DataFrame, late: str) -> DataFrame:
@@ -33,3 +36,83 @@ def annotate(stream: DataFrame, step: Callable[[DataFrame], DataFrame], out: str
         step(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def kept_sessions(items: DataFrame, gap_s: float = 21_600, late: str = "1 hour", by: str = "person") -> DataFrame:
+    """by, start, end, n of a stream (by, ts), with the open sessions of each by as state: a session comes out once, when the watermark has passed its end by more than the gap.
+
+    Rows at or behind the watermark are late and dropped. A by's open sessions are held as starts, ends and counts, never
+    as rows. Null keys are a key, null times are dropped. A query that is started again on its checkpoint goes on with the open sessions.
+    """
+    kind, gap = dict(items.dtypes)[by], int(gap_s * 1000)
+    rows = items.select(by, F.col("ts").cast("timestamp").alias("ts")).where("ts is not null").withColumn("ms", F.unix_millis("ts")).withWatermark("ts", late)
+
+    def step(key, frames, state):
+        starts, ends, counts = (list(x) for x in state.get) if state.exists else ([], [], [])
+        now = state.getCurrentWatermarkMs()
+        for frame in frames:
+            ts = np.sort(frame["ms"].to_numpy(np.int64))
+            ts = ts[ts > now]
+            cut = np.concatenate(([0], np.flatnonzero(np.diff(ts) > gap) + 1, [len(ts)]))
+            for a, z in zip(cut[:-1], cut[1:], strict=True):
+                if z > a:
+                    starts.append(int(ts[a]))
+                    ends.append(int(ts[z - 1]))
+                    counts.append(int(z - a))
+        order, merged = sorted(range(len(starts)), key=lambda i: starts[i]), []
+        for i in order:
+            if merged and starts[i] - merged[-1][1] <= gap:
+                merged[-1] = [merged[-1][0], max(merged[-1][1], ends[i]), merged[-1][2] + counts[i]]
+            else:
+                merged.append([starts[i], ends[i], counts[i]])
+        closed = [m for m in merged if m[1] + gap < now]
+        still = [m for m in merged if m[1] + gap >= now]
+        if still:
+            state.update(tuple([m[k] for m in still] for k in range(3)))
+            state.setTimeoutTimestamp(max(min(m[1] for m in still) + gap, now + 1))
+        else:
+            state.remove()
+        if closed:
+            yield pd.DataFrame({by: [key[0]] * len(closed), "start": pd.to_datetime([m[0] for m in closed], unit="ms", utc=True), "end": pd.to_datetime([m[1] for m in closed], unit="ms", utc=True), "n": np.array([m[2] for m in closed], np.int64)})
+
+    return rows.groupBy(by).applyInPandasWithState(step, f"{by} {kind}, start timestamp, end timestamp, n long", "starts array<long>, ends array<long>, counts array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def finalised_assets(status: DataFrame, tiers: tuple[str, ...], wait_s: float = 86_400, late: str = "1 hour") -> DataFrame:
+    """id, outcome, missing of a stream of tier reports (id, tier, ok, ts): done or failed once every tier has reported, incomplete once the watermark has passed the first report by more than wait_s.
+
+    A tier that failed counts as failed even if it reports again. Each asset comes out once: reports after that open it anew. Other tiers, null ids and times are dropped.
+    """
+    kind, wait = dict(status.dtypes)["id"], int(wait_s * 1000)
+    rows = status.select("id", "tier", "ok", F.col("ts").cast("timestamp").alias("ts")).where(F.col("tier").isin(*tiers) & F.col("id").isNotNull() & F.col("ts").isNotNull()).withColumn("ms", F.unix_millis("ts")).withWatermark("ts", late)
+
+    def step(key, frames, state):
+        first, good, bad = state.get if state.exists else (None, [], [])
+        good, bad, now = set(good), set(bad), state.getCurrentWatermarkMs()
+        for frame in frames:
+            ts = frame["ms"].to_numpy(np.int64)
+            on = ts > now
+            if on.any():
+                first = int(ts[on].min()) if first is None else min(first, int(ts[on].min()))
+                ok = frame["ok"].fillna(False).astype(bool).to_numpy()
+                good |= set(frame["tier"].to_numpy()[on & ok])
+                bad |= set(frame["tier"].to_numpy()[on & ~ok])
+        missing = [t for t in tiers if t not in good | bad]
+        outcome = None
+        if first is not None:
+            outcome = ("failed" if bad else "done") if not missing else "incomplete" if first + wait < now else None
+        if outcome or first is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((first, sorted(good), sorted(bad)))
+            state.setTimeoutTimestamp(max(first + wait, now + 1))
+        if outcome:
+            yield pd.DataFrame([(key[0], outcome, ",".join(missing))], columns=["id", "outcome", "missing"])
+
+    return rows.groupBy("id").applyInPandasWithState(step, f"id {kind}, outcome string, missing string", "first long, good array<string>, bad array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def to_folder(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """Runs a stream over what is there and stops; rows are appended to Parquet, each once, however often it is started on its checkpoint."""
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
