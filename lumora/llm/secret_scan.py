@@ -1,10 +1,10 @@
 """8. Secret scans: fixed patterns, and a character convolutional network over every further candidate.
 
-The patterns (assignments, access keys, long hex) always count. A candidate is any run of 16 or more of
-the characters that keys are made of, with a digit in it or not. The network reads the candidate with its
+The patterns (assignments, access keys, long hex) always count. A candidate is any run of `least` or more of
+the characters that keys are made of, with a digit in it or not, and any of `least_digit` or more with one. The network reads the candidate with its
 context, a long one in overlapping windows of which the highest probability counts: learned character vectors, one layer of convolutions, the maximum over positions, a logistic
-output. It is trained in numpy on labelled findings (by default what the patterns find, against other
-candidates of a bounded sample), its output is calibrated by a logistic fit on one part kept apart, and
+output. It is trained in numpy on labelled findings: what the patterns find, and made keys of kinds that they don't know, put
+into the surroundings of other candidates, against other candidates of a bounded sample. Its output is calibrated by a logistic fit on one part kept apart, and
 the threshold is the highest one that keeps the recall asked for on another such part.
 """
 
@@ -27,8 +27,8 @@ BEFORE, INSIDE, AFTER = 24, 40, 16
 VECTOR, REACH, FILTERS = 8, 5, 16
 #: Documents in which other candidates for training are looked for, about (findings are looked for in all), and candidates of each label, at most.
 SAMPLE_DOCS, PER_LABEL = 20_000, 1500
-#: A candidate is a run of at least so many characters; shorter ones are words of every text.
-LEAST = 16
+#: Default lengths of a candidate without, and with a digit; shorter ones are words and numbers of every text.
+LEAST, LEAST_DIGIT = 16, 10
 
 
 def _either(word: str) -> str:
@@ -63,9 +63,43 @@ def base_findings(chunk: Chunk) -> list[tuple[int, int, int]]:
     return out
 
 
-def candidates(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+def candidates(chunk: Chunk, least: int = LEAST, least_digit: int = LEAST_DIGIT) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of the runs the network looks at."""
-    return _runs(_KEYLIKE[np.minimum(chunk.cp, 128)], LEAST)
+    s, e = _runs(_KEYLIKE[np.minimum(chunk.cp, 128)], min(least, least_digit))
+    digits = np.concatenate(([0], np.cumsum((chunk.cp - np.uint32(48)) <= 9)))
+    some = (e - s >= least) | ((e - s >= least_digit) & (digits[e] > digits[s]))
+    return s[some], e[some]
+
+
+_LETTERS, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+
+
+def made_key(rng: np.random.Generator) -> str:
+    """A key of a kind that the patterns don't know."""
+    some = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    mixed, hexes = _LETTERS + _LETTERS.upper() + _DIGITS, _DIGITS + "abcdef"
+    n = int(rng.integers(20, 44))
+    kinds = (
+        lambda: some(mixed, n), lambda: some(mixed + "+/", n) + "=" * int(rng.integers(1, 3)), lambda: "-".join(some(hexes, k) for k in (8, 4, 4, 4, 12)),
+        lambda: "sk_live_" + some(mixed, 24), lambda: "ghp_" + some(mixed, 36), lambda: "AIza" + some(mixed + "-_", 35), lambda: some(_LETTERS.upper() + _DIGITS, n),
+        lambda: some(mixed, int(rng.integers(12, 18))), lambda: some(_DIGITS, 3) + "-" + some(mixed, 12) + "_" + some(mixed, 8),
+    )
+    return kinds[int(rng.integers(len(kinds)))]()
+
+
+def injected(others: np.ndarray, n: int, seed: int = 11) -> np.ndarray:
+    """Windows of n made keys in the surroundings of other candidates (windows; without any, between blanks)."""
+    rng = np.random.default_rng(seed)
+    plain = lambda codes: "".join(chr(c) if 32 <= c < 127 else " " for c in codes)
+    texts, at = [], []
+    for i in range(n):
+        x = others[i % len(others)] if len(others) else np.full(BEFORE + INSIDE + AFTER, 32)
+        before, key = plain(x[:BEFORE]), made_key(rng)
+        texts.append(before + key + plain(x[-AFTER:]))
+        at.append((len(before), len(key)))
+    chunk = Chunk(texts)
+    s = chunk.starts[:-1] + np.array([a for a, _ in at], np.int64)
+    return windows(chunk, s, s + np.array([k for _, k in at], np.int64))
 
 
 def windows(chunk: Chunk, s: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -98,6 +132,8 @@ class CharCnn:
     scale: float = 1.0  # calibration of the logit
     offset: float = 0.0
     threshold: float = 2.0  # of the calibrated probability; over 1: nothing passes
+    least: int = LEAST  # lengths of the candidates that it reads
+    least_digit: int = LEAST_DIGIT
 
     def forward(self, x: np.ndarray) -> tuple:
         v = self.vectors[x]
@@ -156,7 +192,7 @@ def train(x: np.ndarray, y: np.ndarray, recall: float = 0.98, epochs: int = 12,
     return net
 
 
-def labelled_candidates(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, per_label: int = PER_LABEL) -> tuple[np.ndarray, np.ndarray]:
+def labelled_candidates(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, per_label: int = PER_LABEL, least: int = LEAST, least_digit: int = LEAST_DIGIT) -> tuple[np.ndarray, np.ndarray]:
     """Windows and labels for training: 1 for candidates that meet the patterns' findings, from all documents; 0 for those that meet none, from about sample_docs documents drawn by a hash of doc_id."""
     every = max(1, docs.count() // sample_docs)
 
@@ -169,7 +205,7 @@ def labelled_candidates(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, per_lab
                     hit[low] += 1
                     hit[high] -= 1
                 hit = np.concatenate(([0], np.cumsum(np.cumsum(hit[:-1]) > 0)))
-                s, e = candidates(chunk)
+                s, e = candidates(chunk, least, least_digit)
                 found = hit[e] > hit[s]
                 some = found | drawn[at : at + len(keys)][np.searchsorted(chunk.starts, s, side="right") - 1]
                 at += len(keys)
@@ -183,8 +219,21 @@ def labelled_candidates(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, per_lab
     return np.array([np.frombuffer(r.x, np.int16) for r in rows], np.int16).reshape(-1, width), np.array([r.label for r in rows], np.int64)
 
 
-def fit(docs: DataFrame) -> CharCnn:
-    return train(*labelled_candidates(docs))
+def fit(docs: DataFrame, least: int = LEAST, least_digit: int = LEAST_DIGIT, made: int = PER_LABEL // 2) -> CharCnn:
+    """A network for documents: it learns from what the patterns find in all of them, from made keys, and from other candidates of a bounded sample.
+
+    A corpus without findings, or with few other candidates, trains one all the same: on made keys alone, against repeated
+    candidates, or against long words where there is none.
+    """
+    x, y = labelled_candidates(docs, least=least, least_digit=least_digit)
+    others = x[y == 0]
+    if len(others) < 10:
+        words = Chunk([f"{_LETTERS[i % 20 : i % 20 + 6] * 3} {_LETTERS[i % 11 : i % 11 + 9] * 2} and" for i in range(10)])
+        others = np.resize(others, (10, x.shape[1])) if len(others) else windows(words, *candidates(words, 16, 16))
+    x = np.concatenate((x[y == 1], injected(others, made), others))
+    net = train(x, (np.arange(len(x)) < len(x) - len(others)).astype(np.int64))
+    net.least, net.least_digit = least, least_digit
+    return net
 
 
 SPANS = "array<struct<kind:string,start:long,end:long,score:double>>"
@@ -210,7 +259,7 @@ def find_secrets(docs: DataFrame, model: CharCnn, *keep: str, out: str = "spans"
                     taken[x] += 1
                     taken[y] -= 1
                 taken = np.concatenate(([0], np.cumsum(np.cumsum(taken[:-1]) > 0)))
-                s, e = candidates(chunk)
+                s, e = candidates(chunk, sent.value.least, sent.value.least_digit)
                 free = taken[e] == taken[s]
                 s, e = s[free], e[free]
                 p = np.zeros(len(s))

@@ -291,7 +291,7 @@ def test_added_spans_by_plain_loops(spark):
     rng = np.random.default_rng(9)
     net = secret_scan.CharCnn(rng.normal(size=(130, secret_scan.VECTOR)), rng.normal(size=(secret_scan.REACH * secret_scan.VECTOR, secret_scan.FILTERS)), rng.normal(size=secret_scan.FILTERS), rng.normal(size=secret_scan.FILTERS), 0.1, 0.3, 0.2, 0.5)
     long = "".join(rng.choice(list("abcXYZ019"), 130))
-    texts = ["aaaabbbbccccdddd at the start", f"é {long} end", "short only", "key = sk_live_0123456789abcdefXYZ, then", None, ""]
+    texts = ["aaaabbbbccccdddd at the start", f"é {long} end", "short only", "key = sk_live_0123456789abcdefXYZ, then", None, "", "ab1cdefghi is ten, ab1cdefgh nine, abcdefghij has no digit"]
 
     def probability(t, s, e):
         c = [ord(x) if ord(x) < 128 else 128 for x in t]
@@ -304,8 +304,10 @@ def test_added_spans_by_plain_loops(spark):
     got = {r.doc_id: [(x.start, x.end) for x in r.spans if x.kind == secret_scan.MODEL_KIND] for r in secret_scan.find_secrets(frame(spark, texts), net).collect()}
     for i, t in enumerate(texts):
         want = []
-        for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", t or ""):
+        for m in re.finditer("[A-Za-z0-9+/_=-]+", t or ""):
             s, e = m.span()
+            if e - s < (secret_scan.LEAST_DIGIT if re.search("[0-9]", m[0]) else secret_scan.LEAST):
+                continue
             step = secret_scan.INSIDE // 2
             parts = [(s, e)] + ([(min(s + k, e - secret_scan.INSIDE), min(s + k, e - secret_scan.INSIDE) + secret_scan.INSIDE) for k in range(0, e - s - secret_scan.INSIDE + step, step)] if e - s > secret_scan.INSIDE else [])
             if max(probability(t, a, b) for a, b in parts) >= net.threshold:
@@ -313,6 +315,25 @@ def test_added_spans_by_plain_loops(spark):
         assert got[i] == want
 
 
+@pytest.mark.parametrize("corpus", ["given", "without findings"])
+def test_made_keys_that_were_held_out_are_found(spark, corpus):
+    """Keys of kinds that the patterns don't know, made by another seed and put into texts; hardly any clean text gets a span, and a corpus without findings trains as well."""
+    rows = pq.read_table(f"{SMALL}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    clean = [r for r in rows if not secret_scan.base_findings(Chunk([r["text"]]))]
+    docs = spark.createDataFrame([(r["doc_id"], r["text"]) for r in (rows if corpus == "given" else clean)], "doc_id long, text string")
+    net = secret_scan.fit(docs)
+    rng, put, clean = np.random.default_rng(77), [], clean[:400]
+    for i, r in enumerate(clean):
+        words, key = r["text"].split(" "), secret_scan.made_key(rng)
+        words.insert(len(words) // 2, key)
+        put.append((i, " ".join(words), key))
+    found = secret_scan.find_secrets(spark.createDataFrame(put, "doc_id long, text string, key string"), net, "text", "key").collect()
+    hit = [any(r.text[s.start : s.end] in r.key or r.key in r.text[s.start : s.end] for s in r.spans) for r in found]
+    assert np.mean(hit) >= 0.93
+    spans = secret_scan.find_secrets(spark.createDataFrame([(i, r["text"]) for i, r in enumerate(clean)], "doc_id long, text string"), net).collect()
+    assert np.mean([bool(r.spans) for r in spans]) < 0.01
+
+
 def test_added_tokens_of_the_vocabulary(spark):
     from tokenizers import Tokenizer
 
