@@ -170,3 +170,24 @@ def labels_over(rows: DataFrame, names: list[str], least: float = 0.40) -> DataF
     p = rows.select("id", F.posexplode("logits").alias("i", "z")).select("id", "i", (1 / (1 + F.exp(-F.col("z").cast("double")))).alias("score"))
     value = F.element_at(F.array(*map(F.lit, names)), F.col("i") + 1)
     return p.where(F.col("score") >= least).select("id", value.alias("value"), "score")
+
+
+def by_ids(assets: DataFrame, ids: list[int]) -> DataFrame:
+    """The assets (id) of a list, in its order; unknown ids are skipped, repeated ones come once, where they come first."""
+    first = {i: n for n, i in reversed(list(enumerate(ids)))}
+    order = assets.sparkSession.createDataFrame(sorted(first.items()), "id long, rank int")
+    return in_rank_order(order, assets)
+
+
+def feed(ranked: DataFrame, rows: DataFrame, state: DataFrame, ready: Column, reason: str) -> tuple[DataFrame, DataFrame]:
+    """(items, status): rows of the ranked ids in order if the condition on state's single row holds, none otherwise; status is state with degraded, and the reason for it."""
+    ok = state.select(ready.alias("_ok")).where("_ok")
+    items = in_rank_order(ranked, rows.join(F.broadcast(ok), how="cross").drop("_ok"))
+    return items, state.withColumn("degraded", ~ready).withColumn("reason", F.when(~ready, reason))
+
+
+def labelled_counts(examples: DataFrame) -> DataFrame:
+    """n_pos, n_neg, n_unlabelled of examples() and whether a probe can be fit to them."""
+    n = lambda side: F.count_if(F.col("side") == side)
+    rows = examples.agg(n("pos").alias("n_pos"), n("neg").alias("n_neg"), n("unlabelled").alias("n_unlabelled"))
+    return rows.withColumn("fits", (F.col("n_pos") > 0) & (F.col("n_neg") > 0))

@@ -8,28 +8,22 @@ from pyspark.sql import functions as F
 from lumora.functions.media import duration_bucket, orientation
 
 
-def _misses(pairs: DataFrame, active: dict[str, list[str]], name: str) -> DataFrame:
-    """id, n_missed, missed: how many active filters an asset's (name, value) pairs miss, and the last one missed."""
-    hits = [F.max(F.coalesce((F.col(name) == c) & F.col("value").isin(v), F.lit(False)).cast("int")).alias(f"h{i}") for i, (c, v) in enumerate(active.items())]
-    rows = pairs.groupBy("id").agg(*hits)
-    n = sum((1 - F.col(f"h{i}") for i in range(len(hits))), F.lit(0))
-    missed = F.coalesce(*(F.when(F.col(f"h{i}") == 0, F.lit(c)) for i, c in enumerate(active)), F.lit(None).cast("string"))
-    return rows.select("id", n.alias("n_missed"), missed.alias("missed"))
-
-
 def disjunctive(assets: DataFrame, pairs: DataFrame, active: dict[str, list[str]], name: str = "category") -> DataFrame:
     """name, value, n: distinct assets with each value, under every active filter but the one of the value's own category.
 
     pairs: id, name, value; assets: those that meet all other filters. An asset counts towards a category
-    if it misses no filter, or only that category's. Misses are maxima, so their side is aggregated before
-    its shuffle and doesn't mind repeated pairs.
+    if it misses no filter, or only that category's. Pairs are dealt by asset once, for the distinct, the misses and the join;
+    an asset's misses are maxima over its own rows.
     """
-    pairs = pairs.select("id", name, "value")
-    single = pairs.join(assets.select("id"), "id", "left_semi").repartition("id").distinct()  # dealt by asset once, for the distinct and the join
+    rows = pairs.select("id", name, "value").repartition("id").distinct().join(assets.select("id"), "id", "left_semi")
     if active:
-        scored = _misses(pairs, active, name).where("n_missed <= 1")
-        single = single.join(scored, "id").where((F.col("n_missed") == 0) | (F.col("missed") == F.col(name)))
-    return single.groupBy(name, "value").agg(F.count("*").alias("n"))
+        own = Window.partitionBy("id")
+        hits = [F.max(F.coalesce((F.col(name) == c) & F.col("value").isin(v), F.lit(False)).cast("int")).over(own) for c, v in active.items()]
+        rows = rows.select("*", *(h.alias(f"h{i}") for i, h in enumerate(hits)))
+        n = sum((1 - F.col(f"h{i}") for i in range(len(hits))), F.lit(0))
+        missed = F.coalesce(*(F.when(F.col(f"h{i}") == 0, F.lit(c)) for i, c in enumerate(active)), F.lit(None).cast("string"))
+        rows = rows.where((n == 0) | ((n == 1) & (missed == F.col(name))))
+    return rows.groupBy(name, "value").agg(F.count("*").alias("n"))
 
 
 def tag_facets(assets: DataFrame, tags: DataFrame, active: dict[str, list[str]]) -> DataFrame:

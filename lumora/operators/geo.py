@@ -222,3 +222,13 @@ def places_listed(places: DataFrame, items: DataFrame) -> DataFrame:
 def events_listed(events: DataFrame, key: str = "event") -> DataFrame:
     """Events with the latest start first, then by key."""
     return events.orderBy(F.desc("start_time"), key)
+
+
+def backfilled_events(items: DataFrame, gap: float = 21_600, eps_km: float = 2.0, least: int = 2, by: str | None = "person") -> tuple[DataFrame, DataFrame]:
+    """(events, members): an event for each cluster of events(), named by its smallest member (event, start_t, end_t, lat, lon, member_count), and its members (event, id)."""
+    by = by or "all"
+    rows = items if by in items.columns else items.withColumn(by, F.lit(0))
+    found = kept(events(rows, gap, eps_km, least, by).join(rows.select("id", "t", "lat", "lon"), "id"), "events")
+    named = found.groupBy(by, "segment", "cluster").agg(F.min("id").alias("event"), F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.count("*").alias("member_count"))
+    members = found.join(named.select(by, "segment", "cluster", "event"), [by, "segment", "cluster"]).select("event", "id")
+    return named.select("event", "start_t", "end_t", "lat", "lon", "member_count"), members

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumora.operators.cluster import people
+from lumora.operators.cluster import complete_linkage, dbscan, people
+from lumora.sources.shared import kept
 
 
 def chain(persons: DataFrame, faces: DataFrame, images: DataFrame) -> DataFrame:
@@ -48,3 +49,39 @@ def pending(faces: DataFrame, embedder: int | None) -> DataFrame:
 def listed(faces: DataFrame) -> DataFrame:
     """person, n, cover, largest first, then by person."""
     return people(faces.where("person is not null").select("id", F.col("person").alias("cluster"))).orderBy(F.desc("n"), "person")
+
+
+def of_embedder(faces: DataFrame, embedder: int) -> DataFrame:
+    """All faces of an embedder, assigned or not."""
+    return faces.where(F.col("embedder") == embedder)
+
+
+def added(faces: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(faces, people): faces with the new ones (without id) numbered after the largest id in the order of image and box, and n and cover of every person that got one."""
+    last = faces.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("last"))
+    # numbers by the counts of the images before: no window over all rows but the images' counts
+    w = Window.partitionBy("image_id").orderBy("box")
+    rows = new.withColumn("at", F.row_number().over(w))
+    n = rows.groupBy("image_id").agg(F.count("*").alias("n"))
+    before = n.select("image_id", F.coalesce(F.sum("n").over(Window.orderBy("image_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    rows = rows.join(before, "image_id").crossJoin(F.broadcast(last)).withColumn("id", F.col("last") + F.col("before") + F.col("at"))
+    out = faces.unionByName(rows.select(*faces.columns))
+    got = new.where("person is not null").select("person").distinct()
+    return out, out.join(got, "person", "left_semi").groupBy("person").agg(F.count("*").alias("n"), F.min("id").alias("cover"))
+
+
+def clustered(faces: DataFrame, vectors: DataFrame, embedder: int, eps: float, least: int, algorithm: str = "agglomerative") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(faces, people, result) of a clustering run over an embedder's pending faces, whose vectors are (id, v).
+
+    Each cluster is a new person (person, n, cover): the largest person there is, and one more than the cluster's smallest face. Noise stays
+    pending. result: faces_considered, clusters_created, faces_assigned, noise. Algorithms: agglomerative (complete linkage) or dbscan.
+    """
+    todo = pending(faces, embedder).select("id", "embedder").join(vectors.select("id", "v"), "id")
+    run = {"agglomerative": complete_linkage, "dbscan": dbscan}[algorithm]
+    found = kept(run(todo, eps, least).select("id", "cluster"), "clustered")
+    last = faces.agg(F.coalesce(F.max("person"), F.lit(-1)).alias("last"))
+    wanted = found.where("cluster >= 0").crossJoin(F.broadcast(last)).select("id", (F.col("last") + 1 + F.col("cluster")).alias("person"))
+    moved, people_now = assigned(faces, wanted)
+    of = F.when(F.col("cluster") >= 0, F.col("cluster"))
+    result = found.agg(F.count("*").alias("faces_considered"), F.count_distinct(of).alias("clusters_created"), F.count(of).alias("faces_assigned"), F.count_if(of.isNull()).alias("noise"))
+    return moved, people_now, result

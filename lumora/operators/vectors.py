@@ -260,3 +260,10 @@ def unpacked(rows: DataFrame, dimension: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(x, pa.list_(pa.float32()))], ["id", "v"])
 
     return rows.select("id", "raw").mapInArrow(run, "id long, v array<float>")
+
+
+def page(vectors: DataFrame, query: DataFrame, number: int, size: int, allowed: DataFrame | None = None) -> DataFrame:
+    """A page (from 1) of the vectors nearest to the query: the best number * size are found, the last size of them returned, with their rank."""
+    near = nearest(vectors, query, number * size, allowed)
+    rank = F.row_number().over(Window.orderBy(F.desc("similarity"), "id"))
+    return near.withColumn("rank", rank).where((F.col("rank") > (number - 1) * size) & (F.col("rank") <= number * size)).orderBy("rank")

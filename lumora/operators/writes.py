@@ -123,3 +123,22 @@ def scene_faces_replaced(old: DataFrame, found: DataFrame) -> DataFrame:
     new = found.select("video", "scene", F.posexplode("faces").alias("i", "f"))
     new = new.select("video", "scene", F.col("i").cast("long").alias("face_index"), F.col("f.box").alias("box"), F.coalesce("f.score", F.lit(0.0)).alias("score"), F.lit(0).alias("embedded"))
     return rest.unionByName(new.select(*old.columns))
+
+
+def rejected(assets: DataFrame, wanted: DataFrame, folder: str = "_rejected") -> tuple[DataFrame, DataFrame]:
+    """(assets, moves): assets (id, path, file_hash, flag_action) after wanted (id, action), and from, to of the files to move.
+
+    A rejected asset's path becomes folder/<name>. Where a file of that name is there, or an earlier one (by id) of the batch takes it, the first eight characters
+    of its hash (or else of its name) come before the extension. An asset that lies in the folder stays where it is.
+    """
+    w = wanted.select("id", F.col("action").alias("_a"))
+    rows = assets.join(w, "id", "left")
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    stem, suffix = F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^.+?(\.[^.]*)?$", 1)
+    go = (F.col("_a") == "reject") & ~F.col("path").startswith(f"{folder}/")
+    taken = assets.where(F.col("path").startswith(f"{folder}/")).select(F.col("path").alias("_to"), F.lit(True).alias("_taken")).distinct()
+    moved = rows.where(go).select("id", F.col("path").alias("from"), F.concat(F.lit(f"{folder}/"), name).alias("_to"), F.concat(F.lit(f"{folder}/"), stem, F.lit("_"), F.coalesce(F.nullif(F.substring("file_hash", 1, 8), F.lit("")), F.substring(stem, 1, 8)), suffix).alias("_other"))
+    moved = moved.join(taken, "_to", "left").withColumn("_r", F.row_number().over(Window.partitionBy("_to").orderBy("id")))
+    moves = moved.select("id", "from", F.when(F.col("_taken") | (F.col("_r") > 1), F.col("_other")).otherwise(F.col("_to")).alias("to"))
+    out = rows.join(moves.select("id", "to"), "id", "left").withColumns({"path": F.coalesce("to", "path"), "flag_action": F.coalesce("_a", "flag_action")})
+    return out.select(*assets.columns), moves

@@ -23,7 +23,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from lumora.plans import catalog, clusters, details, mutations, places, rows, runs, search, store, vectors  # noqa: F401  each registers its queries
+    from lumora.plans import catalog, chains, clusters, details, mutations, places, rows, runs, search, store, vectors  # noqa: F401  each registers its queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
