@@ -44,8 +44,8 @@ LONG = 64
 MEMBERS, MEETING, LEADS = 128, 1000, 64
 #: Different sets and shingles in a block of a component, about; two blocks' shared shingles are matrix products of so many columns.
 BLOCK_SETS, BLOCK_SHINGLES, COLUMNS = 512, 1 << 20, 4096
-#: Up to so many ids are sent to all executors; more are joined by a shuffle.
-BROADCAST_IDS = 200_000
+#: Up to so many ids, and of rows with lists so many entries (some 50 bytes each), are sent to all executors; more are joined by a shuffle.
+BROADCAST_IDS, BROADCAST_ENTRIES = 200_000, 1_000_000
 
 
 def _sets(chunk: Chunk, words: int) -> list[np.ndarray]:
@@ -234,7 +234,7 @@ def proposed(pairs: DataFrame, named: DataFrame, percent: int) -> DataFrame:
     low, high = F.least("lead", "member"), F.greatest("lead", "member")
     once = pairs.where("lead != member").groupBy(low.alias("a"), high.alias("b")).agg(F.min("lead").alias("lead"))
     once = once.select("lead", F.when(F.col("lead") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("member"))
-    once = kept(once, "once")
+    base = once = kept(once, "once")
     nodes = kept(once.select(F.col("lead").alias("node")).union(once.select("member")).distinct(), "nodes")
     names = named.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("ranges").alias("ranges"))
     names = kept(names, "ranges")
@@ -248,10 +248,16 @@ def proposed(pairs: DataFrame, named: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(keep)) for c in ("lead", "member")], ["lead", "member"])
 
     out = kept(once.mapInArrow(run, "lead long, member long"), "pairs")
-    drop(nodes, names)
+    drop(nodes, names, base)
     return out
 
 
+def _sent(goes: DataFrame) -> DataFrame:
+    """goes (doc_id, node, to: a list), for a broadcast if its rows and the entries of its lists are within bounds."""
+    n, entries = goes.agg(F.count("*"), F.sum(F.size("to"))).first()
+    return F.broadcast(goes) if n <= BROADCAST_IDS and (entries or 0) <= BROADCAST_ENTRIES else goes
+
+
 def verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, percent: int, words: int = 5) -> DataFrame:
     """The pairs (lead, member) of nodes whose sets are alike, as (a, b). names: a document (doc_id) for each node.
 
@@ -266,7 +272,7 @@ def verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, percent: int,
     parts = rows.groupBy("node").agg(F.ceil(F.count("*") / LEADS).alias("parts"))
     rows = rows.join(parts, "node").groupBy("node", F.pmod(F.xxhash64("lead", "salt"), "parts").alias("part")).agg(F.collect_list(F.struct("lead", "salt", "role")).alias("to"))
     goes = kept(names.select("node", "doc_id").join(rows, "node").select("doc_id", "node", "to"), "goes")
-    docs = docs.select("doc_id", "text").join(F.broadcast(goes) if goes.count() <= BROADCAST_IDS else goes, "doc_id")
+    docs = docs.select("doc_id", "text").join(_sent(goes), "doc_id")
 
     def sets(batches):
         for b in batches:
@@ -427,7 +433,7 @@ def _within(docs: DataFrame, marks: DataFrame, known: DataFrame, percent: int, w
 
     placed = placed.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.element_at("parts", F.col("size"))).cast("int"))
     goes = kept(placed.select(F.col("least_id").alias("doc_id"), "node", "component", F.concat(cells(0), cells(1), cells(-1)).alias("to")), "goes")
-    docs = docs.select("doc_id", "text").join(F.broadcast(goes) if goes.count() <= BROADCAST_IDS else goes, "doc_id")
+    docs = docs.select("doc_id", "text").join(_sent(goes), "doc_id")
 
     def sets(batches):
         for b in batches:

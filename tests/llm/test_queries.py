@@ -76,12 +76,13 @@ def test_large_group_of_near_copies(spark):
     assert {got[i] for i in range(30)} == {0} and {got[100 + i] for i in range(300)} == {100}
 
 
-@pytest.mark.parametrize("sets", [512, 7])
-def test_every_link_of_a_component(spark, monkeypatch, sets):
-    """Links within a component count too, however its sets are dealt to blocks."""
+@pytest.mark.parametrize(("sets", "entries"), [(512, 1_000_000), (7, 1_000_000), (7, 10)])
+def test_every_link_of_a_component(spark, monkeypatch, sets, entries):
+    """Links within a component count too, however its sets are dealt to blocks, and whether the blocks' lists are sent or joined."""
     from lumora.llm import ngram_jaccard
 
     monkeypatch.setattr(ngram_jaccard, "BLOCK_SETS", sets)
+    monkeypatch.setattr(ngram_jaccard, "BROADCAST_ENTRIES", entries)
     texts = [(100 + i, " ".join([f"s{j}" if j != i * 2 % 97 else f"edit{i}" for j in range(100 - i % 30)])) for i in range(60)]
     texts += [(7, texts[0][1]), (100, texts[0][1]), (5, "alone with nothing that is like it")]
     made = {i: frozenset(tuple(t.split(" ")[k : k + 5]) for k in range(len(t.split(" ")) - 4)) for i, t in texts}
