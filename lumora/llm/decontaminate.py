@@ -11,6 +11,8 @@ the whole document.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -119,16 +121,17 @@ def contained(docs: DataFrame, items: DataFrame, percent: int = 75, words: int =
     Words are lower-cased in A to Z. An item of fewer than words words is one shingle, its whole
     sequence; an item or document without words (null, empty, blank) is in no row. Rows that repeat give
     repeated rows; null ids are carried. Further columns of either table are not read. Items go to all
-    executors in blocks of about ITEM_CHARS characters, one pass over the documents for each block; the driver
+    executors in blocks of about ITEM_CHARS characters, each different text once, one pass over the documents for each block; the driver
     holds one block at a time.
     """
+    texts = _numbered(items)
     out = None
-    for i, n in _passes(items):
-        part = _one_pass(docs, _block(items, i, n), percent, words)
+    for i, n in _passes(texts):
+        part = _one_pass(docs, _block(texts, i, n), percent, words)
         if n > 1:  # written, so that only one pass's items are alive
             part = kept(part, "contained")
         out = part if out is None else out.union(part)
-    return out
+    return out.join(items.select("item_id", "text").join(texts, "text").select("k", "item_id"), "k").select("doc_id", "item_id", "n_shared", "n_item")
 
 
 def without_items(docs: DataFrame, items: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:
@@ -138,14 +141,13 @@ def without_items(docs: DataFrame, items: DataFrame, percent: int = 75, words: i
     Rows are judged alone: repeated rows and null ids stay or go each; an empty table gives no rows;
     further columns, whatever their names, are kept.
     """
-    for i, n in _passes(items):
-        sent, cache = docs.sparkSession.sparkContext.broadcast(_block(items, i, n)), {}
+    texts = _numbered(items)
+    for i, n in _passes(texts):
+        sent, token = docs.sparkSession.sparkContext.broadcast(_block(texts, i, n)), uuid.uuid4().hex
 
-        def clean(keys, chunk, sent=sent, cache=cache):
-            if "index" not in cache:
-                cache["index"] = ItemIndex(sent.value, words)
+        def clean(keys, chunk, sent=sent, token=token):
             keep = np.ones(chunk.docs, bool)
-            keep[[d for d, *_ in cache["index"].contained(chunk, percent)]] = False
+            keep[[d for d, *_ in _index(token, sent, words).contained(chunk, percent)]] = False
             return keep
 
         docs = filter_docs(docs, clean)
@@ -154,24 +156,40 @@ def without_items(docs: DataFrame, items: DataFrame, percent: int = 75, words: i
     return docs
 
 
-def _passes(items: DataFrame) -> list[tuple[int, int]]:
-    """(number, how many) of each pass: items are dealt to passes by a hash, about ITEM_CHARS characters each."""
-    n = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // ITEM_CHARS))
+_indexes: dict[str, ItemIndex] = {}
+
+
+def _index(token: str, sent, words: int) -> ItemIndex:
+    """A worker's index of the block sent under this name, kept for its next tasks."""
+    if token not in _indexes:
+        _indexes.clear()
+        _indexes[token] = ItemIndex(sent.value, words)
+    return _indexes[token]
+
+
+def _numbered(items: DataFrame) -> DataFrame:
+    """text, k: each different text with a number."""
+    return kept(items.where("text is not null").select("text").distinct().withColumn("k", F.monotonically_increasing_id()), "items")
+
+
+def _passes(texts: DataFrame) -> list[tuple[int, int]]:
+    """(number, how many) of each pass: texts are dealt to passes by a hash, about ITEM_CHARS characters each."""
+    n = max(1, -(-(texts.agg(F.sum(F.length("text"))).first()[0] or 0) // ITEM_CHARS))
     return [(i, n) for i in range(n)]
 
 
-def _block(items: DataFrame, i: int, n: int) -> list[tuple]:
-    return [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i).select("item_id", "text").collect()]
+def _block(texts: DataFrame, i: int, n: int) -> list[tuple]:
+    return [(r.k, r.text) for r in texts.where(F.pmod(F.xxhash64("k"), F.lit(n)) == i).select("k", "text").collect()]
 
 
 def _one_pass(docs: DataFrame, block: list, percent: int, n: int) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(block)
+    sent, token = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
     def run(batches):
-        index = ItemIndex(sent.value, n)
+        index = _index(token, sent, n)
         for keys, chunk in pieces(batches):
-            rows = [(keys[d], item, shared, size) for d, item, shared, size in index.contained(chunk, percent)]
+            rows = [(keys[d], k, shared, size) for d, k, shared, size in index.contained(chunk, percent)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "item_id", "n_shared", "n_item"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "k", "n_shared", "n_item"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, n_shared long, n_item long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k long, n_shared long, n_item long")

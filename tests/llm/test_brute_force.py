@@ -286,6 +286,19 @@ def test_recall_of_containment(spark, monkeypatch, chars):
     assert left == set(range(len(docs))) - {i for i, _ in got}
 
 
+def test_repeated_items_are_sent_once(spark, monkeypatch):
+    """However many rows a benchmark text has, each gets its rows, and a block holds the text once."""
+    monkeypatch.setattr(decontaminate, "ITEM_CHARS", 400)
+    text = " ".join(f"w{i}" for i in range(40))
+    items = spark.createDataFrame([(i, text) for i in range(300)] + [(None, text), (500, "other words that are not there at all"), (501, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x y " + text + " z"), (2, "nothing of it")], "doc_id long, text string")
+    texts = decontaminate._numbered(items)
+    assert sum(len(decontaminate._block(texts, i, n)) for i, n in decontaminate._passes(texts)) == 2
+    got = decontaminate.contained(docs, items).collect()
+    assert sorted((r.doc_id, -1 if r.item_id is None else r.item_id) for r in got) == [(1, i) for i in range(-1, 300)] and {(r.n_shared, r.n_item) for r in got} == {(36, 36)}
+    assert [r.doc_id for r in decontaminate.without_items(docs, items).collect()] == [2]
+
+
 def test_added_spans_by_plain_loops(spark):
     """The network's probability for every candidate and context, with one position at a time."""
     rng = np.random.default_rng(9)
