@@ -308,7 +308,8 @@ def _searched(pages: DataFrame, frontier: DataFrame, sphere: Sphere, k: int) ->
                     yield pa.RecordBatch.from_arrays([some.column("key").take(pa.array(none)), pa.nulls(len(none), pa.binary()), pa.nulls(len(none), pa.int64()), pa.nulls(len(none), pa.int64()), pa.array(taken[none])], names)
 
     small = pages.where("page >= 0").select("region", "page", "pivot", "radius", "least", "keys", "ids", "v", "apart")
-    return _beside(frontier.select("region", "key", "v", "floor"), small, QUERIES).mapInArrow(run, "query binary, object binary, least long, score long, n_products long")
+    # a region's pages go to a task for each REGION of its queries: neither side is sent much more often than the other
+    return _beside(frontier.select("region", "key", "v", "floor"), small, REGION).mapInArrow(run, "query binary, object binary, least long, score long, n_products long")
 
 
 def _routed(queries: DataFrame, regions: DataFrame, sphere: Sphere, first: bool) -> DataFrame:
@@ -339,7 +340,8 @@ def _routed(queries: DataFrame, regions: DataFrame, sphere: Sphere, first: bool)
                 yield pa.RecordBatch.from_arrays([take.column("key"), take.column("v"), take.column("floor"), pa.array(name[to])], names)
 
     rows = queries.withColumn("region", F.lit(0).cast("long"))
-    return _beside(rows, regions.withColumn("region", F.lit(0).cast("long")), QUERIES).mapInArrow(run, "key binary, v array<long>, floor long, region long")
+    per = max(QUERIES, regions.count())  # as for the search: all routing objects go to a task for each so many queries
+    return _beside(rows, regions.withColumn("region", F.lit(0).cast("long")), per).mapInArrow(run, "key binary, v array<long>, floor long, region long")
 
 
 def top_products(vectors: DataFrame, asked: Column, k: int = 20, region: int = REGION, page: int = PAGE) -> DataFrame:
@@ -350,8 +352,8 @@ def top_products(vectors: DataFrame, asked: Column, k: int = 20, region: int = R
     are all returned; an empty table gives none; further columns aren't read. A product beyond a long is an error.
     n_products: inner products that the query's vector took (a sum over its equal rows).
 
-    Memory: a task holds one region's pages or 65,536 objects to divide, and 1,024 queries. The routing objects of all regions
-    (one for some 8,000 vectors) are read by the tasks that route.
+    Memory: a task holds one region's pages, or a region's seeds, and the batch of queries or objects that it looks at. The routing
+    objects of all regions (one for some 8,000 vectors) are held by the tasks that route.
     """
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).select("vec_id", "v", F.coalesce(asked, F.lit(False)).alias("asked"))
     rows = rows.withColumn("key", F.unhex(F.sha2(F.concat_ws(",", F.col("v").cast("array<string>")), 256))).withColumn("row", F.monotonically_increasing_id())
