@@ -29,12 +29,12 @@ def _haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column
 
 
 class Grid:
-    """Bands of latitude, each cut into equal columns that are no wider than a band is high. Up to 3,000 km; beyond that all is one cell's neighbour."""
+    """Bands of latitude, each cut into equal columns that are no wider than a band is high."""
 
     def __init__(self, eps_km: float):
         self.eps = math.degrees(eps_km / EARTH_KM)
-        #: The diagonal of a cell stays below eps, with some room for the sphere.
-        self.side = self.eps / math.sqrt(2) * 0.98
+        #: The diagonal of a cell stays below eps, with some room for the sphere; of very large cells the way along both sides does.
+        self.side = self.eps / (math.sqrt(2) if eps_km <= 3000 else 2) * 0.98
 
     def band(self, lat: Column) -> Column:
         return F.floor((lat + 90) / self.side).cast("long")

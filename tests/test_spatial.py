@@ -68,7 +68,7 @@ def plain_clusters(lat, lon, eps_km, least):
     return label
 
 
-@pytest.mark.parametrize(("n", "eps", "least", "seed"), [(20_000, 2.0, 4, 1), (1500, 300.0, 3, 2), (800, 900.0, 6, 3), (60, 2.0, 1, 4)])
+@pytest.mark.parametrize(("n", "eps", "least", "seed"), [(20_000, 2.0, 4, 1), (1500, 300.0, 3, 2), (800, 900.0, 6, 3), (60, 2.0, 1, 4), (60, 4000.0, 12, 5)])
 def test_grid_clusters_equal_all_pairs(spark, n, eps, least, seed):
     """A segment of many spots in dense towns, along the date line and at the poles; border spots go to the first cluster."""
     rng = np.random.default_rng(seed)
@@ -81,7 +81,7 @@ def test_grid_clusters_equal_all_pairs(spark, n, eps, least, seed):
     got = {r.first: -1 if r.start is None else r.start for r in grid.gps_dbscan(spots, ["g"], eps, least).select("first", "start").collect()}
     want = plain_clusters(lat, lon, eps, least)
     wrong = [i for i in range(n) if got[i] != want[i]]
-    assert len(got) == n and not wrong and len(set(want)) > 3
+    assert len(got) == n and not wrong and (len(set(want)) > 3 or eps > 3000)
 
 
 def test_equally_large_clusters_by_their_first_member(spark):
