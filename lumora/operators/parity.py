@@ -58,3 +58,9 @@ def paired_boxes(left: DataFrame, right: DataFrame, tolerance: float = 2.0) -> D
     both = left.select(*columns, F.lit(0).alias("side")).unionByName(right.select(*columns, F.lit(1).alias("side")))
     out = each_group(both, ["id"], ["label", "x1", "y1", "x2", "y2", "side"], run, "id long, n_left long, n_right long, n_paired long, n_far long, n_alone long, max_px double")
     return out.withColumn("max_px", F.nanvl("max_px", F.lit(None).cast("double")))
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """image_id, tags: a map of category, value and source (a struct) to confidence; of rows with one key the largest confidence."""
+    one = rows.groupBy("image_id", F.struct("category", "value", "tag_source").alias("k")).agg(F.max("confidence").alias("c"))
+    return one.groupBy("image_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "c")))).alias("tags"))

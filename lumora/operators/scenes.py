@@ -28,3 +28,13 @@ def transcripts(placed: DataFrame) -> DataFrame:
 def without_scenes(videos: DataFrame, scenes: DataFrame) -> DataFrame:
     """Videos still to be cut."""
     return videos.join(scenes.select(F.col("video").alias("id")), "id", "left_anti")
+
+
+def enriched(scenes: DataFrame, tags: DataFrame, captions: DataFrame, transcripts: DataFrame, faces: DataFrame) -> DataFrame:
+    """scenes (video, scene, ...) in order with tagged, captioned, transcribed and face_count, from their children (video, scene)."""
+    key = ["video", "scene"]
+    for name, rows in (("tags", tags), ("captions", captions), ("transcripts", transcripts), ("faces", faces)):
+        scenes = scenes.join(rows.groupBy(*key).agg(F.count("*").alias(f"_{name}")), key, "left")
+    n = lambda name: F.coalesce(f"_{name}", F.lit(0))
+    out = scenes.withColumns({"tagged": n("tags") > 0, "captioned": n("captions") > 0, "transcribed": n("transcripts") > 0, "face_count": n("faces").cast("long")})
+    return out.drop("_tags", "_captions", "_transcripts", "_faces").orderBy(*key)

@@ -142,3 +142,27 @@ def rejected(assets: DataFrame, wanted: DataFrame, folder: str = "_rejected") ->
     moves = moved.select("id", "from", F.when(F.col("_taken") | (F.col("_r") > 1), F.col("_other")).otherwise(F.col("_to")).alias("to"))
     out = rows.join(moves.select("id", "to"), "id", "left").withColumns({"path": F.coalesce("to", "path"), "flag_action": F.coalesce("_a", "flag_action")})
     return out.select(*assets.columns), moves
+
+
+def upsert_given(old: DataFrame, new: DataFrame, key: list[str], given: list[str]) -> DataFrame:
+    """Rows of old take new's given columns, nulls too, where the keys (not null) are equal; new keys come in, with nulls in the columns that new lacks. One new row a key: the first by its values."""
+    one = first_of(new.where(" and ".join(f"{k} is not null" for k in key)), key, [F.col(c) for c in given])
+    n = one.select(*key, *(F.col(c).alias(f"_{c}") for c in given), F.lit(True).alias("_new"))
+    there = old.join(n, key, "left").select(*(F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in given else F.col(c) for c in old.columns))
+    kinds = dict(old.dtypes)
+    fresh = one.join(old.select(*key), key, "left_anti").select(*(F.col(c).cast(kinds[c]) if c in (*key, *given) else F.lit(None).cast(kinds[c]).alias(c) for c in old.columns))
+    return there.unionByName(fresh)
+
+
+def values_added(values: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(values, answer): values (id, set_name, value) with the new ones (set_name, value), and each asked pair with its id, created or there already.
+
+    New ids follow the largest one by set and value; they are numbered by one window over the new pairs, which a user types.
+    """
+    asked = new.select("set_name", "value").distinct()
+    fresh = asked.join(values.select("set_name", "value"), ["set_name", "value"], "left_anti")
+    last = values.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
+    made = fresh.crossJoin(F.broadcast(last)).select((F.col("last") + F.row_number().over(Window.orderBy("set_name", "value"))).alias("id"), "set_name", "value")
+    out = values.select("id", "set_name", "value").unionByName(made)
+    answer = asked.join(out, ["set_name", "value"]).join(made.select("id", F.lit(True).alias("_c")), "id", "left").select("set_name", "value", "id", F.coalesce("_c", F.lit(False)).alias("created"))
+    return out, answer

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumora.operators import details, geo, people, vectors, writes
+from lumora.operators import details, geo, parity, people, scenes, vectors, writes
 from lumora.plans.registry import register
 from lumora.plans.store import _FACES, _faces
 from lumora.plans.vectors import _CLUSTERS, _SEG
+from lumora.sources import files
 from lumora.sources.catalog import Catalog, cte
 
 _UNIT = "u AS (SELECT f.id, f.embedder, v.v, sqrt(list_inner_product(v.v, v.v)) AS n FROM faces f JOIN vectors v USING (id) WHERE f.person IS NULL AND f.embedder = 0)"
@@ -101,3 +102,47 @@ def vector_page(spark, d):
 def labelled_counts(spark, d):
     v = Catalog(spark, d).vectors
     return details.labelled_counts(details.examples(v, v.where("id % 5 = 0"), v.where("id % 3 = 0")))
+
+
+@register("images_upserted", cte("images") + "SELECT id, person, CASE WHEN id % 3 = 0 THEN NULL ELSE filesize END AS filesize FROM images WHERE id % 2 = 0 UNION ALL SELECT id, NULL, CASE WHEN id % 3 = 0 THEN NULL ELSE filesize END FROM images WHERE id % 2 = 1")
+def images_upserted(spark, d):
+    """Images by key: the given column is overwritten, with nulls too, the others stay; new ones come in."""
+    i = Catalog(spark, d).images.select("id", "person", "filesize")
+    new = i.select("id", F.when(F.col("id") % 3 != 0, F.col("filesize")).alias("filesize"))
+    return writes.upsert_given(i.where("id % 2 = 0").withColumn("filesize", F.lit(-1.0).cast(dict(i.dtypes)["filesize"])), new, ["id"], ["filesize"])
+
+
+@register("values_added", "WITH v AS (SELECT n_nationkey + 1 AS id, 'r' || n_regionkey AS set_name, n_name AS value FROM nation WHERE n_nationkey % 2 = 0), a AS (SELECT 'r' || n_regionkey AS set_name, n_name AS value FROM nation), f AS (SELECT * FROM a EXCEPT SELECT set_name, value FROM v) SELECT set_name, value, id, false AS created FROM v UNION ALL SELECT set_name, value, (SELECT max(id) FROM v) + row_number() OVER (ORDER BY set_name, value), true FROM f")
+def values_added(spark, d):
+    """A vocabulary's values asked for: those that are there answer with their id."""
+    n = Catalog(spark, d).raw("nation").select((F.col("n_nationkey") + 1).cast("long").alias("id"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("set_name"), F.col("n_name").alias("value"))
+    return writes.values_added(n.where("id % 2 = 1"), n)[1]
+
+
+@register("scenes_enriched", cte("scenes", more="s AS (SELECT video, scene FROM scenes)") + "SELECT video, scene, lo, hi, scene % 2 = 0 AS tagged, video % 3 = 0 AS captioned, video % 5 <> 0 AS transcribed, CASE WHEN scene % 3 = 1 THEN video % 4 ELSE 0 END AS face_count FROM scenes")
+def scenes_enriched(spark, d):
+    s = Catalog(spark, d).scenes
+    faces = s.where("scene % 3 = 1 and video % 4 > 0").select("video", "scene", F.explode(F.sequence(F.lit(1), F.col("video") % 4)).alias("face"))
+    return scenes.enriched(s, s.where("scene % 2 = 0"), s.where("video % 3 = 0"), s.where("video % 5 != 0"), faces)
+
+
+@register("tags_keyed", cte("tags") + "SELECT image_id, count(*) AS n, round(max(confidence) FILTER (category = 'returnflag' AND value = 'R' AND tag_source = 's1'), 6) AS r FROM tags GROUP BY image_id")
+def tags_keyed(spark, d):
+    """Each image's tags as a map, and one of its entries."""
+    tags = parity.keyed(Catalog(spark, d).tag_rows)
+    key = F.struct(F.lit("returnflag").alias("category"), F.lit("R").alias("value"), F.lit("s1").alias("tag_source"))
+    return tags.select("image_id", F.size("tags").cast("long").alias("n"), F.round(F.try_element_at("tags", key), 6).alias("r"))
+
+
+_TOPS = "p AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'downloads/a' WHEN 1 THEN 'Jo Doe/x/y' WHEN 2 THEN 'cache/z' WHEN 3 THEN 'Jo Doe' END AS folder, ['jpg', 'MP4', 'txt', 'xyz'][page_id % 4 + 1] AS ext FROM pages)"
+
+
+@register("relocation_plan", f"WITH {_TOPS}, k AS (SELECT page_id, folder, lower(ext) AS ext, CASE ext WHEN 'jpg' THEN 'image' WHEN 'MP4' THEN 'video' WHEN 'txt' THEN 'junk' ELSE 'other' END AS kind FROM p) SELECT page_id AS id, kind, CASE WHEN folder LIKE 'Jo%' THEN 'Jo Doe' ELSE '_unsorted' END AS bucket, CASE WHEN kind IN ('image', 'video') THEN CASE WHEN folder LIKE 'Jo%' THEN 'Jo_Doe' ELSE '_unsorted' END END AS person_slug FROM k WHERE folder IS NULL AND kind <> 'other' AND page_id % 100 <> 4 OR folder NOT LIKE 'cache%'")
+def relocation_plan(spark, d):
+    """Files below a root sorted by their top folder: generic ones and stray files are unsorted, skipped ones have no row."""
+    i = F.col("page_id")
+    folder = F.when(i % 6 == 0, "downloads/a/").when(i % 6 == 1, "Jo Doe/x/y/").when(i % 6 == 2, "cache/z/").when(i % 6 == 3, "Jo Doe/").otherwise("")
+    name = F.when((i % 6 > 3) & (i % 100 == 4), "keep.jpg").otherwise(F.concat(F.lit("f"), i.cast("string"), F.lit("."), F.element_at(F.array(*map(F.lit, ("jpg", "MP4", "txt", "xyz"))), (i % 4 + 1).cast("int"))))
+    rows = Catalog(spark, d).raw("pages").select(i.alias("id"), F.concat(F.lit("/m/content/"), folder, name).alias("path"))
+    plan = files.relocation_plan(rows.select("path"), "/content/", generic=("downloads",), skip=("cache",), keep=("keep.jpg",))
+    return rows.join(plan, "path").select("id", "kind", "bucket", "person_slug")

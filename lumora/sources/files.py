@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lumora.functions.media import extension, file_kind, parent_folder, probed, sprite_count, sprite_cues, vtt_time
+from lumora.functions.media import extension, file_kind, parent_folder, probed, slug, sprite_count, sprite_cues, vtt_time
 from lumora.operators.writes import first_of
 
 
@@ -129,3 +129,17 @@ def integer_stems(scanned: DataFrame) -> DataFrame:
     """id, path of files whose name without extension is a whole number, by id."""
     stem = F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1)
     return scanned.select(F.when(stem.rlike(r"^\d+$"), stem.try_cast("long")).alias("id"), "path").where("id is not null").orderBy("id")
+
+
+def relocation_plan(scanned: DataFrame, root: str, generic: tuple[str, ...] = (), skip: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
+    """path, kind, extension, bucket, person_slug of the files (path) below root: the bucket is the top folder, _unsorted for generic ones and stray files.
+
+    Junk and other files have no slug, stray ones of other kinds no row, nor do skipped folders and the names kept at the root.
+    """
+    parts = F.split(F.expr(f"substring(path, instr(path, '{root}') + {len(root)})"), "/")
+    rows = scanned.withColumns({"_p": F.filter(parts, lambda x: x != ""), "kind": file_kind(F.col("path")), "extension": extension(F.col("path"))})
+    top, stray = F.col("_p")[0], F.size("_p") == 1
+    loose = stray | top.isin(*generic)
+    rows = rows.where(F.when(stray, ~top.isin(*keep) & (F.col("kind") != "other")).otherwise(~top.isin(*skip)))
+    moved = F.col("kind").isin("image", "video")
+    return rows.select("path", "kind", "extension", F.when(loose, "_unsorted").otherwise(top).alias("bucket"), F.when(moved, F.when(loose, "_unsorted").otherwise(slug(top))).alias("person_slug"))
