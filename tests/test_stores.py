@@ -48,7 +48,7 @@ def test_all_lists_give_the_exact_result_and_few_read_their_files(spark, tmp_pat
     for q in (i for i in range(20) if i != 5):
         assert got[got["query"] == q].sort_values("rank").id.tolist() == np.lexsort((np.arange(300), -np.round(u @ u[q], 6)))[:5].tolist()
     plan = store.search(vectors.where("id = 7"), 5, probes=2)._jdf.queryExecution().executedPlan().toString()
-    scans = [line for line in plan.split("\n") if "FileScan" in line and ("/s/codes" in line or "/s/whole" in line)]
+    scans = [line for line in plan.split("\n") if "FileScan" in line and ("code:binary" in line or "v:array<float>" in line)]
     assert scans and all("PartitionFilters: [list#" in line and " IN (" in line.split("PartitionFilters")[1][:60] for line in scans), scans
 
 
