@@ -89,6 +89,8 @@ class VectorStore:
                 yield pa.RecordBatch.from_arrays([b.column("id").take(keep), pa.array([r.tobytes() for r in code], pa.binary()), pa.array(to.astype(np.int32)), b.column("v").take(keep).cast(pa.list_(pa.float32()))], ["id", "code", "list", "v"])
 
         rows = kept(new.select("id", "v").mapInArrow(coded, "id long, code binary, list int, v array<float>").hint("rebalance", "list").sortWithinPartitions("list", "id"), "coded")
+        if rows.isEmpty():
+            return
         self.whole.append(rows.select("id", "v", "list"), by="list")
         self.codes.append(rows.select("id", "code", "list"), by="list")
 

@@ -1,5 +1,7 @@
 """The vector store against exact search, and matrix files."""
 
+import re
+
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
@@ -49,7 +51,8 @@ def test_all_lists_give_the_exact_result_and_few_read_their_files(spark, tmp_pat
         assert got[got["query"] == q].sort_values("rank").id.tolist() == np.lexsort((np.arange(300), -np.round(u @ u[q], 6)))[:5].tolist()
     plan = store.search(vectors.where("id = 7"), 5, probes=2)._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.split("\n") if "FileScan" in line and ("code:binary" in line or "v:array<float>" in line)]
-    assert scans and all("PartitionFilters: [list#" in line and " IN (" in line.split("PartitionFilters")[1][:60] for line in scans), scans
+    wrong = [line[line.index("PartitionFilters") :] for line in scans if not re.search(r"PartitionFilters: \[.*list#\d+ IN \(", line)]
+    assert scans and not wrong
 
 
 def test_matrix_of_a_given_table_in_ranges(spark, tmp_path):
