@@ -99,8 +99,8 @@ def events(items: DataFrame, gap: float = 21_600, eps_km: float = 2.0, least: in
     w = Window.partitionBy(by, "segment")
     clusters = clusters.withColumn("cluster", (F.row_number().over(w.orderBy("start")) - 1).cast("long")).withColumn("r", F.row_number().over(w.orderBy(F.desc("n"), "first")))
     mains = clusters.where("r = 1").select(by, "segment", F.col("cluster").alias("main"))
-    named = found.join(clusters.select(by, "segment", "start", "cluster"), [by, "segment", "start"]).select(by, "segment", "lat", "lon", "cluster")
-    out = seg.join(named, [by, "segment", "lat", "lon"], "left").join(mains, [by, "segment"], "left")
+    named = found.join(clusters.select(by, "segment", "start", "cluster").hint("merge"), [by, "segment", "start"]).select(by, "segment", "lat", "lon", "cluster")
+    out = seg.join(named.hint("merge"), [by, "segment", "lat", "lon"], "left").join(mains.hint("merge"), [by, "segment"], "left")
     return out.select("id", by, "segment", F.coalesce("cluster", "main", F.lit(0).cast("long")).alias("cluster"))
 
 
@@ -228,7 +228,7 @@ def backfilled_events(items: DataFrame, gap: float = 21_600, eps_km: float = 2.0
     """(events, members): an event for each cluster of events(), named by its smallest member (event, start_t, end_t, lat, lon, member_count), and its members (event, id)."""
     by = by or "all"
     rows = items if by in items.columns else items.withColumn(by, F.lit(0))
-    found = kept(events(rows, gap, eps_km, least, by).join(rows.select("id", "t", "lat", "lon"), "id"), "events")
+    found = kept(events(rows, gap, eps_km, least, by).join(rows.select("id", "t", "lat", "lon").hint("merge"), "id"), "events")
     named = found.groupBy(by, "segment", "cluster").agg(F.min("id").alias("event"), F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.count("*").alias("member_count"))
-    members = found.join(named.select(by, "segment", "cluster", "event"), [by, "segment", "cluster"]).select("event", "id")
+    members = found.join(named.select(by, "segment", "cluster", "event").hint("merge"), [by, "segment", "cluster"]).select("event", "id")
     return named.select("event", "start_t", "end_t", "lat", "lon", "member_count"), members

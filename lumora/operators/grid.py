@@ -91,6 +91,7 @@ def gps_dbscan(spots: DataFrame, by: list[str], eps_km: float, least: int) -> Da
 
     Neighbours count as items, a spot's own included. A border spot goes to the first cluster that has a core spot within eps.
     Latitudes are within 90 degrees, longitudes any. No group, and no cell with many spots, meets in one task.
+    All tables here grow with the spots, so none goes whole through the driver: their joins are merges, however small a file looks.
     """
     grid = Grid(eps_km)
     band = grid.band(F.col("lat"))
@@ -98,7 +99,7 @@ def gps_dbscan(spots: DataFrame, by: list[str], eps_km: float, least: int) -> Da
     cell = [*by, "b", "c"]
     counts = rows.groupBy(*cell).agg(F.sum("n").alias("cell_n"), F.count("*").alias("cell_spots"))
     counts = kept(counts.withColumn("cell", F.monotonically_increasing_id()), "cells")
-    rows = rows.join(counts, cell)
+    rows = rows.join(counts.hint("merge"), cell)
     near = _haversine(F.col("lat"), F.col("lon"), F.col("q_lat"), F.col("q_lon")) <= eps_km
     around = F.explode(grid.around(F.col("q_lat"), F.col("q_lat"), F.col("q_lon"), F.col("q_lon"))).alias("at")
     sparse = rows.where(F.col("cell_n") < least)
@@ -106,11 +107,11 @@ def gps_dbscan(spots: DataFrame, by: list[str], eps_km: float, least: int) -> Da
     def beside(few: DataFrame, others: DataFrame) -> DataFrame:
         """Pairs within eps of spots of sparse cells (q_...) and others."""
         q = few.select(*by, F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon")).select("*", around).select(*by, "q_lat", "q_lon", F.col("at.b").alias("b"), F.col("at.c").alias("c"))
-        return others.join(q, cell).where(near)
+        return others.join(q.hint("merge"), cell).where(near)
 
     spot = [*by, F.col("q_lat").alias("lat"), F.col("q_lon").alias("lon")]
     enough = beside(sparse, rows).groupBy(*by, "q_lat", "q_lon").agg(F.sum("n").alias("near_n")).where(F.col("near_n") >= least).select(*spot, F.lit(True).alias("core"))
-    rows = kept(rows.join(enough, [*by, "lat", "lon"], "left").withColumn("core", (F.col("cell_n") >= least) | F.coalesce("core", F.lit(False))), "cores")
+    rows = kept(rows.join(enough.hint("merge"), [*by, "lat", "lon"], "left").withColumn("core", (F.col("cell_n") >= least) | F.coalesce("core", F.lit(False))), "cores")
     core = rows.where("core")
     chunk = F.pmod(F.xxhash64("lat", "lon"), F.ceil(F.col("cell_spots") / CHUNK).cast("long"))
     chunks = core.select(*cell, "cell", "lat", "lon", chunk.alias("k")).groupBy(*cell, "cell", "k").agg(F.collect_list("lat").alias("lats"), F.collect_list("lon").alias("lons"))
@@ -118,13 +119,13 @@ def gps_dbscan(spots: DataFrame, by: list[str], eps_km: float, least: int) -> Da
     box = grid.around(F.array_min("lats"), F.array_max("lats"), F.array_min("lons"), F.array_max("lons"))
     left = chunks.select(*by, F.col("cell").alias("a"), F.col("lats").alias("lat_a"), F.col("lons").alias("lon_a"), F.explode(box).alias("at")).select("*", "at.b", "at.c").drop("at")
     right = chunks.select(*cell, F.col("cell").alias("b_"), F.col("lats").alias("lat_b"), F.col("lons").alias("lon_b"))
-    pairs = left.join(right, cell).where("a < b_").select("a", F.col("b_").alias("b"), "lat_a", "lon_a", "lat_b", "lon_b")
+    pairs = left.join(right.hint("merge"), cell).where("a < b_").select("a", F.col("b_").alias("b"), "lat_a", "lon_a", "lat_b", "lon_b")
     nodes = chunks.select(F.col("cell").alias("id")).distinct()
     named = components(nodes, _touching(pairs, eps_km))
-    parts = core.join(named.select(F.col("id").alias("cell"), F.col("component").alias("part")), "cell")
+    parts = core.join(named.select(F.col("id").alias("cell"), F.col("component").alias("part")).hint("merge"), "cell")
     starts = parts.groupBy("part").agg(F.min("first").alias("start"))
-    parts = parts.join(starts, "part").select(*cell, "lat", "lon", "start")
+    parts = parts.join(starts.hint("merge"), "part").select(*cell, "lat", "lon", "start")
     border = beside(rows.where("not core"), parts).groupBy(*by, "q_lat", "q_lon").agg(F.min("start").alias("start")).select(*spot, "start")
     named = parts.select(*by, "lat", "lon", "start").unionByName(border)
-    return rows.select(*spots.columns).join(named, [*by, "lat", "lon"], "left")
+    return rows.select(*spots.columns).join(named.hint("merge"), [*by, "lat", "lon"], "left")
 

@@ -91,3 +91,13 @@ def test_equally_large_clusters_by_their_first_member(spark):
     got = {r.id: r.cluster for r in geo.events(items, gap=100, eps_km=1.2, least=3).collect()}
     assert got[1] == got[5] == got[6] and got[2] == got[3] == got[4] and got[1] != got[2]
     assert got[2] == 0 and got[7] == got[8] == got[1] == 1
+
+
+def test_events_are_merged_not_broadcast(spark):
+    """Spots, cells and events grow with the items: none goes whole through the driver, however small its file."""
+    items = spark.createDataFrame([(i, i % 3, float(i * 900), 48.0 + i % 5 * 2, 11.0) for i in range(60)], "id long, person int, t double, lat double, lon double")
+    some = geo.events(items, 21_600, 500.0, 2)
+    events, members = geo.backfilled_events(items, 21_600, 500.0, 2)
+    for df in (some, members):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert some.count() == members.count() == 60 and events.count() >= 3
