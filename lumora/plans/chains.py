@@ -89,7 +89,7 @@ def events_backfilled(spark, d):
     """Events of time and place with their members, as they would be written."""
     events, members = geo.backfilled_events(Catalog(spark, d).items, gap=21_600, eps_km=500.0, least=2)
     n = members.groupBy("event").agg(F.count("*").alias("member_count"))
-    return events.drop("member_count").withColumns({"lat": F.round("lat", 6), "lon": F.round("lon", 6)}).join(n, "event")
+    return events.drop("member_count").withColumns({"lat": F.round("lat", 6), "lon": F.round("lon", 6)}).join(n.hint("merge"), "event")
 
 
 @register("vector_page", cte("vectors") + "SELECT id, round(s, 6) AS similarity, row_number() OVER (ORDER BY round(s, 6) DESC, id) AS rank FROM (SELECT a.id, list_inner_product(a.v, q.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(q.v, q.v))) AS s FROM vectors a, (SELECT v FROM vectors WHERE id = 7) q) QUALIFY rank BETWEEN 21 AND 30")
