@@ -139,10 +139,10 @@ def _scores(c):
     return vectors.scored(c.vectors, vectors.centroid(c.vectors.where("label = 0")))
 
 
-@register("centroid_apply", cte("vectors", "tags", more=_POS) + "SELECT id AS image_id, 'brand' AS category, 'Brand#1' AS value, 's1' AS tag_source, NULL::DOUBLE AS confidence FROM s WHERE score > 0.05 AND id NOT IN (SELECT image_id FROM tags WHERE category = 'brand' AND value = 'Brand#1' AND tag_source = 's1')")
+@register("centroid_apply", cte("vectors", "tags", more=_POS) + "SELECT id AS image_id, 'brand' AS category, 'Brand#1' AS value, 's1' AS tag_source, score AS confidence FROM s WHERE score > 0.05 AND id NOT IN (SELECT image_id FROM tags WHERE category = 'brand' AND value = 'Brand#1' AND tag_source = 's1')")
 def centroid_apply(spark, d):
     c = Catalog(spark, d)
-    return imports.applied(c.tags, _scores(c), "brand", "Brand#1", "s1", 0.05)
+    return imports.applied(c.tags, _scores(c), "brand", "Brand#1", "s1", 0.05, confidence=F.col("score"))
 
 
 @register("preference_preview", cte("vectors", more=_POS) + "SELECT id, score FROM s WHERE score >= 0.1 AND (SELECT count(*) FROM embeddings) >= 400 ORDER BY score DESC, id LIMIT 20")
