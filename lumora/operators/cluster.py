@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from lumora.operators.graph import components
 from lumora.sources.shared import drop, kept
 
-#: Vectors in a block: two blocks' distances are one matrix product.
-BLOCK = 1024
+#: Vectors of a strip: two strips' distances are one matrix product. A block has as many at least and WIDE at most, and is about a PARTS-th of its
+#: by's vectors: what is shuffled is a block for each one that it meets, so wide blocks ship less, and the smallest still keep all tasks busy.
+BLOCK, WIDE, PARTS = 1024, 8192, 16
 #: Vectors of a connected part that one task links alone; its distances take 8 bytes a pair.
 PART = 2048
 #: Pivots for each by, the vectors that they are chosen from, and those of all by: beyond that blocks have no pivots, and all of one by are compared.
@@ -80,16 +81,19 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
 
-def _blocks(vectors: DataFrame, by: str, pivots: Pivots | None = None, block: int = BLOCK) -> DataFrame:
+def _blocks(vectors: DataFrame, by: str, pivots: Pivots | None = None, block: int | None = None) -> DataFrame:
     """by, block, ids, m: the unit vectors of each block as one matrix; pivot and the least and largest angle to it (lo, hi).
 
-    A pivot's vectors are dealt to blocks by their angle to it, by the counts of BINS bins; a bin of more than a block is dealt by hash.
+    A pivot's vectors are dealt to blocks by their angle to it, by the counts of BINS bins; a bin of more than a block is dealt by hash. A block's size is
+    the given one, else by the number of vectors.
     """
     placed = kept((pivots or Pivots(vectors, by)).placed(vectors), "placed")
     rows = placed.withColumn("bin", F.floor(F.col("angle") / math.pi * BINS).cast("int"))
     bins = rows.groupBy(by, "pivot", "bin").agg(F.count("*").alias("n"))
+    share = F.ceil(F.sum("n").over(Window.partitionBy(by)) / PARTS)
+    bins = bins.withColumn("block", F.lit(block) if block else F.greatest(F.lit(BLOCK), F.least(F.lit(WIDE), share)))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(by, "pivot").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bins = bins.select(by, "pivot", "bin", F.floor(before / block).alias("shell"), F.ceil(F.col("n") / block).alias("salts"))
+    bins = bins.select(by, "pivot", "bin", F.floor(before / F.col("block")).alias("shell"), F.ceil(F.col("n") / F.col("block")).alias("salts"))
     rows = rows.join(bins, [by, "pivot", "bin"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")))
     kind = f"{by} {dict(vectors.dtypes)[by]}"
 
@@ -135,25 +139,35 @@ def compared_share(vectors: DataFrame, by: str, eps: float, block: int = BLOCK)
     return share
 
 
-def _near(row: dict, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    a, b = np.array(row["a_ids"]), np.array(row["b_ids"])
-    x, y = np.frombuffer(row["a_m"]).reshape(len(a), -1), np.frombuffer(row["b_m"]).reshape(len(b), -1)
-    i, j = np.nonzero(1 - x @ y.T <= eps + 1e-12)
-    return a, b, i, j
+def _rows(batches):
+    """Pairs of blocks one by one, so that one pair's matrices are in memory beside the batch."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
+def _near(row: dict, eps: float):
+    """Strip by strip: the places in both blocks of the vectors within eps, and their distances."""
+    x, y = (np.frombuffer(row[f"{s}_m"]).reshape(len(row[f"{s}_ids"]), -1) for s in "ab")
+    for s in range(0, len(x), BLOCK):
+        for t in range(0, len(y), BLOCK):
+            d = 1 - x[s : s + BLOCK] @ y[t : t + BLOCK].T
+            i, j = np.nonzero(d <= eps + 1e-12)
+            yield i + s, j + t, d[i, j]
 
 
 def neighbour_counts(blocks: DataFrame, by: str, pivots: Pivots, eps: float) -> DataFrame:
     """id, n: vectors within eps, itself too. Each pair of blocks gives one count for each of its ids."""
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                a, b, i, j = _near(row, eps)
-                ids, n = [a], [np.bincount(i, minlength=len(a))]
-                if row["p"] != row["q"]:
-                    ids.append(b)
-                    n.append(np.bincount(j, minlength=len(b)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(n))], ["id", "n"])
+        for row in _rows(batches):
+            a, b = np.array(row["a_ids"]), np.array(row["b_ids"])
+            n, m = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+            for i, j, _ in _near(row, eps):
+                n += np.bincount(i, minlength=len(a))
+                m += np.bincount(j, minlength=len(b))
+            ids, n = ([a], [n]) if row["p"] == row["q"] else ([a, b], [n, m])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(n))], ["id", "n"])
 
     return _pairs_of_blocks(blocks, by, pivots, eps).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
@@ -162,27 +176,30 @@ def spanning_edges(blocks: DataFrame, by: str, pivots: Pivots, eps: float) -> Da
     """a, b: edges within eps that connect what is connected, at most as many for a pair of blocks as it has ids."""
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                a, b, i, j = _near(row, eps)
-                x, y = a[i], b[j]
-                keep = x < y if row["p"] == row["q"] else np.ones(len(x), bool)
-                parent: dict[int, int] = {}
-
-                def root(v, parent=parent):
-                    while parent.setdefault(v, v) != v:
-                        parent[v] = parent[parent[v]]
-                        v = parent[v]
-                    return v
-
-                out = []
-                for u, v in zip(x[keep].tolist(), y[keep].tolist(), strict=True):
+        for row in _rows(batches):
+            a, b = np.array(row["a_ids"]), np.array(row["b_ids"])
+            ids, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+            at, parent = (place[: len(a)], place[len(a) :]), np.arange(len(ids))
+
+            def root(v, parent=parent):
+                while parent[v] != v:
+                    parent[v] = parent[parent[v]]
+                    v = parent[v]
+                return v
+
+            out = []
+            for i, j, _ in _near(row, eps):
+                while (parent[parent] != parent).any():
+                    parent[:] = parent[parent]
+                x, y = at[0][i], at[1][j]
+                new = parent[x] != parent[y]
+                for u, v in zip(x[new].tolist(), y[new].tolist(), strict=True):
                     ru, rv = root(u), root(v)
                     if ru != rv:
                         parent[max(ru, rv)] = min(ru, rv)
-                        out.append((u, v))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+                        out.append((ids[u], ids[v]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
     return _pairs_of_blocks(blocks, by, pivots, eps).mapInArrow(run, "a long, b long")
 
@@ -204,15 +221,13 @@ def dbscan(vectors: DataFrame, eps: float, least: int, by: str = "embedder") ->
     named = kept(groups, "groups")
 
     def touch(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                a, b, i, j = _near(row, eps)
-                if len(i):
-                    c = np.array(row["clusters"])[j]
-                    best = np.full(len(a), np.iinfo(np.int64).max)
-                    np.minimum.at(best, i, c)
-                    on = best < np.iinfo(np.int64).max
-                    yield pa.RecordBatch.from_arrays([pa.array(a[on]), pa.array(best[on])], ["id", "cluster"])
+        for row in _rows(batches):
+            a, c = np.array(row["a_ids"]), np.array(row["clusters"])
+            best = np.full(len(a), np.iinfo(np.int64).max)
+            for i, j, _ in _near(row, eps):
+                np.minimum.at(best, i, c[j])
+            on = best < np.iinfo(np.int64).max
+            yield pa.RecordBatch.from_arrays([pa.array(a[on]), pa.array(best[on])], ["id", "cluster"])
 
     with_names = core_blocks.select(by, F.col("block").alias("q"), F.posexplode("ids").alias("pos", "id")).join(named, "id").groupBy(by, "q").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "component"))), lambda s: s["component"]).alias("clusters"))
     b = core_blocks.join(with_names.withColumnRenamed("q", "block"), [by, "block"])
@@ -256,117 +271,64 @@ def _complete(x: np.ndarray, cut: float) -> np.ndarray:
     return out
 
 
-def _linkage_blocks(rows: DataFrame) -> DataFrame:
-    """component, block, blocks (of the component), clusters, starts, sizes, m: vectors side by side by cluster; centre and hi, the largest angle to it.
+def _linkage_edges(blocks: DataFrame, by: str, pivots: Pivots, cut: float) -> DataFrame:
+    """a, b (a < b), d: the pairs of vectors within cut."""
 
-    A cluster lies whole in one block, unless it has more vectors than a block: then it is spread. A component's clusters are dealt to blocks
-    by the pivot of their first vector, so that blocks are narrow and few pairs of them have to meet.
-    """
-    sizes = rows.groupBy("component", "cluster").agg(F.count("*").alias("size"), F.min_by("pivot", "id").alias("pivot"))
-    pieces = F.ceil(F.col("size") / BLOCK)
-    parts = sizes.groupBy("component", "pivot").agg(F.ceil(F.sum("size") / BLOCK).alias("k"))
-    parts = parts.select("component", "pivot", "k", F.coalesce(F.sum("k").over(Window.partitionBy("component").orderBy("pivot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    key = F.xxhash64("cluster", F.when(pieces > 1, F.pmod(F.xxhash64("id"), pieces)))
-    dealt = rows.drop("pivot").join(sizes, ["component", "cluster"]).join(parts, ["component", "pivot"]).select("component", "cluster", "size", "v", (F.col("first") + F.pmod(key, F.col("k"))).cast("int").alias("block"))
+    def run(batches):
+        for row in _rows(batches):
+            ids, others = np.array(row["a_ids"]), np.array(row["b_ids"])
+            for i, j, d in _near(row, cut):
+                x, y = ids[i], others[j]
+                keep = x < y if row["p"] == row["q"] else np.ones(len(x), bool)
+                if keep.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[keep]), pa.array(np.maximum(x, y)[keep]), pa.array(d[keep])], ["a", "b", "d"])
 
-    def packed(t: pa.Table) -> pa.Table:
-        t = t.sort_by("cluster")
-        names, starts = np.unique(t.column("cluster").to_numpy(), return_index=True)
-        size = t.column("size").to_numpy()[starts]
-        x = np.array(t.column("v").to_pylist(), float)
-        centre = _unit(x.sum(axis=0, keepdims=True))[0]
-        hi = float(np.arccos(np.clip(x @ centre, -1, 1)).max()) if (x != 0).any(axis=1).all() and centre.any() else math.pi
-        return pa.table({
-            "component": t.column("component")[:1], "block": t.column("block")[:1], "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "hi": [hi],
-            "clusters": pa.array([names.tolist()], pa.list_(pa.int64())), "starts": pa.array([starts.tolist()], pa.list_(pa.int64())),
-            "sizes": pa.array([size.tolist()], pa.list_(pa.int64())), "n": pa.array([len(x)], pa.int64()), "m": pa.array([x.tobytes()], pa.binary()),
-        })
-
-    return dealt.groupBy("component", "block").applyInArrow(packed, "component long, block int, centre array<double>, hi double, clusters array<long>, starts array<long>, sizes array<long>, n long, m binary")
-
-
-def _order_of_ties(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A number for each pair of names, the same both ways round: among equal distances the least goes first."""
-    lo, hi = np.minimum(a, b).astype(np.uint64), np.maximum(a, b).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        h = (lo * np.uint64(0x9E3779B97F4A7C15) ^ hi) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h ^ (h >> np.uint64(31))).view(np.int64)
-
-
-def _linkage_candidates(blocks: DataFrame, cut: float) -> DataFrame:
-    """a, b (names, a < b), d (largest distance), tie, n, want: for each pair of blocks each cluster's nearest one within cut.
-
-    Of spread clusters a pair of blocks holds some vectors only, so all their pairs within cut are
-    given; one is complete once n, the pairs of vectors seen, is want.
-    """
-    blocks = kept(blocks, "linkage_blocks")
-    p, q = F.col("block").alias("p"), F.col("block").alias("q")
-    dot = F.aggregate(F.zip_with("centre", "centre_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    near = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))) - F.col("hi") - F.col("hi_b") <= math.acos(max(-1.0, 1 - cut)) + SLACK
-    other = blocks.select("component", q, F.col("centre").alias("centre_b"), F.col("hi").alias("hi_b"))
-    pairs = blocks.select("component", p, "centre", "hi").join(other, "component").where("p <= q").where(near).select("component", "p", "q")
-    half = {s: [F.col(c).alias(f"{s}_{c}") for c in ("clusters", "starts", "sizes", "n", "m")] for s in "ab"}
-    left, right = blocks.select("component", p, *half["a"]), blocks.select("component", q, *half["b"])
+    return _pairs_of_blocks(blocks, by, pivots, cut).mapInArrow(run, "a long, b long, d double")
 
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                (a, i0, na, x), (b, j0, nb, y) = (
-                    (np.array(row[s + "_clusters"]), row[s + "_starts"], np.array(row[s + "_sizes"]), np.frombuffer(row[s + "_m"]).reshape(row[s + "_n"], -1)) for s in "ab"
-                )
-                far = np.maximum.reduceat(np.maximum.reduceat(1 - x @ y.T, i0, axis=0), j0, axis=1)
-                same = row["p"] == row["q"]
-                if same:
-                    far = np.maximum(far, far.T)
-                far = np.where((far > cut + 1e-12) | (a[:, None] == b[None, :]), np.inf, far)
-                spread = (na > BLOCK)[:, None] | (nb > BLOCK)[None, :]
-                seen = np.diff(i0, append=len(x))[:, None] * np.diff(j0, append=len(y))[None, :]
-                tie = _order_of_ties(a[:, None], b[None, :])
-                i, j = np.nonzero(np.isfinite(far) & spread & (~np.tri(len(a), dtype=bool) if same else True))
-                whole = np.where(spread, np.inf, far)
-                rows, cols = [i], [j]
-                for axis in (1,) if same else (1, 0):
-                    least = whole.min(axis=axis, keepdims=True)
-                    at = np.where(whole == least, tie, np.iinfo(np.int64).max).argmin(axis=axis)
-                    on = np.flatnonzero(np.isfinite(least.ravel()))
-                    rows.append(on if axis else at[on])
-                    cols.append(at[on] if axis else on)
-                i, j = np.concatenate(rows), np.concatenate(cols)
-                if len(i):
-                    out = [np.minimum(a[i], b[j]), np.maximum(a[i], b[j]), far[i, j], tie[i, j], np.where(spread[i, j], seen[i, j], na[i] * nb[j]), na[i] * nb[j]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["a", "b", "d", "tie", "n", "want"])
-
-    return pairs.join(left, ["component", "p"]).join(right, ["component", "q"]).drop("component").mapInArrow(run, "a long, b long, d double, tie long, n long, want long")
-
-
-def _linkage_in_rounds(rows: DataFrame, cut: float) -> DataFrame:
-    """id, cluster: complete linkage of large parts. rows: id, component, pivot, v (unit vectors, no two equal).
-
-    Every round merges each pair of clusters that are one another's nearest within cut, which gives the clusters
-    of one merge at a time, as a merge brings no cluster nearer to a third. A cluster with none within cut is finished.
+
+def _linkage_in_rounds(vectors: DataFrame, cut: float, by: str, pivots: Pivots) -> DataFrame:
+    """id, cluster: complete linkage of large parts. vectors: id, by, v (no two equal).
+
+    The vectors meet once, for the pairs within cut; rounds go on with those alone. Every round merges each pair of clusters that are
+    one another's nearest, which gives the clusters of one merge at a time, as a merge brings no cluster nearer to a third. Clusters are
+    a pair no longer once any two of their vectors are beyond cut: two that merged keep a neighbour only if both had it. So pairs
+    get fewer by the round, and those that no merge touches aren't shuffled.
     """
-    now, done = kept(rows.select("id", "component", "pivot", "v", F.col("id").alias("cluster")), "linkage"), []
+    blocks = kept(_blocks(vectors, by, pivots), "blocks")
+    edges = kept(_linkage_edges(blocks, by, pivots, cut), "linkage_edges")
+    drop(blocks)
+    merges = []
     while True:
-        pairs = _linkage_candidates(_linkage_blocks(now), cut).groupBy("a", "b", "want").agg(F.max("d").alias("d"), F.first("tie").alias("tie"), F.sum("n").alias("n"))
-        pair = F.struct("d", "tie", "a", "b").alias("pair")
-        found = pairs.where("n >= want").select(F.explode(F.array("a", "b")).alias("cluster"), pair)
-        nearest = kept(found.groupBy("cluster").agg(F.min("pair").alias("pair")), "nearest")
-        merge = nearest.groupBy("pair").agg(F.count("*").alias("n")).where("n = 2").select(F.col("pair.b").alias("cluster"), F.col("pair.a").alias("into"))
-        done.append(kept(now.join(nearest, "cluster", "left_anti").select("id", "cluster"), "linked"))
-        if nearest.isEmpty():
-            drop(now, nearest)
+        pair = F.struct("d", F.xxhash64("a", "b").alias("tie"), "a", "b").alias("pair")
+        nearest = edges.select(F.explode(F.array("a", "b")).alias("cluster"), pair).groupBy("cluster").agg(F.min("pair").alias("pair"))
+        merge = kept(nearest.groupBy("pair").agg(F.count("*").alias("n")).where("n = 2").select(F.col("pair.a").alias("into"), F.col("pair.b").alias("gone")), "merges")
+        if merge.isEmpty():
+            drop(merge, edges)
             break
-        old = now
-        now = kept(now.join(nearest, "cluster", "left_semi").join(merge, "cluster", "left").select("id", "component", "pivot", "v", F.coalesce("into", "cluster").alias("cluster")), "linkage")
-        drop(old, nearest)
-    return reduce(DataFrame.union, done)
+        merges.append(merge)
+        # both clusters of a merge, with the name that they go on under
+        half = merge.select(F.explode(F.array("into", "gone")).alias("cluster"), "into")
+        left, right = (half.select(F.col("cluster").alias(c), F.col("into").alias(f"{c}_into")) for c in "ab")
+        named = edges.join(left, "a", "left").join(right, "b", "left")
+        same = named.where("a_into is null and b_into is null").select("a", "b", "d")
+        moved = named.where("a_into is not null or b_into is not null").select(
+            F.coalesce("a_into", "a").alias("x"), F.coalesce("b_into", "b").alias("y"), "d", (F.when(F.col("a_into").isNull(), 1).otherwise(2) * F.when(F.col("b_into").isNull(), 1).otherwise(2)).alias("want")
+        ).where("x != y")
+        moved = moved.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "want").agg(F.max("d").alias("d"), F.count("*").alias("n")).where("n = want").select("a", "b", "d")
+        old, edges = edges, kept(same.unionByName(moved), "linkage_edges")
+        drop(old)
+    ids = vectors.select("id")
+    if not merges:
+        return ids.select("id", F.col("id").alias("cluster"))
+    links = reduce(DataFrame.union, merges).select(F.col("into").alias("a"), F.col("gone").alias("b"))
+    return components(ids, links).select("id", F.col("component").alias("cluster"))
 
 
 def complete_linkage(vectors: DataFrame, cut: float, least: int, by: str = "embedder", part: int = PART) -> DataFrame:
     """id, by, cluster: complete-linkage clusters whose distances are all <= cut, named by their smallest id; smaller ones are -1.
 
     Such a cluster lies within a connected part of the graph of pairs within cut, so each part is clustered
-    alone: parts of up to `part` vectors in one task each, larger ones in rounds over pairs of blocks. Equal vectors of
+    alone: parts of up to `part` vectors in one task each, larger ones in rounds over their pairs within cut. Equal vectors of
     a larger part count once. Among merges at the same distance either may go first, so only ties can differ.
     """
     pivots = Pivots(vectors, by)
@@ -391,8 +353,8 @@ def complete_linkage(vectors: DataFrame, cut: float, least: int, by: str = "embe
         own = F.when(size == 0, F.col("id"))
         big = kept(rows.join(large, "component", "left_semi").select("id", by, "component", unit.alias("v"), own.alias("own")), "big")
         single = kept(big.groupBy("component", "v", "own").agg(F.min("id").alias("first")), "single")
-        pivot = pivots.placed(single.join(vectors.select(F.col("id").alias("first"), by), "first").select(F.col("first").alias("id"), by, "v")).select("id", "pivot")
-        linked = _linkage_in_rounds(single.select(F.col("first").alias("id"), "component", "v").join(pivot, "id"), cut)
+        apart = single.join(vectors.select(F.col("id").alias("first"), by), "first").select(F.col("first").alias("id"), by, "v")
+        linked = _linkage_in_rounds(apart, cut, by, pivots)
         same = (big.component == single.component) & (big.v == single.v) & big.own.eqNullSafe(single.own)
         members = big.join(single, same).select(big.id, big[by], "first").join(linked.withColumnRenamed("id", "first"), "first")
         named = named.union(members.select("id", by, "cluster"))
