@@ -22,6 +22,9 @@ BUCKETS = 32
 #: Segments beyond which an update merges them.
 SEGMENTS = 8
 
+#: Tokens of captions that a task works on together; a longer caption comes alone.
+TOKENS = 250_000
+
 _POSTINGS = "doc long, part long, term string, tf long, positions array<int>, length long"
 
 
@@ -42,15 +45,23 @@ def buckets_of(spark: SparkSession, terms: list[str]) -> list[int]:
     return [r[0] for r in rows]
 
 
+def _parts(batch: pa.RecordBatch, most: int):
+    """A batch's rows in order, cut so that no part of several rows has more than most tokens."""
+    end, start = np.cumsum(batch.column("t").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while start < batch.num_rows:
+        before = end[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(end, before + most, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def postings(captions: DataFrame, tokens: Column, key: str, text: str) -> DataFrame:
-    """doc, part, term, tf, positions, length: a row for each term of each caption that has one, and one without term for the caption itself. A task counts a caption's terms where it reads it."""
+    """doc, part, term, tf, positions, length: a row for each term of each caption that has one, and one without term for the caption itself. A task counts a caption's terms where it reads it, those of at most TOKENS tokens together."""
 
     names = ["doc", "part", "term", "tf", "positions", "length"]
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (part for whole in batches for part in _parts(whole, TOKENS)):
             size = b.column("t").value_lengths().to_numpy().astype(np.int64)
             words = b.column("t").flatten().dictionary_encode()
             of = np.repeat(np.arange(len(size)), size)
