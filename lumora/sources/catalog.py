@@ -12,6 +12,11 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumora.sources.shared import input_bytes
+
+#: Bytes of the lines' files for a partition of their tags: some 900,000 tags.
+LINES_AT_ONCE = 4 << 20
+
 
 @dataclass(frozen=True)
 class Catalog:
@@ -37,21 +42,36 @@ class Catalog:
         )
 
     @cached_property
-    def tag_rows(self) -> DataFrame:
-        """Tag rows as they come, repeated ones too: for semi-joins and distinct counts, which need no shuffle to drop them."""
+    def _tagged(self) -> DataFrame:
+        """A row for each line with its part: both grow, so lines are dealt to hashed parts, and aren't sorted for it."""
         lines = self.raw("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_discount", "l_returnflag", "l_linestatus")
         parts = self.raw("part").select("p_partkey", "p_type", "p_brand")
-        return lines.join(parts, lines.l_partkey == parts.p_partkey).selectExpr(
+        return lines.join(parts.hint("shuffle_hash"), lines.l_partkey == parts.p_partkey).drop("l_partkey", "p_partkey")
+
+    @staticmethod
+    def _tags_of(lines: DataFrame) -> DataFrame:
+        return lines.selectExpr(
             "l_orderkey AS image_id",
             "stack(4, 'returnflag', l_returnflag, 'linestatus', l_linestatus, 'type', p_type, 'brand', p_brand) AS (category, value)",
             "concat('s', l_linenumber) AS tag_source",
             "l_discount AS confidence",
         )
 
+    @cached_property
+    def tag_rows(self) -> DataFrame:
+        """Tag rows as they come, repeated ones too: for semi-joins and distinct counts, which need no shuffle to drop them."""
+        return self._tags_of(self._tagged)
+
+    @cached_property
+    def dealt_tag_rows(self) -> DataFrame:
+        """The same dealt by image, as lines, before each becomes four rows: what groups or joins them by image needs no further shuffle. Partitions are as many as the lines' files ask for."""
+        n = max(self.spark.sparkContext.defaultParallelism, -(-input_bytes(self.raw("lineitem")) // LINES_AT_ONCE))
+        return self._tags_of(self._tagged.repartition(n, "l_orderkey"))
+
     @cached_property
     def tags(self) -> DataFrame:
         """image_id, category, value, tag_source, confidence: one row for each of the first four."""
-        return self.tag_rows.groupBy("image_id", "category", "value", "tag_source").agg(F.max("confidence").alias("confidence"))
+        return self.dealt_tag_rows.groupBy("image_id", "category", "value", "tag_source").agg(F.max("confidence").alias("confidence"))
 
     @cached_property
     def rules(self) -> DataFrame:
