@@ -102,8 +102,8 @@ def substring(assets: DataFrame, tags: DataFrame, q: str) -> DataFrame:
 
 
 def not_excluded(assets: DataFrame, tags: DataFrame, rules: DataFrame) -> DataFrame:
-    """Assets without a tag that an enabled rule names."""
-    hit = tags.join(rules.where("enabled").select("category", "value"), ["category", "value"], "left_semi").select(F.col("image_id").alias("id"))
+    """Assets without a tag that an enabled rule names. Rules are few, and broadcast: by category and value, a common one's tags would all meet in a task."""
+    hit = tags.join(F.broadcast(rules.where("enabled").select("category", "value")), ["category", "value"], "left_semi").select(F.col("image_id").alias("id"))
     return assets.join(hit, "id", "left_anti")
 
 
