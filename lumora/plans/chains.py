@@ -129,7 +129,7 @@ def scenes_enriched(spark, d):
 @register("tags_keyed", cte("tags") + "SELECT image_id, count(*) AS n, round(max(confidence) FILTER (category = 'returnflag' AND value = 'R' AND tag_source = 's1'), 6) AS r FROM tags GROUP BY image_id")
 def tags_keyed(spark, d):
     """Each image's tags as a map, and one of its entries."""
-    tags = parity.keyed(Catalog(spark, d).tag_rows)
+    tags = parity.keyed(Catalog(spark, d).dealt_tag_rows)
     key = F.struct(F.lit("returnflag").alias("category"), F.lit("R").alias("value"), F.lit("s1").alias("tag_source"))
     return tags.select("image_id", F.size("tags").cast("long").alias("n"), F.round(F.try_element_at("tags", key), 6).alias("r"))
 
