@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from lumora.functions.media import duration_bucket, orientation
 
 
-def disjunctive(assets: DataFrame, pairs: DataFrame, active: dict[str, list[str]], name: str = "category") -> DataFrame:
+def disjunctive(assets: DataFrame, pairs: DataFrame, active: dict[str, list[str]], name: str = "category", dealt: bool = False) -> DataFrame:
     """name, value, n: distinct assets with each value, under every active filter but the one of the value's own category.
 
     pairs: id, name, value; assets: those that meet all other filters. An asset counts towards a category
-    if it misses no filter, or only that category's. Pairs are dealt by asset once, for the distinct, the misses and the join;
+    if it misses no filter, or only that category's. Pairs are dealt by asset once, unless they come so (dealt), for the distinct, the misses and the join;
     an asset's misses are maxima over its own rows.
     """
-    rows = pairs.select("id", name, "value").repartition("id").distinct().join(assets.select("id"), "id", "left_semi")
+    rows = pairs.select("id", name, "value")
+    rows = (rows if dealt else rows.repartition("id")).distinct().join(assets.select("id"), "id", "left_semi")
     if active:
         own = Window.partitionBy("id")
         hits = [F.max(F.coalesce((F.col(name) == c) & F.col("value").isin(v), F.lit(False)).cast("int")).over(own) for c, v in active.items()]
@@ -26,8 +27,8 @@ def disjunctive(assets: DataFrame, pairs: DataFrame, active: dict[str, list[str]
     return rows.groupBy(name, "value").agg(F.count("*").alias("n"))
 
 
-def tag_facets(assets: DataFrame, tags: DataFrame, active: dict[str, list[str]]) -> DataFrame:
-    return disjunctive(assets, tags.select(F.col("image_id").alias("id"), "category", "value"), active)
+def tag_facets(assets: DataFrame, tags: DataFrame, active: dict[str, list[str]], dealt: bool = False) -> DataFrame:
+    return disjunctive(assets, tags.select(F.col("image_id").alias("id"), "category", "value"), active, dealt=dealt)
 
 
 def label_facets(assets: DataFrame, labels: DataFrame, active: dict[str, list[str]]) -> DataFrame:

@@ -103,13 +103,13 @@ def _naive_facets(active: dict[str, list[str]], rows: str, name: str, assets: st
 @register("facet_tags_filtered", cte("images", "tags", more="p AS (SELECT image_id AS id, category, value FROM tags), a AS (SELECT id FROM images WHERE processed)") + _naive_facets(SPEC, "p", "category", "a"))
 def facet_tags_filtered(spark, d):
     c = Catalog(spark, d)
-    return facets.tag_facets(c.images.where("processed"), c.tag_rows, SPEC)
+    return facets.tag_facets(c.images.where("processed"), c.dealt_tag_rows, SPEC, dealt=True)
 
 
 @register("facet_tags_unfiltered", cte("images", "tags", more="p AS (SELECT image_id AS id, category, value FROM tags)") + _naive_facets({}, "p", "category", "images"))
 def facet_tags_unfiltered(spark, d):
     c = Catalog(spark, d)
-    return facets.tag_facets(c.images, c.tag_rows, {})
+    return facets.tag_facets(c.images, c.dealt_tag_rows, {}, dealt=True)
 
 
 @register("facet_people", cte("images", "tags") + f"SELECT person, count(DISTINCT id) AS n FROM images WHERE id IN ({_MATCH['returnflag']}) AND id IN ({_MATCH['type']}) GROUP BY person")
