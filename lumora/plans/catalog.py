@@ -201,7 +201,7 @@ def rating_left_join(spark, d):
 @register("rule_mining", cte("images", "tags", "rules") + "SELECT p.category, p.value, count(*) AS n, array_to_string(list_sort(list(image_id) FILTER (r <= 4)), ',') AS samples FROM (SELECT *, row_number() OVER (PARTITION BY category, value ORDER BY image_id) AS r FROM (SELECT DISTINCT image_id, category, value FROM tags WHERE category <> 'linestatus' AND image_id IN (SELECT id FROM images WHERE flag_action = 'reject'))) p WHERE NOT EXISTS (SELECT 1 FROM rules WHERE rules.category = p.category AND rules.value = p.value) GROUP BY p.category, p.value HAVING count(*) >= 20 ORDER BY n DESC, p.category, p.value LIMIT 20")
 def rule_mining(spark, d):
     c = Catalog(spark, d)
-    return stats.mine_rules(c.images, c.tag_rows, c.rules, least=20, top=20, skip=("linestatus",))
+    return stats.mine_rules(c.images, c.dealt_tag_rows, c.rules, least=20, top=20, skip=("linestatus",))
 
 
 @register("flag_counts", cte("images") + "SELECT flag_action, count(*) AS n FROM images WHERE flag_action IS NOT NULL GROUP BY flag_action")
