@@ -255,7 +255,7 @@ def backfill_outcomes(spark, d):
 @register("facets_ordered", cte("images", "tags", more="p AS (SELECT image_id AS id, category, value FROM tags), a AS (SELECT id FROM images WHERE processed), f AS (" + _naive_facets(SPEC, "p", "category", "a") + ")") + "SELECT category, value, n, row_number() OVER (PARTITION BY category ORDER BY n DESC, value) AS place FROM f")
 def facets_ordered(spark, d):
     c = Catalog(spark, d)
-    return facets.ordered(facets.tag_facets(c.images.where("processed"), c.tag_rows, SPEC))
+    return facets.ordered(facets.tag_facets(c.images.where("processed"), c.dealt_tag_rows, SPEC, dealt=True))
 
 
 @register("video_probes", "SELECT 'v' || p_partkey AS path, p_size * 1.5::DOUBLE AS duration, CASE WHEN p_partkey % 2 = 0 THEN p_size + 1 ELSE p_size END AS width, CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE p_size + 1 END AS height, 25.0::DOUBLE AS fps, p_brand AS codec, CAST(p_partkey AS INT) AS bitrate, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS has_audio, 0 AS processed FROM (SELECT * FROM part QUALIFY row_number() OVER (PARTITION BY p_partkey % 10 = 0, CASE WHEN p_partkey % 11 = 0 THEN 'same' ELSE p_name || p_partkey END ORDER BY 'v' || p_partkey) = 1) WHERE p_partkey % 7 <> 0 AND p_partkey % 10 <> 0 UNION ALL SELECT 'v' || p_partkey, NULL, NULL, NULL, NULL, NULL, NULL, NULL, -1 FROM (SELECT * FROM part QUALIFY row_number() OVER (PARTITION BY p_partkey % 10 = 0, CASE WHEN p_partkey % 11 = 0 THEN 'same' ELSE p_name || p_partkey END ORDER BY 'v' || p_partkey) = 1) WHERE p_partkey % 7 = 0 AND p_partkey % 10 <> 0")
