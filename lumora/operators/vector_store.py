@@ -21,6 +21,8 @@ from lumora.sources.shared import kept
 SAMPLE, LISTS, ROUNDS, QUERIES = 50_000, 1024, 12, 1000
 #: Candidates that are ranked exactly, for each one asked for.
 RERANK = 8
+#: Scores that a task has at once, beside the best ones that it keeps; vectors that are coded at once.
+SCORES, CODED = 250_000, 1000
 
 _CODES = "id long, code binary, list int"
 _WHOLE = "id long, v array<float>, list int"
@@ -47,6 +49,48 @@ def centroids(x: np.ndarray, lists: int, rounds: int = ROUNDS, seed: int = 5) ->
     return c
 
 
+def _strips(rows: np.ndarray, most: int):
+    """rows in pieces of at most `most`, of one at least."""
+    most = max(1, most)
+    return (rows[i : i + most] for i in range(0, len(rows), most))
+
+
+def _best(of: np.ndarray, ids: np.ndarray, s: np.ndarray, most: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The `most` best of each query (of), of equal scores the smaller ids; least takes the last one's score of each query that has so many."""
+    order = np.lexsort((ids, -s, of))
+    of, ids, s = of[order], ids[order], s[order]
+    first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else np.zeros(0, int)
+    rank = np.arange(len(of)) - np.repeat(first, np.diff(np.concatenate((first, [len(of)]))))
+    on = rank == most - 1
+    least[of[on]] = s[on]
+    return of[rank < most], ids[rank < most], s[rank < most]
+
+
+def _of_codes(batches, q: np.ndarray, c: np.ndarray, by: dict[int, np.ndarray], step: float, most: int):
+    """The `most` best rows (id, code, list) of each query over a task's batches: rows of q, ids, scores. by: the queries that go to a list.
+
+    Queries meet a list's rows in strips of about SCORES scores, and of a strip only what may be among the best is kept.
+    """
+    least = np.full(len(q), -np.inf)
+    held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    for b in batches:
+        ids, in_list = b.column("id").to_numpy(), b.column("list").to_numpy(zero_copy_only=False)
+        code = np.frombuffer(b"".join(b.column("code").to_pylist()), np.int8).reshape(b.num_rows, -1)
+        for n in np.unique(in_list):
+            who = by.get(int(n), np.zeros(0, int))
+            if not len(who):
+                continue
+            near = (q[who] @ c[n])[:, None]
+            for rows in _strips(np.flatnonzero(in_list == n), SCORES // len(who)):
+                # the cosine to centroid + step * code, as the sum of both parts
+                s = near + step * (q[who] @ code[rows].T.astype(np.float64))
+                i, j = np.nonzero(~(s < least[who][:, None]))
+                held = tuple(np.concatenate(x) for x in zip(held, (who[i], ids[rows[j]], s[i, j]), strict=True))
+                if len(held[0]) > 2 * most * len(q):
+                    held = _best(*held, most, least)
+    return _best(*held, most, least)
+
+
 class VectorStore:
     """The store at path. Vectors are compared by cosine; those without direction, and null ones, are left out."""
 
@@ -78,9 +122,7 @@ class VectorStore:
         new = vectors.where("id is not null and v is not null").groupBy("id").agg(F.min("v").alias("v")).join(self.codes.read(_CODES).select("id"), "id", "left_anti")
 
         def coded(batches):
-            for b in batches:
-                if not b.num_rows:
-                    continue
+            for b in (whole.slice(i, CODED) for whole in batches for i in range(0, whole.num_rows, CODED)):
                 x = _unit(np.array(b.column("v").to_pylist(), np.float64))
                 on = (x != 0).any(axis=1)
                 x, to = x[on], (x[on] @ c.T).argmax(axis=1)
@@ -116,38 +158,11 @@ class VectorStore:
         by_list = {n: np.flatnonzero((near == n).any(axis=1)) for n in lists}
         sent = self.spark.sparkContext.broadcast((ids, q, c, by_list))
 
-        def best(batches, most, score):
-            """The most best rows of each query over a task's batches; score gives (rows of q, rows of the batch, scores)."""
-            held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-            for b in batches:
-                if b.num_rows:
-                    of, at, s = score(b)
-                    of, rows, s = (np.concatenate(x) for x in zip(held, (of, b.column("id").to_numpy()[at], s), strict=True))
-                    order = np.lexsort((rows, -s, of))
-                    of, rows, s = of[order], rows[order], s[order]
-                    first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else np.zeros(0, int)
-                    rank = np.arange(len(of)) - np.repeat(first, np.diff(np.concatenate((first, [len(of)]))))
-                    held = of[rank < most], rows[rank < most], s[rank < most]
-            if len(held[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(sent.value[0][held[0]]), pa.array(held[1]), pa.array(held[2])], ["query", "id", "score"])
-
-        def pairs(b, f):
-            _, q, c, by = sent.value
-            lists, out = b.column("list").to_numpy(zero_copy_only=False), []
-            for n in np.unique(lists):
-                rows, who = np.flatnonzero(lists == n), by.get(int(n), np.zeros(0, int))
-                if len(who):
-                    s = f(rows, q[who], c[n])
-                    out.append((np.repeat(who, len(rows)), np.tile(rows, len(who)), s.ravel()))
-            return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-
         def by_code(batches):
-            def score(b):
-                code = np.frombuffer(b"".join(b.column("code").to_pylist()), np.int8).reshape(b.num_rows, -1)
-                # the cosine to centroid + step * code, as the sum of both parts
-                return pairs(b, lambda rows, q, c: (q @ c)[:, None] + step * (q @ code[rows].T.astype(np.float64)))
-
-            yield from best(batches, k * rerank, score)
+            names, q, c, by = sent.value
+            of, ids, score = _of_codes(batches, q, c, by, step, k * rerank)
+            if len(of):
+                yield pa.RecordBatch.from_arrays([pa.array(names[of]), pa.array(ids), pa.array(score)], ["query", "id", "score"])
 
         codes = self.codes.read(_CODES).where(F.col("list").isin(lists)).mapInArrow(by_code, "query long, id long, score double")
         w = Window.partitionBy("query").orderBy(F.desc("score"), "id")

@@ -1,11 +1,14 @@
 """The vector store against exact search, and matrix files."""
 
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from lumora.operators import vector_store
 from lumora.operators.vector_store import VectorStore
 from lumora.plans import registry
 from lumora.sources.matrices import npy_matrix
@@ -55,6 +58,26 @@ def test_all_lists_give_the_exact_result_and_few_read_their_files(spark, tmp_pat
     assert scans and not wrong
 
 
+def test_a_task_of_a_search_holds_strips_not_all_scores_of_a_batch():
+    """600 queries meet a batch of 10,000 rows: 48 MB of scores alone, and places and ids as much each."""
+    rng = np.random.default_rng(4)
+    q, c = (vector_store._unit(rng.normal(size=(n, 8))) for n in (600, 3))
+    code, lists, ids = rng.integers(-127, 128, (10_000, 8)).astype(np.int8), rng.integers(0, 3, 10_000), rng.permutation(10_000)
+    code[5000:] = code[:5000]  # equal scores: the smaller ids stay
+    lists[5000:] = lists[:5000]
+    by = {n: np.arange(n, 600, 1 + n % 2) for n in range(2)}  # nobody goes to the third list
+    batch = pa.RecordBatch.from_pydict({"id": ids, "code": [r.tobytes() for r in code], "list": pa.array(lists, pa.int32())})
+    tracemalloc.start()
+    of, got, _ = vector_store._of_codes(iter([batch.slice(0, 6000), batch.slice(6000)]), q, c, by, 0.01, 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20
+    for n in (0, 1, 599):
+        to = np.isin(lists, [k for k, who in by.items() if n in who])
+        s = np.round(np.where(to, c[lists] @ q[n] + 0.01 * (code @ q[n]), -np.inf), 9)
+        assert sorted(got[of == n]) == sorted(ids[np.lexsort((ids, -s))[:20]])
+
+
 def test_matrix_of_a_given_table_in_ranges(spark, tmp_path):
     ids, x = given("/root/testdata/sf0.001")
     np.save(tmp_path / "m.npy", x.astype(np.float32))
