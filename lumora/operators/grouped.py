@@ -1,7 +1,7 @@
-"""Many small groups in one pass: rows are dealt by key and sorted, and each group is handed to a numpy function as it streams by.
+"""Many small groups in one pass: rows are dealt by key and sorted, and the groups of a batch are handed to a numpy function together.
 
-A call for each group costs far less here than a grouped-map exchange for each; a group's rows, and only
-those, are in memory together.
+A call for each group costs most of the time where groups are small; so a function takes all groups that a batch completes, with
+the places where they begin. A batch's rows and its last group's, and only those, are in memory together.
 """
 
 from __future__ import annotations
@@ -13,30 +13,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def each_group(rows: DataFrame, keys: list[str], order: list[str], f: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], schema: str) -> DataFrame:
-    """f takes a group's columns, sorted by order, and returns columns of equal length named as in schema."""
+def many_groups(rows: DataFrame, keys: list[str], order: list[str], f: Callable[[dict[str, np.ndarray], np.ndarray], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """f takes the columns of several groups, sorted by keys and order, and the first row of each; it returns columns named as in schema."""
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
 
-    def call(t: pa.Table) -> dict[str, np.ndarray]:
-        return f({c: t.column(c).to_numpy() for c in t.column_names})
+    def starts(t: pa.Table) -> np.ndarray:
+        new = np.zeros(max(0, t.num_rows - 1), bool)
+        for k in keys:
+            x = t.column(k).to_numpy()
+            new |= x[1:] != x[:-1]
+        return np.concatenate(([0], np.flatnonzero(new) + 1))
+
+    def call(t: pa.Table) -> pa.RecordBatch:
+        out = f({c: t.column(c).to_numpy() for c in t.column_names}, starts(t))
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(out[n])) for n in names], names)
 
     def run(batches):
-        held = None
+        held = []  # the pieces of the group that the last batch ended with
         for b in batches:
             if not b.num_rows:
                 continue
-            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])]).combine_chunks()
-            new = np.zeros(t.num_rows - 1, bool)
-            for k in keys:
-                x = t.column(k).to_numpy()
-                new |= x[1:] != x[:-1]
-            cut = np.concatenate(([0], np.flatnonzero(new) + 1, [t.num_rows]))
-            done = [call(t.slice(a, z - a)) for a, z in zip(cut[:-2], cut[1:-1], strict=True)]
-            held = t.slice(cut[-2])
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([d[n] for d in done])) for n in names], names)
-        if held is not None:
-            last = call(held)
-            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(last[n])) for n in names], names)
+            t = pa.Table.from_batches([b])
+            last = int(starts(t)[-1])
+            if held and not last and len(starts(pa.concat_tables([held[-1].slice(0, 1), t.slice(0, 1)]))) == 1:
+                held.append(t)
+                continue
+            done = pa.concat_tables([*held, t.slice(0, last)]).combine_chunks()
+            held = [t.slice(last)]
+            if done.num_rows:
+                yield call(done)
+        if held:
+            yield call(pa.concat_tables(held).combine_chunks())
 
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

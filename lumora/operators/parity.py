@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumora.operators.grouped import each_group
+from lumora.operators.grouped import many_groups
 from lumora.operators.vectors import cosine
 
 
@@ -31,32 +32,57 @@ def store_parity(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return a.crossJoin(b).withColumn("ok", (F.col("n_left") == F.col("n_right")) & (F.col("ids_left") == F.col("ids_right")) & (F.col("n_left") > 0))
 
 
+def closest_free(group: np.ndarray, boxes: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row whether it is a left box (side false) that takes a right one, and the largest difference of a corner, else NaN.
+
+    group: numbers from 0 in ascending order. A group's left boxes take in turn, each the first of the closest right ones
+    that are free; all groups go on in step, so that a step is a few array operations over their right boxes.
+    """
+    left, right = np.flatnonzero(~side), np.flatnonzero(side)
+    n_left, n_right = (np.bincount(group[x], minlength=group[-1] + 1) for x in (left, right))
+    first_left, first_right = np.cumsum(n_left) - n_left, np.cumsum(n_right) - n_right
+    free, taken, px = np.ones(len(right), bool), np.zeros(len(group), bool), np.full(len(group), np.nan)
+    k, active = 0, np.flatnonzero((n_left > 0) & (n_right > 0))
+    while len(active):
+        size = n_right[active]
+        start, of = np.cumsum(size) - size, np.repeat(np.arange(len(active)), size)
+        at = np.arange(len(of)) + (first_right[active] - start)[of]
+        who = left[first_left[active] + k]
+        far = np.abs(boxes[right[at]] - boxes[who][of]).max(axis=1)
+        # an unknown difference comes first, an endless one last
+        key = np.where(free[at], np.where(np.isnan(far), -np.inf, np.minimum(far, np.finfo(float).max)), np.inf)
+        hit = np.flatnonzero(key == np.minimum.reduceat(key, start)[of])
+        hit = hit[np.concatenate(([True], of[hit][1:] != of[hit][:-1]))]
+        free[at[hit]], taken[who], px[who] = False, True, far[hit]
+        k += 1
+        active = active[(n_left[active] > k) & (n_right[active] > k)]
+    return taken, px
+
+
 def paired_boxes(left: DataFrame, right: DataFrame, tolerance: float = 2.0) -> DataFrame:
     """id, n_left, n_right, n_paired, n_far, n_alone, max_px: boxes (id, label, x1, y1, x2, y2) of two runs over one image.
 
     Each left box, by label and corners, takes the closest free right box of its label, however far (the
     largest difference of a corner counts): within tolerance they are paired, beyond it far. n_alone are
     the boxes of either side that find none. max_px is the largest difference of those taken, null without
-    any. A group is one image's boxes.
+    any. The boxes of many images are compared together, those of one image are in one task.
     """
-
-    def run(g):
-        boxes = np.stack([g[c].astype(float) for c in ("x1", "y1", "x2", "y2")], axis=1)
-        a, free = np.flatnonzero(g["side"] == 0), g["side"] == 1
-        taken = []
-        for r in a:
-            of = np.flatnonzero(free & (g["label"] == g["label"][r]))
-            if len(of):
-                px = np.abs(boxes[of] - boxes[r]).max(axis=1)
-                free[of[np.argmin(px)]] = False
-                taken.append(px.min())
-        near = int(np.sum(np.array(taken) <= tolerance))
-        n = [len(a), len(g["id"]) - len(a), near, len(taken) - near, len(g["id"]) - 2 * len(taken)]
-        return {"id": g["id"][:1]} | {k: np.array([v]) for k, v in zip(("n_left", "n_right", "n_paired", "n_far", "n_alone"), n, strict=True)} | {"max_px": np.array([max(taken, default=np.nan)])}
+    names = ("n_left", "n_right", "n_paired", "n_far", "n_alone")
+
+    def run(g, start):
+        n_rows, side = len(g["id"]), g["side"] == 1
+        image = np.repeat(np.arange(len(start)), np.diff(np.append(start, n_rows)))
+        label = pd.factorize(g["label"])[0]
+        new = (image[1:] != image[:-1]) | (label[1:] != label[:-1])
+        taken, px = closest_free(np.concatenate(([0], np.cumsum(new))), np.stack([g[c].astype(float) for c in ("x1", "y1", "x2", "y2")], axis=1), side)
+        count = lambda on: np.bincount(image[on], minlength=len(start))
+        paired = count(taken & (px <= tolerance))
+        n = [count(~side), count(side), paired, count(taken) - paired, count(side) + count(~side) - 2 * count(taken)]
+        return {"id": g["id"][start]} | dict(zip(names, n, strict=True)) | {"max_px": np.fmax.reduceat(px, start)}
 
     columns = ("id", "label", "x1", "y1", "x2", "y2")
     both = left.select(*columns, F.lit(0).alias("side")).unionByName(right.select(*columns, F.lit(1).alias("side")))
-    out = each_group(both, ["id"], ["label", "x1", "y1", "x2", "y2", "side"], run, "id long, n_left long, n_right long, n_paired long, n_far long, n_alone long, max_px double")
+    out = many_groups(both, ["id"], ["label", "x1", "y1", "x2", "y2", "side"], run, "id long, n_left long, n_right long, n_paired long, n_far long, n_alone long, max_px double")
     return out.withColumn("max_px", F.nanvl("max_px", F.lit(None).cast("double")))
 
 
