@@ -327,11 +327,11 @@ def stream_throughput(spark, d):
 
 
 def _two_files(spark, d, name, late_hours, run):
-    """Rows of even events, then, with the query stopped in between, of odd ones, of which many are late: run(stream) on the same checkpoint each time."""
+    """Rows of even events, written by as many tasks as read them, then, with the query stopped in between, of odd ones, of which many are late: run(stream) on the same checkpoint each time."""
     t = Catalog(spark, d).raw("events").withColumn("ts", F.col("ts").cast("timestamp"))
     source, out, mark = (_fresh(spark, f"{name}-{x}") for x in ("in", "out", "mark"))
     for part in (0, 1):
-        t.where(F.col("event_id") % 2 == part).coalesce(1).write.mode("append").parquet(source)
+        t.where(F.col("event_id") % 2 == part).write.mode("append").parquet(source)
         for _ in range(2):  # the second start finds nothing new
             live.to_folder(run(spark.readStream.schema(t.schema).parquet(source), f"{late_hours} hours"), out, mark)
     return spark.read.parquet(out)

@@ -78,39 +78,59 @@ def kept_sessions(items: DataFrame, gap_s: float = 21_600, late: str = "1 hour",
     return rows.groupBy(by).applyInPandasWithState(step, f"{by} {kind}, start timestamp, end timestamp, n long", "starts array<long>, ends array<long>, counts array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def finalised_assets(status: DataFrame, tiers: tuple[str, ...], wait_s: float = 86_400, late: str = "1 hour") -> DataFrame:
+#: Buckets of assets that finalised_assets keeps one state each for.
+BUCKETS = 1024
+
+
+def _merged(ids: pd.Series, first: np.ndarray, *tiers: np.ndarray) -> tuple:
+    """One entry for each id: the least first, all bits of tiers."""
+    code, names = pd.factorize(ids)
+    order = np.argsort(code, kind="stable")
+    start = np.searchsorted(code[order], np.arange(len(names)))
+    if not len(names):
+        return (ids, first, *tiers)
+    return (pd.Series(names), np.minimum.reduceat(first[order], start), *(np.bitwise_or.reduceat(t[order], start) for t in tiers))
+
+
+def finalised_assets(status: DataFrame, tiers: tuple[str, ...], wait_s: float = 86_400, late: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """id, outcome, missing of a stream of tier reports (id, tier, ok, ts): done or failed once every tier has reported, incomplete once the watermark has passed the first report by more than wait_s.
 
     A tier that failed counts as failed even if it reports again. Each asset comes out once: reports after that open it anew. Other tiers, null ids and times are dropped.
+    Assets are dealt to buckets by hash, and the open ones of a bucket are one state, worked on together: a call for each asset
+    costs far more than its rows. The number of buckets belongs to a query's checkpoint. There can be up to 62 tiers.
     """
-    kind, wait = dict(status.dtypes)["id"], int(wait_s * 1000)
+    kind, wait, everything = dict(status.dtypes)["id"], int(wait_s * 1000), (1 << len(tiers)) - 1
+    bits = {t: 1 << i for i, t in enumerate(tiers)}
     rows = status.select("id", "tier", "ok", F.col("ts").cast("timestamp").alias("ts")).where(F.col("tier").isin(*tiers) & F.col("id").isNotNull() & F.col("ts").isNotNull()).withColumn("ms", F.unix_millis("ts")).withWatermark("ts", late)
 
     def step(key, frames, state):
-        first, good, bad = state.get if state.exists else (None, [], [])
-        good, bad, now = set(good), set(bad), state.getCurrentWatermarkMs()
+        now = state.getCurrentWatermarkMs()
+        held = tuple(pd.Series(x) if i == 0 else np.array(x, np.int64) for i, x in enumerate(state.get)) if state.exists else None
         for frame in frames:
-            ts = frame["ms"].to_numpy(np.int64)
-            on = ts > now
-            if on.any():
-                first = int(ts[on].min()) if first is None else min(first, int(ts[on].min()))
-                ok = frame["ok"].fillna(False).astype(bool).to_numpy()
-                good |= set(frame["tier"].to_numpy()[on & ok])
-                bad |= set(frame["tier"].to_numpy()[on & ~ok])
-        missing = [t for t in tiers if t not in good | bad]
-        outcome = None
-        if first is not None:
-            outcome = ("failed" if bad else "done") if not missing else "incomplete" if first + wait < now else None
-        if outcome or first is None:
+            frame = frame[frame["ms"].to_numpy(np.int64) > now]
+            if len(frame):
+                bit, ok = frame["tier"].map(bits).to_numpy(np.int64), frame["ok"].eq(True).to_numpy(bool)
+                new = frame["id"], frame["ms"].to_numpy(np.int64), np.where(ok, bit, 0), np.where(ok, 0, bit)
+                held = _merged(*(new if held is None else (pd.concat([held[0], new[0]]), *map(np.concatenate, zip(held[1:], new[1:], strict=True)))))
+        if held is None:
+            return
+        ids, first, good, bad = held
+        ids, got = ids.to_numpy(), good | bad
+        out = (got == everything) | (first + wait < now)
+        if out.all():
             if state.exists:
                 state.remove()
         else:
-            state.update((first, sorted(good), sorted(bad)))
-            state.setTimeoutTimestamp(max(first + wait, now + 1))
-        if outcome:
-            yield pd.DataFrame([(key[0], outcome, ",".join(missing))], columns=["id", "outcome", "missing"])
-
-    return rows.groupBy("id").applyInPandasWithState(step, f"id {kind}, outcome string, missing string", "first long, good array<string>, bad array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+            still = ~out
+            state.update((ids[still].tolist(), *(x[still].tolist() for x in (first, good, bad))))
+            state.setTimeoutTimestamp(max(int(first[still].min()) + wait, now + 1))
+        if out.any():
+            lacking, which = np.unique(everything & ~got[out], return_inverse=True)
+            missing = np.array([",".join(t for t in tiers if m & bits[t]) for m in lacking.tolist()], object)[which]
+            yield pd.DataFrame({"id": ids[out], "outcome": np.where(missing != "", "incomplete", np.where(bad[out] != 0, "failed", "done")), "missing": missing})
+
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
+    return dealt.groupBy("bucket").applyInPandasWithState(step, f"id {kind}, outcome string, missing string", f"ids array<{kind}>, first array<long>, good array<long>, bad array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def to_folder(stream: DataFrame, out: str, checkpoint: str) -> None:
