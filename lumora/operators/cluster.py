@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from lumora.operators.graph import components
 from lumora.sources.shared import drop, kept
 
-#: Vectors of a strip: two strips' distances are one matrix product. A block has as many at least and WIDE at most, and is about a PARTS-th of its
+#: Vectors of a strip: two strips' distances are one matrix product. A block has as many at least and WIDE bytes at most, and is about a PARTS-th of its
 #: by's vectors: what is shuffled is a block for each one that it meets, so wide blocks ship less, and the smallest still keep all tasks busy.
-BLOCK, WIDE, PARTS = 1024, 8192, 16
+BLOCK, WIDE, PARTS = 1024, 16 << 20, 16
 #: Vectors of a connected part that one task links alone; its distances take 8 bytes a pair.
 PART = 2048
 #: Pivots for each by, the vectors that they are chosen from, and those of all by: beyond that blocks have no pivots, and all of one by are compared.
@@ -38,9 +38,10 @@ class Pivots:
             for value in {r[0] for r in some}:
                 x = _unit(np.array([r[1] for r in sorted(some, key=lambda r: r.r) if r[0] == value], float))
                 self.of[value] = _far_apart(x[(x != 0).any(axis=1)])
-        rows = []
+        self.dim = max((len(r[1]) for r in some if r[1] is not None), default=1)
+        rows, self.apart = [], {}
         for value, x in self.of.items():
-            angle = np.arccos(np.clip(x @ x.T, -1, 1)) if len(x) else np.zeros((0, 0))
+            angle = self.apart[value] = np.arccos(np.clip(x @ x.T, -1, 1)) if len(x) else np.zeros((0, 0))
             rows += [(value, i, j, float(angle[i, j])) for i in range(len(x)) for j in range(len(x))]
             rows += [(value, i, -1, 0.0) for i in range(len(x))] + [(value, -1, i, 0.0) for i in range(len(x))]
             rows.append((value, -1, -1, 0.0))
@@ -54,7 +55,7 @@ class Pivots:
             for b in batches:
                 if not b.num_rows:
                     continue
-                x = _unit(np.array(b.column("v").to_pylist(), float))
+                x = _unit(_matrix(b.column("v")))
                 pivot, angle = np.full(len(x), -1, np.int32), np.zeros(len(x))
                 values = b.column(by).to_pylist()
                 for value in set(values):
@@ -62,7 +63,7 @@ class Pivots:
                     if len(of.get(value, ())) and on.any():
                         near = x[on] @ of[value].T
                         pivot[on], angle[on] = near.argmax(axis=1), np.arccos(np.clip(near.max(axis=1), -1, 1))
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column(by), pa.array(list(x), pa.list_(pa.float64())), pa.array(pivot), pa.array(angle)], ["id", by, "v", "pivot", "angle"])
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column(by), pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel()), pa.array(pivot), pa.array(angle)], ["id", by, "v", "pivot", "angle"])
 
         return vectors.select("id", by, "v").mapInArrow(run, f"id long, {by} {self.kind}, v array<double>, pivot int, angle double")
 
@@ -76,65 +77,85 @@ def _far_apart(x: np.ndarray) -> np.ndarray:
     return x[chosen]
 
 
+def _matrix(v: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows, without a Python object for each number."""
+    v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+    if v.null_count or len(set(v.value_lengths().to_pylist())) != 1:
+        raise ValueError("vectors must have one length")
+    return v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), -1)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     size = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
 
 def _blocks(vectors: DataFrame, by: str, pivots: Pivots | None = None, block: int | None = None) -> DataFrame:
-    """by, block, ids, m: the unit vectors of each block as one matrix; pivot and the least and largest angle to it (lo, hi).
+    """by, block, ids, m: the unit vectors of each block as one matrix; parts: where each pivot's vectors start in it, with the least and largest angle to it (lo, hi).
 
-    A pivot's vectors are dealt to blocks by their angle to it, by the counts of BINS bins; a bin of more than a block is dealt by hash. A block's size is
-    the given one, else by the number of vectors.
+    Vectors are dealt to blocks in the order of their pivots and their angles to them, by the counts of BINS bins; a bin of more than a block is dealt by hash. A
+    block's size is the given one, else by the number of vectors.
     """
-    placed = kept((pivots or Pivots(vectors, by)).placed(vectors), "placed")
+    pivots = pivots or Pivots(vectors, by)
+    placed = kept(pivots.placed(vectors), "placed")
     rows = placed.withColumn("bin", F.floor(F.col("angle") / math.pi * BINS).cast("int"))
     bins = rows.groupBy(by, "pivot", "bin").agg(F.count("*").alias("n"))
     share = F.ceil(F.sum("n").over(Window.partitionBy(by)) / PARTS)
-    bins = bins.withColumn("block", F.lit(block) if block else F.greatest(F.lit(BLOCK), F.least(F.lit(WIDE), share)))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(by, "pivot").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bins = bins.select(by, "pivot", "bin", F.floor(before / F.col("block")).alias("shell"), F.ceil(F.col("n") / F.col("block")).alias("salts"))
+    bins = bins.withColumn("size", F.lit(block) if block else F.greatest(F.lit(BLOCK), F.least(F.lit(WIDE // (8 * pivots.dim)), share)))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(by).orderBy("pivot", "bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = bins.select(by, "pivot", "bin", F.floor(before / F.col("size")).alias("place"), F.ceil(F.col("n") / F.col("size")).alias("salts"))
     rows = rows.join(bins, [by, "pivot", "bin"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")))
     kind = f"{by} {dict(vectors.dtypes)[by]}"
 
     def packed(t: pa.Table) -> pa.Table:
-        x, angle = np.array(t.column("v").to_pylist(), float), t.column("angle").to_numpy()
-        pivot = t.column("pivot")[0].as_py()
-        lo, hi = (angle.min(), angle.max()) if pivot >= 0 else (0.0, math.pi)
-        return pa.table({by: t.column(by)[:1], "pivot": t.column("pivot")[:1], "lo": [lo], "hi": [hi], "ids": pa.array([t.column("id").to_pylist()], pa.list_(pa.int64())), "m": pa.array([x.tobytes()], pa.binary())})
-
-    made = rows.groupBy(by, "pivot", "shell", "salt").applyInArrow(packed, f"{kind}, pivot int, lo double, hi double, ids array<long>, m binary")
+        pivot, angle = t.column("pivot").to_numpy(), t.column("angle").to_numpy()
+        order = np.lexsort((angle, pivot))
+        pivot, angle = pivot[order], angle[order]
+        start = np.flatnonzero(np.concatenate(([True], pivot[1:] != pivot[:-1])))
+        stop = np.append(start[1:], len(pivot))
+        parts = [{"pivot": int(pivot[a]), "start": int(a), "lo": float(angle[a]) if pivot[a] >= 0 else 0.0, "hi": float(angle[z - 1]) if pivot[a] >= 0 else math.pi} for a, z in zip(start, stop, strict=True)]
+        ids = pa.ListArray.from_arrays(np.array([0, len(order)], np.int32), t.column("id").to_numpy()[order])
+        kinds = pa.list_(pa.struct([("pivot", pa.int32()), ("start", pa.int32()), ("lo", pa.float64()), ("hi", pa.float64())]))
+        return pa.table({by: t.column(by)[:1], "ids": ids, "m": pa.array([_matrix(t.column("v"))[order].tobytes()], pa.binary()), "parts": pa.array([parts], kinds)})
+
+    made = rows.groupBy(by, "place", "salt").applyInArrow(packed, f"{kind}, ids array<long>, m binary, parts array<struct<pivot: int, start: int, lo: double, hi: double>>")
     return made.withColumn("block", F.monotonically_increasing_id())
 
 
-def _meeting(blocks: DataFrame, by: str, pivots: Pivots, eps: float, others: DataFrame | None = None) -> DataFrame:
-    """by, p, q: the pairs of blocks (p <= q, or each block with others) that may hold vectors within eps.
+def _least_angle(apart, lo, hi, lo_b, hi_b, largest):
+    """No two vectors with these angles to their pivots are nearer: the triangle inequality, with both pivots' angle."""
+    return largest(apart - hi - hi_b, lo - apart - hi_b, lo_b - apart - hi)
+
+
+def _widest(eps: float) -> float:
+    return math.acos(max(-1.0, 1 - eps)) + SLACK
 
-    With both pivots' angle and the blocks' angles to them, the triangle inequality bounds any two vectors' angle from below.
-    """
-    a = blocks.select(by, "pivot", F.col("block").alias("p"), "lo", "hi")
-    b = (blocks if others is None else others).select(by, F.col("pivot").alias("pivot_b"), F.col("block").alias("q"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
-    apart = F.col("apart")
-    least = F.greatest(apart - F.col("hi") - F.col("hi_b"), F.col("lo") - apart - F.col("hi_b"), F.col("lo_b") - apart - F.col("hi"))
-    pairs = a.join(pivots.pairs, [by, "pivot"]).join(b, [by, "pivot_b"]).where(least <= math.acos(max(-1.0, 1 - eps)) + SLACK)
-    return (pairs.where("p <= q") if others is None else pairs).select(by, "p", "q")
+
+def _meeting_parts(blocks: DataFrame, by: str, pivots: Pivots, eps: float, others: DataFrame | None = None) -> DataFrame:
+    """by, p, q, i, j: the parts of two blocks (p <= q, or each block with others) that may hold vectors within eps."""
+    part = lambda df, end, name, at: df.select(by, F.col("block").alias(name), F.posexplode("parts").alias(at, "part")).select(by, name, at, *(F.col(f"part.{c}").alias(c + end) for c in ("pivot", "lo", "hi")))
+    a, b = part(blocks, "", "p", "i"), part(blocks if others is None else others, "_b", "q", "j")
+    least = _least_angle(*(F.col(c) for c in ("apart", "lo", "hi", "lo_b", "hi_b")), F.greatest)
+    pairs = a.join(pivots.pairs, [by, "pivot"]).join(b, [by, "pivot_b"]).where(least <= _widest(eps))
+    return (pairs.where("p <= q") if others is None else pairs).select(by, "p", "q", "i", "j")
 
 
 def _pairs_of_blocks(blocks: DataFrame, by: str, pivots: Pivots, eps: float, others: DataFrame | None = None) -> DataFrame:
     """Pairs of blocks that may hold vectors within eps, each with both matrices: dealt to all tasks."""
     b = blocks if others is None else others
-    left = blocks.select(by, F.col("block").alias("p"), F.col("ids").alias("a_ids"), F.col("m").alias("a_m"))
-    extra = [c for c in b.columns if c not in (by, "block", "ids", "m", "pivot", "lo", "hi")]
-    right = b.select(by, F.col("block").alias("q"), F.col("ids").alias("b_ids"), F.col("m").alias("b_m"), *extra)
-    return _meeting(blocks, by, pivots, eps, others).join(left, [by, "p"]).join(right, [by, "q"])
+    left = blocks.select(by, F.col("block").alias("p"), *(F.col(c).alias(f"a_{c}") for c in ("ids", "m", "parts")))
+    extra = [c for c in b.columns if c not in (by, "block", "ids", "m", "parts")]
+    right = b.select(by, F.col("block").alias("q"), *(F.col(c).alias(f"b_{c}") for c in ("ids", "m", "parts")), *extra)
+    meeting = _meeting_parts(blocks, by, pivots, eps, others).select(by, "p", "q").distinct()
+    return meeting.join(left, [by, "p"]).join(right, [by, "q"])
 
 
 def compared_share(vectors: DataFrame, by: str, eps: float, block: int = BLOCK) -> float:
-    """The share of the pairs of blocks of one by that are compared at eps."""
+    """The share of the pairs of blocks' parts of one by that are compared at eps."""
     pivots = Pivots(vectors, by)
     blocks = kept(_blocks(vectors, by, pivots, block), "blocks")
-    n = blocks.groupBy(by).count().agg(F.sum(F.col("count") * (F.col("count") + 1) / 2)).first()[0] or 1
-    share = _meeting(blocks, by, pivots, eps).count() / n
+    n = blocks.groupBy(by).agg(F.sum(F.size("parts")).alias("n")).agg(F.sum(F.col("n") * (F.col("n") + 1) / 2)).first()[0] or 1
+    share = _meeting_parts(blocks, by, pivots, eps).where("p < q or i <= j").count() / n
     drop(blocks)
     return share
 
@@ -146,12 +167,22 @@ def _rows(batches):
             yield batch.slice(k, 1).to_pylist()[0]
 
 
-def _near(row: dict, eps: float):
-    """Strip by strip: the places in both blocks of the vectors within eps, and their distances."""
+def _strips(parts: list[dict] | None, n: int):
+    """start, stop, part of strips of up to BLOCK vectors, each of one part."""
+    parts = parts or [{"start": 0}]
+    for part, stop in zip(parts, [*(p["start"] for p in parts[1:]), n], strict=True):
+        for s in range(part["start"], stop, BLOCK):
+            yield s, min(s + BLOCK, stop), part
+
+
+def _near(row: dict, eps: float, apart: np.ndarray | None = None):
+    """Strip by strip: the places in both blocks of the vectors within eps, and their distances. apart: the angles of the pivots, which rule out strips."""
     x, y = (np.frombuffer(row[f"{s}_m"]).reshape(len(row[f"{s}_ids"]), -1) for s in "ab")
-    for s in range(0, len(x), BLOCK):
-        for t in range(0, len(y), BLOCK):
-            d = 1 - x[s : s + BLOCK] @ y[t : t + BLOCK].T
+    for s, s_end, a in _strips(row.get("a_parts"), len(x)):
+        for t, t_end, b in _strips(row.get("b_parts"), len(y)):
+            if apart is not None and a["pivot"] >= 0 and b["pivot"] >= 0 and _least_angle(apart[a["pivot"], b["pivot"]], a["lo"], a["hi"], b["lo"], b["hi"], max) > _widest(eps):
+                continue
+            d = 1 - x[s:s_end] @ y[t:t_end].T
             i, j = np.nonzero(d <= eps + 1e-12)
             yield i + s, j + t, d[i, j]
 
@@ -159,11 +190,13 @@ def _near(row: dict, eps: float):
 def neighbour_counts(blocks: DataFrame, by: str, pivots: Pivots, eps: float) -> DataFrame:
     """id, n: vectors within eps, itself too. Each pair of blocks gives one count for each of its ids."""
 
+    apart = pivots.apart
+
     def run(batches):
         for row in _rows(batches):
             a, b = np.array(row["a_ids"]), np.array(row["b_ids"])
             n, m = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-            for i, j, _ in _near(row, eps):
+            for i, j, _ in _near(row, eps, apart.get(row[by])):
                 n += np.bincount(i, minlength=len(a))
                 m += np.bincount(j, minlength=len(b))
             ids, n = ([a], [n]) if row["p"] == row["q"] else ([a, b], [n, m])
@@ -175,6 +208,8 @@ def neighbour_counts(blocks: DataFrame, by: str, pivots: Pivots, eps: float) ->
 def spanning_edges(blocks: DataFrame, by: str, pivots: Pivots, eps: float) -> DataFrame:
     """a, b: edges within eps that connect what is connected, at most as many for a pair of blocks as it has ids."""
 
+    apart = pivots.apart
+
     def run(batches):
         for row in _rows(batches):
             a, b = np.array(row["a_ids"]), np.array(row["b_ids"])
@@ -188,7 +223,7 @@ def spanning_edges(blocks: DataFrame, by: str, pivots: Pivots, eps: float) -> Da
                 return v
 
             out = []
-            for i, j, _ in _near(row, eps):
+            for i, j, _ in _near(row, eps, apart.get(row[by])):
                 while (parent[parent] != parent).any():
                     parent[:] = parent[parent]
                 x, y = at[0][i], at[1][j]
@@ -219,12 +254,13 @@ def dbscan(vectors: DataFrame, eps: float, least: int, by: str = "embedder") ->
     rest = vectors.select("id", by, "v").join(core.select("id"), "id", "left_anti")
     rest_blocks = kept(_blocks(rest, by, pivots), "blocks")
     named = kept(groups, "groups")
+    apart = pivots.apart
 
     def touch(batches):
         for row in _rows(batches):
             a, c = np.array(row["a_ids"]), np.array(row["clusters"])
             best = np.full(len(a), np.iinfo(np.int64).max)
-            for i, j, _ in _near(row, eps):
+            for i, j, _ in _near(row, eps, apart.get(row[by])):
                 np.minimum.at(best, i, c[j])
             on = best < np.iinfo(np.int64).max
             yield pa.RecordBatch.from_arrays([pa.array(a[on]), pa.array(best[on])], ["id", "cluster"])
@@ -274,10 +310,12 @@ def _complete(x: np.ndarray, cut: float) -> np.ndarray:
 def _linkage_edges(blocks: DataFrame, by: str, pivots: Pivots, cut: float) -> DataFrame:
     """a, b (a < b), d: the pairs of vectors within cut."""
 
+    apart = pivots.apart
+
     def run(batches):
         for row in _rows(batches):
             ids, others = np.array(row["a_ids"]), np.array(row["b_ids"])
-            for i, j, d in _near(row, cut):
+            for i, j, d in _near(row, cut, apart.get(row[by])):
                 x, y = ids[i], others[j]
                 keep = x < y if row["p"] == row["q"] else np.ones(len(x), bool)
                 if keep.any():
