@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections import defaultdict
 from functools import reduce
 
 import numpy as np
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumora.operators.graph import components
-from lumora.sources.shared import drop, kept
+from lumora.sources.shared import drop, kept, small_batches
 
 #: Vectors of a strip: two strips' distances are one matrix product. A block has as many at least and WIDE bytes at most, and is about a PARTS-th of its
 #: by's vectors: what is shuffled is a block for each one that it meets, so wide blocks ship less, and the smallest still keep all tasks busy.
@@ -23,6 +25,8 @@ PART = 2048
 PIVOTS, DRAWN, ALL_DRAWN = 32, 512, 16_384
 #: Bins of the angle to a pivot, by which its vectors are dealt to blocks.
 BINS = 256
+#: Pairs of clusters for each one that a level of a linkage aims at, and those that no level is made for and one task merges; the clusters, and vectors of each, that levels are chosen from.
+DEGREE, FEW, SAMPLED, MEMBERS = 8, 1 << 16, 2048, 8
 #: Slack of angles in double precision.
 SLACK = 1e-7
 
@@ -90,35 +94,45 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
 
-def _blocks(vectors: DataFrame, by: str, pivots: Pivots | None = None, block: int | None = None) -> DataFrame:
+def _blocks(vectors: DataFrame, by: str, pivots: Pivots | None = None, block: int | None = None, clusters: DataFrame | None = None) -> DataFrame:
     """by, block, ids, m: the unit vectors of each block as one matrix; parts: where each pivot's vectors start in it, with the least and largest angle to it (lo, hi).
 
     Vectors are dealt to blocks in the order of their pivots and their angles to them, by the counts of BINS bins; a bin of more than a block is dealt by hash. A
-    block's size is the given one, else by the number of vectors.
+    block's size is the given one, else by the number of vectors. With clusters (id, cluster, size; a cluster is named by one of its ids) all vectors of a cluster lie side
+    by side where its namesake is, those of one of more than BLOCK are dealt out; ids are then the clusters', and sizes tells how many vectors each has.
     """
     pivots = pivots or Pivots(vectors, by)
     placed = kept(pivots.placed(vectors), "placed")
     rows = placed.withColumn("bin", F.floor(F.col("angle") / math.pi * BINS).cast("int"))
+    whole = F.col("id")
+    if clusters is not None:
+        of = rows.join(clusters, "id")
+        heads = of.where("id = cluster").select("cluster", "pivot", "bin")
+        rows, whole = of.drop("pivot", "bin").join(heads, "cluster"), F.when(F.col("size") <= BLOCK, F.col("cluster")).otherwise(F.col("id"))
     bins = rows.groupBy(by, "pivot", "bin").agg(F.count("*").alias("n"))
     share = F.ceil(F.sum("n").over(Window.partitionBy(by)) / PARTS)
     bins = bins.withColumn("size", F.lit(block) if block else F.greatest(F.lit(BLOCK), F.least(F.lit(WIDE // (8 * pivots.dim)), share)))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(by).orderBy("pivot", "bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bins = bins.select(by, "pivot", "bin", F.floor(before / F.col("size")).alias("place"), F.ceil(F.col("n") / F.col("size")).alias("salts"))
-    rows = rows.join(bins, [by, "pivot", "bin"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")))
+    rows = rows.join(bins, [by, "pivot", "bin"]).withColumn("salt", F.pmod(F.xxhash64(whole), F.col("salts")))
+    near, joint = pivots.of, clusters is not None
     kind = f"{by} {dict(vectors.dtypes)[by]}"
 
     def packed(t: pa.Table) -> pa.Table:
-        pivot, angle = t.column("pivot").to_numpy(), t.column("angle").to_numpy()
-        order = np.lexsort((angle, pivot))
+        pivot, angle, m, names = t.column("pivot").to_numpy(), t.column("angle").to_numpy(), _matrix(t.column("v")), t.column("id" if not joint else "cluster").to_numpy()
+        if joint and len(near.get(t.column(by)[0].as_py(), ())):  # the angle to the pivot of the cluster's namesake
+            angle = np.where(pivot >= 0, np.arccos(np.clip(np.einsum("ij,ij->i", m, near[t.column(by)[0].as_py()][pivot]), -1, 1)), angle)
+        order = np.lexsort((angle if not joint else names, pivot))
         pivot, angle = pivot[order], angle[order]
         start = np.flatnonzero(np.concatenate(([True], pivot[1:] != pivot[:-1])))
         stop = np.append(start[1:], len(pivot))
-        parts = [{"pivot": int(pivot[a]), "start": int(a), "lo": float(angle[a]) if pivot[a] >= 0 else 0.0, "hi": float(angle[z - 1]) if pivot[a] >= 0 else math.pi} for a, z in zip(start, stop, strict=True)]
-        ids = pa.ListArray.from_arrays(np.array([0, len(order)], np.int32), t.column("id").to_numpy()[order])
+        parts = [{"pivot": int(pivot[a]), "start": int(a), "lo": float(angle[a:z].min()) if pivot[a] >= 0 else 0.0, "hi": float(angle[a:z].max()) if pivot[a] >= 0 else math.pi} for a, z in zip(start, stop, strict=True)]
+        listed = lambda x: pa.ListArray.from_arrays(np.array([0, len(order)], np.int32), x[order])
         kinds = pa.list_(pa.struct([("pivot", pa.int32()), ("start", pa.int32()), ("lo", pa.float64()), ("hi", pa.float64())]))
-        return pa.table({by: t.column(by)[:1], "ids": ids, "m": pa.array([_matrix(t.column("v"))[order].tobytes()], pa.binary()), "parts": pa.array([parts], kinds)})
+        out = {by: t.column(by)[:1], "ids": listed(names), "m": pa.array([m[order].tobytes()], pa.binary()), "parts": pa.array([parts], kinds)}
+        return pa.table(out if not joint else out | {"sizes": listed(t.column("size").to_numpy())})
 
-    made = rows.groupBy(by, "place", "salt").applyInArrow(packed, f"{kind}, ids array<long>, m binary, parts array<struct<pivot: int, start: int, lo: double, hi: double>>")
+    made = rows.groupBy(by, "place", "salt").applyInArrow(packed, f"{kind}, ids array<long>, m binary, parts array<struct<pivot: int, start: int, lo: double, hi: double>>" + (", sizes array<long>" if joint else ""))
     return made.withColumn("block", F.monotonically_increasing_id())
 
 
@@ -143,9 +157,10 @@ def _meeting_parts(blocks: DataFrame, by: str, pivots: Pivots, eps: float, other
 def _pairs_of_blocks(blocks: DataFrame, by: str, pivots: Pivots, eps: float, others: DataFrame | None = None) -> DataFrame:
     """Pairs of blocks that may hold vectors within eps, each with both matrices: dealt to all tasks."""
     b = blocks if others is None else others
-    left = blocks.select(by, F.col("block").alias("p"), *(F.col(c).alias(f"a_{c}") for c in ("ids", "m", "parts")))
-    extra = [c for c in b.columns if c not in (by, "block", "ids", "m", "parts")]
-    right = b.select(by, F.col("block").alias("q"), *(F.col(c).alias(f"b_{c}") for c in ("ids", "m", "parts")), *extra)
+    side = [c for c in ("ids", "m", "parts", "sizes") if c in blocks.columns]
+    left = blocks.select(by, F.col("block").alias("p"), *(F.col(c).alias(f"a_{c}") for c in side))
+    extra = [c for c in b.columns if c not in (by, "block", *side)]
+    right = b.select(by, F.col("block").alias("q"), *(F.col(c).alias(f"b_{c}") for c in side), *extra)
     meeting = _meeting_parts(blocks, by, pivots, eps, others).select(by, "p", "q").distinct()
     return meeting.join(left, [by, "p"]).join(right, [by, "q"])
 
@@ -167,19 +182,26 @@ def _rows(batches):
             yield batch.slice(k, 1).to_pylist()[0]
 
 
-def _strips(parts: list[dict] | None, n: int):
-    """start, stop, part of strips of up to BLOCK vectors, each of one part."""
+def _strips(parts: list[dict] | None, n: int, clusters: np.ndarray | None = None):
+    """start, stop, part of strips of up to BLOCK vectors, each of one part. Of clusters none is cut that has no more."""
     parts = parts or [{"start": 0}]
     for part, stop in zip(parts, [*(p["start"] for p in parts[1:]), n], strict=True):
-        for s in range(part["start"], stop, BLOCK):
-            yield s, min(s + BLOCK, stop), part
+        s = part["start"]
+        while s < stop:
+            end = min(s + BLOCK, stop)
+            if clusters is not None and end < stop and clusters[end] == clusters[end - 1]:
+                first = s + int(np.searchsorted(clusters[s:end], clusters[end]))
+                end = first if first > s else end
+            yield s, end, part
+            s = end
 
 
 def _near(row: dict, eps: float, apart: np.ndarray | None = None):
     """Strip by strip: the places in both blocks of the vectors within eps, and their distances. apart: the angles of the pivots, which rule out strips."""
     x, y = (np.frombuffer(row[f"{s}_m"]).reshape(len(row[f"{s}_ids"]), -1) for s in "ab")
-    for s, s_end, a in _strips(row.get("a_parts"), len(x)):
-        for t, t_end, b in _strips(row.get("b_parts"), len(y)):
+    clusters = [np.array(row[f"{s}_ids"]) if f"{s}_sizes" in row else None for s in "ab"]
+    for s, s_end, a in _strips(row.get("a_parts"), len(x), clusters[0]):
+        for t, t_end, b in _strips(row.get("b_parts"), len(y), clusters[1]):
             if apart is not None and a["pivot"] >= 0 and b["pivot"] >= 0 and _least_angle(apart[a["pivot"], b["pivot"]], a["lo"], a["hi"], b["lo"], b["hi"], max) > _widest(eps):
                 continue
             d = 1 - x[s:s_end] @ y[t:t_end].T
@@ -248,9 +270,12 @@ def dbscan(vectors: DataFrame, eps: float, least: int, by: str = "embedder") ->
     pivots = Pivots(vectors, by)
     blocks = kept(_blocks(vectors, by, pivots), "blocks")
     counts = neighbour_counts(blocks, by, pivots, eps)
-    core = kept(vectors.join(counts.where(F.col("n") >= least).select("id"), "id", "left_semi").select("id", by, "v"), "core")
+    with small_batches(vectors.sparkSession):
+        near = kept(counts.where(F.col("n") >= least).select("id"), "near")
+    core = kept(vectors.join(near, "id", "left_semi").select("id", by, "v"), "core")
     core_blocks = kept(_blocks(core, by, pivots), "blocks")
-    groups = components(core.select("id"), spanning_edges(core_blocks, by, pivots, eps))
+    with small_batches(vectors.sparkSession):
+        groups = components(core.select("id"), spanning_edges(core_blocks, by, pivots, eps))
     rest = vectors.select("id", by, "v").join(core.select("id"), "id", "left_anti")
     rest_blocks = kept(_blocks(rest, by, pivots), "blocks")
     named = kept(groups, "groups")
@@ -268,6 +293,8 @@ def dbscan(vectors: DataFrame, eps: float, least: int, by: str = "embedder") ->
     with_names = core_blocks.select(by, F.col("block").alias("q"), F.posexplode("ids").alias("pos", "id")).join(named, "id").groupBy(by, "q").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "component"))), lambda s: s["component"]).alias("clusters"))
     b = core_blocks.join(with_names.withColumnRenamed("q", "block"), [by, "block"])
     border = _pairs_of_blocks(rest_blocks, by, pivots, eps, b).mapInArrow(touch, "id long, cluster long").groupBy("id").agg(F.min("cluster").alias("cluster"))
+    with small_batches(vectors.sparkSession):
+        border = kept(border, "border")
     found = named.select("id", F.col("component").alias("cluster")).union(border)
     return vectors.select("id", by).join(found, "id", "left").select("id", by, F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"))
 
@@ -324,26 +351,128 @@ def _linkage_edges(blocks: DataFrame, by: str, pivots: Pivots, cut: float) -> Da
     return _pairs_of_blocks(blocks, by, pivots, cut).mapInArrow(run, "a long, b long, d double")
 
 
+def _cluster_edges(blocks: DataFrame, by: str, pivots: Pivots, cut: float) -> DataFrame:
+    """a, b (a < b), d, n, want: the pairs of clusters whose vectors are all within cut (n = want), and parts of the pairs of a cluster of more than BLOCK."""
+
+    apart = pivots.apart
+
+    def run(batches):
+        for row in _rows(batches):
+            ids, others, size, size_b = (np.array(row[c]) for c in ("a_ids", "b_ids", "a_sizes", "b_sizes"))
+            for i, j, d in _near(row, cut, apart.get(row[by])):
+                keep = ids[i] < others[j] if row["p"] == row["q"] else ids[i] != others[j]
+                i, j, d = i[keep], j[keep], d[keep]
+                order = np.lexsort((others[j], ids[i]))
+                i, j, d = i[order], j[order], d[order]
+                x, y = ids[i], others[j]
+                first = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))) if len(x) else np.zeros(0, int)
+                if not len(first):
+                    continue
+                n, far = np.diff(np.append(first, len(x))), np.maximum.reduceat(d, first)
+                i, j, x, y = i[first], j[first], x[first], y[first]
+                want = size[i] * size_b[j]
+                on = (n == want) | (np.maximum(size[i], size_b[j]) > BLOCK)
+                if on.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(c[on]) for c in (np.minimum(x, y), np.maximum(x, y), far, n, want)], ["a", "b", "d", "n", "want"])
+
+    return _pairs_of_blocks(blocks, by, pivots, cut).mapInArrow(run, "a long, b long, d double, n long, want long")
+
+
+def _level(vectors: DataFrame, by: str, clusters: DataFrame | None, low: float, cut: float) -> float:
+    """A cut above low, at most the given one, within which there are some DEGREE pairs for each cluster: by the distances in a sample of clusters. It decides on the work only, never on a result."""
+    rows = vectors.withColumn("cluster", F.col("id")) if clusters is None else vectors.join(clusters, "id")
+    total = rows.where("id = cluster").count()
+    share = min(1.0, SAMPLED / max(1, total))
+    some = rows.where(F.pmod(F.xxhash64("cluster", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    some = some.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy("id"))).where(f"r <= {MEMBERS}").select(by, "cluster", "v").limit(2 * SAMPLED * MEMBERS).collect()
+    found = []
+    for value in {r[0] for r in some}:
+        mine = sorted((r for r in some if r[0] == value), key=lambda r: r.cluster)
+        x, names = _unit(np.array([r.v for r in mine], float)), np.array([r.cluster for r in mine])
+        first = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
+        for k, (s, e) in enumerate(zip(first, np.append(first[1:], len(x)), strict=True)):
+            d = np.maximum.reduceat((1 - x[s:e] @ x.T).max(axis=0), first)[k + 1 :]
+            found.append(d[(d <= cut) & (d > low)])
+    d = np.sort(np.concatenate(found)) if found else np.zeros(0)
+    most = int(max(FEW, DEGREE * total) * share**2)
+    return cut if len(d) <= most else float(d[most])
+
+
 def _linkage_in_rounds(vectors: DataFrame, cut: float, by: str, pivots: Pivots) -> DataFrame:
     """id, cluster: complete linkage of large parts. vectors: id, by, v (no two equal).
 
-    The vectors meet once, for the pairs within cut; rounds go on with those alone. Every round merges each pair of clusters that are
-    one another's nearest, which gives the clusters of one merge at a time, as a merge brings no cluster nearer to a third. Clusters are
-    a pair no longer once any two of their vectors are beyond cut: two that merged keep a neighbour only if both had it. So pairs
-    get fewer by the round, and those that no merge touches aren't shuffled.
+    The linkage goes up in levels of the cut, so that each has a bounded number of pairs for each cluster, not all pairs of vectors within
+    the whole cut: the clusters at a lower cut are those that a higher one goes on with. At each level the vectors meet once, for the pairs of clusters
+    that are wholly within it; rounds go on with those alone.
     """
-    blocks = kept(_blocks(vectors, by, pivots), "blocks")
-    edges = kept(_linkage_edges(blocks, by, pivots, cut), "linkage_edges")
-    drop(blocks)
-    merges = []
+    ids, links, clusters, low = kept(vectors.select("id"), "ids"), [], None, -1.0
+    while True:
+        top = _level(vectors, by, clusters, low, cut)
+        blocks = kept(_blocks(vectors, by, pivots, None, clusters), "blocks")
+        with small_batches(vectors.sparkSession):
+            edges = kept((_linkage_edges if clusters is None else _cluster_edges)(blocks, by, pivots, top), "linkage_edges")
+        if clusters is not None:
+            parts = edges.where("n < want")
+            if not parts.isEmpty():
+                summed = parts.groupBy("a", "b", "want").agg(F.max("d").alias("d"), F.sum("n").alias("n")).where("n = want")
+                old, edges = edges, kept(edges.where("n = want").select("a", "b", "d").union(summed.select("a", "b", "d")), "linkage_edges")
+                drop(old)
+        drop(blocks)
+        links += _rounds(edges)
+        if not links:
+            found = ids.select("id", F.col("id").alias("cluster"))
+        else:
+            found = components(ids, reduce(DataFrame.union, links)).select("id", F.col("component").alias("cluster"))
+        if top >= cut:
+            return found
+        clusters = kept(found.join(found.groupBy("cluster").agg(F.count("*").alias("size")), "cluster").select("id", "cluster", "size"), "clusters")
+        links, low = [kept(clusters.where("id != cluster").select(F.col("cluster").alias("a"), F.col("id").alias("b")), "links")], top
+
+
+def _merged(batches):
+    """a, b: what is merged among few pairs, nearest first."""
+    t = pa.Table.from_batches([*batches], pa.schema([("a", pa.int64()), ("b", pa.int64()), ("d", pa.float64())]))
+    near, out = defaultdict(dict), []
+    heap = list(zip(*(t.column(c).to_pylist() for c in ("d", "a", "b")), strict=True))
+    for d, a, b in heap:
+        near[a][b] = near[b][a] = d
+    heapq.heapify(heap)
+    while heap:
+        d, a, b = heapq.heappop(heap)
+        if near[a].get(b) != d:  # merged, or farther since
+            continue
+        out.append((a, b))
+        mine, others = near.pop(a), near.pop(b)
+        for c in (mine.keys() | others.keys()) - {a, b}:
+            near[c].pop(a, None)
+            near[c].pop(b, None)
+            if c in mine and c in others:
+                near[a][c] = near[c][a] = max(mine[c], others[c])
+                heapq.heappush(heap, (near[a][c], min(a, c), max(a, c)))
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _rounds(edges: DataFrame) -> list[DataFrame]:
+    """a, b: what is merged, by rounds, until no pair of edges (a, b, d; written by kept(), deleted at the end) is left.
+
+    Every round merges each pair of clusters that are one another's nearest, which gives the clusters of one merge at a time, as a merge
+    brings no cluster nearer to a third. Clusters are a pair no longer once any two of their vectors are beyond the cut: two that merged keep a neighbour only
+    if both had it. So pairs get fewer by the round, and those that no merge touches aren't shuffled. The last FEW are merged by one task.
+    """
+    merges, written = [], edges
+    edges = edges.select("a", "b", "d")
     while True:
+        if edges.count() <= FEW:
+            merges.append(kept(edges.coalesce(1).mapInArrow(_merged, "a long, b long"), "merges"))
+            drop(written)
+            return merges
         pair = F.struct("d", F.xxhash64("a", "b").alias("tie"), "a", "b").alias("pair")
         nearest = edges.select(F.explode(F.array("a", "b")).alias("cluster"), pair).groupBy("cluster").agg(F.min("pair").alias("pair"))
         merge = kept(nearest.groupBy("pair").agg(F.count("*").alias("n")).where("n = 2").select(F.col("pair.a").alias("into"), F.col("pair.b").alias("gone")), "merges")
         if merge.isEmpty():
-            drop(merge, edges)
-            break
-        merges.append(merge)
+            drop(merge, written)
+            return merges
+        merges.append(merge.select(F.col("into").alias("a"), F.col("gone").alias("b")))
         # both clusters of a merge, with the name that they go on under
         half = merge.select(F.explode(F.array("into", "gone")).alias("cluster"), "into")
         left, right = (half.select(F.col("cluster").alias(c), F.col("into").alias(f"{c}_into")) for c in "ab")
@@ -353,13 +482,9 @@ def _linkage_in_rounds(vectors: DataFrame, cut: float, by: str, pivots: Pivots)
             F.coalesce("a_into", "a").alias("x"), F.coalesce("b_into", "b").alias("y"), "d", (F.when(F.col("a_into").isNull(), 1).otherwise(2) * F.when(F.col("b_into").isNull(), 1).otherwise(2)).alias("want")
         ).where("x != y")
         moved = moved.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "want").agg(F.max("d").alias("d"), F.count("*").alias("n")).where("n = want").select("a", "b", "d")
-        old, edges = edges, kept(same.unionByName(moved), "linkage_edges")
+        old, written = written, kept(same.unionByName(moved), "linkage_edges")
         drop(old)
-    ids = vectors.select("id")
-    if not merges:
-        return ids.select("id", F.col("id").alias("cluster"))
-    links = reduce(DataFrame.union, merges).select(F.col("into").alias("a"), F.col("gone").alias("b"))
-    return components(ids, links).select("id", F.col("component").alias("cluster"))
+        edges = written
 
 
 def complete_linkage(vectors: DataFrame, cut: float, least: int, by: str = "embedder", part: int = PART) -> DataFrame:
@@ -371,7 +496,8 @@ def complete_linkage(vectors: DataFrame, cut: float, least: int, by: str = "embe
     """
     pivots = Pivots(vectors, by)
     blocks = kept(_blocks(vectors, by, pivots), "blocks")
-    parts = kept(components(vectors.select("id"), spanning_edges(blocks, by, pivots, cut)), "parts")
+    with small_batches(vectors.sparkSession):
+        parts = kept(components(vectors.select("id"), spanning_edges(blocks, by, pivots, cut)), "parts")
     large = kept(parts.groupBy("component").count().where(F.col("count") > part).select("component"), "large")
     rows = vectors.select("id", by, "v").join(parts, "id")
 
