@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumora.sources.commits import Commits
+from lumora.sources.shared import small_batches
 
 #: Folders that terms are dealt to by hash: a query reads its terms' ones.
 BUCKETS = 32
@@ -117,7 +118,8 @@ class CaptionIndex:
         folder = f"s-{uuid.uuid4().hex}"
         path = f"{self.commits.path}/{folder}"
         rows = rows.withColumn("bucket", bucket(F.col("term"))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc", "part")
-        rows.write.partitionBy("bucket").parquet(path)
+        with small_batches(self.spark, 4 << 20):  # by bytes, not by thousands of captions
+            rows.write.partitionBy("bucket").parquet(path)
         n = self.spark.read.schema(f"{_POSTINGS}, bucket int").parquet(path).where("bucket = -1").agg(F.count("*").alias("n"), F.sum("length").alias("l")).first()
         return [{"folder": folder, "total": n.n, "length": n.l, "gone": []}] if n.n else []
 
