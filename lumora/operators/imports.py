@@ -9,28 +9,31 @@ from lumora.functions.media import RATING_MAP, first_rating, mapped
 from lumora.operators.writes import exploded_tags, insert_or_ignore
 
 
-def known_only(rows: DataFrame, manifest: DataFrame, key: str = "image_id") -> tuple[DataFrame, DataFrame]:
-    """(rows of known ids, one row n_unknown)."""
+def known_only(rows: DataFrame, manifest: DataFrame, key: str = "image_id", parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows of known ids, one row n_unknown). Rows meet the ids in parts partitions, where given, and none is broadcast."""
     ids = manifest.select(F.col("id").alias(key))
+    if parts is not None:  # rows follow the ids; dealt themselves, the join would go below that
+        ids = ids.repartition(parts, key).hint("merge")
     return rows.join(ids, key, "left_semi"), rows.join(ids, key, "left_anti").agg(F.count("*").alias("n_unknown"))
 
 
-def tags(old: DataFrame, rows: DataFrame, manifest: DataFrame, source: str) -> DataFrame:
-    """old (image_id, category, value, tag_source, confidence) with the tags of rows (image_id, tags: a map of category to values) of known ids; rows that are there stay as they are."""
-    new = exploded_tags(known_only(rows, manifest)[0]).withColumns({"tag_source": F.lit(source), "confidence": F.lit(None).cast("double")})
-    return insert_or_ignore(old, new.select(*old.columns), ["image_id", "category", "value", "tag_source"], [F.col("confidence")])
+def tags(old: DataFrame, rows: DataFrame, manifest: DataFrame, source: str, parts: int | None = None) -> DataFrame:
+    """old (image_id, category, value, tag_source, confidence) with the tags of rows (image_id, tags: a map of category to values) of known ids; rows that are there stay as they are. parts: as for scored_tags."""
+    new = exploded_tags(known_only(rows, manifest, parts=parts)[0]).withColumns({"tag_source": F.lit(source), "confidence": F.lit(None).cast("double")})
+    return insert_or_ignore(old, new.select(*old.columns), ["image_id", "category", "value", "tag_source"], [F.col("confidence")], parts)
 
 
-def scored_tags(old: DataFrame, rows: DataFrame, manifest: DataFrame, run_id: Column | None = None) -> DataFrame:
+def scored_tags(old: DataFrame, rows: DataFrame, manifest: DataFrame, run_id: Column | None = None, parts: int | None = None) -> DataFrame:
     """old with the scored tags of rows (image_id, rows: an array of category, value, confidence, tag_source) of known ids.
 
     Each new tag keeps its own confidence and source; a key (image, category, value, source) that is there stays
     as it is, and of equal new ones the first in its array comes in. run_id, if old has that column, is provenance only.
+    parts: the partitions in which rows meet the manifest and old, by the input's size, so that none grows with it; the session's number by default.
     """
-    new = known_only(rows, manifest)[0].select("image_id", F.posexplode("rows").alias("at", "r")).select("image_id", "at", "r.*")
+    new = known_only(rows, manifest, parts=parts)[0].select("image_id", F.posexplode("rows").alias("at", "r")).select("image_id", "at", "r.*")
     if "run_id" in old.columns:
         new = new.withColumn("run_id", F.lit(None).cast(dict(old.dtypes)["run_id"]) if run_id is None else run_id)
-    return insert_or_ignore(old, new.withColumn("value", F.col("value").cast("string")), ["image_id", "category", "value", "tag_source"], [F.col("at")])
+    return insert_or_ignore(old, new.withColumn("value", F.col("value").cast("string")), ["image_id", "category", "value", "tag_source"], [F.col("at")], parts)
 
 
 def finalised(images: DataFrame, labels: DataFrame, rows: DataFrame, rating_set: str = "Rating") -> tuple[DataFrame, DataFrame]:

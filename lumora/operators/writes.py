@@ -12,10 +12,18 @@ def first_of(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def insert_or_ignore(old: DataFrame, new: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """Existing rows win and stay as they are; of new rows with one key the first goes in. Null keys never clash."""
-    fresh = first_of(new.where(" and ".join(f"{k} is not null" for k in key)), key, order).unionByName(new.where(" or ".join(f"{k} is null" for k in key)))
-    return old.unionByName(fresh.join(old.select(*key), key, "left_anti").select(*old.columns))
+def insert_or_ignore(old: DataFrame, new: DataFrame, key: list[str], order: list[Column], parts: int | None = None) -> DataFrame:
+    """Existing rows win and stay as they are; of new rows with one key the first goes in. Null keys never clash.
+
+    Where both grow, narrow rows of both are dealt to parts partitions by key, and old ones are read once; else new ones are joined with the keys of the old.
+    """
+    keyed = new.where(" and ".join(f"{k} is not null" for k in key))
+    null = new.where(" or ".join(f"{k} is null" for k in key)).select(*old.columns)
+    if parts is None:
+        return old.unionByName(first_of(keyed, key, order).join(old.select(*key), key, "left_anti").select(*old.columns)).unionByName(null)
+    both = old.withColumn("_new", F.lit(False)).unionByName(keyed.withColumn("_new", F.lit(True)), allowMissingColumns=True).repartition(parts, *key)
+    at = F.row_number().over(Window.partitionBy(*key).orderBy("_new", *order))
+    return both.withColumn("_r", at).where("not _new or _r = 1").select(*old.columns).unionByName(null)
 
 
 def upsert_non_null(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

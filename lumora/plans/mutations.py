@@ -23,8 +23,9 @@ _KEY = ["image_id", "category", "value", "tag_source"]
 
 @register("insert_ignore", cte("tags", more=_NEW) + "SELECT * FROM old UNION ALL SELECT * FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.image_id = f.image_id AND o.category = f.category AND o.value = f.value AND o.tag_source = f.tag_source)")
 def insert_ignore(spark, d):
-    old, new = _old_new(Catalog(spark, d))
-    return writes.insert_or_ignore(old, new, _KEY, [F.desc("confidence")])
+    c = Catalog(spark, d)
+    old, new = _old_new(c)
+    return writes.insert_or_ignore(old, new, _KEY, [F.desc("confidence")], c.line_parts)
 
 
 @register("replace_by_key", cte("tags", more=_NEW) + "SELECT * FROM old WHERE image_id NOT IN (SELECT image_id FROM fresh WHERE image_id % 2 = 0) UNION ALL SELECT * FROM fresh WHERE image_id % 2 = 0")

@@ -75,7 +75,7 @@ def people_listed(spark, d):
 def import_tags(spark, d):
     c = Catalog(spark, d)
     rows = c.raw("orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("image_id"), F.create_map(F.lit("returnflag"), F.array(F.lit("R"), "o_orderstatus")).alias("tags"))
-    return imports.tags(c.tags.where("category = 'returnflag'"), rows, c.images.where("processed"), "s1")
+    return imports.tags(c.tags.where("category = 'returnflag'"), rows, c.images.where("processed"), "s1", c.line_parts)
 
 
 _SCORED = "old AS (SELECT * FROM tags WHERE category = 'returnflag'), fresh AS (SELECT o_orderkey AS image_id, unnest([0, 1, 2]) AS nth, unnest(['returnflag', 'rating', 'returnflag']) AS category, unnest(['R', CASE WHEN o_custkey % 4 = 0 THEN 'general' ELSE 'explicit' END, 'R']) AS value, unnest([o_custkey % 7 / 10.0::DOUBLE, 0.9::DOUBLE, 0.1::DOUBLE]) AS confidence, unnest(['s1', 'wd', 's1']) AS tag_source FROM orders WHERE o_orderkey % 3 = 0)"
@@ -85,7 +85,7 @@ _SCORED = "old AS (SELECT * FROM tags WHERE category = 'returnflag'), fresh AS (
 def import_scored_tags(spark, d):
     """Tags that come with their own confidences and sources; a repeated key keeps its first."""
     c = Catalog(spark, d)
-    return imports.scored_tags(c.tags.where("category = 'returnflag'"), _scored_rows(c), c.images.where("processed"))
+    return imports.scored_tags(c.tags.where("category = 'returnflag'"), _scored_rows(c), c.images.where("processed"), parts=c.line_parts)
 
 
 def _scored_rows(c):

@@ -62,11 +62,15 @@ class Catalog:
         """Tag rows as they come, repeated ones too: for semi-joins and distinct counts, which need no shuffle to drop them."""
         return self._tags_of(self._tagged)
 
+    @cached_property
+    def line_parts(self) -> int:
+        """As many partitions as the lines' files ask for."""
+        return max(self.spark.sparkContext.defaultParallelism, -(-input_bytes(self.raw("lineitem")) // LINES_AT_ONCE))
+
     @cached_property
     def dealt_tag_rows(self) -> DataFrame:
-        """The same dealt by image, as lines, before each becomes four rows: what groups or joins them by image needs no further shuffle. Partitions are as many as the lines' files ask for."""
-        n = max(self.spark.sparkContext.defaultParallelism, -(-input_bytes(self.raw("lineitem")) // LINES_AT_ONCE))
-        return self._tags_of(self._tagged.repartition(n, "l_orderkey"))
+        """The same dealt by image, as lines, before each becomes four rows: what groups or joins them by image needs no further shuffle."""
+        return self._tags_of(self._tagged.repartition(self.line_parts, "l_orderkey"))
 
     @cached_property
     def tags(self) -> DataFrame:
