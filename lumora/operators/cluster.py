@@ -227,6 +227,21 @@ def neighbour_counts(blocks: DataFrame, by: str, pivots: Pivots, eps: float) ->
     return _pairs_of_blocks(blocks, by, pivots, eps).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
+def _joined(parent: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Those of the pairs (x, y) that join trees of parent, which they then do: in rounds, as arrays, each root that has a smaller one beside it goes below that."""
+    out = []
+    while True:
+        while (parent[parent] != parent).any():
+            parent[:] = parent[parent]
+        new = parent[x] != parent[y]
+        if not new.any():
+            return out
+        x, y = x[new], y[new]
+        root, first = np.unique(np.maximum(parent[x], parent[y]), return_index=True)
+        parent[root] = np.minimum(parent[x[first]], parent[y[first]])
+        out.append((x[first], y[first]))
+
+
 def spanning_edges(blocks: DataFrame, by: str, pivots: Pivots, eps: float) -> DataFrame:
     """a, b: edges within eps that connect what is connected, at most as many for a pair of blocks as it has ids."""
 
@@ -236,27 +251,11 @@ def spanning_edges(blocks: DataFrame, by: str, pivots: Pivots, eps: float) -> Da
         for row in _rows(batches):
             a, b = np.array(row["a_ids"]), np.array(row["b_ids"])
             ids, place = np.unique(np.concatenate((a, b)), return_inverse=True)
-            at, parent = (place[: len(a)], place[len(a) :]), np.arange(len(ids))
-
-            def root(v, parent=parent):
-                while parent[v] != v:
-                    parent[v] = parent[parent[v]]
-                    v = parent[v]
-                return v
-
-            out = []
+            at, parent, out = (place[: len(a)], place[len(a) :]), np.arange(len(ids)), []
             for i, j, _ in _near(row, eps, apart.get(row[by])):
-                while (parent[parent] != parent).any():
-                    parent[:] = parent[parent]
-                x, y = at[0][i], at[1][j]
-                new = parent[x] != parent[y]
-                for u, v in zip(x[new].tolist(), y[new].tolist(), strict=True):
-                    ru, rv = root(u), root(v)
-                    if ru != rv:
-                        parent[max(ru, rv)] = min(ru, rv)
-                        out.append((ids[u], ids[v]))
+                out += _joined(parent, at[0][i], at[1][j])
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[np.concatenate(c)]) for c in zip(*out, strict=True)], ["a", "b"])
 
     return _pairs_of_blocks(blocks, by, pivots, eps).mapInArrow(run, "a long, b long")
 
